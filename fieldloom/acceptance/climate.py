@@ -12,7 +12,7 @@ from .registry import big, case, day_text, r
 
 NATION_ORDERS = """
 no AS (SELECT n_name AS "siteID", n_nationkey, r_name AS zone, o_orderdate::DATE AS date, o_orderkey, o_orderstatus,
-         o_orderpriority, o_totalprice AS value
+         o_orderpriority, o_totalprice / 9973 AS value
        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
        JOIN region ON n_regionkey = r_regionkey)"""
 
@@ -73,6 +73,9 @@ tmp AS (SELECT "siteID", year, month, coalesce(lo, avg(lo) OVER z) AS temp_min,
   WINDOW z AS (PARTITION BY zone, year, month))"""
 
 
+# Prices become readings by a prime unit, so that no mean lies halfway between two rounded values.
+READING = 9973
+
 # --- stand-in sources -----------------------------------------------------------------------------
 
 
@@ -82,7 +85,7 @@ def nation_orders(t):
     return (t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
             .join(sites, F.col("c_nationkey") == F.col("n_nationkey"))
             .select("siteID", "n_nationkey", "zone", F.to_date("o_orderdate").alias("date"), "o_orderkey",
-                    "o_orderstatus", "o_orderpriority", F.col("o_totalprice").alias("value")))
+                    "o_orderstatus", "o_orderpriority", (F.col("o_totalprice") / READING).alias("value")))
 
 
 def site_info(t):
@@ -97,11 +100,11 @@ def readings(t):
 
 def balance_series(t):
     return nation_orders(t).groupBy("siteID", F.year("date").alias("year"), F.month("date").alias("month")).agg(
-        (F.sum("value") / 100000).alias("balance"))
+        (F.sum("value") / 10).alias("balance"))
 
 
 BALANCE_SQL = NATION_ORDERS + """,
-bal AS (SELECT "siteID", year(date) AS year, month(date) AS month, sum(value) / 100000 AS balance FROM no GROUP BY ALL)"""
+bal AS (SELECT "siteID", year(date) AS year, month(date) AS month, sum(value) / 10 AS balance FROM no GROUP BY ALL)"""
 
 
 # --- queries -------------------------------------------------------------------------------------
@@ -138,7 +141,7 @@ def monthly_extremes(t):
 
 def _zone_sql(mean: str) -> str:
     return "WITH" + NATION_ORDERS + f""",
-m AS (SELECT "siteID", year(date) AS year, month(date) AS month, max(value) AS v FROM no WHERE value > 460000 GROUP BY ALL),
+m AS (SELECT "siteID", year(date) AS year, month(date) AS month, max(value) AS v FROM no WHERE value > 46 GROUP BY ALL),
 cal AS (SELECT * FROM (SELECT DISTINCT "siteID" FROM m) CROSS JOIN (SELECT DISTINCT year FROM m) CROSS JOIN (SELECT DISTINCT month FROM m)),
 z AS (SELECT "siteID", zone, year, month, v FROM cal LEFT JOIN m USING ("siteID", year, month)
       JOIN (SELECT n_name AS "siteID", r_name AS zone FROM nation JOIN region ON n_regionkey = r_regionkey) USING ("siteID"))
@@ -146,7 +149,7 @@ SELECT "siteID" AS site, year, month, round(coalesce(v, {mean}), 6) + 0.0 AS v F
 
 
 def _zone_fill(t, strict):
-    monthly = nation_orders(t).where("value > 460000").groupBy(
+    monthly = nation_orders(t).where("value > 46").groupBy(
         "siteID", F.year("date").alias("year"), F.month("date").alias("month")).agg(F.max("value").alias("v"))
     out = climate.fill_from_zone(monthly, site_info(t), "siteID", "Biogeographic_zone", "v", strict)
     return out.select(F.col("siteID").alias("site"), big("year").alias("year"), big("month").alias("month"), r("v").alias("v"))
@@ -163,13 +166,13 @@ def zone_fill_strict(t):
 
 
 @case("q_pet", "WITH" + NATION_ORDERS + """,
-s AS (SELECT "siteID", n_nationkey, year(date) AS year, month(date) AS month, min(value) / 50000 AS tmin, max(value) / 20000 AS tmax,
-      58 + n_nationkey * 0.2::DOUBLE AS lat, sum(value) / 10000 AS precip_sum FROM no GROUP BY ALL),""" + pet_ctes("s", "pet") + """
+s AS (SELECT "siteID", n_nationkey, year(date) AS year, month(date) AS month, min(value) / 5 AS tmin, max(value) / 2 AS tmax,
+      58 + n_nationkey * 0.2::DOUBLE AS lat, sum(value) AS precip_sum FROM no GROUP BY ALL),""" + pet_ctes("s", "pet") + """
 SELECT "siteID" AS site, year, month, round(pet, 6) + 0.0 AS pet, round(precip_sum - pet, 6) + 0.0 AS balance
 FROM s JOIN pet USING ("siteID", year, month)""")
 def pet(t):
     monthly = nation_orders(t).groupBy("siteID", "n_nationkey", F.year("date").alias("year"), F.month("date").alias("month")).agg(
-        (F.min("value") / 50000).alias("tmin"), (F.max("value") / 20000).alias("tmax"), (F.sum("value") / 10000).alias("precip_sum"))
+        (F.min("value") / 5).alias("tmin"), (F.max("value") / 2).alias("tmax"), F.sum("value").alias("precip_sum"))
     located = monthly.withColumn("lat", 58 + F.col("n_nationkey") * F.lit(0.2))
     evap = located.withColumn("pet", climate.hargreaves("tmin", "tmax", "lat", "year", "month"))
     both = climate.water_balance(monthly.select("siteID", "year", "month", "precip_sum"), evap.select("siteID", "year", "month", "pet"))
@@ -209,23 +212,28 @@ def spei3(t):
 
 
 CLIMATOLOGY_SQL = """
-normal AS (SELECT dayofyear(o_orderdate) - 1 AS day, o_orderpriority AS "siteID", avg(o_totalprice) AS value FROM orders GROUP BY ALL)"""
+normal AS (SELECT dayofyear(o_orderdate) - 1 AS day, o_orderpriority AS "siteID", avg(o_totalprice / 9973) AS value FROM orders GROUP BY ALL)"""
+
+
+def priority_readings(t):
+    return t.orders.select(F.col("o_orderpriority").alias("siteID"), F.col("o_orderdate").alias("date"),
+                           (F.col("o_totalprice") / READING).alias("value"), "o_orderstatus")
 
 
 def _normal(t):
-    return climate.climatology(t.orders.withColumnRenamed("o_orderpriority", "siteID"), "siteID", "o_orderdate", "o_totalprice")
+    return climate.climatology(priority_readings(t), "siteID", "date", "value")
 
 
 @case("q_climatology_anomaly", "WITH" + CLIMATOLOGY_SQL + """,
-daily AS (SELECT o_orderpriority AS "siteID", o_orderdate::DATE AS date, avg(o_totalprice) AS value FROM orders GROUP BY ALL)
+daily AS (SELECT o_orderpriority AS "siteID", o_orderdate::DATE AS date, avg(o_totalprice / 9973) AS value FROM orders GROUP BY ALL)
 SELECT d."siteID" AS site, strftime(d.date, '%Y-%m-%d') AS date, round(d.value - n.value, 5) + 0.0 AS anomaly,
-  CASE WHEN d.value - n.value > 1e-6 THEN 'red' ELSE 'blue' END AS sign
+  CASE WHEN d.value - n.value > 1e-9 THEN 'red' ELSE 'blue' END AS sign
 FROM daily d LEFT JOIN normal n ON d."siteID" = n."siteID" AND dayofyear(d.date) - 1 = n.day""")
 def climatology_anomaly(t):
-    daily = climate.daily_means(t.orders.withColumnRenamed("o_orderpriority", "siteID"), ["siteID"], "o_orderdate", "o_totalprice")
+    daily = climate.daily_means(priority_readings(t), ["siteID"], "date", "value")
     out = climate.anomalies(daily, _normal(t))
-    # A deviation below 1e-6 is rounding noise of equal means.
-    sign = F.when(F.abs("tAnom") <= 1e-6, "blue").otherwise(F.col("sign"))
+    # A deviation below 1e-9 is rounding noise of equal means.
+    sign = F.when(F.abs("tAnom") <= 1e-9, "blue").otherwise(F.col("sign"))
     return out.select(F.col("siteID").alias("site"), day_text("date").alias("date"), r("tAnom", 5).alias("anomaly"), sign.alias("sign"))
 
 
@@ -239,8 +247,8 @@ def phase_means(t):
 
 
 @case("q_drought_anomalies", """
-WITH d AS (SELECT o_orderpriority AS "siteID", o_orderdate::DATE AS date, avg(o_totalprice) AS t,
-    avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS m FROM orders GROUP BY ALL),
+WITH d AS (SELECT o_orderpriority AS "siteID", o_orderdate::DATE AS date, avg(o_totalprice / 9973) AS t,
+    avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 9973 END) AS m FROM orders GROUP BY ALL),
 p AS (SELECT *, year(date) AS year, CASE WHEN month(date) IN (6, 7) THEN 'spr' ELSE 'aut' END AS phase FROM d WHERE month(date) IN (6, 7, 8, 9)),
 lt AS (SELECT "siteID", phase, avg(t) AS v FROM p GROUP BY ALL), lm AS (SELECT "siteID", phase, avg(m) AS v FROM p GROUP BY ALL),
 y AS (SELECT "siteID", phase, year, avg(t) AS t, avg(CASE WHEN year <> 2000 THEN m END) AS m FROM p GROUP BY ALL),
@@ -249,9 +257,8 @@ SELECT y."siteID" AS site, y.phase, y.year, round(t - lt.v, 4) + 0.0 AS "tAnom",
 FROM y LEFT JOIN lt ON y."siteID" = lt."siteID" AND y.phase = lt.phase LEFT JOIN lm ON y."siteID" = lm."siteID" AND y.phase = lm.phase
 LEFT JOIN x ON y."siteID" = x."siteID" AND y.phase = x.phase AND y.year = x.year""")
 def drought_anomalies(t):
-    daily = t.orders.groupBy(F.col("o_orderpriority").alias("siteID"), F.to_date("o_orderdate").alias("date")).agg(
-        F.avg("o_totalprice").alias("soilT"),
-        F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("soilM"))
+    daily = priority_readings(t).groupBy("siteID", F.to_date("date").alias("date")).agg(
+        F.avg("value").alias("soilT"), F.avg(F.when(F.col("o_orderstatus") == "F", F.col("value"))).alias("soilM"))
     phase = phase_of_month(F.month("date"), "spr", "aut")
     rows = daily.withColumn("monthN", phase).where(F.col("monthN").isNotNull())
     warm = rows.groupBy("siteID", "monthN").agg(F.avg("soilT").alias("LTtval"))
@@ -266,7 +273,7 @@ def drought_anomalies(t):
 @case("q_soil_means", """
 WITH d AS (SELECT o_orderpriority AS "siteID", o_orderdate::DATE AS date,
     CASE WHEN count(v) < count(*) THEN NULL ELSE avg(v) END AS v
-  FROM (SELECT *, CASE WHEN o_totalprice < 490000 OR year(o_orderdate) < 1998 THEN o_totalprice END AS v FROM orders) GROUP BY ALL),
+  FROM (SELECT *, CASE WHEN o_totalprice < 490000 OR year(o_orderdate) < 1998 THEN o_totalprice / 9973 END AS v FROM orders) GROUP BY ALL),
 n AS (SELECT *, CASE WHEN count(v) OVER s = count(*) OVER s THEN avg(v) OVER s END AS total,
     CASE WHEN count(v) OVER y = count(*) OVER y THEN avg(v) OVER y END AS annual
   FROM d WINDOW s AS (PARTITION BY "siteID"), y AS (PARTITION BY "siteID", year(date)))
@@ -274,7 +281,7 @@ SELECT "siteID" AS site, month(date) AS month, year(date) AS year, round(any_val
   round(any_value(total), 4) + 0.0 AS sm_total_mean, round(avg(v), 4) + 0.0 AS soil_moisture_month_mean
 FROM n GROUP BY 1, 2, 3""")
 def soil_means(t):
-    v = F.when((F.col("o_totalprice") < 490000) | (F.year("o_orderdate") < 1998), F.col("o_totalprice"))
+    v = F.when((F.col("o_totalprice") < 490000) | (F.year("o_orderdate") < 1998), F.col("o_totalprice") / READING)
     rows = t.orders.select(F.col("o_orderpriority").alias("siteID"), F.col("o_orderdate").alias("date"), v.alias("value"))
     out = climate.nested_means(rows)
     return out.select(F.col("siteID").alias("site"), big("month").alias("month"), big("year").alias("year"),
@@ -336,7 +343,7 @@ def monthly_temperature(t):
                       *[r(c, 5).alias(c) for c in ("temp_min", "temp_mean", "temp_max")])
 
 
-@case("q_drought_table", "WITH" + NATION_ORDERS.replace("o_totalprice AS value", "o_totalprice / 20000 AS value") + ","
+@case("q_drought_table", "WITH" + NATION_ORDERS + ","
       + TEMPERATURE_SQL + """,
 rain AS (SELECT "siteID", year(date) AS year, month(date) AS month, sum(value) AS precip_sum FROM no GROUP BY ALL),
 loc AS (SELECT "siteID", year, month, temp_min AS tmin, temp_max AS tmax, 58 + n_nationkey * 0.2::DOUBLE AS lat
@@ -358,7 +365,7 @@ LEFT JOIN s3 ON b."siteID" = s3."siteID" AND b.year = s3.year AND b.month = s3.m
 LEFT JOIN tmp ON b."siteID" = tmp."siteID" AND b.year = tmp.year AND b.month = tmp.month
 LEFT JOIN sm ON b."siteID" = sm."siteID" AND b.year = sm.year AND b.month = sm.month""")
 def drought_table(t):
-    base = nation_orders(t).withColumn("value", F.col("value") / 20000)
+    base = nation_orders(t)
     logger = F.when(F.col("o_orderpriority") == "2-HIGH", "temp200cm").when(F.col("o_orderpriority") == "5-LOW", "temp30cm")
     temps = base.select("siteID", "date", logger.alias("logger"), "value")
     rain = base.select("siteID", "date", "value")

@@ -210,9 +210,9 @@ FROM orders""")
 def fill_ids(t):
     rows = t.orders.withColumn("id", F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("o"), F.col("o_orderkey"))))
     rows = reshape.fill_ids(rows, "id", ["o_orderkey", "o_custkey"])
-    chunk, order = ordered.quantile_chunks(rows, "o_orderdate", tie="o_orderkey"), ["o_orderdate", "o_orderkey"]
-    rows = ordered.row_index(rows, order, chunk, ["o_orderpriority"], "nr")
-    return ordered.row_index(rows, order, chunk, out="nr_all").select("o_orderkey", "id", "nr", "nr_all")
+    order = ["o_orderdate", "o_orderkey"]
+    rows = ordered.row_index(rows, order, ["o_orderpriority"], "nr")
+    return ordered.row_index(rows, order, out="nr_all").select("o_orderkey", "id", "nr", "nr_all")
 
 
 # --- joins -------------------------------------------------------------------------------------
@@ -386,11 +386,11 @@ def ndistinct(t):
 
 
 @case("q_weighted_mean", """
-SELECT l_suppkey, l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) + 0.0 AS wmean
+SELECT l_suppkey, l_returnflag, round(sum(l_extendedprice / 9973 * l_quantity) / sum(l_quantity), 6) + 0.0 AS wmean
 FROM lineitem GROUP BY 1, 2""")
 def weighted_mean(t):
     return t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(
-        r(nulls.weighted_mean("l_extendedprice", "l_quantity")).alias("wmean"))
+        r(nulls.weighted_mean(F.col("l_extendedprice") / 9973, "l_quantity")).alias("wmean"))
 
 
 @case("q_ratio", """
@@ -480,8 +480,7 @@ SELECT event_id, user_id, prev_type FROM (
   SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_type FROM events)
 WHERE event_type = 'error' AND prev_type = 'click'""")
 def lag_transition(t):
-    rows = ordered.lag_in_group(t.events, ["user_id"], ["ts", "event_id"], {"prev_type": "event_type"},
-                                ordered.quantile_chunks(t.events, "ts"))
+    rows = ordered.lag_in_group(t.events, ["user_id"], ["ts", "event_id"], {"prev_type": "event_type"})
     return rows.where("event_type = 'error' and prev_type = 'click'").select("event_id", "user_id", "prev_type")
 
 
@@ -489,9 +488,8 @@ def lag_transition(t):
 SELECT event_id, lag(value) OVER w AS prev_value, lag(event_id) OVER w AS prev_id FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def lag_all(t):
-    chunk = ordered.quantile_chunks(t.events, "ts")
     return ordered.lag_in_group(t.events, ["event_type"], ["ts", "event_id"],
-                                {"prev_value": "value", "prev_id": "event_id"}, chunk).select(
+                                {"prev_value": "value", "prev_id": "event_id"}).select(
         "event_id", "prev_value", "prev_id")
 
 
@@ -545,8 +543,7 @@ def dedupe_slice(t):
 SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) + 0.0 AS so_far
 FROM events""")
 def running_sum(t):
-    return ordered.running_sum(t.events, ["event_type"], ["ts", "event_id"], {"total": "value"},
-                               ordered.quantile_chunks(t.events, "ts")).select(
+    return ordered.running_sum(t.events, ["event_type"], ["ts", "event_id"], {"total": "value"}).select(
         "event_id", r("total", 2).alias("so_far"))
 
 

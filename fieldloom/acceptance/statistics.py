@@ -308,7 +308,7 @@ def density(t):
 
 TRAIT_SQL = """
 cover AS (SELECT l_returnflag AS site, l_partkey AS species, sum(l_quantity) AS cover FROM lineitem GROUP BY 1, 2),
-traits AS (SELECT l_returnflag AS site, l_partkey AS species, l_linestatus AS trait, l_extendedprice / 100 AS value, l_orderkey, l_linenumber, l_suppkey
+traits AS (SELECT l_returnflag AS site, l_partkey AS species, l_linestatus AS trait, l_extendedprice / 9973 AS value, l_orderkey, l_linenumber, l_suppkey
   FROM lineitem WHERE l_discount > 0.085),
 n1 AS (SELECT site, species, trait, count(*) AS n1, avg(value) AS m1 FROM traits GROUP BY ALL),
 n0 AS (SELECT species, trait, count(*) AS n0, avg(value) AS m0 FROM traits GROUP BY ALL),
@@ -344,7 +344,7 @@ def _filled(t):
     cover = t.lineitem.groupBy(F.col("l_returnflag").alias("site"), F.col("l_partkey").alias("species")).agg(F.sum("l_quantity").alias("cover"))
     traits = t.lineitem.where("l_discount > 0.085").select(
         F.col("l_returnflag").alias("site"), F.col("l_partkey").alias("species"), F.col("l_linestatus").alias("trait"),
-        (F.col("l_extendedprice") / 100).alias("value"), "l_orderkey", "l_linenumber", "l_suppkey")
+        (F.col("l_extendedprice") / 9973).alias("value"), "l_orderkey", "l_linenumber", "l_suppkey")
     return bootstrap.trait_fill(cover, traits, ["site"]), traits
 
 
@@ -363,18 +363,18 @@ def trait_fill(t):
 
 
 @case("q_bootstrap", "WITH" + BOOT_SQL + """
-SELECT site, trait, replicate::INT AS replicate, round(mean, 6) + 0.0 AS mean, round(var, 4) + 0.0 AS var, round(skew, 7) + 0.0 AS skew, round(kurt, 7) + 0.0 AS kurt FROM mo""")
+SELECT site, trait, replicate::INT AS replicate, round(mean, 6) + 0.0 AS mean, round(var, 6) + 0.0 AS var, round(skew, 7) + 0.0 AS skew, round(kurt, 7) + 0.0 AS kurt FROM mo""")
 def boot(t):
-    return _replicates(t).select("site", "trait", "replicate", r("mean").alias("mean"), r("var", 4).alias("var"), r("skew", 7).alias("skew"), r("kurt", 7).alias("kurt"))
+    return _replicates(t).select("site", "trait", "replicate", r("mean").alias("mean"), r("var", 6).alias("var"), r("skew", 7).alias("skew"), r("kurt", 7).alias("kurt"))
 
 
 @case("q_boot_moments", "WITH" + BOOT_SQL + """
 SELECT site, trait, round(avg(mean), 5) + 0.0 AS mean, round(avg(mean) - stddev_samp(mean), 5) + 0.0 AS ci_low_mean,
-  round(avg(mean) + stddev_samp(mean), 5) + 0.0 AS ci_high_mean, round(avg(var), 3) + 0.0 AS var, round(avg(skew), 6) + 0.0 AS skew, round(avg(kurt), 6) + 0.0 AS kurt
+  round(avg(mean) + stddev_samp(mean), 5) + 0.0 AS ci_high_mean, round(avg(var), 5) + 0.0 AS var, round(avg(skew), 6) + 0.0 AS skew, round(avg(kurt), 6) + 0.0 AS kurt
 FROM mo GROUP BY 1, 2""")
 def boot_moments(t):
     out = bootstrap.summarise_moments(_replicates(t), ["site", "trait"])
-    return out.select("site", "trait", *[r(c, 5).alias(c) for c in ("mean", "ci_low_mean", "ci_high_mean")], r("var", 3).alias("var"),
+    return out.select("site", "trait", *[r(c, 5).alias(c) for c in ("mean", "ci_low_mean", "ci_high_mean")], r("var", 5).alias("var"),
                       r("skew").alias("skew"), r("kurt").alias("kurt"))
 
 

@@ -73,7 +73,7 @@ def bootstrap_draws(filled: DataFrame, traits: DataFrame, groups: Sequence[str],
     for level in range(len(hierarchy) + 1):
         at = [*hierarchy[:level], taxon, trait]
         spread = known.withColumn("__h", F.pmod(hash32(*[F.col(c) for c in trait_id]), F.lit(chunks)))
-        numbered = row_index(spread, ["__h", *trait_id], F.col("__h"), at, "__number")
+        numbered = row_index(spread, ["__h", *trait_id], at, "__number", F.col("__h"))
         part = null_safe_join(picked.where(F.col("level") == level),
                               numbered.select(*at, "__number", F.col(value).alias("__value")),
                               [*at, "__number"], "inner").select(*keep, F.col("__value").alias("value"))

@@ -176,7 +176,7 @@ def prepare_rounds(raw: DataFrame, first_species: str = "unID", last_species: st
     copies = repeat_rows(several, "presence", index="copy")
     # Numbering does not follow the data order, so an even hash spread serves as row order.
     numbered = copies.withColumn("__h", hash_bucket(copies, ["plotID", "seedID", "round", "copy"], chunks))
-    numbered = row_index(numbered, ["__h", "plotID", "seedID", "round", "copy"], F.col("__h"))
+    numbered = row_index(numbered, ["__h", "plotID", "seedID", "round", "copy"], chunk=F.col("__h"))
     split = cross_with(
         numbered.withColumn("seedID", paste(F.lit("s"), F.col("row_index"), F.lit("_"), F.col("plotID")))
         .drop("round", "row_index", "copy", "__h"), round=list(range(1, rounds + 1)))

@@ -5,24 +5,26 @@ the rows. Here every group is cut into chunks that follow the row order. Each ch
 partition, and a carry row hands the state at the end of a chunk to the next chunk of the group.
 The carries are one row per (group, chunk), so the only window over a whole group runs on those.
 
-A chunk is a column that never decreases along the row order: ``quantile_chunks`` of the order
-column, a calendar unit of it, or, where any order will do, an even hash of the row.
+A chunk is a number that never decreases along the row order. By default it comes from quantiles of
+the order column; where any order will do, callers pass an even hash of the row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.nulls import ColumnLike, as_col
 from .joins import null_safe_join
 
-MAX_CUTS = 256
+CUTS = 127
+SLICES = 32
 
 
-def order_number(df: DataFrame, column: str) -> Column:
-    """A number or time column as a double that keeps its order."""
+def order_number(df: DataFrame, column: str) -> Column | None:
+    """A number or time column as a double that keeps its order; None for other columns."""
     kind, c = df.schema[column].dataType.typeName(), F.col(f"`{column}`")
     if kind == "date":
         return F.unix_date(c).cast("double")
@@ -31,61 +33,60 @@ def order_number(df: DataFrame, column: str) -> Column:
     if kind == "timestamp_ntz":
         return (F.unix_date(c.cast("date")) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("double")
     if kind in ("string", "boolean", "binary"):
-        raise ValueError(f"{column} is not a number or a time")
+        return None
     return c.cast("double")
 
 
-def quantile_chunks(df: DataFrame, column: str, cuts: int = 64, slices: int = 16, tie: str | None = None) -> Column:
-    """Chunk number of an order column: quantiles of the whole table, each cut into even slices.
+def add_chunks(df: DataFrame, order: Sequence[str], chunk: Column | None = None, out: str = "__chunk") -> DataFrame:
+    """Add the chunk number for an ascending order of the given columns.
 
-    ``tie`` is the next column of the row order; a value so frequent that it fills a quantile by
-    itself is cut along it. Missing values come after all others, cut along ``tie`` as well. The
-    cut points (at most ``MAX_CUTS`` numbers) are read once and written into the plan, so all
-    branches of an operator and every task retry see the same chunks.
+    Without an expression: quantiles of the first order column over the whole table, each cut into
+    even slices. A value so frequent that it spans a quantile by itself is cut along the second
+    order column, and so are missing values, which come first. The cut points (``CUTS`` numbers)
+    are read once and written into the plan, so all branches of an operator and every retry of a
+    task see the same chunks.
     """
-    if not 1 < cuts <= MAX_CUTS:
-        raise ValueError(f"cuts must be 2 to {MAX_CUTS}")
-    shares = [i / cuts for i in range(cuts + 1)]
-    x = order_number(df, column)
-    wanted = [F.approx_percentile(x, shares, 10_000).alias("x")]
-    if tie:
-        wanted.append(F.approx_percentile(order_number(df, tie), shares, 10_000).alias("t"))
-    found = df.agg(*wanted).first()
-    points = found["x"] or [0.0]
-    distinct = sorted(set(points))
-    chunk = _locate(x, distinct, slices)
-    if not tie:
-        return chunk
-    along = _locate(order_number(df, tie), sorted(set(found["t"] or [0.0])), slices)
-    last = (MAX_CUTS + 2) * slices
+    if chunk is not None:
+        return df.withColumn(out, chunk)
+    x = order_number(df, order[0])
+    if x is None:
+        raise ValueError(f"{order[0]} is neither a number nor a time: pass a chunk")
+    tie = order_number(df, order[1]) if len(order) > 1 else None
+    probe = df.select(x.alias("x"), *([tie.alias("t")] if tie is not None else []))
+    found = probe.approxQuantile(probe.columns, [i / CUTS for i in range(CUTS + 1)], 1 / (8 * CUTS))
+    points = found[0] or [0.0]
+    work = _slice(df.withColumn("__x", x), "__x", sorted(set(points)), out)
+    if tie is None:
+        return work.withColumn(out, F.coalesce(out, F.lit(-1))).drop("__x")
     heavy = sorted({p for p in points if points.count(p) > 1})
-    split = x.isin(heavy) | x.isNull() if heavy else x.isNull()
-    group = F.when(x.isNull(), F.lit(last)).otherwise(chunk)
-    return (group * (last + 1) + F.when(split, along).otherwise(F.lit(last))).cast("bigint")
+    work = _slice(work.withColumn("__t", tie), "__t", sorted(set(found[1] or [0.0])), "__along")
+    split = F.col("__x").isNull() | (F.col("__x").isin(heavy) if heavy else F.lit(False))
+    last = (CUTS + 3) * SLICES
+    along = F.when(split, F.coalesce("__along", F.lit(-1))).otherwise(last)
+    return work.withColumn(out, F.coalesce(out, F.lit(-1)) * (last + 2) + along).drop("__x", "__t", "__along")
 
 
-def _locate(x: Column, cuts: Sequence[float], slices: int) -> Column:
-    """Interval of ``x`` among the cut points, and its slice there, as a balanced tree of tests."""
-    def leaf(i: int) -> Column:
-        if i == 0 or i == len(cuts):
-            return F.lit(i * slices)
-        lo, hi = cuts[i - 1], cuts[i]
-        part = F.floor((x - F.lit(lo)) * F.lit(slices / (hi - lo))).cast("int")
-        return F.lit(i * slices) + F.greatest(F.lit(0), F.least(F.lit(slices - 1), part))
+def _slice(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> DataFrame:
+    """Add the number of the interval between cut points, times ``SLICES``, plus the slice in it."""
+    edges = [float("-inf"), *cuts, float("inf")]
+    found = Bucketizer(splits=edges, inputCol=column, outputCol="__b", handleInvalid="keep").transform(df)
+    bucket = F.col("__b").cast("int")
+    # Start and inverse width of every interval; the open ones at both ends are not sliced.
+    starts = [0.0, *cuts]
+    scales = [0.0, *[SLICES / (hi - lo) for lo, hi in zip(cuts, cuts[1:])], 0.0]
+    lo, scale = F.get(_doubles(starts), bucket), F.get(_doubles(scales), bucket)
+    part = F.least(F.lit(SLICES - 1), F.floor((F.col(column) - lo) * scale)).cast("int")
+    return found.withColumn(out, bucket * SLICES + F.coalesce(part, F.lit(0))).drop("__b")
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return leaf(lo)
-        mid = (lo + hi) // 2
-        return F.when(x < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(cuts))
+def _doubles(values: Sequence[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"{v!r}D" for v in values) + ")")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], measures: dict[str, ColumnLike],
-                chunk: Column) -> DataFrame:
+                chunk: Column | None = None) -> DataFrame:
     """Add running sums ``{new: measure}`` per group, in the given total order."""
-    work = df.withColumns({f"__m_{n}": as_col(c) for n, c in measures.items()}).withColumn("__chunk", chunk)
+    work = add_chunks(df.withColumns({f"__m_{n}": as_col(c) for n, c in measures.items()}), order, chunk)
     names = list(measures)
     totals = work.groupBy(*keys, "__chunk").agg(*[F.sum(f"__m_{n}").alias(f"__m_{n}") for n in names])
     by_chunk = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -98,8 +99,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], measur
     return out.where("__row = 1").select(*df.columns, *names)
 
 
-def row_index(df: DataFrame, order: Sequence[str], chunk: Column, keys: Sequence[str] = (),
-              out: str = "row_index") -> DataFrame:
+def row_index(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), out: str = "row_index",
+              chunk: Column | None = None) -> DataFrame:
     """Row number (from 1) in a total order, over the whole table or per group."""
     if keys:
         return running_sum(df, keys, order, {out: F.lit(1).cast("long")}, chunk)
@@ -109,19 +110,21 @@ def row_index(df: DataFrame, order: Sequence[str], chunk: Column, keys: Sequence
 
 def sort_position(df: DataFrame, column: str, tie: str, out: str = "position") -> DataFrame:
     """Position of each row in ascending order, missing values last, ties by a unique column."""
-    chunk = quantile_chunks(df, column, tie=tie)
-    return row_index(df, [column, tie], chunk, out=out)
+    # Known values first: a flag in front of the order, and a chunk of its own per flag.
+    flagged = add_chunks(df.withColumn("__missing", F.col(column).isNull().cast("int")), [column, tie], out="__c")
+    chunk = F.col("__c") + F.col("__missing") * F.lit(1 << 40)
+    return row_index(flagged, ["__missing", column, tie], out=out, chunk=chunk).drop("__missing", "__c")
 
 
 def rank_table(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """Position of each row of a table with one row per level."""
-    return row_index(df, order, F.lit(0), out=out)
+    return row_index(df, order, out=out, chunk=F.lit(0))
 
 
 def lag_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str],
-                 chunk: Column) -> DataFrame:
+                 chunk: Column | None = None) -> DataFrame:
     """Add the values ``{new: column}`` of the row before, per group in the given total order."""
-    work = df.withColumn("__chunk", chunk)
+    work = add_chunks(df, order, chunk)
     state = F.struct(*[F.col(c).alias(f"__c_{n}") for n, c in columns.items()])
     ends = work.groupBy(*keys, "__chunk").agg(
         F.max_by(state, F.struct(*order)).alias("__state"))
@@ -174,10 +177,9 @@ def value_counts_cumulative(df: DataFrame, keys: Sequence[str], value: str) -> D
     """
     present = df.where(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    chunk = quantile_chunks(present, value)
     grouped = list(keys) or ["__all"]
     counts = counts if keys else counts.withColumn("__all", F.lit(0))
-    out = running_sum(counts, grouped, [value], {"n_upto": F.col("n")}, chunk)
+    out = running_sum(counts, grouped, [value], {"n_upto": F.col("n")})
     return out.drop("__all").withColumn("n_below", F.col("n_upto") - F.col("n"))
 
 
