@@ -124,7 +124,7 @@ def presence_recode(t):
 @case("q_presence_number", """
 WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'NF' WHEN 'P' THEN '1?' ELSE
   CASE WHEN o_totalprice > 100000 THEN (o_orderkey % 30)::VARCHAR END END AS v FROM orders)
-SELECT o_orderkey, CASE WHEN v = 'NF' OR v IS NULL THEN 0.0 WHEN v = '1?' THEN 1.0 ELSE v::DOUBLE END AS presence FROM o""")
+SELECT o_orderkey, CASE WHEN v = 'NF' OR v IS NULL THEN 0.0 WHEN v = '1?' THEN 1.0 ELSE try_cast(v AS DOUBLE) END AS presence FROM o""")
 def presence_number(t):
     note = F.when(F.col("o_orderstatus") == "F", "NF").when(F.col("o_orderstatus") == "P", "1?").when(
         F.col("o_totalprice") > 100000, (F.col("o_orderkey") % 30).cast("string"))

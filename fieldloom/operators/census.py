@@ -17,6 +17,7 @@ from ..functions.lookups import (CONTROL_TURFS, GRAMINOID_CODES, GRAMINOID_PATTE
 from ..functions.nulls import (ColumnLike, any_missing, as_col, first_present, if_else, is_in, matches,
                                not_in, paste, row_sum, to_number)
 from ..functions.text import replace_all, replace_first, strip, substr
+from ..session import cut_lineage
 from .aggregate import bind_rows, keep_groups
 from .columns import cols_between
 from .joins import lookup_join, natural_join, null_safe_join
@@ -28,22 +29,56 @@ SIX_CENSUSES = ("aut_09", "spr_10", "aut_10", "spr_11", "aut_11", "spr_12")
 
 
 # --- histories ---------------------------------------------------------------------------
+#
+# The repairs look at neighbouring censuses. Written column by column, every step would repeat the
+# steps before it and the plan would grow exponentially, so a history is held as one text with a
+# character per census, and a repair is one pattern.
+
+
+def history_text(censuses: Sequence[str], counts: bool = False) -> Column:
+    """A character per census: the code, or with ``counts`` 1 for present and 0 for absent.
+
+    ``-`` stands for a missing census, ``x`` for a count that is neither 0 nor 1.
+    """
+    def mark(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        if counts:
+            return F.when(c == 1, "1").when(c == 0, "0").when(c.isNotNull(), "x").otherwise("-")
+        return F.coalesce(F.substring(c, 1, 1), F.lit("-"))
+
+    return F.concat(*[mark(c) for c in censuses])
+
+
+def resurrect_text(text: ColumnLike, missing: str = "0", seen: str = "S", later: str = "TD") -> Column:
+    """A missing census right before a lost or dead code becomes seen; the first one stays.
+
+    A repaired census is neither missing nor lost, so no repair depends on another one.
+    """
+    return F.regexp_replace(as_col(text), f"(?<=.){missing}(?=[{later}])", seen)
+
+
+def gap_fill_text(text: ColumnLike, two_gap: bool = True) -> Column:
+    """Fill an absence between two presences: first 1 0 any 1, then 1 0 1.
+
+    Filling from left to right gives the same: a census that needs its filled predecessor has a
+    presence right after it, so the second pattern fills it.
+    """
+    filled = F.regexp_replace(as_col(text), "(?<=1)0(?=.1)", "1") if two_gap else as_col(text)
+    return F.regexp_replace(filled, "(?<=1)0(?=1)", "1")
+
+
+def first_seen(text: ColumnLike, labels: Sequence[str]) -> Column:
+    """Label of the first presence when every census before it is an absence, else missing."""
+    lead = F.regexp_extract(as_col(text), "^(0*)[1x]", 0)
+    return F.get(F.array(*[F.lit(lb) for lb in labels]), F.when(lead != "", F.length(lead) - 1))
 
 
 def first_occurrence(censuses: Sequence[str], labels: Sequence[str] | None = None) -> Column:
-    """Label of the first census with presence when every census before was empty.
+    """Label of the first census with a count when every census before was zero.
 
-    A missing presence before the first seen one leaves the result missing.
+    A missing count before the first one leaves the result missing.
     """
-    labels = list(labels or censuses)
-    result = None
-    for i, (c, label) in enumerate(zip(censuses, labels)):
-        hit = F.col(f"`{c}`") > 0
-        for earlier in censuses[:i]:
-            hit = hit & (F.col(f"`{earlier}`") == 0)
-        result = F.when(hit, F.lit(label)) if result is None else F.coalesce(
-            F.when(hit, F.lit(label)), result)
-    return result
+    return first_seen(history_text(censuses, counts=True), list(labels or censuses))
 
 
 def first_occurrence_long(df: DataFrame, keys: Sequence[str], census: str, present: ColumnLike) -> DataFrame:
@@ -54,34 +89,18 @@ def first_occurrence_long(df: DataFrame, keys: Sequence[str], census: str, prese
 
 
 def resurrect(df: DataFrame, censuses: Sequence[str], missing: str = "0", seen: str = "S",
-              later: Sequence[str] = ("T", "D")) -> DataFrame:
-    """A missing census right before a lost or dead code becomes seen, from the latest backwards.
-
-    The first census is left as it is. Each step sees the steps before it.
-    """
-    for i in range(len(censuses) - 2, 0, -1):
-        now, after = F.col(f"`{censuses[i]}`"), F.col(f"`{censuses[i + 1]}`")
-        df = df.withColumn(censuses[i], F.when((now == missing) & is_in(after, later), F.lit(seen)).otherwise(now))
-    return df
+              later: str = "TD") -> DataFrame:
+    """``resurrect_text`` on a column of one-letter codes per census."""
+    work = df.withColumn("__h", resurrect_text(history_text(censuses), missing, seen, later))
+    return work.withColumns({c: F.when(F.col(f"`{c}`").isNotNull(), F.substring("__h", i, 1))
+                             for i, c in enumerate(censuses, start=1)}).drop("__h")
 
 
 def gap_fill(df: DataFrame, censuses: Sequence[str], two_gap: bool = True) -> DataFrame:
-    """Fill an absence between two presences, left to right, each step seeing the ones before.
-
-    Present, absent, any, present first (when ``two_gap``), then present, absent, present.
-    """
-    def fill(df, before, at, after):
-        a, b, c = (F.col(f"`{x}`") for x in (before, at, after))
-        return df.withColumn(at, F.when((a == 1) & (b == 0) & (c == 1),
-                                        F.lit(1).cast(df.schema[at].dataType)).otherwise(b))
-
-    n = len(censuses)
-    if two_gap:
-        for i in range(1, n - 2):
-            df = fill(df, censuses[i - 1], censuses[i], censuses[i + 2])
-    for i in range(1, n - 1):
-        df = fill(df, censuses[i - 1], censuses[i], censuses[i + 1])
-    return df
+    """``gap_fill_text`` on a column of counts per census; other counts than 0 and 1 stay."""
+    work = df.withColumn("__h", gap_fill_text(history_text(censuses, counts=True), two_gap))
+    return work.withColumns({c: F.when(F.substring("__h", i, 1) == "1", F.lit(1).cast(df.schema[c].dataType))
+                             .otherwise(F.col(f"`{c}`")) for i, c in enumerate(censuses, start=1)}).drop("__h")
 
 
 def presence_code(c: ColumnLike) -> Column:
@@ -136,19 +155,20 @@ def species_of_indicators(df: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def prepare_rounds(raw: DataFrame, first_species: str = "unID", last_species: str = "Viola",
-                   expand_round: int = 4, rounds: int = 4, chunks: int = 1024) -> DataFrame:
+                   identity: Sequence[str] | None = None, expand_round: int = 4, rounds: int = 4, chunks: int = 1024) -> DataFrame:
     """Wide numbered-census records to tidy rows, one per seedling and round.
 
     Cleans site names, drops rows that are not seedlings, gives missing ids, reads species
     indicators, splits rows that stand for several seedlings into one seedling each (seen in
-    ``expand_round``), drops plots without any seedling and adds the turf label.
+    ``expand_round``), drops plots without any seedling and adds the turf label. ``identity`` names
+    the columns that tell rows without an id apart (default: all of them).
     """
     spark = raw.sparkSession
     presences = [f"presence{i}" for i in range(1, rounds + 1)]
     kept = raw.withColumn("site", recode("site", SITE_SPELLINGS)).where(
         F.col("NS").isNull() & not_in("Comment", ["out of plot"])
         & F.coalesce(*[F.col(p).cast("string") for p in presences]).isNotNull())
-    kept = fill_ids(kept, "seedID", [c for c in kept.columns if c != "seedID"])
+    kept = fill_ids(kept, "seedID", identity or [c for c in kept.columns if c != "seedID"])
     species = cols_between(raw, first_species, last_species)
     one = kept.select(
         *[F.col(f"`{c}`") for c in kept.columns if c not in species],
@@ -170,6 +190,7 @@ def prepare_rounds(raw: DataFrame, first_species: str = "unID", last_species: st
         F.col("Obs").alias("recorder"), F.col("Comment").alias("comment"))
     tidy = keep_groups(tidy, ["plotID"], ~F.coalesce(
         F.when(~any_missing("presence"), F.sum("presence")) < 1, F.lit(True)))
+    tidy = cut_lineage(tidy)  # read three times below
 
     several = tidy.where(F.col("presence") > 1)
     named = [c for c in tidy.columns if c != "presence"]
@@ -210,6 +231,7 @@ def clean_rounds(data: DataFrame, community: DataFrame) -> DataFrame:
     Plots without seedlings have no seedling to describe and drop out with the missing first
     occurrence, as do seedlings never seen.
     """
+    data = cut_lineage(data)  # read three times below
     frame = plot_round_frame(community)
     everything = natural_join(data, frame, "outer").withColumn(
         "presence", F.coalesce("presence", F.lit(0.0)))
@@ -273,14 +295,13 @@ def clean_coded(raw: DataFrame, id_column: str = "ID") -> DataFrame:
     ids = ["siteID", "blockID", "plotID", "treatment", "ID", "species"]
     coded = placed.select(*ids, *[
         F.coalesce(presence_code(c), F.lit("0")).alias(c) for c in SIX_CENSUSES]).distinct()
-    repaired = resurrect(coded, SIX_CENSUSES)
-    numbers = repaired.withColumns({c: (F.col(c) == "S").cast("double") for c in SIX_CENSUSES})
-    filled = gap_fill(numbers, SIX_CENSUSES)
-    found = filled.withColumns({
-        "first_occurrence": first_occurrence(SIX_CENSUSES),
+    codes = resurrect_text(history_text(SIX_CENSUSES))
+    seen = gap_fill_text(F.translate(F.regexp_replace(codes, "[^S]", "0"), "S", "1"))
+    found = coded.withColumn("__h", seen).where(F.col("__h").contains("1")).withColumns({
+        "first_occurrence": first_seen("__h", SIX_CENSUSES),
         "count": F.lit(1.0),
-        "survival_duration": row_sum(SIX_CENSUSES),
-    }).where(F.col("first_occurrence").isNotNull())
+        "survival_duration": F.length(F.replace("__h", F.lit("0"), F.lit(""))).cast("double"),
+    })
     season = F.when(F.col("first_occurrence").startswith("aut"), "late").otherwise("early")
     return found.withColumns({"year": year_of_code("first_occurrence"), "season": season}).withColumn(
         "date", F.make_date("year", F.when(F.col("season") == "late", 9).otherwise(7), F.lit(1))

@@ -12,6 +12,7 @@ from ..functions.lookups import (PRECIPITATION_LEVEL_SITES, REMAINING_GROUPS, TE
                                  level_order, lookup, recode)
 from ..functions.nulls import is_in, not_in, sum_strict, weighted_mean
 from ..functions.text import replace_first
+from ..session import cut_lineage
 from .aggregate import drop_duplicates_missing, drop_known_bad, first_within
 from .columns import cols_between, rename
 from .joins import fill_from_group, map_keys, natural_join, null_safe_join, with_group_stats
@@ -107,19 +108,25 @@ def clean_community(raw: DataFrame, normals: DataFrame, key_map: DataFrame | Non
     rows = drop_known_bad(rows, (F.col("plotID") == "Alr3C") & F.col("turfID").isNull())
     if key_map is not None:
         rows = map_keys(rows, key_map, ["plotID", "blockID"])
-    return impute_moss_height(add_site_context(rows, normals).drop("sumcover"))
+    return impute_moss_height(cut_lineage(add_site_context(rows, normals).drop("sumcover")))
 
 
 def impute_moss_height(rows: DataFrame) -> DataFrame:
     """Missing moss height from the mean of the control plot, then of the site and year.
 
-    ``imputed_height`` says whether the height equals the site-year mean; missing when unknown.
+    Heights belong to plots, so they are filled on the distinct plot rows and joined back to the
+    species rows once. ``imputed_height`` says whether the height equals the site-year mean;
+    missing when unknown.
     """
-    plot_cols = [*cols_between(rows, "year", "fg_removed"), "fg_remaining", "vegetation_height", *COVER_TOTALS]
+    names = [*cols_between(rows, "year", "fg_removed"), "fg_remaining", "vegetation_height", *COVER_TOTALS]
+    plots = cut_lineage(rows.select(*names, "moss_height").distinct().withColumn("__was", F.col("moss_height")))
     control = F.col("fg_removed") == "C"
-    once = fill_from_group(rows, "moss_height", ["plotID"], plot_cols, where=control, apply_to=control)
-    twice = fill_from_group(once, "moss_height", ["siteID", "year"], plot_cols, mean_column="__site")
-    return twice.withColumn("imputed_height", F.col("moss_height") == F.col("__site")).drop("__site")
+    once = fill_from_group(plots, "moss_height", ["plotID"], names, where=control, apply_to=control)
+    twice = fill_from_group(once, "moss_height", ["siteID", "year"], names, mean_column="__site")
+    filled = twice.select(*names, F.col("__was").alias("moss_height"), F.col("moss_height").alias("__new"),
+                          (F.col("moss_height") == F.col("__site")).alias("imputed_height"))
+    out = null_safe_join(rows, filled, [*names, "moss_height"], "left")
+    return out.withColumn("moss_height", F.col("__new")).drop("__new")
 
 
 def impute_totals(rows: DataFrame) -> DataFrame:

@@ -17,11 +17,12 @@ from ..operators.columns import rename, zscore
 from ..operators.community import add_site_context, clean_community, impute_totals
 from ..operators.joins import map_keys, natural_join, null_safe_join, with_group_stats
 from ..operators.ordered import first_value, last_value
+from ..session import cut_lineage
 
 
 def community(raw: DataFrame, normals: DataFrame, key_map: DataFrame | None = None) -> DataFrame:
     """Cleaned species cover with imputed moss heights and totals."""
-    return impute_totals(clean_community(raw, normals, key_map))
+    return impute_totals(cut_lineage(clean_community(raw, normals, key_map)))
 
 
 def rounds_recruits(raw: DataFrame, normals: DataFrame, community_rows: DataFrame,
@@ -49,9 +50,9 @@ def combined_recruits(coded: DataFrame, rounds: DataFrame, drought: DataFrame,
     A missing month is July in early seasons and otherwise the first, then the last known month of
     the site, season and year, in the given order.
     """
-    rows = natural_join(coded, rounds, "outer")
+    rows = cut_lineage(natural_join(coded, rounds, "outer"))
     rows = with_group_stats(rows, ["siteID", "blockID", "plotID", "season", "year"], {"plot_count": F.sum("count")})
-    rows = rows.withColumn("count", F.col("plot_count")).drop("plot_count")
+    rows = cut_lineage(rows.withColumn("count", F.col("plot_count")).drop("plot_count"))
     rows = fill_month(rows, ["siteID", "season", "year"], order)
     climate = drought.drop("season", "date")
     return rename(null_safe_join(rows.drop("date"), climate, ["siteID", "year", "month"], "left"),
