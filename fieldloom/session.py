@@ -1,8 +1,9 @@
-"""Session defaults for local runs, and the checkpoint folder of the cluster."""
+"""Session defaults for local runs, and intermediate tables in the shared folder of the cluster."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,20 +32,26 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables.
 
-    The folder the cluster names is used as it is; one is made only on a local master,
-    where a machine-local folder is visible to every task.
+    One is made only on a local master, where a machine-local folder is visible to every task.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="fieldloom-checkpoint-")
+        folder = tempfile.mkdtemp(prefix="fieldloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and continue from there.
+
+    For results that several later steps read. A written table is computed once, survives the loss
+    of executors, keeps column pruning and filter pushdown, and has a known size for the planner.
+    """
+    path = f"{shared_folder(df.sparkSession)}/fieldloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
