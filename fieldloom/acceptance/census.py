@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lookups import ROMAN_BLOCKS, lookup
-from ..functions.nulls import first_present, sum_strict
-from ..operators import aggregate as agg, census, joins, reshape, survival
+from ..functions.nulls import sum_strict
+from ..operators import census, joins, reshape, survival
 from ..plans import datasets
 from .registry import big, case, day_text, r
 

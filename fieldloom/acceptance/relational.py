@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, nulls, text
-from ..functions.lookups import level_order, lookup, recode
+from ..functions.lookups import lookup, recode
 from ..operators import aggregate as agg, audit, columns as cols, joins, ordered, reshape
+from ..session import cut_lineage
 from .registry import big, case, day_text, r
 
 PRIORITY_CODES = {"1-URGENT": "U", "2-HIGH": "H", "3-MEDIUM": "M"}
@@ -172,7 +173,7 @@ FROM frame f LEFT JOIN c USING (user_id, event_type, d)""")
 def cross_complete(t):
     counts = t.events.where("value > 50").groupBy("user_id", "event_type", F.to_date("ts").alias("d")).agg(
         F.count(F.lit(1)).alias("n"))
-    full = reshape.complete(counts, ["user_id", "event_type", "d"], fill={"n": 0})
+    full = reshape.complete(cut_lineage(counts), ["user_id", "event_type", "d"], fill={"n": 0})
     return reshape.cross_with(full, part=["early", "late"]).select(
         "user_id", "event_type", day_text("d").alias("day"), "part", "n")
 
@@ -185,6 +186,7 @@ frame AS (SELECT user_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE
 SELECT f.user_id, strftime(f.d, '%Y-%m-%d') AS day, coalesce(n, 0)::BIGINT AS n FROM frame f LEFT JOIN e USING (user_id, d)""")
 def date_frame(t):
     counts = t.events.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)
     frame = reshape.date_frame(counts, ["user_id"], "d")
     return joins.null_safe_join(frame, counts, ["user_id", "d"], "left").select(
         "user_id", day_text("d").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -424,7 +426,7 @@ SELECT n_name, r_name, round(avg(price), 4) + 0.0 AS mean_yearly, sum(n)::BIGINT
 FROM y GROUP BY 1, 2""")
 def two_stage_mean(t):
     sites = joins.null_safe_join(t.nation, t.region, {"n_regionkey": "r_regionkey"}, "inner")
-    dated = t.orders.where(F.year("o_orderdate").between(1996, 2000))
+    dated = t.orders.where(dates.within_years("o_orderdate", 1996, 2000))
     # Lines are summed per order before any join, so only one row per order is shuffled onwards.
     per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("price"), F.count(F.lit(1)).alias("n"))
     rows = per_order.join(dated.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year")),

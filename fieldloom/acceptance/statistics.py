@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lookups import lookup
 from ..operators import bootstrap, columns as cols, community, joins, models, ordered, reshape, stats
+from ..session import cut_lineage
 from .registry import big, case, r
 
 # --- scaling and least squares ---------------------------------------------------------------
@@ -237,10 +239,9 @@ ep AS (SELECT draw, gap, spei, exp(b0 + b1 * gap + b2 * spei + b3 * spei * spei
 
 
 def _draws(t):
-    from ..functions.lookups import lookup
     named = t.orders.withColumn("term", lookup("o_orderpriority", DRAW_NAMES))
     values = named.groupBy(F.col("o_custkey").alias("draw"), "term").agg((F.min("o_totalprice") / 400000).alias("value"))
-    return reshape.complete(values, ["draw", "term"], fill={"value": 0.0})
+    return reshape.complete(cut_lineage(values), ["draw", "term"], fill={"value": 0.0})
 
 
 def _epred(t):

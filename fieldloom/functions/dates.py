@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, functions as F
 
 from .nulls import ColumnLike, as_col
@@ -12,6 +14,11 @@ def month_key(c: ColumnLike) -> Column:
     return F.date_format(as_col(c), "yyyy-MM")
 
 
+def within_years(c: ColumnLike, first: int, last: int) -> Column:
+    """In the years ``first`` to ``last``, as a range of the column that reaches the file scan."""
+    return (as_col(c) >= F.lit(date(first, 1, 1))) & (as_col(c) < F.lit(date(last + 1, 1, 1)))
+
+
 def month_start(year: ColumnLike, month: ColumnLike) -> Column:
     """First day of a month given as two numbers."""
     return F.make_date(as_col(year).cast("int"), as_col(month).cast("int"), F.lit(1))

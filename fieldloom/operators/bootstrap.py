@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nulls import paste
 from ..functions.uniform import hash32, uniform
+from ..session import cut_lineage
 from .joins import null_safe_join
 from .ordered import row_index, running_sum
 from .stats import moments
@@ -62,11 +63,12 @@ def bootstrap_draws(filled: DataFrame, traits: DataFrame, groups: Sequence[str],
     trait values of the scale chosen for that row. ``row_id`` and ``trait_id`` identify a cover row
     and a trait value; they fix the order, so a repeated task gives the same draws.
     """
+    traits = cut_lineage(traits)
     picked = weighted_pick(filled, groups, row_id, weight, [*hierarchy, taxon, trait, "level", "n_sample"],
                            n_rep, sample_size, seed, chunks)
     label = paste(*[F.col(g) for g in groups], sep="|")
     number = F.floor(uniform(F.lit(seed + 1), label, F.col("replicate"), F.col("draw")) * F.col("n_sample")) + 1
-    picked = picked.withColumn("__number", number)
+    picked = cut_lineage(picked.withColumn("__number", number))
     known = traits.where(F.col(value).isNotNull())
     keep = [*groups, "replicate", "draw"]
     parts = None
@@ -93,7 +95,7 @@ def weighted_pick(rows: DataFrame, groups: Sequence[str], row_id: Sequence[str],
     cells = n_rep * sample_size
     kept = [c for c in dict.fromkeys(keep) if c not in groups]
     ids = [c for c in row_id if c not in groups and c not in kept]
-    work = rows.select(*groups, *kept, *ids, F.col(weight).cast(WEIGHT_TYPE).alias("__w")).where("__w > 0")
+    work = cut_lineage(rows.select(*groups, *kept, *ids, F.col(weight).cast(WEIGHT_TYPE).alias("__w")).where("__w > 0"))
     spread = work.withColumn("__h", F.pmod(hash32(*[F.col(c) for c in row_id]), F.lit(chunks)))
     order = ["__h", *[c for c in row_id if c not in groups]]
     line = running_sum(spread, groups, order, {"__end": F.col("__w")}, F.col("__h"))

@@ -11,11 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.dates import mid_month_day_of_year, month_start, season_of_month
+from ..functions.dates import mid_month_day_of_year, month_start, season_of_month, within_years
 from ..functions.lookups import SITE_SPELLINGS_OF_FILES, recode
 from ..functions.nulls import (ColumnLike, as_col, if_else, mean_skip, mean_strict, sum_skip,
                                sum_strict)
 from ..functions.text import before_first
+from ..session import cut_lineage
 from .joins import natural_join, null_safe_join
 from .reshape import complete
 
@@ -62,7 +63,7 @@ def fill_from_zone(df: DataFrame, sites: DataFrame, site: str, zone: str, value:
 
     ``strict`` makes the zone mean missing as soon as one site misses it, so nothing is filled.
     """
-    full = complete(df, [site, *MONTH])
+    full = complete(cut_lineage(df), [site, *MONTH])
     zoned = null_safe_join(full, sites.select(site, zone), [site], "left")
     mean = mean_strict(value) if strict else mean_skip(value)
     means = zoned.groupBy(zone, *MONTH).agg(mean.alias("__zone_mean"))
@@ -80,7 +81,7 @@ def monthly_temperature(readings: DataFrame, sites: DataFrame, preferred: str =
     monthly = monthly_extremes(used, ["siteID", "logger"], "date", "value")
     one = prefer_sensor(monthly, ["siteID", *MONTH], "logger", preferred, fallback,
                         ["temp_max", "temp_min", "temp_mean"])
-    full = complete(one, ["siteID", *MONTH])
+    full = complete(cut_lineage(one), ["siteID", *MONTH])
     zoned = null_safe_join(full, sites.select("siteID", "Biogeographic_zone"), ["siteID"], "left")
     mean = mean_strict if strict else mean_skip
     values = ["temp_min", "temp_mean", "temp_max"]
@@ -272,7 +273,7 @@ def site_normals(daily: DataFrame, first_year: int = 2008, last_year: int = 2019
     missing), then their mean.
     """
     used = daily.where(F.col("variable").isin("temperature", "precipitation")
-                       & F.year("date").between(first_year, last_year))
+                       & within_years("date", first_year, last_year))
     days = used.groupBy("siteID", "date").agg(
         F.max(F.when(F.col("variable") == "precipitation", F.col("value"))).alias("p"),
         F.max(F.when(F.col("variable") == "temperature", F.col("value"))).alias("t"))
@@ -298,12 +299,13 @@ def drought_table(precipitation: DataFrame, readings: DataFrame, sites: DataFram
     ``sites``: siteID, Biogeographic_zone, Latitude; ``moisture``: date, siteID, value, flag, file.
     """
     temperature = monthly_temperature(readings, sites)
-    rain = monthly_total(precipitation, "siteID", "date", "value", "precip_sum")
+    rain = monthly_total(precipitation.where(within_years("date", first_year, last_year)),
+                         "siteID", "date", "value", "precip_sum")
     located = null_safe_join(temperature, sites.select("siteID", "Latitude"), ["siteID"], "left")
     in_span = F.col("year").between(first_year, last_year)
     pet = located.where(in_span).withColumn(
         "pet", hargreaves("temp_min", "temp_max", "Latitude", "year", "month")).select("siteID", *MONTH, "pet")
-    balance = water_balance(rain.where(in_span), pet)
+    balance = water_balance(rain, pet)
     both = drought_index(drought_index(balance, scale=1), scale=3, out="spei_seasonal")
     dated = both.drop("balance").withColumn("date", month_start("year", "month")).withColumn(
         "season", season_of_month("month"))

@@ -18,13 +18,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str] | Mapp
                    how: str = "left", suffix: tuple[str, str] = ("", "_right")) -> DataFrame:
     """Equi-join on ``keys`` (names, or ``{left: right}``), one key column in the result.
 
-    Columns that both sides have besides the keys get the suffixes.
+    Columns that both sides have besides the keys get the suffixes. A full join is put together
+    from a left join and the right rows without a match: unlike a full join, those let Spark
+    broadcast a small right side and split a key that holds a large share of the rows.
     """
     if how not in SIDES:
         raise ValueError(f"how must be one of {SIDES}")
     pairs = dict(keys) if isinstance(keys, Mapping) else {k: k for k in keys}
     if not pairs:
         raise ValueError("a join needs at least one key")
+    if how == "outer":
+        return _full_join(left, right, pairs, suffix)
     right_keys = set(pairs.values())
     right_in = right.select(*[F.col(f"`{c}`").alias(f"__r_{c}") for c in right.columns])
     condition = reduce(lambda a, b: a & b,
@@ -48,12 +52,20 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str] | Mapp
 
 
 def _key(left: str, right: str, how: str) -> Column:
-    a, b = F.col(f"`{left}`"), F.col(f"`__r_{right}`")
-    if how == "right":
-        return b
-    if how == "outer":
-        return F.coalesce(a, b)
-    return a
+    return F.col(f"`__r_{right}`") if how == "right" else F.col(f"`{left}`")
+
+
+def _full_join(left: DataFrame, right: DataFrame, pairs: Mapping[str, str], suffix: tuple[str, str]) -> DataFrame:
+    matched = null_safe_join(left, right, pairs, "left", suffix)
+    known = left.select(*[F.col(f"`{a}`").alias(b) for a, b in pairs.items()]).distinct()
+    unmatched = null_safe_join(right, known, list(pairs.values()), "left_anti")
+    names = {}
+    for c in right.columns:
+        back = {b: a for a, b in pairs.items()}
+        clash = c not in back and c in left.columns and c not in pairs
+        names[c] = back.get(c, c + suffix[1] if clash else c)
+    renamed = unmatched.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return matched.unionByName(renamed, allowMissingColumns=True)
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.nulls import ColumnLike, as_col
 from .joins import null_safe_join
 from .ordered import ecdf, exact_quantiles
+from .reshape import MAX_LEVELS
 from .stats import binned_density
 
 # Probability masses of the intervals drawn around posterior medians.
@@ -176,7 +177,10 @@ def epred_draws(draws: DataFrame, points: DataFrame, terms: Mapping[str, Sequenc
     wide = draws.groupBy(draw).agg(*[F.max(F.when(F.col("term") == t, F.col("value"))).alias(f"__b{i}")
                                      for i, t in enumerate(names)])
     work = design(points, {f"__x{i}": f for i, f in enumerate(terms.values(), start=1)})
-    packed = work.agg(F.collect_list(F.struct(*work.columns))).scalar()
+    size = F.count(F.lit(1))
+    packed = work.limit(MAX_LEVELS + 1).agg(
+        F.when(size > MAX_LEVELS, F.raise_error(F.lit("the grid has too many points")))
+        .otherwise(F.collect_list(F.struct(*work.columns)))).scalar()
     rows = wide.withColumn("__p", F.explode(packed)).select(draw, *[f"__b{i}" for i in range(len(names))], "__p.*")
     eta = reduce(lambda a, b: a + b, [F.col(f"__b{i}") * F.col(f"__x{i}") for i in range(1, len(names))], F.col("__b0"))
     return rows.select(draw, *points.columns, F.exp(eta).alias("epred"))

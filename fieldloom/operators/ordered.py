@@ -17,6 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.nulls import ColumnLike, as_col
+from ..session import cut_lineage
 from .joins import null_safe_join
 
 CUTS = 127
@@ -170,28 +171,25 @@ def last_value(column: ColumnLike, order: Sequence[str], skip_missing: bool = Fa
 
 
 def value_counts_cumulative(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per group and distinct value: its count ``n`` and the counts below and up to it.
+    """Per group and distinct value: its count ``n``, the counts below and up to it, and the group size.
 
     Missing values are left out. Counting first shrinks the rows to distinct values before any
     ordering takes place.
     """
     present = df.where(F.col(value).isNotNull())
-    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
     grouped = list(keys) or ["__all"]
     counts = counts if keys else counts.withColumn("__all", F.lit(0))
     out = running_sum(counts, grouped, [value], {"n_upto": F.col("n")})
+    sizes = counts.groupBy(*grouped).agg(F.sum("n").alias("n_total"))
+    out = null_safe_join(out, sizes, grouped, "left")
     return out.drop("__all").withColumn("n_below", F.col("n_upto") - F.col("n"))
 
 
 def ecdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Empirical distribution function: one row per group and distinct value."""
     counted = value_counts_cumulative(df, keys, value)
-    sizes = counted.groupBy(*keys).agg(F.sum("n").alias("n_total"))
-    if keys:
-        joined = null_safe_join(counted, sizes, keys, "left")
-    else:
-        joined = counted.withColumn("n_total", sizes.scalar())
-    return joined.withColumn("ecdf", F.col("n_upto") / F.col("n_total")).select(
+    return counted.withColumn("ecdf", F.col("n_upto") / F.col("n_total")).select(
         *keys, value, "n", "ecdf")
 
 
@@ -204,9 +202,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     counted = value_counts_cumulative(df, keys, value)
     counted = counted if keys else counted.withColumn("__all", F.lit(0))
     by = list(keys) or ["__all"]
-    sizes = counted.groupBy(*by).agg(F.sum("n").alias("n_total"))
     points = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    rows = null_safe_join(counted, sizes, by, "left").withColumn("prob", points)
+    rows = counted.withColumn("prob", points)
     at = (F.col("n_total") - 1) * F.col("prob")
     lo, hi = F.floor(at), F.ceil(at)
     holds_lo = (F.col("n_below") <= lo) & (lo < F.col("n_upto"))

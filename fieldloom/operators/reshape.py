@@ -11,7 +11,7 @@ from ..functions.nulls import paste
 from ..functions.uniform import hash32
 from .joins import null_safe_join
 
-MAX_LEVELS = 1_000_000
+MAX_LEVELS = 100_000
 
 
 def to_long(df: DataFrame, columns: Sequence[str], names_to: str = "name",
@@ -101,7 +101,7 @@ def cross_with(df: DataFrame, **vectors: Sequence) -> DataFrame:
 
 def level_array(df: DataFrame, column: str) -> Column:
     """The sorted distinct values of a column as one array, an error when they are too many."""
-    levels = df.select(column).where(F.col(column).isNotNull()).distinct()
+    levels = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1)
     packed = levels.agg(
         F.when(F.count(F.lit(1)) > MAX_LEVELS, F.raise_error(F.lit(
             f"{column} has too many values for a level list")))

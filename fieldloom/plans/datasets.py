@@ -50,7 +50,7 @@ def combined_recruits(coded: DataFrame, rounds: DataFrame, drought: DataFrame,
     A missing month is July in early seasons and otherwise the first, then the last known month of
     the site, season and year, in the given order.
     """
-    rows = cut_lineage(natural_join(coded, rounds, "outer"))
+    rows = cut_lineage(natural_join(cut_lineage(coded), cut_lineage(rounds), "outer"))
     rows = with_group_stats(rows, ["siteID", "blockID", "plotID", "season", "year"], {"plot_count": F.sum("count")})
     rows = cut_lineage(rows.withColumn("count", F.col("plot_count")).drop("plot_count"))
     rows = fill_month(rows, ["siteID", "season", "year"], order)
