@@ -354,11 +354,11 @@ def community_rows(t):
 
 @case("q_community", "WITH" + COMMUNITY_SQL + """
 SELECT l_orderkey, l_linenumber, l_partkey, year, "siteID" AS site, "blockID" AS block, "plotID" AS plot, fg_removed, fg_remaining, species, functional_group, sum_cover, round(moss_height, 7) + 0.0 AS moss_height,
-  imputed_height, round(total_graminoids, 7) + 0.0 AS total_graminoids, round(total_forbs, 7) + 0.0 AS total_forbs, temperature_level, precipitation_level FROM comm""")
+  imputed_height::INT AS imputed_height, round(total_graminoids, 7) + 0.0 AS total_graminoids, round(total_forbs, 7) + 0.0 AS total_forbs, temperature_level, precipitation_level FROM comm""")
 def community_table(t):
     return community_rows(t).select(
         "l_orderkey", "l_linenumber", "l_partkey", "year", F.col("siteID").alias("site"), F.col("blockID").alias("block"), F.col("plotID").alias("plot"), "fg_removed", "fg_remaining",
-        "species", "functional_group", "sum_cover", r("moss_height", 7).alias("moss_height"), "imputed_height", r("total_graminoids", 7).alias("total_graminoids"),
+        "species", "functional_group", "sum_cover", r("moss_height", 7).alias("moss_height"), F.col("imputed_height").cast("int").alias("imputed_height"), r("total_graminoids", 7).alias("total_graminoids"),
         r("total_forbs", 7).alias("total_forbs"), "temperature_level", "precipitation_level")
 
 

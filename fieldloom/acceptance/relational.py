@@ -18,7 +18,7 @@ SEGMENT_LEVELS = ("HOUSEHOLD", "BUILDING", "MACHINERY")
 
 
 @case("q_filter_null_safe", """
-SELECT o_orderkey, s AS status, regexp_matches(s, '^O') AS strict_match,
+SELECT o_orderkey, s AS status, regexp_matches(s, '^O')::INT AS strict_match,
        coalesce(regexp_matches(s, '^O'), false) AS safe_match
 FROM (SELECT *, nullif(o_orderstatus, 'P') AS s FROM orders)
 WHERE (s IS NULL OR s NOT IN ('F')) AND regexp_matches(o_orderpriority, '^[12]')
@@ -28,7 +28,7 @@ def filter_null_safe(t):
     rows = t.orders.withColumn("status", status).where(
         nulls.not_in("status", ["F"]) & nulls.matches("o_orderpriority", "^[12]")
         & F.col("o_totalprice").between(50000, 300000))
-    return rows.select("o_orderkey", "status", F.col("status").rlike("^O").alias("strict_match"),
+    return rows.select("o_orderkey", "status", F.col("status").rlike("^O").cast("int").alias("strict_match"),
                        nulls.matches("status", "^O").alias("safe_match"))
 
 

@@ -207,14 +207,14 @@ def saturated_mean(t):
 
 @case("q_predictions_joined", """
 WITH s AS (SELECT o_orderpriority, count(*)::DOUBLE / count(DISTINCT o_custkey) AS p FROM orders GROUP BY 1)
-SELECT s.o_orderpriority, round(p, 6) + 0.0 AS predicted, d.o_orderstatus, d.y FROM s
-LEFT JOIN (SELECT DISTINCT o_orderpriority, o_orderstatus, year(o_orderdate)::INT AS y FROM orders) d ON s.o_orderpriority = d.o_orderpriority""")
+SELECT s.o_orderpriority, round(p, 6) + 0.0 AS predicted, d.lo, d.hi FROM s
+LEFT JOIN (SELECT o_orderpriority, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1) d ON s.o_orderpriority = d.o_orderpriority""")
 def predictions_joined(t):
     per = t.orders.groupBy("o_orderpriority", "o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n"))
     predictions = models.mean_and_interval(per, ["o_orderpriority"], "n")
-    data = t.orders.withColumn("y", F.year("o_orderdate"))
-    return models.join_predictions(predictions, data, "o_orderpriority", ["o_orderstatus", "y"]).select(
-        "o_orderpriority", r("predicted").alias("predicted"), "o_orderstatus", "y")
+    covariates = t.orders.groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    return models.join_predictions(predictions, covariates, ["o_orderpriority"]).select(
+        "o_orderpriority", r("predicted").alias("predicted"), "lo", "hi")
 
 
 # --- draws ----------------------------------------------------------------------------------------

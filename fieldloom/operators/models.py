@@ -16,7 +16,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nulls import ColumnLike, as_col
-from .joins import null_safe_join
+from ..session import cut_lineage
+from .joins import assert_unique, null_safe_join
 from .ordered import ecdf, exact_quantiles
 from .reshape import MAX_LEVELS
 from .stats import binned_density
@@ -67,6 +68,7 @@ def fit_counts(df: DataFrame, response: str, terms: Sequence[str], max_iter: int
     """Poisson regression with a log link on prepared term columns; incomplete rows are left out."""
     rows = df.select(F.col(response).cast("double").alias("__y"),
                      *[F.col(f"`{t}`").cast("double").alias(f"__t{i}") for i, t in enumerate(terms)]).na.drop()
+    rows = cut_lineage(rows)  # read by every iteration of the fit
     assembled = VectorAssembler(inputCols=[f"__t{i}" for i in range(len(terms))], outputCol="__f").transform(rows)
     fitted = GeneralizedLinearRegression(
         family="poisson", link="log", labelCol="__y", featuresCol="__f", maxIter=max_iter, tol=tol,
@@ -209,9 +211,13 @@ def predictive_density(df: DataFrame, keys: Sequence[str], value: str, lo: float
     return binned_density(df, keys, value, lo, hi, bins)
 
 
-def join_predictions(predictions: DataFrame, data: DataFrame, key: str, covariates: Sequence[str]) -> DataFrame:
-    """Predictions with the distinct covariate rows of their level (several per level)."""
-    return null_safe_join(predictions, data.select(key, *covariates).distinct(), [key], "left")
+def join_predictions(predictions: DataFrame, covariates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Predictions with the covariates of their level.
+
+    The covariates must have one row per key, else predictions and covariates would be multiplied;
+    a repeated key is an error.
+    """
+    return null_safe_join(predictions, assert_unique(covariates, keys), keys, "left")
 
 
 def squared(c: ColumnLike) -> Column:

@@ -15,6 +15,8 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
 }
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "fieldloom",
                   memory: str = "8g") -> SparkSession:
@@ -37,13 +39,15 @@ def shared_folder(spark: SparkSession) -> str:
 
     One is made only on a local master, where a machine-local folder is visible to every task.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="fieldloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="fieldloom-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 from conftest import rows
 
+from pyspark.errors import PySparkException
+
 from fieldloom.operators import bootstrap, climate, models, reshape, stats
 
 
@@ -225,3 +227,11 @@ def test_bootstrap_moments(spark):
     pdf = draws.where("replicate = 1").toPandas()
     first = reps.where("replicate = 1").first()
     assert first["var"] == pytest.approx(pdf.value.var()) and first["skew"] == pytest.approx(pdf.value.skew(), abs=0.1)
+
+
+def test_predictions_need_unique_covariates(spark):
+    predictions = spark.createDataFrame([("Gap", 1.0), ("Gap", 2.0)], "treatment string, predicted double")
+    once = spark.createDataFrame([("Gap", 0.5)], "treatment string, spei double")
+    assert models.join_predictions(predictions, once, ["treatment"]).count() == 2
+    with pytest.raises(PySparkException, match="duplicate key"):
+        models.join_predictions(predictions, once.union(once), ["treatment"]).collect()
