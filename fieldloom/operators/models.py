@@ -180,6 +180,7 @@ def epred_draws(draws: DataFrame, points: DataFrame, terms: Mapping[str, Sequenc
                                      for i, t in enumerate(names)])
     work = design(points, {f"__x{i}": f for i, f in enumerate(terms.values(), start=1)})
     size = F.count(F.lit(1))
+    # One more than allowed is read, so that too many are reported, never cut.
     packed = work.limit(MAX_LEVELS + 1).agg(
         F.when(size > MAX_LEVELS, F.raise_error(F.lit("the grid has too many points")))
         .otherwise(F.collect_list(F.struct(*work.columns)))).scalar()

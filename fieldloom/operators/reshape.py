@@ -101,6 +101,7 @@ def cross_with(df: DataFrame, **vectors: Sequence) -> DataFrame:
 
 def level_array(df: DataFrame, column: str) -> Column:
     """The sorted distinct values of a column as one array, an error when they are too many."""
+    # One more than allowed is read, so that too many are reported, never cut.
     levels = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1)
     packed = levels.agg(
         F.when(F.count(F.lit(1)) > MAX_LEVELS, F.raise_error(F.lit(
