@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytewords as B
-from .tables import keyed_texts
+from .tables import keyed_texts, ship
 
 WORD_BITS = 15
 SLOTS = 3 << WORD_BITS
@@ -26,6 +26,8 @@ GAIN = 40.0
 SCHEMA = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
           "base_failed boolean, kept boolean, p_good double")
 
+SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -91,6 +93,35 @@ def _counts(data, offsets, words):
     return n_words, chars, n_symbols, n_dup, n_repeat
 
 
+def _rate(model: QualityModel | None, texts: pa.Array, threshold: float, min_words: int, repeat_percent: int) -> list[pa.Array]:
+    """The columns of SCHEMA after the id."""
+    data, offsets = B.text_bytes(texts)
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)] + [[np.zeros(0)]]
+    for _, _, part, cuts in B.runs(data, offsets):
+        words = B.pieces(part, cuts, B.SPACE)
+        for k, v in enumerate(_counts(part, cuts, words)):
+            out[k].append(v)
+        out[5].append(np.full(len(cuts) - 1, np.nan) if model is None else model.probability(_scores(model, part, cuts, words)))
+    n_words, chars, n_symbols, n_dup, n_repeat, p = map(np.concatenate, out)
+    failed = (n_words < min_words) | (100 * n_repeat > repeat_percent * n_words)
+    kept = ~failed & (np.isnan(p) | (p >= threshold))
+    return [*map(pa.array, (n_words, chars, n_symbols, n_dup, n_repeat, failed, kept)), pa.array(p, mask=np.isnan(p))]
+
+
+def keep_good(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3, min_words: int = 50,
+              repeat_percent: int = 50) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``rate_quality`` keeps; nothing is shuffled."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(_rate(shared.value, batch.column(at).cast(pa.string()), threshold, min_words, repeat_percent)[6])
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def rate_quality(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3, min_words: int = 50,
                  repeat_percent: int = 50) -> DataFrame:
     """Counts and verdict of every document; ``kept`` needs the base rules and p_good >= threshold."""
@@ -98,22 +129,8 @@ def rate_quality(docs: DataFrame, model: QualityModel | None, threshold: float =
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = B.text_bytes(batch.column(1))
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for _, _, part, cuts in B.runs(data, offsets):
-                words = B.pieces(part, cuts, B.SPACE)
-                for k, v in enumerate(_counts(part, cuts, words)):
-                    out[k].append(v)
-                m = shared.value
-                out[5].append(np.full(len(cuts) - 1, np.nan) if m is None else m.probability(_scores(m, part, cuts, words)))
-            if not out[0]:
-                continue
-            n_words, chars, n_symbols, n_dup, n_repeat, p = map(np.concatenate, out)
-            failed = (n_words < min_words) | (100 * n_repeat > repeat_percent * n_words)
-            kept = ~failed & (np.isnan(p) | (p >= threshold))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, (n_words, chars, n_symbols, n_dup, n_repeat, failed, kept)), pa.array(p, mask=np.isnan(p))],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"])
+            arrays = _rate(shared.value, batch.column(1), threshold, min_words, repeat_percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=SCHEMA_NAMES)
 
     return keyed_texts(docs).mapInArrow(rate, SCHEMA)
 
