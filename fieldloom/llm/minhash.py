@@ -10,9 +10,10 @@ A text is lower-cased (A-Z) and cut into words ``[^\x20\x09-\x0D]+``; its set ho
 * The posting list of an element is cut into blocks; a group is one pair of blocks, at most about
   2 * BLOCK documents. Inside a group collisions are counted over all coordinates (one byte each).
   Round one emits a spanning forest of the pairs above the match threshold, never all pairs.
-  Round two skips lists whose documents are linked already and emits the remaining pairs between
-  different components, so that no link is lost.
-* Pairs are confirmed on the full sets; components come from alternating star steps.
+  Round two skips lists whose documents are linked already. In the others every remaining pair between
+  different components is confirmed inside its group, in the first list that both share, and only
+  links that join components are emitted. So no link is lost and no row stands for a pair that fails.
+* Links are confirmed on the full sets; components come from alternating star steps.
 
 Defined cases: a text without words has an empty set and stands alone; rows that repeat a doc_id are one
 document linked by any of its texts; a row without doc_id stands alone and is kept; extra columns are ignored.
@@ -127,56 +128,101 @@ def _forest(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _matcher(least: int, rest: bool):
-    """Candidate pairs of each group of rows (elem, lo, hi, block, doc_id, sign, comp) that come in group order."""
-
-    def solve(rows: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        doc, keep = np.unique(rows["doc_id"], return_index=True)
-        sign = np.frombuffer(b"".join(rows["sign"][keep]), np.uint8).reshape(len(doc), -1)
-        equal = _agreement(sign)
-        if not rest:
-            return [(min(doc[i], doc[j]), max(doc[i], doc[j])) for i, j in _forest(equal, least)]
-        comp, block = rows["comp"][keep], rows["block"][keep]
-        need = (equal >= least) & (comp[:, None] != comp[None, :])
-        if rows["lo"][0] != rows["hi"][0]:
-            need &= block[:, None] != block[None, :]
-        i, j = np.nonzero(np.triu(need, 1))
-        return list(zip(doc[i], doc[j], strict=True))
+def _shared_before(elem: int, prefixes: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the documents that share a smaller posted element too, whose list takes the pair."""
+    n = len(prefixes)
+    owner = np.repeat(np.arange(n), [len(p) for p in prefixes])
+    value = np.concatenate(prefixes)
+    early = value < elem
+    owner, (_, column) = owner[early], np.unique(value[early], return_inverse=True)
+    out = np.zeros((n, n), bool)
+    used = np.flatnonzero(np.bincount(column) > 1) if len(column) else []
+    for at in range(0, len(used), 1024):
+        place = np.full(column.max() + 1, -1)
+        place[used[at:at + 1024]] = np.arange(len(used[at:at + 1024]))
+        hit = place[column] >= 0
+        matrix = np.zeros((n, 1024), np.float32)
+        matrix[owner[hit], place[column[hit]]] = 1
+        out |= matrix @ matrix.T > 0
+    return out
+
+
+def _links(need: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the needed pairs (i < j), without those between components that are joined already."""
+    size = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(ids, np.cumsum(size)[:-1])
+    mark, comp, out = np.zeros(int(ids.max()) + 1, bool), comp.copy(), []
+    for i in np.flatnonzero(need.any(axis=1)):
+        j = np.flatnonzero(need[i] & (comp != comp[i]))
+        if not len(j):
+            continue
+        mark[own[i]] = True
+        both = np.add.reduceat(mark[np.concatenate([own[x] for x in j])], np.concatenate([[0], np.cumsum(size[j])[:-1]]), dtype=np.int64)
+        mark[own[i]] = False
+        for x in j[100 * both >= percent * (size[i] + size[j] - both)]:
+            if comp[x] != comp[i]:
+                out.append((int(i), int(x)))
+                comp[comp == comp[x]] = comp[i]
+    return out
+
+
+def _matcher(least: int, percent: int | None = None):
+    """Pairs of each group of rows that come in group order (elem, lo, hi).
+
+    Without ``percent``: a spanning forest of the pairs with ``least`` matches, to be confirmed. With it:
+    confirmed links between different components, from rows that carry prefix and shingles too.
+    """
+
+    def solve(group: pa.RecordBatch) -> list[tuple[int, int]]:
+        doc, keep = np.unique(group["doc_id"].to_numpy(), return_index=True)
+        group = group.take(pa.array(keep))
+        equal = _agreement(np.frombuffer(b"".join(group["sign"].to_pylist()), np.uint8).reshape(len(doc), -1))
+        if percent is None:
+            found = _forest(equal, least)
+        else:
+            comp, block = group["comp"].to_numpy(), group["block"].to_numpy()
+            need = np.triu((equal >= least) & (comp[:, None] != comp[None, :]), 1)
+            if group["lo"][0] != group["hi"][0]:
+                need &= block[:, None] != block[None, :]
+            if not need.any():
+                return []
+            need &= ~_shared_before(group["elem"][0].as_py(), [p.values.to_numpy() for p in group["prefix"]])
+            found = _links(need, [x.values.to_numpy() for x in group["shingles"]], comp, percent)
+        return [(min(doc[i], doc[j]), max(doc[i], doc[j])) for i, j in found]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+        held: pa.RecordBatch | None = None
         found: list[tuple[int, int]] = []
 
         def batch_of(pairs):
-            a = np.array(pairs, np.int64).reshape(-1, 2)
+            a = np.array(list(dict.fromkeys(pairs)), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            new = {n: np.array(c.to_pylist(), object) if n == "sign" else c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
             if held is not None:
-                new = {n: np.concatenate([held[n], new[n]]) for n in new}
-            key = np.stack([new["elem"], new["lo"], new["hi"]])
-            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            bounds = np.concatenate([[0], cut]) if key.shape[1] else np.zeros(0, np.int64)
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if batch.num_rows == 0:
+                continue
+            key = np.stack([batch[c].to_numpy() for c in ("elem", "lo", "hi")])
+            bounds = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1])
             size = np.diff(bounds)
-            two = bounds[:-1][size == 2]
-            if len(two):
-                left = np.frombuffer(b"".join(new["sign"][two]), np.uint8).reshape(len(two), -1)
-                right = np.frombuffer(b"".join(new["sign"][two + 1]), np.uint8).reshape(len(two), -1)
-                good = ((left == right).sum(axis=1) >= least) & (new["doc_id"][two] < new["doc_id"][two + 1])
-                if rest:
-                    good &= new["comp"][two] != new["comp"][two + 1]
-                found += zip(new["doc_id"][two[good]], new["doc_id"][two[good] + 1], strict=True)
+            two = bounds[:-1][size == 2] if percent is None else bounds[:0]
+            if len(two):  # most lists by far
+                doc = batch["doc_id"].to_numpy()
+                sign = [np.frombuffer(b"".join(batch["sign"].take(pa.array(two + k)).to_pylist()), np.uint8).reshape(len(two), -1) for k in (0, 1)]
+                good = two[((sign[0] == sign[1]).sum(axis=1) >= least) & (doc[two] < doc[two + 1])]
+                found += zip(doc[good], doc[good + 1], strict=True)
             for at, n in zip(bounds[:-1], size, strict=True):
-                if n > 2:
-                    found += solve({c: v[at:at + n] for c, v in new.items()})
-            held = {n: v[bounds[-1]:] for n, v in new.items()} if len(bounds) else None
+                if n > 2 or n == 2 and percent is not None:
+                    found += solve(batch.slice(at, n))
+            held = batch.slice(bounds[-1])
             if len(found) > 20_000:
-                yield batch_of(list(dict.fromkeys(found)))
+                yield batch_of(found)
                 found = []
-        if held is not None and len(held["elem"]) > 1:
+        if held is not None and held.num_rows > 1:
             found += solve(held)
-        yield batch_of(list(dict.fromkeys(found)))
+        yield batch_of(found)
 
     return groups
 
@@ -206,24 +252,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, posted_share: float | No
     lists = cut_lineage(lists.join(reps.select("doc_id", "sign"), "doc_id"))
     sets = cut_lineage(semi_join_ids(texts, lists.select("doc_id").distinct(), "doc_id").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"))
 
-    def candidates(rows: DataFrame, rest: bool) -> DataFrame:
-        ordered = rows.select("elem", "lo", "hi", "block", "doc_id", "sign", "comp").repartition("elem", "lo", "hi").sortWithinPartitions("elem", "lo", "hi", "doc_id")
-        return ordered.mapInArrow(_matcher(least, rest), "a bigint, b bigint").distinct()
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = F.size(F.array_intersect("left", "right"))
-        return (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
-                .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
-                .where(100 * both >= percent * (F.size("left") + F.size("right") - both))
-                .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    def matched(rows: DataFrame, percent: int | None = None) -> DataFrame:
+        ordered = rows.repartition("elem", "lo", "hi").sortWithinPartitions("elem", "lo", "hi", "doc_id")
+        return ordered.mapInArrow(_matcher(least, percent), "a bigint, b bigint").distinct()
 
-    tried = cut_lineage(candidates(lists.withColumn("comp", F.col("doc_id")), False))
-    copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
-    roots = cut_lineage(components(confirmed(tried).unionByName(copies)))
+    both = F.size(F.array_intersect("left", "right"))
+    links = (matched(lists.select("elem", "lo", "hi", "doc_id", "sign")).join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
+             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+             .where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    roots = cut_lineage(components(links.unionByName(copies)))
 
-    more = lists.where("m > 2").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
+    more = lists.where("m > 2").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root", "m")
     open_lists = more.groupBy("elem").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("elem")
-    late = cut_lineage(confirmed(candidates(more.join(open_lists, "elem", "left_semi"), True).join(tried, ["a", "b"], "left_anti")))
+    whole = sets.join(prefix.groupBy("doc_id").agg(F.collect_set("elem").alias("prefix")), "doc_id")  # at most POSTED elements a text
+    late = matched(more.join(open_lists, "elem", "left_semi").join(whole, "doc_id"), percent)
+    late = cut_lineage(late.select(F.col("a").alias("u"), F.col("b").alias("v")))
     if not late.isEmpty():
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late))
     component = F.coalesce("root", "doc_id")
