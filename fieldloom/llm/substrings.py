@@ -102,7 +102,7 @@ def _paths(k: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = 13, limit: int = BROADCAST_ROWS * 4) -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = 13, limit: int = BROADCAST_ROWS * 2) -> DataFrame:
     """(doc_id, starts, ends): word spans of each document that repeat windows of a smaller doc_id.
 
     Repeated minimizers are counted; up to ``limit`` (8 bytes each) go to the tasks as one sorted array,
@@ -113,7 +113,7 @@ def repeated_spans(docs: DataFrame, k: int = 13, limit: int = BROADCAST_ROWS * 4
     twice = cut_lineage(seeds.groupBy("seed").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("seed"))
     schema = "doc_id bigint, windows array<bigint>, places array<int>"
     if twice.count() <= limit:
-        known = np.sort(twice.toPandas()["seed"].to_numpy(np.int64))
+        known = np.sort(twice.toArrow()["seed"].to_numpy())
         found = texts.mapInArrow(_windows(k, docs.sparkSession.sparkContext.broadcast(known)), schema)
     else:
         own = seeds.join(twice, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
