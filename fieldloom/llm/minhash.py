@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 from . import bytewords as B
 from .components import components
-from .tables import keyed_texts, semi_join_ids
+from .tables import join_sized, keyed_texts, semi_join_ids
 
 SHINGLE = 5
 COORDINATES = 128
@@ -273,3 +273,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, posted_share: float | No
     component = F.coalesce("root", "doc_id")
     return (signed.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that are near copies of a smaller doc_id.
+
+    Rows that repeat a doc_id are one document, and one of them (the least by its columns) stays.
+    """
+    rated = cut_lineage(near_duplicates(docs, percent))
+    copies = rated.where("NOT kept").select("doc_id").distinct()
+    again = cut_lineage(rated.where("doc_id IS NOT NULL AND kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*names.values()).withColumn("doc_id", F.col(names["doc_id"]).cast("bigint"))
+    kept = join_sized(plain, copies, "doc_id", "left_anti")
+    if not again.isEmpty():
+        first = join_sized(kept, again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*names.values())).alias("row")).select("row.*", "doc_id")
+        kept = join_sized(kept, again, "doc_id", "left_anti").unionByName(first)
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])

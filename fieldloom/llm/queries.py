@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, packing, pii, quality, substrings
+from . import decontaminate, lines, minhash, packing, pii, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,11 +28,22 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rate_quality(docs, quality.train_quality(docs, labels))
 
 
+@query
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), percent=85)
 
 
+@query
+def op5_lines(spark: SparkSession, folder: str) -> DataFrame:
+    cut = lines.drop_repeated_lines(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op7_substring(spark: SparkSession, folder: str) -> DataFrame:
     cut = substrings.remove_repeats(table(spark, folder, "documents"))

@@ -46,7 +46,7 @@ def semi_join_ids(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAS
     return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
-def join_sized(df: DataFrame, other: DataFrame, key: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_sized(df: DataFrame, other: DataFrame, key: str | list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side whose rows are counted first: broadcast up to ``limit`` rows, shuffled beyond."""
     small = other.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(other) if small else other, key, how)
