@@ -1,14 +1,15 @@
 r"""Substring dedup: repeated word k-mers as edges of a de Bruijn graph, spans checked by source coordinates.
 
 A window of K consecutive words ``[^\x20\x09-\x0D]+`` is an edge between its first and last K - 1 words.
-An edge met in two documents or more is repeated; its source is the smallest doc_id it starts in. Every
-later document loses the words its occurrences of the edge cover.
+An edge met in two documents is repeated; its source is the smallest doc_id it starts in, and every later
+document loses the words its occurrences cover. Consecutive occurrences in a document are compacted to
+paths, given by their first and last word, and the words outside the paths are kept.
 
-1. Every window has a minimizer, the smallest hash of its SEED-word grams; equal windows share it. Only the
-   distinct minimizers of a document (about a fifth of its words) are counted over all documents.
-2. Windows whose minimizer occurs in two documents are the only possible edges. An aggregate finds the
-   repeated ones with their sources, a join gives each occurrence its source.
-3. Consecutive occurrences in a document are compacted to paths (start, end), and the words outside are kept.
+All edges of all documents go through one shuffle. A task sorts about ``FLUSH`` of them, settles what it sees
+itself (a later document of the same task loses the window whatever others hold), and sends the rest packed by
+ranges of the hash: one packed row per range instead of a row per word. Settled ones go to salted ranges, so
+an edge that a third of all documents share meets others only once per task. The number of ranges follows
+the size of the texts, so the work of one range has the same size for any input.
 
 Hashes have 64 bits over whole words. Defined cases: a missing text has no words; a document under K words
 loses nothing; a row without doc_id is no source and loses nothing; repeated rows of one doc_id are one
@@ -18,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,65 +28,88 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from . import bytewords as B
-from .tables import BROADCAST_ROWS, join_sized, keyed_texts
+from .tables import join_sized, keyed_texts
 
-SEED = 5
+FLUSH = 2_000_000
+RANGE_CHARS = 16_000_000
+SCHEMA = "part int, edges binary, docs binary, places binary"
 
 
-def _rows(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Runs of rows: window positions in their text, row, window hash, minimizer, number of rows."""
+def _windows(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows: edge hashes, row, position of the first word in its text."""
     data, offsets = B.text_bytes(texts)
     for first, end, part, cuts in B.runs(data, offsets):
         starts, ends, row = B.pieces(part, cuts, B.SPACE)
-        hashes = B.span_hashes(part, starts, ends)
-        at, window = B.grams(hashes, row, k)
-        seed = min(SEED, k)
-        least = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
-        place, gram = B.grams(hashes, row, seed)
-        least[place] = gram
-        smallest = least[at]
-        for j in range(1, k - seed + 1):
-            np.minimum(smallest, least[at + j], out=smallest)
+        at, edge = B.grams(B.span_hashes(part, starts, ends), row, k)
         begin = np.searchsorted(row, np.arange(end - first))
-        yield at - begin[row[at]], row[at], window.view(np.int64), smallest.view(np.int64), end - first
+        yield edge, row[at] + first, (at - begin[row[at]]).astype(np.int32)
 
 
-def _split(values: np.ndarray, row: np.ndarray, rows: int) -> list[np.ndarray]:
-    return np.split(values, np.searchsorted(row, np.arange(1, rows)))
+def _pack(values: np.ndarray) -> bytes:
+    """Byte planes: sorted hashes and close ids then compress well."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
-def _minimizers(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.unique(v) for _, row, _, least, n in _rows(batch.column(1), k) for v in _split(least, row, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "seeds"])
+def _unpack(parts: list[bytes], kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(size, -1).T).view(kind).ravel() for p in parts])
 
-    return run
 
+def _deal(edge: np.ndarray, doc: np.ndarray, place: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Packed rows of one flush: ranges 0.. hold open edges, the salted ones behind hold settled places."""
+    order = np.argsort(edge)
+    edge, doc, place = edge[order], doc[order], place[order]
+    starts = np.flatnonzero(np.append(True, edge[1:] != edge[:-1]))
+    least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(edge))))
+    open_, settled = doc == least, doc > least
+    part, rows = ((edge[open_] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), [[], [], [], []]
+    bounds = np.searchsorted(part, np.arange(ranges + 1))
+    kept = edge[open_], doc[open_], place[open_]
+    for r in range(ranges):
+        if bounds[r] < bounds[r + 1]:
+            for out, v in zip(rows, (r, *(_pack(c[bounds[r]:bounds[r + 1]]) for c in kept)), strict=True):
+                out.append(v)
+    if settled.any():
+        salt = ranges + int(edge[0] % np.uint64(ranges))
+        for out, v in zip(rows, (salt, b"", _pack(doc[settled]), _pack(place[settled])), strict=True):
+            out.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "edges", "docs", "places"])
 
-def _windows(k: int, shared):
-    """(doc_id, windows, positions) whose minimizer is among the shared sorted array, or the row's own list."""
 
+def _edges(k: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            windows, places, first = [], [], 0
-            own = None if shared is not None else batch.column(2).to_pylist()
-            for at, row, window, least, n in _rows(batch.column(1), k):
-                if shared is not None:
-                    known = shared.value
-                    near = np.minimum(np.searchsorted(known, least), max(len(known) - 1, 0))
-                    hit = known[near] == least if len(known) else np.zeros(len(least), bool)
-                else:
-                    hit = np.concatenate([np.isin(v, np.array(own[first + i] or [], np.int64)) for i, v in enumerate(_split(least, row, n))] or [np.zeros(0, bool)])
-                windows += _split(window[hit], row[hit], n)
-                places += _split(at[hit].astype(np.int32), row[hit], n)
-                first += n
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(windows, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-                                             names=["doc_id", "windows", "places"])
+            ids = batch.column(0).to_numpy()
+            for edge, row, place in _windows(batch.column(1), k):
+                held.append((edge, ids[row], place))
+                if sum(len(h[0]) for h in held) >= FLUSH:
+                    yield _deal(*map(np.concatenate, zip(*held, strict=True)), ranges)
+                    held = []
+        if sum(len(h[0]) for h in held):
+            yield _deal(*map(np.concatenate, zip(*held, strict=True)), ranges)
 
     return run
 
 
+def _settle(table: pa.Table) -> pa.Table:
+    """Of one range: places of edges that start in a smaller doc_id, as (doc_id, places)."""
+    doc, place = _unpack(table["docs"].to_pylist(), np.int64), _unpack(table["places"].to_pylist(), np.int32)
+    packed = table["edges"].to_pylist()
+    if any(packed):
+        edge = _unpack(packed, np.uint64)
+        order = np.argsort(edge)
+        edge, doc, place = edge[order], doc[order], place[order]
+        starts = np.flatnonzero(np.append(True, edge[1:] != edge[:-1]))
+        later = doc > np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(edge))))
+        doc, place = doc[later], place[later]
+    order = np.argsort(doc, kind="stable")
+    doc, place = doc[order], place[order]
+    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(doc)), pa.int32()), pa.array(place, pa.int32()))
+    return pa.table([pa.array(doc[starts], pa.int64()), lists], names=["doc_id", "places"])
+
+
 def _paths(k: int):
     """Occurrences (doc_id, places) compacted to maximal covered spans of words."""
 
@@ -102,26 +127,14 @@ def _paths(k: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = 13, limit: int = BROADCAST_ROWS * 2) -> DataFrame:
-    """(doc_id, starts, ends): word spans of each document that repeat windows of a smaller doc_id.
-
-    Repeated minimizers are counted; up to ``limit`` (8 bytes each) go to the tasks as one sorted array,
-    more are joined to their documents instead.
-    """
+def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
+    """(doc_id, starts, ends): word spans of each document that repeat windows of a smaller doc_id."""
     texts = keyed_texts(docs).where("doc_id IS NOT NULL")
-    seeds = texts.mapInArrow(_minimizers(k), "doc_id bigint, seeds array<bigint>").select("doc_id", F.explode("seeds").alias("seed"))
-    twice = cut_lineage(seeds.groupBy("seed").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("seed"))
-    schema = "doc_id bigint, windows array<bigint>, places array<int>"
-    if twice.count() <= limit:
-        known = np.sort(twice.toArrow()["seed"].to_numpy())
-        found = texts.mapInArrow(_windows(k, docs.sparkSession.sparkContext.broadcast(known)), schema)
-    else:
-        own = seeds.join(twice, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-        found = texts.join(own, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_windows(k, None), schema)
-    edges = found.select("doc_id", F.explode(F.arrays_zip("windows", "places")).alias("w")).select("doc_id", F.col("w.windows").alias("edge"), F.col("w.places").alias("place"))
-    source = edges.groupBy("edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("edge", "source")
-    later = edges.join(source, "edge").where("doc_id > source")
-    return later.groupBy("doc_id").agg(F.collect_list("place").alias("places")).mapInArrow(_paths(k), "doc_id bigint, starts array<int>, ends array<int>")
+    chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, math.ceil(chars / RANGE_CHARS))
+    later = texts.mapInArrow(_edges(k, ranges), SCHEMA).groupBy("part").applyInArrow(_settle, "doc_id bigint, places array<int>")
+    return (later.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+            .mapInArrow(_paths(k), "doc_id bigint, starts array<int>, ends array<int>"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
