@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lines, minhash, packing, pii, quality, substrings
+from . import chat, decontaminate, lines, minhash, packing, pii, quality, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,12 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op3_urls(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return urls.judge_pages(table(spark, folder, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), percent=85)
@@ -50,6 +56,14 @@ def op7_substring(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    own = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_turns(own.unionByName(extra)))
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
