@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +35,16 @@ CAPACITY = 2048
 STEP = 8
 CHUNK = 200_000
 END_ID = 1
-CACHE = 300_000
+CACHE = 400_000
 
 # Letters and marks whose lower case and composition do not depend on their neighbours.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)\Z")
 
 
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise RuntimeError("token ids are kept as little-endian 32-bit numbers")
+
+
 class WordIds(dict):
     """Ids (little-endian 32-bit) of a space-free part of a text, kept for frequent parts.
 
@@ -55,25 +61,36 @@ class WordIds(dict):
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(192, 256)])}
         self.units: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # a full cache is kept for one more round, so frequent parts survive
+        self.old_units: dict[str, bytes] = {}
 
     def unit(self, text: str) -> bytes:
         known = self.units.get(text)
+        if known is not None:
+            return known
+        known = self.old_units.get(text)
         if known is None:
-            ids = [t.id for t in self.model.tokenize("".join([self.bytes[c] for c in text]))]
-            known = np.array(ids, "<u4").tobytes()
-            if len(self.units) >= CACHE:
-                self.units.clear()
-            self.units[text] = known
+            plain = text if text.isascii() else "".join([self.bytes[c] for c in text])  # printable ASCII stands for itself
+            known = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        if len(self.units) >= CACHE:
+            self.units, self.old_units = {}, self.units
+        self.units[text] = known
         return known
 
     def __missing__(self, part: str) -> bytes:
-        simple = _SIMPLE.match(part) if len(part) <= 40 else None
-        if simple:
+        out = self.old.get(part)
+        simple = _SIMPLE.match(part) if out is None and len(part) <= 40 else None
+        if out is not None:
+            pass
+        elif simple and not simple[2]:
+            out = self.unit(part.lower()) if part else b""
+        elif simple:
             out = b"".join([self.unit(x) for x in (simple[1].lower(), simple[2]) if x])
         else:
             out = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
         if len(part) <= 24:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[part] = out
         return out
