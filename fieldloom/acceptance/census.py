@@ -148,11 +148,11 @@ def species_group(t):
 @case("q_complete_counts", """
 WITH frame AS (SELECT * FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN generate_series(1, 6) AS g(census)),
 c AS (SELECT user_id, least(6, (day(ts) - 1) // 5 + 1) AS census, sum(CASE WHEN event_type = 'click' THEN 1 END)::BIGINT AS n
-      FROM events WHERE value > 150 GROUP BY ALL)
+      FROM events WHERE (user_id + least(6, (day(ts) - 1) // 5 + 1)) % 4 > 0 GROUP BY ALL)
 SELECT user_id, census::INT AS census, coalesce(n, 0)::BIGINT AS sumcount FROM frame LEFT JOIN c USING (user_id, census)""")
 def complete_counts(t):
-    counts = t.events.where("value > 150").select("user_id", census_number().alias("census"),
-                                                  F.when(F.col("event_type") == "click", 1).alias("count"))
+    counts = t.events.select("user_id", census_number().alias("census"), F.when(F.col("event_type") == "click", 1).alias("count"))
+    counts = counts.where("(user_id + census) % 4 > 0")  # the gaps of the frame
     frame = reshape.cross_with(t.events.select("user_id").distinct(), census=[1, 2, 3, 4, 5, 6])
     return census.complete_counts(counts, frame, ["user_id", "census"], "count").withColumn("sumcount", big("sumcount"))
 
@@ -231,13 +231,13 @@ def event_long(t):
 
 
 @case("q_survival_pct", """
-WITH e AS (SELECT user_id, event_type, CASE WHEN value > 40 THEN 1 ELSE 0 END AS s FROM events WHERE day(ts) <= 6),
+WITH e AS (SELECT user_id, event_type, CASE WHEN value > 40 THEN 1 ELSE 0 END AS s FROM events WHERE user_id % 4 > 0),
 c AS (SELECT user_id, event_type, count(*) AS tot, sum(s) AS tots, sum(s)::DOUBLE / count(*) * 100 AS survival FROM e GROUP BY 1, 2)
 SELECT f.user_id, f.event_type, coalesce(tot, 0)::BIGINT AS tot, coalesce(tots, 0)::BIGINT AS "totS", round(coalesce(survival, 0), 6) + 0.0 AS survival
 FROM (SELECT DISTINCT user_id, event_type FROM events) f LEFT JOIN c ON f.user_id = c.user_id AND f.event_type = c.event_type""")
 def survival_pct(t):
     state = F.when(F.col("value") > 200, "1").when(F.col("value") > 40, "alive").when(F.col("value") > 20, "dezd").otherwise("not found")
-    rows = t.events.where(F.dayofmonth("ts") <= 6).select("user_id", "event_type", state.alias("survival"))
+    rows = t.events.where("user_id % 4 > 0").select("user_id", "event_type", state.alias("survival"))
     frame = t.events.select("user_id", "event_type").distinct()
     out = survival.survival_percent(rows, frame, ["user_id", "event_type"])
     return out.select("user_id", "event_type", big("tot").alias("tot"), big("totS").alias("totS"), r("survival").alias("survival"))
@@ -247,22 +247,22 @@ def survival_pct(t):
 
 
 @case("q_key_frame", """
-WITH k AS (SELECT DISTINCT user_id, event_type, least(6, (day(ts) - 1) // 5 + 1)::INT AS census FROM events WHERE value > 120),
+WITH k AS (SELECT DISTINCT user_id, event_type, least(6, (day(ts) - 1) // 5 + 1)::INT AS census FROM events WHERE user_id % 4 > 0),
 f AS (SELECT DISTINCT user_id, g.census::INT AS census FROM events CROSS JOIN generate_series(1, 6) AS g(census))
 SELECT coalesce(k.user_id, f.user_id) AS user_id, event_type, coalesce(k.census, f.census) AS census
 FROM k FULL JOIN f ON k.user_id = f.user_id AND k.census = f.census""")
 def key_frame(t):
-    records = t.events.where("value > 120").withColumn("census", census_number())
+    records = t.events.where("user_id % 4 > 0").withColumn("census", census_number())
     frame = reshape.cross_with(t.events.select("user_id").distinct(), census=[1, 2, 3, 4, 5, 6])
     return datasets.plot_frame(records, frame, ["user_id", "event_type", "census"]).select("user_id", "event_type", "census")
 
 
 @case("q_abundance", """
-WITH k AS (SELECT DISTINCT user_id, event_type, count(*) OVER (PARTITION BY user_id, event_type)::BIGINT AS n FROM events WHERE value > 120)
+WITH k AS (SELECT DISTINCT user_id, event_type, count(*) OVER (PARTITION BY user_id, event_type)::BIGINT AS n FROM events WHERE user_id % 4 > 0)
 SELECT f.user_id, f.event_type, n FROM (SELECT DISTINCT user_id, event_type FROM events) f
 LEFT JOIN k ON f.user_id = k.user_id AND f.event_type = k.event_type""")
 def abundance(t):
-    records = t.events.where("value > 120").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    records = t.events.where("user_id % 4 > 0").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     frame = t.events.select("user_id", "event_type").distinct()
     return datasets.abundance(records, frame, ["user_id", "event_type", "n"])
 

@@ -141,7 +141,8 @@ def monthly_extremes(t):
 
 def _zone_sql(mean: str) -> str:
     return "WITH" + NATION_ORDERS + f""",
-m AS (SELECT "siteID", year(date) AS year, month(date) AS month, max(value) AS v FROM no WHERE value > 46 GROUP BY ALL),
+m0 AS (SELECT "siteID", year(date) AS year, month(date) AS month, max(value) AS v FROM no GROUP BY ALL),
+m AS (SELECT * FROM m0 WHERE (length("siteID") + year * 12 + month) % 5 > 0),
 cal AS (SELECT * FROM (SELECT DISTINCT "siteID" FROM m) CROSS JOIN (SELECT DISTINCT year FROM m) CROSS JOIN (SELECT DISTINCT month FROM m)),
 z AS (SELECT "siteID", zone, year, month, v FROM cal LEFT JOIN m USING ("siteID", year, month)
       JOIN (SELECT n_name AS "siteID", r_name AS zone FROM nation JOIN region ON n_regionkey = r_regionkey) USING ("siteID"))
@@ -149,8 +150,8 @@ SELECT "siteID" AS site, year, month, round(coalesce(v, {mean}), 6) + 0.0 AS v F
 
 
 def _zone_fill(t, strict):
-    monthly = nation_orders(t).where("value > 46").groupBy(
-        "siteID", F.year("date").alias("year"), F.month("date").alias("month")).agg(F.max("value").alias("v"))
+    monthly = nation_orders(t).groupBy("siteID", F.year("date").alias("year"), F.month("date").alias("month")).agg(
+        F.max("value").alias("v")).where("(length(siteID) + year * 12 + month) % 5 > 0")  # the gaps to fill
     out = climate.fill_from_zone(monthly, site_info(t), "siteID", "Biogeographic_zone", "v", strict)
     return out.select(F.col("siteID").alias("site"), big("year").alias("year"), big("month").alias("month"), r("v").alias("v"))
 

@@ -74,15 +74,14 @@ TURFS_SQL = "turfs AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for
 
 PREPARED_SQL = ROUNDS_RAW_SQL + "," + TURFS_SQL + """,
 kept AS (SELECT * FROM raw WHERE ns IS NULL AND coalesce(comment <> 'out of plot', true) AND coalesce(p1, p2, p3, p4) IS NOT NULL),
-ided AS (SELECT *, coalesce(rawseed, 'ran' || substr(md5(obs), 1, 16)) || '_' || "plotID" AS "seedID" FROM kept),
+ided AS (SELECT *, coalesce(rawseed, 'ran' || md5(obs) || '_1') || '_' || "plotID" AS "seedID" FROM kept),
 lng AS (SELECT *, unnest([{r: 1, p: p1, d: d}, {r: 2, p: p2, d: d + INTERVAL 30 DAY}, {r: 3, p: p3, d: d + INTERVAL 60 DAY}, {r: 4, p: p4, d: NULL}]) AS e FROM ided),
 tid AS (SELECT CASE WHEN e.r <= 2 THEN 2018 ELSE 2019 END AS year, CASE WHEN e.r = 4 THEN DATE '2019-08-08' ELSE e.d::DATE END AS date, "siteID", blk, "plotID", treatment, "seedID",
   e.r AS round, species, CASE WHEN e.p IN ('NF', 'not found') OR e.p IS NULL THEN 0.0 WHEN e.p = '1?' THEN 1.0 ELSE try_cast(e.p AS DOUBLE) END AS presence, x, y, obs, comment FROM lng),
 tidy AS (SELECT * FROM tid WHERE "plotID" IN (SELECT "plotID" FROM tid GROUP BY 1 HAVING sum(presence) >= 1)),
 cop AS (SELECT *, unnest(generate_series(1, presence::INT)) AS copy FROM tidy WHERE presence > 1),
-num AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5("plotID" || '|' || "seedID" || '|' || round || '|' || copy), 1, 8))::BIGINT % 1024, "plotID", "seedID", round, copy) AS nr FROM cop),
-spl AS (SELECT year, date, "siteID", blk, "plotID", treatment, 's' || nr || '_' || "plotID" AS "seedID", g.r AS round, species, CASE WHEN g.r = 4 THEN 1.0 ELSE 0.0 END AS presence, x, y, obs, comment
-  FROM num CROSS JOIN generate_series(1, 4) AS g(r)),
+spl AS (SELECT year, date, "siteID", blk, "plotID", treatment, 's' || round || '.' || copy || '_' || "seedID" AS "seedID", g.r AS round, species, CASE WHEN g.r = 4 THEN 1.0 ELSE 0.0 END AS presence, x, y, obs, comment
+  FROM cop CROSS JOIN generate_series(1, 4) AS g(r)),
 tog AS (SELECT * FROM (SELECT * FROM tidy WHERE presence < 2 UNION ALL BY NAME SELECT * FROM spl) WHERE "seedID" NOT IN (SELECT "seedID" FROM tidy WHERE presence > 1)),
 num_y AS (SELECT *, CASE WHEN y = '205/105' THEN 205.0 ELSE try_cast(y AS DOUBLE) END AS yn FROM tog),
 prepared AS (SELECT year, date, "siteID", substr("siteID", 1, 3) || blk AS "blockID", n."plotID", treatment, "seedID", round, species, presence, x, yn AS y, obs AS recorder,
@@ -172,7 +171,7 @@ def pick_site(column: str) -> Column:
 
 
 def rounds(t):
-    return datasets.rounds_recruits(rounds_raw(t), normals(t), plots(t), identity=["Obs"])
+    return datasets.rounds_recruits(rounds_raw(t), normals(t), identity=["Obs"])
 
 
 @case("q_rounds_recruits", "WITH" + ROUNDS_SQL + f"""
@@ -203,8 +202,8 @@ cb AS (SELECT CASE site {sql_map(dict(zip(CODES, SITE_NAMES)))} END AS "siteID",
     replace(trim(s112), ' ', '.') AS species, id, k1, k2, k3, k4, k5, k6 FROM ca),
 cc AS (SELECT "siteID", "blockID", "blockID" || treat AS "plotID", CASE treat WHEN 'RTG' THEN 'Gap' ELSE 'Intact' END AS treatment, regexp_replace(regexp_replace(species, '.cf', '', 'g'), '.CF', '', 'g') AS species, id, k1, k2, k3, k4, k5, k6
   FROM cb WHERE NOT coalesce(species IN ('G', 'Ant.odo', 'Ave.fle') OR regexp_matches(species, 'Agr|Car|Des|Fes|Poa|Luz'), false)),
-cd AS (SELECT DISTINCT "siteID", "blockID", "plotID", treatment, coalesce(id, 'ran-' || substr(md5("plotID" || '|' || coalesce(species, 'NA') || '|' || coalesce(k1, 'NA') || '|' || coalesce(k2, 'NA') || '|' || coalesce(k3, 'NA')
-    || '|' || coalesce(k4, 'NA') || '|' || coalesce(k5, 'NA') || '|' || coalesce(k6, 'NA')), 1, 16)) AS "ID", species,
+cd AS (SELECT "siteID", "blockID", "plotID", treatment, coalesce(id, 'ran-' || md5("plotID" || '|' || coalesce(species, 'NA') || '|' || coalesce(k1, 'NA') || '|' || coalesce(k2, 'NA') || '|' || coalesce(k3, 'NA') || '|' || coalesce(k4, 'NA') || '|' || coalesce(k5, 'NA') || '|' || coalesce(k6, 'NA'))
+    || '_' || row_number() OVER (PARTITION BY id IS NULL, md5("plotID" || '|' || coalesce(species, 'NA') || '|' || coalesce(k1, 'NA') || '|' || coalesce(k2, 'NA') || '|' || coalesce(k3, 'NA') || '|' || coalesce(k4, 'NA') || '|' || coalesce(k5, 'NA') || '|' || coalesce(k6, 'NA')))) AS "ID", species,
     coalesce({CODED_FIX_SQL.format(c="k1")}, '0') AS c1, coalesce({CODED_FIX_SQL.format(c="k2")}, '0') AS c2, coalesce({CODED_FIX_SQL.format(c="k3")}, '0') AS c3,
     coalesce({CODED_FIX_SQL.format(c="k4")}, '0') AS c4, coalesce({CODED_FIX_SQL.format(c="k5")}, '0') AS c5, coalesce({CODED_FIX_SQL.format(c="k6")}, '0') AS c6 FROM cc),
 r5 AS (SELECT * REPLACE (CASE WHEN c5 = '0' AND c6 IN ('T', 'D') THEN 'S' ELSE c5 END AS c5) FROM cd),
@@ -365,7 +364,7 @@ def community_table(t):
 @case("q_cover_rows", "WITH" + COMMUNITY_SQL + """
 SELECT year, "plotID" AS plot, fg_removed, species, cover, functional_group, temperature_level, precipitation_level, fg_remaining FROM comm WHERE fg_removed <> 'XC'""")
 def cover_rows(t):
-    return community.cover_rows(community_rows(t)).select(
+    return community.cover_rows(community.corrected_community(community_raw(t), normals(t))).select(
         "year", F.col("plotID").alias("plot"), "fg_removed", "species", "cover", "functional_group", "temperature_level", "precipitation_level", "fg_remaining")
 
 
@@ -422,7 +421,7 @@ def standing_biomass(t):
 
 
 MERGED_SQL = COMMUNITY_SQL + "," + PLOT_COVER_SQL.format(extra="fg_remaining,", where="") + "," + BIOMASS_RAW_SQL + """,
-st AS (SELECT "siteID", "plotID", functional_group, avg(biomass) AS standing_biomass FROM bf WHERE year = 2016 GROUP BY ALL),
+st AS (SELECT "siteID", "plotID", functional_group, avg(biomass) AS standing_biomass FROM bf GROUP BY ALL),
 lo AS (SELECT year, "siteID", "plotID", removal, fg_removed, fg_remaining, moss_height, unnest([{g: 'graminoids', h: vegetation_height, t: total_graminoids}, {g: 'bryophytes', h: NULL, t: total_bryophytes},
     {g: 'forbs', h: vegetation_height, t: total_forbs}]) AS e FROM pc WHERE NOT (n = 2 AND total_graminoids IS NULL)),
 mg AS (SELECT lo.year, lo."siteID", lo."plotID", lo.removal, fg_removed, fg_remaining, moss_height, e.g AS functional_group, e.h AS height, e.t AS total, standing_biomass / 0.0625 AS standing_biomass,
@@ -434,7 +433,7 @@ MERGED_COLUMNS = """year, "plotID" AS plot, removal, functional_group, round(mos
 
 
 def merged(t):
-    standing = biomass_rows(t).where("year = 2016").groupBy("siteID", "plotID", "functional_group").agg(F.avg("biomass").alias("standing_biomass"))
+    standing = biomass_rows(t).groupBy("siteID", "plotID", "functional_group").agg(F.avg("biomass").alias("standing_biomass"))
     return community.merge_biomass(community_rows(t), standing)
 
 
@@ -459,11 +458,11 @@ def biomass_coefficients(t):
 @case("q_weighted_trait", "WITH" + COMMUNITY_SQL + """,
 tr AS (SELECT species, functional_group, max(l_orderkey % 97)::DOUBLE / 9.7 AS value FROM comm_raw GROUP BY 1, 2)
 SELECT year, "plotID" AS plot, c.functional_group, round(CASE WHEN count(value * cover) < count(*) THEN NULL ELSE sum(value * cover) / sum(cover) END, 7) + 0.0 AS seed_mass
-FROM comm c LEFT JOIN tr ON c.species = tr.species AND c.functional_group = tr.functional_group WHERE year > 2014 GROUP BY ALL""")
+FROM comm c LEFT JOIN tr ON c.species = tr.species AND c.functional_group = tr.functional_group GROUP BY ALL""")
 def weighted_trait(t):
     raw = community_raw(t)
     traits = raw.groupBy("species", "functional_group").agg((F.max(F.col("l_orderkey") % 97) / 9.7).alias("value"))
-    cover = datasets.community(raw, normals(t)).where("year > 2014").select("year", F.col("plotID").alias("plot"), "species", "functional_group", "cover")
+    cover = datasets.community(raw, normals(t)).select("year", F.col("plotID").alias("plot"), "species", "functional_group", "cover")
     return community.community_weighted(cover, traits, ["year", "plot", "functional_group"], out="seed_mass").withColumn("seed_mass", r("seed_mass", 7))
 
 

@@ -288,20 +288,21 @@ def quantiles(t):
 SELECT DISTINCT l_returnflag, l_quantity, count(*) OVER (PARTITION BY l_returnflag, l_quantity)::BIGINT AS n,
   round(cume_dist() OVER (PARTITION BY l_returnflag ORDER BY l_quantity), 9) + 0.0 AS ecdf FROM lineitem""")
 def ecdf(t):
-    return models.predictive_ecdf(t.lineitem, ["l_returnflag"], "l_quantity").select("l_returnflag", "l_quantity", "n", r("ecdf", 9).alias("ecdf"))
+    return ordered.ecdf(t.lineitem, ["l_returnflag"], "l_quantity").select("l_returnflag", "l_quantity", "n", r("ecdf", 9).alias("ecdf"))
 
 
 @case("q_ecdf_all", """
 SELECT DISTINCT o_totalprice, round(cume_dist() OVER (ORDER BY o_totalprice), 9) + 0.0 AS ecdf FROM orders""")
 def ecdf_all(t):
-    return models.predictive_ecdf(t.orders, [], "o_totalprice").select("o_totalprice", r("ecdf", 9).alias("ecdf"))
+    return ordered.ecdf(t.orders, [], "o_totalprice").select("o_totalprice", r("ecdf", 9).alias("ecdf"))
 
 
 @case("q_density", """
-WITH b AS (SELECT o_orderstatus, greatest(0, least(39, floor((o_totalprice - 0) / 12500.0)::INT)) AS bin, count(*) AS n FROM orders GROUP BY 1, 2)
-SELECT o_orderstatus, bin, (bin + 0.5) * 12500.0::DOUBLE AS mid, n::BIGINT AS n, round(n / (sum(n) OVER (PARTITION BY o_orderstatus) * 12500.0::DOUBLE), 12) + 0.0 AS density FROM b""")
+WITH b AS (SELECT o_orderstatus, CASE WHEN o_totalprice < 100000 THEN -1 WHEN o_totalprice > 400000 THEN 40 ELSE least(39, floor((o_totalprice - 100000) / 7500.0)::INT) END AS bin, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT o_orderstatus, bin, CASE WHEN bin BETWEEN 0 AND 39 THEN 100000 + (bin + 0.5) * 7500.0::DOUBLE END AS mid, n::BIGINT AS n,
+  CASE WHEN bin BETWEEN 0 AND 39 THEN round(n / (sum(n) OVER (PARTITION BY o_orderstatus) * 7500.0::DOUBLE), 12) + 0.0 END AS density FROM b""")
 def density(t):
-    out = models.predictive_density(t.orders, ["o_orderstatus"], "o_totalprice", 0.0, 500000.0, 40)
+    out = stats.binned_density(t.orders, ["o_orderstatus"], "o_totalprice", 100000.0, 400000.0, 40)
     return out.select("o_orderstatus", "bin", "mid", "n", r("density", 12).alias("density"))
 
 
@@ -310,7 +311,7 @@ def density(t):
 TRAIT_SQL = """
 cover AS (SELECT l_returnflag AS site, l_partkey AS species, sum(l_quantity) AS cover FROM lineitem GROUP BY 1, 2),
 traits AS (SELECT l_returnflag AS site, l_partkey AS species, l_linestatus AS trait, l_extendedprice / 9973 AS value, l_orderkey, l_linenumber, l_suppkey
-  FROM lineitem WHERE l_discount > 0.085),
+  FROM lineitem),
 n1 AS (SELECT site, species, trait, count(*) AS n1, avg(value) AS m1 FROM traits GROUP BY ALL),
 n0 AS (SELECT species, trait, count(*) AS n0, avg(value) AS m0 FROM traits GROUP BY ALL),
 fill AS (SELECT c.site, c.species, c.cover, n0.trait, CASE WHEN n1 >= 2 OR n1 = n0 THEN 1 ELSE 0 END AS level, CASE WHEN n1 >= 2 OR n1 = n0 THEN n1 ELSE n0 END AS n_sample,
@@ -343,7 +344,7 @@ mo AS (SELECT site, trait, replicate, avg(value) AS mean, var_samp(value) AS var
 
 def _filled(t):
     cover = t.lineitem.groupBy(F.col("l_returnflag").alias("site"), F.col("l_partkey").alias("species")).agg(F.sum("l_quantity").alias("cover"))
-    traits = t.lineitem.where("l_discount > 0.085").select(
+    traits = t.lineitem.select(
         F.col("l_returnflag").alias("site"), F.col("l_partkey").alias("species"), F.col("l_linestatus").alias("trait"),
         (F.col("l_extendedprice") / 9973).alias("value"), "l_orderkey", "l_linenumber", "l_suppkey")
     return bootstrap.trait_fill(cover, traits, ["site"]), traits

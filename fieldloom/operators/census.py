@@ -20,9 +20,8 @@ from ..functions.text import replace_all, replace_first, strip, substr
 from ..session import cut_lineage
 from .aggregate import bind_rows, keep_groups
 from .columns import cols_between
-from .joins import lookup_join, natural_join, null_safe_join
-from .ordered import row_index
-from .reshape import cross_with, fill_ids, hash_bucket, repeat_rows, to_long_by_pattern, to_wide
+from .joins import lookup_join, null_safe_join
+from .reshape import cross_with, fill_ids, repeat_rows, to_long_by_pattern, to_wide
 
 ROUND_CODES = {1: "spr_18", 2: "aut_18", 3: "spr_19", 4: "aut_19"}
 SIX_CENSUSES = ("aut_09", "spr_10", "aut_10", "spr_11", "aut_11", "spr_12")
@@ -155,7 +154,7 @@ def species_of_indicators(df: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def prepare_rounds(raw: DataFrame, first_species: str = "unID", last_species: str = "Viola",
-                   identity: Sequence[str] | None = None, expand_round: int = 4, rounds: int = 4, chunks: int = 1024) -> DataFrame:
+                   identity: Sequence[str] | None = None, expand_round: int = 4, rounds: int = 4) -> DataFrame:
     """Wide numbered-census records to tidy rows, one per seedling and round.
 
     Cleans site names, drops rows that are not seedlings, gives missing ids, reads species
@@ -195,18 +194,16 @@ def prepare_rounds(raw: DataFrame, first_species: str = "unID", last_species: st
     several = tidy.where(F.col("presence") > 1)
     named = [c for c in tidy.columns if c != "presence"]
     copies = repeat_rows(several, "presence", index="copy")
-    # Numbering does not follow the data order, so an even hash spread serves as row order.
-    numbered = copies.withColumn("__h", hash_bucket(copies, ["plotID", "seedID", "round", "copy"], chunks))
-    numbered = row_index(numbered, ["__h", "plotID", "seedID", "round", "copy"], chunk=F.col("__h"))
+    # A split seedling is named by its record, round and copy, which needs no numbering of the table.
     split = cross_with(
-        numbered.withColumn("seedID", paste(F.lit("s"), F.col("row_index"), F.lit("_"), F.col("plotID")))
-        .drop("round", "row_index", "copy", "__h"), round=list(range(1, rounds + 1)))
+        copies.withColumn("seedID", paste(F.lit("s"), F.col("round"), F.lit("."), F.col("copy"), F.lit("_"), F.col("seedID")))
+        .drop("round", "copy"), round=list(range(1, rounds + 1)))
     split = split.withColumn("presence", F.when(F.col("round") == expand_round, 1.0).otherwise(0.0))
 
     together = bind_rows(tidy.where(F.col("presence") < 2), split.select(*named, "presence"))
     together = null_safe_join(together, several.select("seedID").distinct(), ["seedID"], "left_anti")
     turfs = control_turf_table(spark).withColumnRenamed("TTtreat", "turfID")
-    together = lookup_join(together, turfs, ["plotID"], rows=len(CONTROL_TURFS))
+    together = lookup_join(together, turfs, ["plotID"], CONTROL_TURFS)
     number_y = to_number(F.when(F.col("y") == "205/105", "205").otherwise(F.col("y")))
     return together.withColumns({
         "blockID": paste(substr("siteID", 1, 3), F.col("blockID")),
@@ -225,16 +222,13 @@ def plot_round_frame(community: DataFrame, drop_treatment: str = "XC") -> DataFr
     return frame.withColumn("round", ((F.col("year") - 2018) * 2 + F.col("half") + 1).cast("int")).drop("half")
 
 
-def clean_rounds(data: DataFrame, community: DataFrame) -> DataFrame:
+def clean_rounds(data: DataFrame) -> DataFrame:
     """One row per seedling with its first occurrence, survival duration, species and date.
 
-    Plots without seedlings have no seedling to describe and drop out with the missing first
-    occurrence, as do seedlings never seen.
+    Seedlings never seen drop out. A frame of all plots and rounds would add plots without any
+    seedling only, which have nothing to describe, so none is joined.
     """
-    data = cut_lineage(data)  # read three times below
-    frame = plot_round_frame(community)
-    everything = natural_join(data, frame, "outer").withColumn(
-        "presence", F.coalesce("presence", F.lit(0.0)))
+    everything = data.withColumn("presence", F.coalesce("presence", F.lit(0.0)))
     dropped = ("x", "y", "species", "recorder", "date", "year", "round", "presence")
     ids = [c for c in everything.columns if c not in dropped]
     rounds = list(ROUND_CODES)
@@ -280,7 +274,7 @@ def clean_coded(raw: DataFrame, id_column: str = "ID") -> DataFrame:
         lookup("Block", ROMAN_BLOCKS).alias("block"), F.col(f"`{id_column}`").alias("ID"),
         F.col("Species_11_2").alias("species"), *[F.col(v).alias(k) for k, v in source.items()])
     sites = site_table(spark).select("old", F.col("new").alias("siteID"))
-    placed = lookup_join(named, sites, {"code": "old"}, rows=len(SITES))
+    placed = lookup_join(named, sites, {"code": "old"}, SITES)
     placed = placed.withColumn("blockID", paste(F.col("code"), F.col("block"))).withColumn(
         "plotID", paste(F.col("blockID"), F.col("removal_code")))
     placed = placed.withColumns({
@@ -293,9 +287,10 @@ def clean_coded(raw: DataFrame, id_column: str = "ID") -> DataFrame:
     placed = fill_ids(placed, "ID", ["plotID", "species", *SIX_CENSUSES], prefix="ran-")
 
     ids = ["siteID", "blockID", "plotID", "treatment", "ID", "species"]
-    coded = placed.select(*ids, *[
-        F.coalesce(presence_code(c), F.lit("0")).alias(c) for c in SIX_CENSUSES]).distinct()
-    codes = resurrect_text(history_text(SIX_CENSUSES))
+    # Several records of one id are one seedling: the record whose codes sort last counts.
+    marks = F.concat(*[F.substring(F.coalesce(presence_code(c), F.lit("0")), 1, 1) for c in SIX_CENSUSES])
+    coded = placed.select(*ids, marks.alias("__codes")).groupBy(*ids).agg(F.max("__codes").alias("__codes"))
+    codes = resurrect_text("__codes")
     seen = gap_fill_text(F.translate(F.regexp_replace(codes, "[^S]", "0"), "S", "1"))
     found = coded.withColumn("__h", seen).where(F.col("__h").contains("1")).withColumns({
         "first_occurrence": first_seen("__h", SIX_CENSUSES),

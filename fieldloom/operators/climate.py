@@ -188,9 +188,8 @@ def season_spans(df: DataFrame, date: str = "date", year: str = "year", season:
 
 
 def recover_site(df: DataFrame, site: str = "siteID", file: str = "file") -> DataFrame:
-    """Take a missing site from the start of the file name, in one spelling per site."""
-    name = recode(before_first(file, "_ -"), SITE_SPELLINGS_OF_FILES)
-    return df.withColumn(site, F.coalesce(site, name))
+    """Take a missing site from the start of the file name; one spelling per site, recorded ones too."""
+    return df.withColumn(site, recode(F.coalesce(site, before_first(file, "_ -")), SITE_SPELLINGS_OF_FILES))
 
 
 def nested_means(df: DataFrame, site: str = "siteID", date: str = "date", value: str = "value") -> DataFrame:
@@ -298,7 +297,8 @@ def drought_table(precipitation: DataFrame, readings: DataFrame, sites: DataFram
     ``precipitation``: date, siteID, value (daily); ``readings``: date, siteID, logger, value;
     ``sites``: siteID, Biogeographic_zone, Latitude; ``moisture``: date, siteID, value, flag, file.
     """
-    temperature = monthly_temperature(readings, sites)
+    # Before the readings are summed, so that the years reach the scan.
+    temperature = monthly_temperature(readings.where(within_years("date", first_year, last_year)), sites)
     rain = monthly_total(precipitation.where(within_years("date", first_year, last_year)),
                          "siteID", "date", "value", "precip_sum")
     located = null_safe_join(temperature, sites.select("siteID", "Latitude"), ["siteID"], "left")

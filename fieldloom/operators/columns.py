@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lookups import level_order
 from ..functions.nulls import ColumnLike, as_col
-from .joins import null_safe_join, row_stats
+from .joins import assert_unique, null_safe_join, row_stats
 from .ordered import rank_table
 
 
@@ -55,9 +55,9 @@ def patch_cells(df: DataFrame, corrections: DataFrame, keys: Sequence[str],
     """Overwrite single cells from a keyed table of corrections.
 
     A missing correction leaves the cell as it is. With ``only_missing`` only empty cells are
-    filled. The corrections must be unique on ``keys``.
+    filled. Corrections that repeat a key are an error.
     """
-    marked = corrections.select(*keys, *[F.col(c).alias(f"__fix_{c}") for c in columns])
+    marked = assert_unique(corrections.select(*keys, *[F.col(c).alias(f"__fix_{c}") for c in columns]), keys)
     joined = null_safe_join(df, marked, keys, "left")
     fixed = {}
     for c in columns:
@@ -66,11 +66,6 @@ def patch_cells(df: DataFrame, corrections: DataFrame, keys: Sequence[str],
     return joined.withColumns(fixed).select(*df.columns)
 
 
-def replace_where(df: DataFrame, column: str, condition: Column, value) -> DataFrame:
-    """Set one column where a condition holds; a missing condition changes nothing."""
-    return df.withColumn(column, F.when(condition, value).otherwise(F.col(column)))
-
-
 def as_levels(c: ColumnLike, levels: Sequence) -> tuple[Column, Column]:
     """Ordered category: the value (missing when it is not a level) and its position."""
     position = level_order(c, levels)
@@ -94,17 +89,18 @@ def order_levels_by(df: DataFrame, column: str, value: str, out: str = "level_or
 
 def zscore(df: DataFrame, columns: Mapping[str, str], center_only: bool = False,
            divisors: Mapping[str, float] | None = None) -> DataFrame:
-    """Standardise ``{new: old}`` columns over the whole table; missing values are skipped.
+    """Standardise ``{new: old}`` columns over the whole table; missing and infinite values are skipped.
 
-    ``divisors`` rescales a column before it is centred.
+    An infinite value stays infinite and changes no other row. ``divisors`` rescales a column before it is centred.
     """
     divisors = divisors or {}
     scaled = {new: F.col(old) / F.lit(float(divisors.get(old, 1.0))) for new, old in columns.items()}
     aggs = {}
     for new, value in scaled.items():
-        aggs[f"{new}__m"] = F.avg(value)
+        finite = F.when(F.abs(value) < float("inf"), value)
+        aggs[f"{new}__m"] = F.avg(finite)
         if not center_only:
-            aggs[f"{new}__s"] = F.stddev_samp(value)
+            aggs[f"{new}__s"] = F.stddev_samp(finite)
     stats = row_stats(df, aggs)
     out = df.withColumn("__stats", stats)
     for new, value in scaled.items():

@@ -15,7 +15,7 @@ from ..functions.text import replace_first
 from ..session import cut_lineage
 from .aggregate import drop_duplicates_missing, drop_known_bad, first_within
 from .columns import cols_between, rename
-from .joins import fill_from_group, map_keys, natural_join, null_safe_join, with_group_stats
+from .joins import assert_unique, fill_from_group, map_keys, natural_join, null_safe_join, with_group_stats
 from .reshape import to_long
 from .stats import origin_slope
 
@@ -58,19 +58,15 @@ def precipitation_level(site: str = "siteID") -> Column:
 def add_site_context(df: DataFrame, normals: DataFrame, fix_treatment: bool = True) -> DataFrame:
     """Temperature and precipitation level, site normals, and the groups left by the treatment.
 
-    ``normals`` has one row per site. The treatment column becomes ``fg_removed``.
+    ``normals`` has one row per site; a repeated site is an error. The treatment column becomes ``fg_removed``.
     """
     out = df.withColumns({"temperature_level": temperature_level(), "precipitation_level": precipitation_level()})
-    out = null_safe_join(out, normals, ["siteID"], "left")
+    out = null_safe_join(out, assert_unique(normals, ["siteID"]), ["siteID"], "left")
     if not fix_treatment:
         return out
     return rename(out.withColumn("fg_remaining", lookup("treatment", REMAINING_GROUPS)), fg_removed="treatment")
 
 
-def temperature_order(column: str = "temperature_level") -> Column:
-    return level_order(column, TEMPERATURE_LEVELS)
-
-
 def clean_biomass(raw: DataFrame, normals: DataFrame, order: Sequence[str],
                   key_map: DataFrame | None = None) -> DataFrame:
     """Removed biomass: duplicates of one site-year dropped, plot codes repaired, context added.
@@ -94,6 +90,11 @@ def control_biomass(biomass: DataFrame) -> DataFrame:
 
 def clean_community(raw: DataFrame, normals: DataFrame, key_map: DataFrame | None = None) -> DataFrame:
     """Species cover per plot and year with corrected cells, cover sums and imputed moss height."""
+    return impute_moss_height(corrected_community(raw, normals, key_map))
+
+
+def corrected_community(raw: DataFrame, normals: DataFrame, key_map: DataFrame | None = None) -> DataFrame:
+    """``clean_community`` before the imputation: narrow steps and joins, nothing is written."""
     rows = raw.withColumn("blockID", F.coalesce(lookup("plotID", BLOCK_CORRECTIONS), F.col("blockID")))
     rows = rows.where(not_in("species", SINGLE_SPECIES))
     grams, forbs = F.col("total_graminoids"), F.col("total_forbs")
@@ -108,14 +109,14 @@ def clean_community(raw: DataFrame, normals: DataFrame, key_map: DataFrame | Non
     rows = drop_known_bad(rows, (F.col("plotID") == "Alr3C") & F.col("turfID").isNull())
     if key_map is not None:
         rows = map_keys(rows, key_map, ["plotID", "blockID"])
-    return impute_moss_height(cut_lineage(add_site_context(rows, normals).drop("sumcover")))
+    return add_site_context(rows, normals).drop("sumcover")
 
 
 def impute_moss_height(rows: DataFrame) -> DataFrame:
     """Missing moss height from the mean of the control plot, then of the site and year.
 
-    Heights belong to plots, so they are filled on the distinct plot rows and joined back to the
-    species rows once. ``imputed_height`` says whether the height equals the site-year mean;
+    Heights belong to plots, so they are filled on the distinct plot rows, the only rows written,
+    and joined back to the species rows once. ``imputed_height`` says whether the height equals the site-year mean;
     missing when unknown.
     """
     names = [*cols_between(rows, "year", "fg_removed"), "fg_remaining", "vegetation_height", *COVER_TOTALS]

@@ -75,19 +75,20 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFr
 
 
 def lookup_join(left: DataFrame, table: DataFrame, keys: Sequence[str] | Mapping[str, str],
-                rows: int, how: str = "left") -> DataFrame:
-    """Join a fixed table of known size, sent to every executor."""
-    if rows > 10_000:
-        raise ValueError("only small fixed tables may be sent to every executor")
-    return null_safe_join(left, F.broadcast(table), keys, how)
+                fixed: Sequence[tuple], how: str = "left") -> DataFrame:
+    """Join the table made from a fixed list, sent to every executor when the list is short."""
+    return null_safe_join(left, F.broadcast(table) if len(fixed) <= 10_000 else table, keys, how)
 
 
 def map_keys(df: DataFrame, mapping: DataFrame, columns: Sequence[str], source: str = "from_key",
              target: str = "to_key") -> DataFrame:
-    """Bring ids to another naming by a user-supplied mapping; unmapped ids stay as they are."""
+    """Bring ids to another naming by a user-supplied mapping; unmapped ids stay as they are.
+
+    An id mapped twice is an error.
+    """
     out = df
     for c in columns:
-        pairs = mapping.select(F.col(source).alias("__from"), F.col(target).alias("__to"))
+        pairs = assert_unique(mapping.select(F.col(source).alias("__from"), F.col(target).alias("__to")), ["__from"])
         out = null_safe_join(out, pairs, {c: "__from"}, "left")
         out = out.withColumn(c, F.coalesce("__to", c)).drop("__to")
     return out.select(*df.columns)

@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.nulls import ColumnLike, as_col
 from ..session import cut_lineage
 from .joins import assert_unique, null_safe_join
-from .ordered import ecdf, exact_quantiles
-from .reshape import MAX_LEVELS
-from .stats import binned_density
+from .ordered import exact_quantiles
+from .reshape import pair_all
+from .stats import bin_number
 
 # Probability masses of the intervals drawn around posterior medians.
 INTERVAL_MASSES = (0.5, 0.66, 0.8, 0.95, 0.99)
@@ -146,10 +146,9 @@ def diagnostics(df: DataFrame, response: str, mu: str, n_parameters: int, cutoff
 
 def residual_quantiles(df: DataFrame, response: str, mu: str, covariate: str, lo: float, hi: float, bins: int,
                        probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Quantiles of the Pearson residual in equal bins of a covariate."""
+    """Quantiles of the Pearson residual in equal bins of a covariate; -1 and ``bins`` hold what lies outside."""
     y, m = F.col(response), F.col(mu)
-    bin_ = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(
-        (F.col(covariate) - lo) / ((hi - lo) / bins)).cast("int")))
+    bin_ = bin_number(F.col(covariate), lo, hi, bins)
     rows = df.where(F.col(covariate).isNotNull()).select(bin_.alias("bin"), ((y - m) / F.sqrt(m)).alias("residual"))
     return exact_quantiles(rows, ["bin"], "residual", probs)
 
@@ -172,19 +171,14 @@ def epred_draws(draws: DataFrame, points: DataFrame, terms: Mapping[str, Sequenc
                 intercept: str = "b_Intercept", draw: str = "draw") -> DataFrame:
     """Expected count for every draw on every grid point.
 
-    Draws become one row each (terms are a fixed list); the grid, whose size the caller chose, is
-    put onto each of them as an array, so the product is made by a narrow explode.
+    Draws become one row each (terms are a fixed list) and meet the grid in a salted join, so neither
+    side is gathered.
     """
     names = [intercept, *terms]
     wide = draws.groupBy(draw).agg(*[F.max(F.when(F.col("term") == t, F.col("value"))).alias(f"__b{i}")
                                      for i, t in enumerate(names)])
     work = design(points, {f"__x{i}": f for i, f in enumerate(terms.values(), start=1)})
-    size = F.count(F.lit(1))
-    # One more than allowed is read, so that too many are reported, never cut.
-    packed = work.limit(MAX_LEVELS + 1).agg(
-        F.when(size > MAX_LEVELS, F.raise_error(F.lit("the grid has too many points")))
-        .otherwise(F.collect_list(F.struct(*work.columns)))).scalar()
-    rows = wide.withColumn("__p", F.explode(packed)).select(draw, *[f"__b{i}" for i in range(len(names))], "__p.*")
+    rows = pair_all(wide, work)
     eta = reduce(lambda a, b: a + b, [F.col(f"__b{i}") * F.col(f"__x{i}") for i in range(1, len(names))], F.col("__b0"))
     return rows.select(draw, *points.columns, F.exp(eta).alias("epred"))
 
@@ -203,15 +197,6 @@ def interval_summary(df: DataFrame, keys: Sequence[str], value: str, masses: Seq
     return packed.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
 
-def predictive_ecdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Empirical distribution of observed and replicated values side by side (``keys`` tell which)."""
-    return ecdf(df, keys, value)
-
-
-def predictive_density(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float, bins: int) -> DataFrame:
-    return binned_density(df, keys, value, lo, hi, bins)
-
-
 def join_predictions(predictions: DataFrame, covariates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Predictions with the covariates of their level.
 

@@ -11,6 +11,7 @@ the order column; where any order will do, callers pass an even hash of the row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -55,6 +56,7 @@ def add_chunks(df: DataFrame, order: Sequence[str], chunk: Column | None = None,
     tie = order_number(df, order[1]) if len(order) > 1 else None
     probe = df.select(x.alias("x"), *([tie.alias("t")] if tie is not None else []))
     found = probe.approxQuantile(probe.columns, [i / CUTS for i in range(CUTS + 1)], 1 / (8 * CUTS))
+    found = [[p for p in points if math.isfinite(p)] for points in found]  # infinite values need no cut
     points = found[0] or [0.0]
     work = _slice(df.withColumn("__x", x), "__x", sorted(set(points)), out)
     if tie is None:
@@ -76,7 +78,7 @@ def _slice(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> DataF
     starts = [0.0, *cuts]
     scales = [0.0, *[SLICES / (hi - lo) for lo, hi in zip(cuts, cuts[1:])], 0.0]
     lo, scale = F.get(_doubles(starts), bucket), F.get(_doubles(scales), bucket)
-    part = F.least(F.lit(SLICES - 1), F.floor((F.col(column) - lo) * scale)).cast("int")
+    part = F.when(F.abs(column) < float("inf"), F.least(F.lit(SLICES - 1), F.floor((F.col(column) - lo) * scale)).cast("int"))
     return found.withColumn(out, bucket * SLICES + F.coalesce(part, F.lit(0))).drop("__b")
 
 
@@ -118,8 +120,8 @@ def sort_position(df: DataFrame, column: str, tie: str, out: str = "position") -
 
 
 def rank_table(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """Position of each row of a table with one row per level."""
-    return row_index(df, order, out=out, chunk=F.lit(0))
+    """Position of each row of a table with one row per level, missing values first."""
+    return row_index(df, order, out=out)
 
 
 def lag_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str],
@@ -202,8 +204,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     counted = value_counts_cumulative(df, keys, value)
     counted = counted if keys else counted.withColumn("__all", F.lit(0))
     by = list(keys) or ["__all"]
-    points = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    rows = counted.withColumn("prob", points)
+
+    def meets(p: Column) -> Column:
+        place = (F.col("n_total") - 1) * p
+        return (F.col("n_below") <= F.ceil(place)) & (F.floor(place) < F.col("n_upto"))
+
+    # Only the probabilities that fall on a value leave its row.
+    rows = counted.withColumn("prob", F.explode(F.filter(F.array(*[F.lit(float(p)) for p in probs]), meets)))
     at = (F.col("n_total") - 1) * F.col("prob")
     lo, hi = F.floor(at), F.ceil(at)
     holds_lo = (F.col("n_below") <= lo) & (lo < F.col("n_upto"))
@@ -212,4 +219,4 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         F.max(F.when(holds_lo, F.col(value))).alias("a"),
         F.max(F.when(holds_hi, F.col(value))).alias("b"),
         F.max(at - lo).alias("w"))
-    return picked.select(*keys, "prob", (F.col("a") + F.col("w") * (F.col("b") - F.col("a"))).alias("quantile"))
+    return picked.select(*keys, "prob", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + F.col("w") * (F.col("b") - F.col("a"))).alias("quantile"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 
@@ -10,8 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.nulls import paste
 from ..functions.uniform import hash32
 from .joins import null_safe_join
+from .ordered import running_sum
 
-MAX_LEVELS = 100_000
+PAIRS_PER_CELL = 1_000_000
 
 
 def to_long(df: DataFrame, columns: Sequence[str], names_to: str = "name",
@@ -99,26 +101,27 @@ def cross_with(df: DataFrame, **vectors: Sequence) -> DataFrame:
     return df
 
 
-def level_array(df: DataFrame, column: str) -> Column:
-    """The sorted distinct values of a column as one array, an error when they are too many."""
-    # One more than allowed is read, so that too many are reported, never cut.
-    levels = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1)
-    packed = levels.agg(
-        F.when(F.count(F.lit(1)) > MAX_LEVELS, F.raise_error(F.lit(
-            f"{column} has too many values for a level list")))
-        .otherwise(F.sort_array(F.collect_list(column))).alias("a"))
-    return packed.scalar()
+def pair_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of one table with every row of the other, where that is what is asked for.
 
+    Both sides are dealt over a square of cells of about ``PAIRS_PER_CELL`` results and meet in an
+    equi-join on the cell, so no side is gathered or broadcast whole and each task makes a bounded share.
+    """
+    n, m = left.count(), right.count()
+    side = max(1, math.ceil(math.sqrt(n * m / PAIRS_PER_CELL)))
 
-def key_frame(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every combination of the distinct values of the keys.
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(side)).cast("int")
+        return df.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
 
-    The first key stays a distributed table; the other keys, whose level lists are bounded, are
-    exploded onto it, so no cross join is planned.
-    """
+    return dealt(left, "__i", "__j").join(dealt(right, "__j", "__i"), ["__i", "__j"]).drop("__i", "__j")
+
+
+def key_frame(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every combination of the distinct values of the keys; a missing value is a value too."""
     frame = df.select(keys[0]).distinct()
     for k in keys[1:]:
-        frame = frame.withColumn(k, F.explode(level_array(df, k)))
+        frame = pair_all(frame, df.select(k).distinct())
     return frame
 
 
@@ -159,10 +162,23 @@ def grid(df: DataFrame, by: Sequence[str], ranges: Mapping[str, int] | None = No
 
 
 def fill_ids(df: DataFrame, column: str, identity: Sequence[str], prefix: str = "ran") -> DataFrame:
-    """Give rows without an id a repeatable one made from the columns that identify them."""
-    made = F.concat(F.lit(prefix), F.substring(F.md5(paste(*[F.col(c) for c in identity], sep="|")),
-                                               1, 16))
-    return df.withColumn(column, F.coalesce(F.col(column), made))
+    """Give each row without an id a repeatable one of its own.
+
+    The id is the whole hash of the columns that identify a row and the number of the row among those
+    alike. Rows alike in every column are counted first, so a frequent row is one group row, and their
+    numbers are interchangeable; rows that are alike in ``identity`` only follow the hash of the whole row.
+    """
+    whole = F.md5(paste(*[F.col(f"`{c}`").cast("string") for c in df.columns], sep="|"))
+    alike = (df.where(F.col(column).isNull()).withColumns({
+        "__id": F.md5(paste(*[F.col(f"`{c}`").cast("string") for c in identity], sep="|")), "__row": whole})
+        .groupBy(*[f"`{c}`" for c in df.columns], "__id", "__row").agg(F.count(F.lit(1)).alias("__n")))
+    # The order is that of the row hash, whose first digits are an even chunk along it.
+    chunked = alike.withColumn("__h", F.conv(F.substring("__row", 1, 4), 16, 10).cast("int"))
+    counted = running_sum(chunked, ["__id"], ["__h", "__row"], {"__upto": F.col("__n")}, F.col("__h"))
+    made = F.concat(F.lit(prefix), F.col("__id"), F.lit("_"), F.col("__k").cast("string"))
+    filled = counted.withColumn("__k", F.explode(F.sequence(F.col("__upto") - F.col("__n") + 1, F.col("__upto"))))
+    filled = filled.withColumn(column, made).select(*[f"`{c}`" for c in df.columns])
+    return df.where(F.col(column).isNotNull()).withColumn(column, F.col(column).cast("string")).unionByName(filled)
 
 
 def hash_bucket(df: DataFrame, identity: Sequence[str], n: int) -> Column:

@@ -7,7 +7,7 @@ groups of any size.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -97,10 +97,14 @@ def orthogonal_quadratic(df: DataFrame, x: str, out: tuple[str, str] = ("poly1",
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Correlation of each pair of columns over complete rows, long: one aggregate, one row per pair."""
+    """Correlation of each pair of columns over complete rows, long: one aggregate, one row per pair.
+
+    A constant column has no correlation: missing.
+    """
     pairs = list(itertools.combinations(columns, 2))
     complete = df.select(*columns).na.drop()
-    wide = complete.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    spread = {c: F.stddev_pop(c) for c in columns}
+    wide = complete.agg(*[F.try_divide(F.covar_pop(a, b), spread[a] * spread[b]).alias(f"{a}|{b}") for a, b in pairs])
     cells = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
                                F.col(f"`{a}|{b}`").alias("correlation")) for a, b in pairs])
     return wide.select(F.explode(cells).alias("c")).select("c.*")
@@ -109,35 +113,44 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def collinearity(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Variance inflation factor of each column.
 
-    Only the correlations (one number per pair of columns) reach the driver.
+    Only the correlations (one number per pair of columns) reach the driver. A column without any
+    correlation, as a constant has none, gets a missing factor and is left out of the others'.
     """
-    position = {c: i for i, c in enumerate(columns)}
-    matrix = np.eye(len(columns))
-    for row in correlations(df, columns).collect():
-        i, j = position[row.var1], position[row.var2]
-        matrix[i, j] = matrix[j, i] = row.correlation
-    factors = np.diag(np.linalg.inv(matrix))
+    found = {(r.var1, r.var2): r.correlation for r in correlations(df, columns).collect()}
+    known = [c for c in columns if any(v is not None for k, v in found.items() if c in k)]
+    position = {c: i for i, c in enumerate(known)}
+    matrix = np.eye(len(known))
+    for (a, b), value in found.items():
+        if a in position and b in position:
+            matrix[position[a], position[b]] = matrix[position[b], position[a]] = value
+    factors = np.diag(np.linalg.pinv(matrix) if np.linalg.matrix_rank(matrix) < len(known) else np.linalg.inv(matrix))
     return df.sparkSession.createDataFrame(
-        [(c, float(f)) for c, f in zip(columns, factors)], "term string, vif double")
+        [(c, float(factors[position[c]]) if c in position else None) for c in columns], "term string, vif double")
 
 
 def binned_density(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float, bins: int) -> DataFrame:
-    """Counts and density of a value in equal bins from ``lo`` to ``hi``; values outside go to the end bins."""
+    """Counts and density of a value in equal bins from ``lo`` to ``hi``.
+
+    Values below and above have bins of their own, -1 and ``bins``, without a middle and a density;
+    all values count for the density.
+    """
     width = (hi - lo) / bins
-    b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col(value) - lo) / width).cast("int")))
+    b = bin_number(F.col(value), lo, hi, bins)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     sizes = counted.groupBy(*keys).agg(F.sum("n").alias("n_total"))
     joined = null_safe_join(counted, sizes, keys, "left") if keys else counted.withColumn("n_total", sizes.scalar())
-    return joined.select(*keys, "bin", (F.lit(lo) + (F.col("bin") + 0.5) * width).alias("mid"), "n",
-                         (F.col("n") / (F.col("n_total") * width)).alias("density"))
+    inside = F.col("bin").between(0, bins - 1)
+    return joined.select(*keys, "bin", F.when(inside, F.lit(lo) + (F.col("bin") + 0.5) * width).alias("mid"), "n",
+                         F.when(inside, F.col("n") / (F.col("n_total") * width)).alias("density"))
+
+
+def bin_number(x: Column, lo: float, hi: float, bins: int) -> Column:
+    """Number of the equal bin from 0; ``hi`` is in the last one, -1 and ``bins`` are outside."""
+    inside = F.least(F.lit(bins - 1), F.floor((x - lo) / ((hi - lo) / bins)).cast("int"))
+    return F.when(x < lo, -1).when(x > hi, bins).otherwise(inside)
 
 
 def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean, variance (n-1), skewness and excess kurtosis (population forms) per group."""
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.var_samp(value).alias("var"),
                                  F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"))
-
-
-def exact_scale(df: DataFrame, columns: Mapping[str, float]) -> DataFrame:
-    """Divide columns by fixed units."""
-    return df.withColumns({c: F.col(c) / F.lit(u) for c, u in columns.items()})

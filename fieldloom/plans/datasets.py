@@ -10,8 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.nulls import matches
-from ..operators.aggregate import keep_groups
+from ..operators.aggregate import bind_rows, keep_groups
 from ..operators.census import clean_coded, clean_rounds, prepare_rounds
 from ..operators.columns import rename, zscore
 from ..operators.community import add_site_context, clean_community, impute_totals
@@ -25,13 +24,12 @@ def community(raw: DataFrame, normals: DataFrame, key_map: DataFrame | None = No
     return impute_totals(cut_lineage(clean_community(raw, normals, key_map)))
 
 
-def rounds_recruits(raw: DataFrame, normals: DataFrame, community_rows: DataFrame,
-                    key_map: DataFrame | None = None, **options) -> DataFrame:
+def rounds_recruits(raw: DataFrame, normals: DataFrame, key_map: DataFrame | None = None, **options) -> DataFrame:
     """Recruits of the numbered census in bare and control plots."""
     rows = prepare_rounds(raw, **options)
     if key_map is not None:
         rows = map_keys(rows, key_map, ["plotID", "blockID"])
-    cleaned = clean_rounds(add_site_context(rows, normals), community_rows)
+    cleaned = clean_rounds(add_site_context(rows, normals))
     plots = cleaned.where(F.col("fg_removed").isin("FGB", "C"))
     plots = plots.withColumn("fg_removed", F.when(F.col("fg_removed") == "FGB", "Gap").otherwise("Intact"))
     plot = F.when(F.col("turfID").isNotNull(), F.concat("blockID", F.lit("RTC"))).otherwise(F.col("plotID"))
@@ -50,9 +48,10 @@ def combined_recruits(coded: DataFrame, rounds: DataFrame, drought: DataFrame,
     A missing month is July in early seasons and otherwise the first, then the last known month of
     the site, season and year, in the given order.
     """
-    rows = cut_lineage(natural_join(cut_lineage(coded), cut_lineage(rounds), "outer"))
+    # The studies share no seedling, so their full join is a union. Three aggregates read it: written once.
+    rows = cut_lineage(bind_rows(coded, rounds))
     rows = with_group_stats(rows, ["siteID", "blockID", "plotID", "season", "year"], {"plot_count": F.sum("count")})
-    rows = cut_lineage(rows.withColumn("count", F.col("plot_count")).drop("plot_count"))
+    rows = rows.withColumn("count", F.col("plot_count")).drop("plot_count")
     rows = fill_month(rows, ["siteID", "season", "year"], order)
     climate = drought.drop("season", "date")
     return rename(null_safe_join(rows.drop("date"), climate, ["siteID", "year", "month"], "left"),
@@ -108,7 +107,3 @@ def abundance(records: DataFrame, frame: DataFrame, columns: Sequence[str]) -> D
 def plots_with_records(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Drop plots in which nothing was ever found."""
     return keep_groups(df, keys, F.sum(value) >= 1)
-
-
-def control_rows(df: DataFrame, plot: str) -> DataFrame:
-    return df.where(matches(plot, "C"))

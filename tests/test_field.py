@@ -138,7 +138,7 @@ def test_plot_round_frame(plots):
 
 
 def test_clean_rounds(prepared, normals, plots):
-    out = census.clean_rounds(community.add_site_context(prepared, normals), plots)
+    out = census.clean_rounds(community.add_site_context(prepared, normals))
     got = {r.seedID: r for r in out.collect()}
     one = got["1_Fau1C"]
     assert (one.first_occurrence, one.survival_duration, one.season, one.month) == ("spr_18", 2.0, "early", 7)
@@ -182,7 +182,7 @@ def test_clean_coded(coded):
 def test_combined_recruits(spark, coded, prepared, normals, plots):
     both = community.add_site_context(coded, normals).withColumnsRenamed({"treatment": "fg_removed", "ID": "seedID"})
     assert "seedID" in both.columns
-    rounds = census.clean_rounds(community.add_site_context(prepared, normals), plots)
+    rounds = census.clean_rounds(community.add_site_context(prepared, normals))
     rounds = rounds.drop("comment", "functional_group")
     climate = spark.createDataFrame([("Fauske", 2018, 7, 0.5, "x", None)], "siteID string, year int, month int, spei double, season string, date date")
     out = datasets.combined_recruits(both, rounds, climate)

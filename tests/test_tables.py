@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from fieldloom.operators import aggregate as agg, audit, joins, ordered, reshape
+from fieldloom.operators import aggregate as agg, audit, columns, joins, ordered, reshape, stats
 from fieldloom.sources import tables
 
 
@@ -78,7 +78,12 @@ def test_repeat_cross_complete_grid(spark):
     assert rows(reshape.repeat_rows(df, "n", "i"), "k", "i") == [("a", 1), ("a", 2)]
     assert reshape.cross_with(df, r=[2, 1, 2]).count() == 6
     full = reshape.complete(df.select("k", "n", "x"), ["k", "n"], fill={"x": 0.0})
-    assert full.count() == 6  # the missing n is not a level
+    assert full.count() == 9  # the missing n is a level, as any other key
+    holes = spark.createDataFrame([("a", 1), ("a", None), (None, 1), ("b", 2)], "k string, n int")
+    assert rows(reshape.complete(holes, ["k", "n"])) == sorted(
+        [(k, n) for k in (None, "a", "b") for n in (None, 1, 2)], key=lambda t: tuple((v is not None, v) for v in t))
+    many = spark.range(100_001).select(F.lit("a").alias("k"), F.col("id").alias("n"))
+    assert reshape.key_frame(many, ["k", "n"]).count() == 100_001
     points = reshape.grid(df, ["k"], {"x": 3}, {"s": [0.0, 1.0]})
     assert points.count() == 18 and {r.x for r in points.collect()} == {1.0, 3.0, 5.0}
     assert "CartesianProduct" not in points._jdf.queryExecution().executedPlan().toString()
@@ -89,6 +94,35 @@ def test_fill_ids_do_not_depend_on_order(spark):
     a = reshape.fill_ids(spark.createDataFrame(data, "i int, seed string"), "seed", ["i"])
     b = reshape.fill_ids(spark.createDataFrame(data[::-1], "i int, seed string").repartition(7), "seed", ["i"])
     assert rows(a) == rows(b) and len({r.seed for r in a.collect()}) == 20
+    alike = spark.createDataFrame([(1, None)] * 3 + [(2, None), (2, "x"), (None, None)], "i int, seed string")
+    ids = reshape.fill_ids(alike, "seed", ["i"])
+    assert ids.count() == 6 and len({r.seed for r in ids.collect()}) == 6
+    other = spark.createDataFrame([(1, "p", None), (1, "q", None)], "i int, w string, seed string")
+    assert len({r.seed for r in reshape.fill_ids(other, "seed", ["i"]).collect()}) == 2
+
+
+def test_repeated_keys_are_errors(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    twice = spark.createDataFrame([("a", 5), ("a", 6)], "k string, v int")
+    with pytest.raises(Exception, match="duplicate key"):
+        columns.patch_cells(df, twice, ["k"], ["v"]).collect()
+    pairs = spark.createDataFrame([("a", "x"), ("a", "y")], "from_key string, to_key string")
+    with pytest.raises(Exception, match="duplicate key"):
+        joins.map_keys(df, pairs, ["k"]).collect()
+
+
+def test_infinite_and_constant_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(float(i), 3.0) for i in range(50)] + [(inf, 3.0), (-inf, 3.0), (None, 3.0)], "v double, c double")
+    z = columns.zscore(df, {"z": "v"}).collect()
+    assert sum(r.z is not None and abs(r.z) < 3 for r in z) == 50 and {r.z for r in z if r.v in (inf, -inf)} == {inf, -inf}
+    assert ordered.ecdf(df, [], "v").count() == 52
+    q = {r.prob: r.quantile for r in ordered.exact_quantiles(df, [], "v", [0.0, 0.5, 1.0]).collect()}
+    assert q[0.5] == 24.5 and q[1.0] == inf
+    assert stats.correlations(df.where("v < 100 AND v > -1"), ["v", "c"]).first().correlation is None
+    assert {r.term: r.vif for r in stats.collinearity(df.where("v < 100 AND v > -1").withColumn("w", F.col("v") * F.col("v")), ["v", "c", "w"]).collect()}["c"] is None
+    bins = {r.bin: r.n for r in stats.binned_density(df, [], "v", 0.0, 10.0, 2).collect()}
+    assert bins == {-1: 1, 0: 5, 1: 6, 2: 40}
 
 
 def hot_events(n=3000):
