@@ -23,6 +23,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ CAPACITY = 2048
 STEP = 8
 CHUNK = 200_000
 END_ID = 1
-CACHE = 400_000
+CACHE = 300_000
 
 # Letters and marks whose lower case and composition do not depend on their neighbours.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)\Z")
@@ -45,6 +46,15 @@ if array("I").itemsize != 4 or sys.byteorder != "little":
     raise RuntimeError("token ids are kept as little-endian 32-bit numbers")
 
 
+@cache
+def load_tokenizer(path: str):
+    """The tokenizer, and the printable character that stands for each byte in its model."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return Tokenizer.from_file(path), {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(192, 256)])}
+
+
 class WordIds(dict):
     """Ids (little-endian 32-bit) of a space-free part of a text, kept for frequent parts.
 
@@ -54,12 +64,8 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bytes = load_tokenizer(path)
         self.model = self.tokenizer.model
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(192, 256)])}
         self.units: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # a full cache is kept for one more round, so frequent parts survive
         self.old_units: dict[str, bytes] = {}
@@ -99,20 +105,11 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
-
-
 def _pieces(path: str, capacity: int):
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
+        words = WordIds(path)  # for this task only: workers live on and would keep it
         for batch in batches:
             total, starts, lengths, sums = [], [], [], []
             for text in batch.column(1):
@@ -241,7 +238,7 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str) -> DataFrame:
     spots = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("spots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_ids(tokenizer), np.array([END_ID], "<u4").tobytes()
+        words, end = WordIds(tokenizer), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out = []
             for text, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
