@@ -319,20 +319,20 @@ fill AS (SELECT c.site, c.species, c.cover, n0.trait, CASE WHEN n1 >= 2 OR n1 =
   FROM cover c JOIN n0 ON c.species = n0.species LEFT JOIN n1 ON c.site = n1.site AND c.species = n1.species AND n0.trait = n1.trait)"""
 
 
-def _hash_sql(expression: str) -> str:
-    return f"('0x' || substr(md5({expression}), 1, 8))::BIGINT"
+def _hash_sql(expression: str, digits: int = 8) -> str:
+    return f"('0x' || substr(md5({expression}), 1, {digits}))::BIGINT"
 
 
 BOOT_SQL = TRAIT_SQL + f""",
-ln AS (SELECT *, cover::DECIMAL(28, 9) AS w, {_hash_sql("site || '|' || species || '|' || trait")} % 1024 AS h FROM fill),
+ln AS (SELECT *, (cover / max(cover) OVER (PARTITION BY site, trait))::DECIMAL(38, 28) AS w, {_hash_sql("site || '|' || species || '|' || trait")} % 16 AS h FROM fill),
 cu AS (SELECT *, sum(w) OVER (PARTITION BY site, trait ORDER BY h, species ROWS UNBOUNDED PRECEDING) AS hi, sum(w) OVER (PARTITION BY site, trait) AS total FROM ln),
 line AS (SELECT *, (hi - w)::DOUBLE / total::DOUBLE AS a FROM cu),
-pt AS (SELECT site, trait, replicate, draw, {_hash_sql("'1525|' || site || '|' || trait || '|' || replicate || '|' || draw")} / 4294967296.0::DOUBLE AS u,
-    {_hash_sql("'1526|' || site || '|' || trait || '|' || replicate || '|' || draw")} / 4294967296.0::DOUBLE AS u2
+pt AS (SELECT site, trait, replicate, draw, {_hash_sql("'1525|' || site || '|' || trait || '|' || replicate || '|' || draw", 13)} / 4503599627370496.0::DOUBLE AS u,
+    {_hash_sql("'1526|' || site || '|' || trait || '|' || replicate || '|' || draw", 13)} / 4503599627370496.0::DOUBLE AS u2
   FROM (SELECT DISTINCT site, trait FROM fill) CROSS JOIN generate_series(1, 100) AS r(replicate) CROSS JOIN generate_series(1, 200) AS d(draw)),
 pk AS (SELECT pt.site, pt.trait, replicate, draw, species, level, floor(u2 * n_sample)::BIGINT + 1 AS nr
   FROM pt ASOF JOIN line ON pt.site = line.site AND pt.trait = line.trait AND pt.u >= line.a),
-hv AS (SELECT *, {_hash_sql("l_orderkey || '|' || l_linenumber || '|' || species || '|' || l_suppkey")} % 1024 AS h FROM traits),
+hv AS (SELECT *, {_hash_sql("l_orderkey || '|' || l_linenumber || '|' || species || '|' || l_suppkey")} % 16 AS h FROM traits),
 v1 AS (SELECT *, row_number() OVER (PARTITION BY site, species, trait ORDER BY h, l_orderkey, l_linenumber, species, l_suppkey) AS nr FROM hv),
 v0 AS (SELECT *, row_number() OVER (PARTITION BY species, trait ORDER BY h, l_orderkey, l_linenumber, species, l_suppkey) AS nr FROM hv),
 dr AS (SELECT pk.site, pk.trait, replicate, draw, v1.value FROM pk JOIN v1 ON level = 1 AND pk.site = v1.site AND pk.species = v1.species AND pk.trait = v1.trait AND pk.nr = v1.nr
@@ -402,3 +402,35 @@ def trait_names(t):
         F.col("p_type") == "MEDIUM", "fresh_mass_log").otherwise(F.col("p_name"))
     return community.describe_traits(t.part.select("p_partkey", code.alias("trait_trans"))).select(
         "p_partkey", "trait_fancy", "figure_names", "trait_order", "class")
+
+
+# --- values beyond every bound ----------------------------------------------------------------------
+
+BEYOND_SQL = """
+v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber = 7 THEN 'infinity'::DOUBLE WHEN l_linenumber = 6 THEN '-infinity'::DOUBLE
+  WHEN l_linenumber < 5 THEN l_extendedprice END AS v FROM lineitem)"""
+
+
+def _beyond(t):
+    v = F.when(F.col("l_linenumber") == 7, float("inf")).when(F.col("l_linenumber") == 6, float("-inf")).when(F.col("l_linenumber") < 5, F.col("l_extendedprice"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", v.alias("v"))
+
+
+@case("q_zscore_infinite", "WITH" + BEYOND_SQL + """,
+s AS (SELECT avg(v) AS m, stddev_samp(v) AS s FROM v WHERE isfinite(v))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN isfinite(v) THEN round((v - m) / s, 7) + 0.0 ELSE v END AS z FROM v, s""")
+def zscore_infinite(t):
+    out = cols.zscore(_beyond(t), {"z": "v"})
+    z = F.when(F.abs("z") < float("inf"), r("z", 7)).otherwise(F.col("z"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", z.alias("z"))
+
+
+@case("q_quantiles_infinite", "WITH" + BEYOND_SQL + """,
+p AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS prob),
+k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM v WHERE v IS NOT NULL)
+SELECT prob::DOUBLE AS prob, CASE WHEN max(a.v) = max(b.v) THEN max(a.v) ELSE round(max(a.v) + max((n - 1) * prob - floor((n - 1) * prob)) * (max(b.v) - max(a.v)), 6) + 0.0 END AS quantile
+FROM p JOIN k a ON a.i = floor((a.n - 1) * prob) JOIN (SELECT i, v FROM k) b ON b.i = ceil((a.n - 1) * prob) GROUP BY 1""")
+def quantiles_infinite(t):
+    out = ordered.exact_quantiles(_beyond(t), [], "v", [0.0, 0.25, 0.5, 0.75, 1.0])
+    q = F.when(F.abs("quantile") < float("inf"), r("quantile")).otherwise(F.col("quantile"))
+    return out.select("prob", q.alias("quantile"))

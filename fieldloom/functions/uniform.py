@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .nulls import paste
 
-HASH_RANGE = 4294967296
+HASH_RANGE = 2**52
 
 
 def hash32(*parts) -> Column:
@@ -16,5 +16,6 @@ def hash32(*parts) -> Column:
 
 
 def uniform(*parts) -> Column:
-    """A number in [0, 1) that depends on the parts only."""
-    return hash32(*parts) / F.lit(float(HASH_RANGE))
+    """A number in [0, 1) with 52 random bits that depends on the parts only."""
+    digest = F.md5(paste(*parts, sep="|"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(HASH_RANGE))

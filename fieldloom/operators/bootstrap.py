@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.nulls import paste
 from ..functions.uniform import hash32, uniform
 from ..session import cut_lineage
-from .joins import null_safe_join
-from .ordered import row_index, running_sum
+from .joins import null_safe_join, with_group_stats
+from .ordered import even_chunks, row_index, running_sum
 from .stats import moments
 
-WEIGHT_TYPE = "decimal(28,9)"
+WEIGHT_TYPE = "decimal(38,28)"
 
 
 def trait_fill(cover: DataFrame, traits: DataFrame, hierarchy: Sequence[str], taxon: str = "species",
@@ -56,7 +56,7 @@ def _level_sizes(known, at, taxon, trait, value, level):
 def bootstrap_draws(filled: DataFrame, traits: DataFrame, groups: Sequence[str], hierarchy: Sequence[str],
                     row_id: Sequence[str], trait_id: Sequence[str], weight: str = "cover", taxon: str = "species",
                     trait: str = "trait", value: str = "value", n_rep: int = 100, sample_size: int = 200,
-                    seed: int = 1525, chunks: int = 1024) -> DataFrame:
+                    seed: int = 1525, chunks: int | None = None) -> DataFrame:
     """Weighted draws with replacement: ``n_rep`` replicates of ``sample_size`` values per group.
 
     A draw first picks a cover row with probability proportional to its weight, then one of the
@@ -70,11 +70,12 @@ def bootstrap_draws(filled: DataFrame, traits: DataFrame, groups: Sequence[str],
     number = F.floor(uniform(F.lit(seed + 1), label, F.col("replicate"), F.col("draw")) * F.col("n_sample")) + 1
     picked = cut_lineage(picked.withColumn("__number", number))
     known = traits.where(F.col(value).isNotNull())
+    spread_over = chunks or even_chunks(known)
     keep = [*groups, "replicate", "draw"]
     parts = None
     for level in range(len(hierarchy) + 1):
         at = [*hierarchy[:level], taxon, trait]
-        spread = known.withColumn("__h", F.pmod(hash32(*[F.col(c) for c in trait_id]), F.lit(chunks)))
+        spread = known.withColumn("__h", F.pmod(hash32(*[F.col(c) for c in trait_id]), F.lit(spread_over)))
         numbered = row_index(spread, ["__h", *trait_id], at, "__number", F.col("__h"))
         part = null_safe_join(picked.where(F.col("level") == level),
                               numbered.select(*at, "__number", F.col(value).alias("__value")),
@@ -84,7 +85,7 @@ def bootstrap_draws(filled: DataFrame, traits: DataFrame, groups: Sequence[str],
 
 
 def weighted_pick(rows: DataFrame, groups: Sequence[str], row_id: Sequence[str], weight: str, keep: Sequence[str],
-                  n_rep: int, sample_size: int, seed: int, chunks: int = 1024) -> DataFrame:
+                  n_rep: int, sample_size: int, seed: int, chunks: int | None = None) -> DataFrame:
     """Rows picked with replacement, with probability proportional to their weight in the group.
 
     The rows of a group lie side by side on a line, each as long as its weight, in an order that
@@ -95,7 +96,11 @@ def weighted_pick(rows: DataFrame, groups: Sequence[str], row_id: Sequence[str],
     cells = n_rep * sample_size
     kept = [c for c in dict.fromkeys(keep) if c not in groups]
     ids = [c for c in row_id if c not in groups and c not in kept]
-    work = cut_lineage(rows.select(*groups, *kept, *ids, F.col(weight).cast(WEIGHT_TYPE).alias("__w")).where("__w > 0"))
+    # Weights relative to the largest of the group: exact sums whatever their unit.
+    weighted = with_group_stats(rows.select(*groups, *kept, *ids, F.col(weight).cast("double").alias("__v")).where("__v > 0"), groups,
+                                {"__top": F.max("__v")})
+    work = cut_lineage(weighted.withColumn("__w", (F.col("__v") / F.col("__top")).cast(WEIGHT_TYPE)).drop("__v", "__top"))
+    chunks = chunks or even_chunks(work)
     spread = work.withColumn("__h", F.pmod(hash32(*[F.col(c) for c in row_id]), F.lit(chunks)))
     order = ["__h", *[c for c in row_id if c not in groups]]
     line = running_sum(spread, groups, order, {"__end": F.col("__w")}, F.col("__h"))

@@ -23,6 +23,12 @@ from .joins import null_safe_join
 
 CUTS = 127
 SLICES = 32
+ROWS_PER_CHUNK = 200_000
+
+
+def even_chunks(df: DataFrame) -> int:
+    """How many chunks a table needs so that each stays small, from its number of rows."""
+    return max(16, math.ceil(df.count() / ROWS_PER_CHUNK))
 
 
 def order_number(df: DataFrame, column: str) -> Column | None:
@@ -43,7 +49,7 @@ def add_chunks(df: DataFrame, order: Sequence[str], chunk: Column | None = None,
     """Add the chunk number for an ascending order of the given columns.
 
     Without an expression: quantiles of the first order column over the whole table, each cut into
-    even slices. A value so frequent that it spans a quantile by itself is cut along the second
+    even slices, more of them the more rows there are. A value so frequent that it spans a quantile by itself is cut along the second
     order column, and so are missing values, which come first. The cut points (``CUTS`` numbers)
     are read once and written into the plan, so all branches of an operator and every retry of a
     task see the same chunks.
@@ -55,31 +61,33 @@ def add_chunks(df: DataFrame, order: Sequence[str], chunk: Column | None = None,
         raise ValueError(f"{order[0]} is neither a number nor a time: pass a chunk")
     tie = order_number(df, order[1]) if len(order) > 1 else None
     probe = df.select(x.alias("x"), *([tie.alias("t")] if tie is not None else []))
-    found = probe.approxQuantile(probe.columns, [i / CUTS for i in range(CUTS + 1)], 1 / (8 * CUTS))
-    found = [[p for p in points if math.isfinite(p)] for points in found]  # infinite values need no cut
+    places = [i / CUTS for i in range(CUTS + 1)]
+    *found, rows = probe.agg(*[F.percentile_approx(c, places, 8 * CUTS) for c in probe.columns], F.count(F.lit(1))).first()
+    found = [[p for p in points or [] if math.isfinite(p)] for points in found]  # infinite values need no cut
+    slices = max(SLICES, math.ceil(rows / (CUTS * ROWS_PER_CHUNK)))  # more rows, more slices of each interval
     points = found[0] or [0.0]
-    work = _slice(df.withColumn("__x", x), "__x", sorted(set(points)), out)
+    work = _slice(df.withColumn("__x", x), "__x", sorted(set(points)), out, slices)
     if tie is None:
         return work.withColumn(out, F.coalesce(out, F.lit(-1))).drop("__x")
     heavy = sorted({p for p in points if points.count(p) > 1})
-    work = _slice(work.withColumn("__t", tie), "__t", sorted(set(found[1] or [0.0])), "__along")
+    work = _slice(work.withColumn("__t", tie), "__t", sorted(set(found[1] or [0.0])), "__along", slices)
     split = F.col("__x").isNull() | (F.col("__x").isin(heavy) if heavy else F.lit(False))
-    last = (CUTS + 3) * SLICES
+    last = (CUTS + 3) * slices
     along = F.when(split, F.coalesce("__along", F.lit(-1))).otherwise(last)
     return work.withColumn(out, F.coalesce(out, F.lit(-1)) * (last + 2) + along).drop("__x", "__t", "__along")
 
 
-def _slice(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> DataFrame:
-    """Add the number of the interval between cut points, times ``SLICES``, plus the slice in it."""
+def _slice(df: DataFrame, column: str, cuts: Sequence[float], out: str, slices: int) -> DataFrame:
+    """Add the number of the interval between cut points, times ``slices``, plus the slice in it."""
     edges = [float("-inf"), *cuts, float("inf")]
     found = Bucketizer(splits=edges, inputCol=column, outputCol="__b", handleInvalid="keep").transform(df)
     bucket = F.col("__b").cast("int")
     # Start and inverse width of every interval; the open ones at both ends are not sliced.
     starts = [0.0, *cuts]
-    scales = [0.0, *[SLICES / (hi - lo) for lo, hi in zip(cuts, cuts[1:])], 0.0]
+    scales = [0.0, *[slices / (hi - lo) for lo, hi in zip(cuts, cuts[1:])], 0.0]
     lo, scale = F.get(_doubles(starts), bucket), F.get(_doubles(scales), bucket)
-    part = F.when(F.abs(column) < float("inf"), F.least(F.lit(SLICES - 1), F.floor((F.col(column) - lo) * scale)).cast("int"))
-    return found.withColumn(out, bucket * SLICES + F.coalesce(part, F.lit(0))).drop("__b")
+    part = F.when(F.abs(column) < float("inf"), F.least(F.lit(slices - 1), F.floor((F.col(column) - lo) * scale)).cast("int"))
+    return found.withColumn(out, bucket.cast("long") * slices + F.coalesce(part, F.lit(0))).drop("__b")
 
 
 def _doubles(values: Sequence[float]) -> Column:
