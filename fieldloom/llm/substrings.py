@@ -30,8 +30,8 @@ from ..session import cut_lineage
 from . import bytewords as B
 from .tables import join_sized, keyed_texts
 
-FLUSH = 2_000_000
-RANGE_CHARS = 16_000_000
+FLUSH = 1_000_000
+RANGE_CHARS = 8_000_000
 SCHEMA = "part int, edges binary, docs binary, places binary"
 
 
@@ -92,37 +92,43 @@ def _edges(k: int, ranges: int):
     return run
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """Of one range: places of edges that start in a smaller doc_id, as (doc_id, places)."""
-    doc, place = _unpack(table["docs"].to_pylist(), np.int64), _unpack(table["places"].to_pylist(), np.int32)
-    packed = table["edges"].to_pylist()
-    if any(packed):
-        edge = _unpack(packed, np.uint64)
-        order = np.argsort(edge)
-        edge, doc, place = edge[order], doc[order], place[order]
-        starts = np.flatnonzero(np.append(True, edge[1:] != edge[:-1]))
-        later = doc > np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(edge))))
-        doc, place = doc[later], place[later]
-    order = np.argsort(doc, kind="stable")
-    doc, place = doc[order], place[order]
-    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(doc)), pa.int32()), pa.array(place, pa.int32()))
-    return pa.table([pa.array(doc[starts], pa.int64()), lists], names=["doc_id", "places"])
+def _settle(ranges: int):
+    """Of one range: places of edges that start in a smaller doc_id, packed by parts of the documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, place = _unpack(table["docs"].to_pylist(), np.int64), _unpack(table["places"].to_pylist(), np.int32)
+        packed = table["edges"].to_pylist()
+        if any(packed):
+            edge = _unpack(packed, np.uint64)
+            order = np.argsort(edge)
+            edge, doc, place = edge[order], doc[order], place[order]
+            starts = np.flatnonzero(np.append(True, edge[1:] != edge[:-1]))
+            later = doc > np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(edge))))
+            doc, place = doc[later], place[later]
+        part = ((B.mix(doc.view(np.uint64)) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        order = np.lexsort((place, doc, part))
+        part, doc, place = part[order], doc[order], place[order]
+        found, starts = np.unique(part, return_index=True)
+        cuts = [slice(a, b) for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True)] if len(part) else []
+        return pa.table([pa.array(found.astype(np.int32)), pa.array([_pack(doc[c]) for c in cuts], pa.binary()),
+                         pa.array([_pack(place[c]) for c in cuts], pa.binary())], names=["part", "docs", "places"])
 
+    return run
 
-def _paths(k: int):
-    """Occurrences (doc_id, places) compacted to maximal covered spans of words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts, ends = [], []
-            for places in batch.column(1).to_pylist():
-                p = np.unique(np.array(places, np.int64))
-                fresh = np.flatnonzero(np.diff(p) > k) + 1
-                starts.append(p[np.concatenate([[0], fresh])].astype(np.int32))
-                ends.append((p[np.concatenate([fresh - 1, [len(p) - 1]])] + k).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))],
-                                             names=["doc_id", "starts", "ends"])
+def _paths(k: int):
+    """Of one part of the documents: occurrences compacted to maximal covered spans of words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, place = _unpack(table["docs"].to_pylist(), np.int64), _unpack(table["places"].to_pylist(), np.int32).astype(np.int64)
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > k)))
+        last = np.append(first[1:], len(doc)) - 1
+        owner = np.flatnonzero(np.append(True, doc[first][1:] != doc[first][:-1]))
+        cuts = pa.array(np.append(owner, len(first)), pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(v, pa.int32())) for v in (place[first], place[last] + k)]
+        return pa.table([pa.array(doc[first][owner], pa.int64()), *lists], names=["doc_id", "starts", "ends"])
 
     return run
 
@@ -132,9 +138,8 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     texts = keyed_texts(docs).where("doc_id IS NOT NULL")
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, math.ceil(chars / RANGE_CHARS))
-    later = texts.mapInArrow(_edges(k, ranges), SCHEMA).groupBy("part").applyInArrow(_settle, "doc_id bigint, places array<int>")
-    return (later.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
-            .mapInArrow(_paths(k), "doc_id bigint, starts array<int>, ends array<int>"))
+    later = texts.mapInArrow(_edges(k, ranges), SCHEMA).groupBy("part").applyInArrow(_settle(ranges), "part int, docs binary, places binary")
+    return later.groupBy("part").applyInArrow(_paths(k), "doc_id bigint, starts array<int>, ends array<int>")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
