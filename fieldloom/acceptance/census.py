@@ -230,6 +230,42 @@ def event_long(t):
         "user_id", "occurrence", day_text("date").alias("date"), "top", "months_til_alive", "months_til_dead")
 
 
+# Both studies: the histories as they are, and again under other ids, 85 months earlier, ending with the other last census.
+STUDIES_SQL = "WITH" + PRESENCE_SQL + "," + FILL_SQL + "," + ROWS_SQL + """,
+cl AS (SELECT o_custkey % 12 AS "siteID", month(o_orderdate) AS m, max(o_totalprice) AS spei FROM orders GROUP BY ALL),
+st AS (SELECT user_id AS id, date, count, 'numbered' AS study FROM l UNION ALL SELECT -1 - user_id, (date - INTERVAL 85 MONTH)::DATE, count, 'coded' FROM l),
+sr AS (SELECT id, study, st.date, count, CASE WHEN count = 1 AND date IN (DATE '2012-07-01', DATE '2019-08-01') THEN 'right' ELSE 'interval' END AS censor,
+    sum(count) OVER (PARTITION BY id) AS survival_duration, spei FROM st LEFT JOIN cl ON cl."siteID" = abs(id) % 12 AND cl.m = month(date))"""
+
+
+def _studies(t):
+    site = (F.abs("user_id") % 12).alias("siteID")
+    numbered = history_rows(t)
+    coded = numbered.select((-1 - F.col("user_id")).alias("user_id"), F.add_months("date", -85).alias("date"), "count")
+    climate = t.orders.groupBy((F.col("o_custkey") % 12).alias("siteID"), F.month("o_orderdate").alias("m")).agg(F.max("o_totalprice").alias("spei"))
+    climate = reshape.cross_with(climate, year=[2012, 2019]).select("siteID", F.make_date("year", "m", F.lit(1)).alias("date"), "spei")
+    parts = {name: rows.select("*", site) for name, rows in (("numbered", numbered), ("coded", coded))}
+    return datasets.survival_dataset(parts, ["user_id"], climate)
+
+
+@case("q_survival_dataset", STUDIES_SQL + """
+SELECT id, study, strftime(date, '%Y-%m-%d') AS date, count, censor, survival_duration, round(spei, 4) + 0.0 AS spei FROM sr""")
+def survival_dataset(t):
+    return _studies(t).select(F.col("user_id").alias("id"), "study", day_text("date").alias("date"), "count", "censor", "survival_duration", r("spei", 4).alias("spei"))
+
+
+@case("q_survival_events", STUDIES_SQL + """,
+g AS (SELECT *, lag(count) OVER (PARTITION BY id ORDER BY date) AS before FROM sr),
+s AS (SELECT id, min(date) FILTER (WHERE count <> 0) AS a, max(date) FILTER (WHERE count <> 0) AS b,
+    max(date) FILTER (WHERE (count = 0 AND before = 1) OR (count = 1 AND date IN (DATE '2012-07-01', DATE '2019-08-01'))) AS d FROM g GROUP BY 1 HAVING a IS NOT NULL),
+o AS (SELECT id, 'first' AS occurrence, a AS date, a, b, d FROM s UNION ALL SELECT id, 'last', b, a, b, d FROM s)
+SELECT o.id, occurrence, strftime(o.date, '%Y-%m-%d') AS date, study, round(spei, 4) + 0.0 AS spei, ((year(b) - year(a)) * 12 + month(b) - month(a))::DOUBLE AS months_til_alive,
+  ((year(d) - year(a)) * 12 + month(d) - month(a))::DOUBLE AS months_til_dead FROM o JOIN sr ON o.id = sr.id AND o.date = sr.date WHERE b <= d""")
+def survival_events(t):
+    out = datasets.survival_events(_studies(t), ["user_id"], ["study", "spei"])
+    return out.select(F.col("user_id").alias("id"), "occurrence", day_text("date").alias("date"), "study", r("spei", 4).alias("spei"), "months_til_alive", "months_til_dead")
+
+
 @case("q_survival_pct", """
 WITH e AS (SELECT user_id, event_type, CASE WHEN value > 40 THEN 1 ELSE 0 END AS s FROM events WHERE user_id % 4 > 0),
 c AS (SELECT user_id, event_type, count(*) AS tot, sum(s) AS tots, sum(s)::DOUBLE / count(*) * 100 AS survival FROM e GROUP BY 1, 2)

@@ -16,6 +16,7 @@ from ..operators.columns import rename, zscore
 from ..operators.community import add_site_context, clean_community, impute_totals
 from ..operators.joins import map_keys, natural_join, null_safe_join, with_group_stats
 from ..operators.ordered import first_value, last_value
+from ..operators.survival import LAST_CENSUSES, event_rows, survival_rows
 from ..session import cut_lineage
 
 
@@ -107,3 +108,20 @@ def abundance(records: DataFrame, frame: DataFrame, columns: Sequence[str]) -> D
 def plots_with_records(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Drop plots in which nothing was ever found."""
     return keep_groups(df, keys, F.sum(value) >= 1)
+
+
+def survival_dataset(studies: Mapping[str, DataFrame], ids: Sequence[str], climate: DataFrame, last: Sequence[str] = LAST_CENSUSES) -> DataFrame:
+    """Rows per individual and census of all studies, with study, censor class, duration and climate.
+
+    Each study holds long histories with the ids, siteID, date and count; ids are unique over the studies.
+    """
+    rows = None
+    for name, history in studies.items():
+        part = history.withColumn("study", F.lit(name))
+        rows = part if rows is None else bind_rows(rows, part)
+    return survival_rows(rows, ids, climate, last)
+
+
+def survival_events(rows: DataFrame, ids: Sequence[str], covariates: Sequence[str], last: Sequence[str] = LAST_CENSUSES) -> DataFrame:
+    """First and last occurrence of each individual of ``survival_dataset`` with the months to its events."""
+    return event_rows(rows, ids, covariates, "date", "count", last)
