@@ -181,7 +181,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     plain = docs.toDF(*names.values())
     text = F.coalesce(F.col(names["text"]).cast("string"), F.lit(""))
     keyed = plain.withColumn("doc_id", F.col(names["doc_id"]).cast("bigint")).withColumn("version", F.xxhash64(text))
-    joined = join_sized(keyed, masks, ["doc_id", "version"], "left", MASK_ROWS)
+    joined = join_sized(keyed, masks, ["doc_id", "version"], "left", MASK_ROWS, "gone")
     lines = F.split(text, "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     left = F.when(F.col("gone").isNull(), F.col(names["text"])).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))

@@ -167,5 +167,5 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space, for every row."""
     spans = cut_lineage(repeated_spans(docs, k))
-    joined = join_sized(keyed_texts(docs), spans, "doc_id", "left", 200_000).select("doc_id", "text", "starts", "ends")
+    joined = join_sized(keyed_texts(docs), spans, "doc_id", "left", 200_000, "starts").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")

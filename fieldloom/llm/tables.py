@@ -46,7 +46,12 @@ def semi_join_ids(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAS
     return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
-def join_sized(df: DataFrame, other: DataFrame, key: str | list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side whose rows are counted first: broadcast up to ``limit`` rows, shuffled beyond."""
-    small = other.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(other) if small else other, key, how)
+def join_sized(df: DataFrame, other: DataFrame, key: str | list[str], how: str = "inner", limit: int = BROADCAST_ROWS,
+               elements: str | None = None) -> DataFrame:
+    """Join with a side that is measured first: broadcast up to ``limit`` rows, shuffled beyond.
+
+    ``elements`` names an array column of that side; its elements count against ten times the limit.
+    """
+    total = F.coalesce(F.sum(F.size(elements).cast("bigint")), F.lit(0)) if elements else F.lit(0)
+    rows, inside = other.agg(F.count("*"), total).first()
+    return df.join(F.broadcast(other) if rows <= limit and inside <= 10 * limit else other, key, how)

@@ -21,7 +21,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .tables import BROADCAST_ROWS
 
 #: The production rules: (host and path, verdict). A rule fits its host and all subdomains.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -92,6 +91,6 @@ def judge_pages(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     bad = (F.col("purity") < least_good) & (F.col("l") >= least_labels)
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     verdict = reduce(lambda acc, r: F.when(F.col("rule") == r[0], r[1]).otherwise(acc), rules, F.when(bad, "block").otherwise("allow"))
-    small = judged.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
-    return (rows.join(F.broadcast(judged) if small else judged, ["host", "path"], "left").withColumn("rule", rule)
+    # The judged paths are a written table: Spark broadcasts or shuffles it by its measured size.
+    return (rows.join(judged, ["host", "path"], "left").withColumn("rule", rule)
             .select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity"))
