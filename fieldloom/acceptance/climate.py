@@ -344,36 +344,43 @@ def monthly_temperature(t):
                       *[r(c, 5).alias(c) for c in ("temp_min", "temp_mean", "temp_max")])
 
 
-@case("q_drought_table", "WITH" + NATION_ORDERS + ","
-      + TEMPERATURE_SQL + """,
+def drought_ctes(first: int, last: int) -> str:
+    """CTEs of the monthly climate table ``dt`` over ``no``, ``nation`` and ``region``."""
+    return TEMPERATURE_SQL + f""",
 rain AS (SELECT "siteID", year(date) AS year, month(date) AS month, sum(value) AS precip_sum FROM no GROUP BY ALL),
 loc AS (SELECT "siteID", year, month, temp_min AS tmin, temp_max AS tmax, 58 + n_nationkey * 0.2::DOUBLE AS lat
-  FROM tmp JOIN (SELECT n_name AS "siteID", n_nationkey FROM nation) USING ("siteID") WHERE year BETWEEN 1995 AND 2000),"""
-      + pet_ctes("loc", "pet") + """,
+  FROM tmp JOIN (SELECT n_name AS "siteID", n_nationkey FROM nation) USING ("siteID") WHERE year BETWEEN {first} AND {last}),""" + pet_ctes("loc", "pet") + f""",
 bal AS (SELECT r."siteID", r.year, r.month, precip_sum - pet AS balance FROM rain r LEFT JOIN pet p
-  ON r."siteID" = p."siteID" AND r.year = p.year AND r.month = p.month WHERE r.year BETWEEN 1995 AND 2000),"""
-      + spei_ctes("bal", "s1", 1) + "," + spei_ctes("bal", "s3", 3) + """,
+  ON r."siteID" = p."siteID" AND r.year = p.year AND r.month = p.month WHERE r.year BETWEEN {first} AND {last}),""" + (
+        spei_ctes("bal", "s1", 1) + "," + spei_ctes("bal", "s3", 3)) + """,
 days AS (SELECT "siteID", date, avg(value) AS v FROM no WHERE o_orderstatus = 'F' GROUP BY ALL),
 soil AS (SELECT "siteID", date, v, avg(v) OVER (PARTITION BY "siteID") AS total, avg(v) OVER (PARTITION BY "siteID", year(date)) AS annual FROM days),
-sm AS (SELECT "siteID", year(date) AS year, month(date) AS month, any_value(annual) AS annual, any_value(total) AS total, avg(v) AS v FROM soil GROUP BY 1, 2, 3)
-SELECT b."siteID" AS site, b.year, b.month, round(s1.spei, 4) + 0.0 AS spei, round(s3.spei, 4) + 0.0 AS spei_seasonal,
-  strftime(make_date(b.year::INT, b.month::INT, 1), '%Y-%m-%d') AS date,
-  CASE WHEN b.month BETWEEN 3 AND 5 THEN '2' WHEN b.month BETWEEN 6 AND 7 THEN 'early' WHEN b.month BETWEEN 8 AND 11 THEN 'late' ELSE '1' END AS season,
-  round(temp_min, 5) + 0.0 AS temp_min, round(temp_mean, 5) + 0.0 AS temp_mean, round(temp_max, 5) + 0.0 AS temp_max,
-  round(annual, 5) + 0.0 AS sm_annual_mean, round(total, 5) + 0.0 AS sm_total_mean, round(v, 5) + 0.0 AS soil_moisture_month_mean
+sm AS (SELECT "siteID", year(date) AS year, month(date) AS month, any_value(annual) AS annual, any_value(total) AS total, avg(v) AS v FROM soil GROUP BY 1, 2, 3),
+dt AS (SELECT b."siteID", b.year, b.month, s1.spei, s3.spei AS spei_seasonal, temp_min, temp_mean, temp_max, annual, total, v
 FROM bal b LEFT JOIN s1 ON b."siteID" = s1."siteID" AND b.year = s1.year AND b.month = s1.month
 LEFT JOIN s3 ON b."siteID" = s3."siteID" AND b.year = s3.year AND b.month = s3.month
 LEFT JOIN tmp ON b."siteID" = tmp."siteID" AND b.year = tmp.year AND b.month = tmp.month
-LEFT JOIN sm ON b."siteID" = sm."siteID" AND b.year = sm.year AND b.month = sm.month""")
-def drought_table(t):
-    base = nation_orders(t)
+LEFT JOIN sm ON b."siteID" = sm."siteID" AND b.year = sm.year AND b.month = sm.month)"""
+
+
+def drought_sources(base):
+    """Rain, readings and moisture from rows (siteID, date, value, o_orderkey, o_orderpriority, o_orderstatus)."""
     logger = F.when(F.col("o_orderpriority") == "2-HIGH", "temp200cm").when(F.col("o_orderpriority") == "5-LOW", "temp30cm")
-    temps = base.select("siteID", "date", logger.alias("logger"), "value")
-    rain = base.select("siteID", "date", "value")
     # Half of the moisture rows carry the site only in the file name.
     known = F.when(F.col("o_orderkey") % 2 == 0, F.col("siteID"))
     moisture = base.select(known.alias("siteID"), "date", "value", F.when(F.col("o_orderstatus") != "F", "bad").alias("flag"),
                            F.concat(F.col("siteID"), F.lit(" 2009-x.csv")).alias("file"))
+    return base.select("siteID", "date", "value"), base.select("siteID", "date", logger.alias("logger"), "value"), moisture
+
+
+@case("q_drought_table", "WITH" + NATION_ORDERS + "," + drought_ctes(1995, 2000) + """
+SELECT "siteID" AS site, year, month, round(spei, 4) + 0.0 AS spei, round(spei_seasonal, 4) + 0.0 AS spei_seasonal,
+  strftime(make_date(year::INT, month::INT, 1), '%Y-%m-%d') AS date,
+  CASE WHEN month BETWEEN 3 AND 5 THEN '2' WHEN month BETWEEN 6 AND 7 THEN 'early' WHEN month BETWEEN 8 AND 11 THEN 'late' ELSE '1' END AS season,
+  round(temp_min, 5) + 0.0 AS temp_min, round(temp_mean, 5) + 0.0 AS temp_mean, round(temp_max, 5) + 0.0 AS temp_max,
+  round(annual, 5) + 0.0 AS sm_annual_mean, round(total, 5) + 0.0 AS sm_total_mean, round(v, 5) + 0.0 AS soil_moisture_month_mean FROM dt""")
+def drought_table(t):
+    rain, temps, moisture = drought_sources(nation_orders(t))
     sites = site_info(t)
     # An underscore ends the site name in a file name, so site names here do without.
     coded = {"siteID": F.regexp_replace("siteID", "_", "")}

@@ -10,10 +10,11 @@ from pyspark.sql import Column, functions as F
 
 from ..functions.lookups import CONTROL_TURFS, REMAINING_GROUPS, SITES
 from ..functions.nulls import weighted_mean
-from ..operators import census, community
+from ..operators import census, climate, community
 from ..operators.audit import join_audit
 from ..plans import datasets
 from .census import FILL_SQL
+from .climate import drought_ctes, drought_sources
 from .registry import big, case, day_text, r
 
 SITE_NAMES = [s[4] for s in SITES]
@@ -296,6 +297,32 @@ def plot_season_totals(t):
     return out.select(F.col("siteID").alias("site"), F.col("blockID").alias("block"), F.col("plotID").alias("plot"), "season", "year", "month", "treatment", "count")
 
 
+# The chain of the datasets: raw readings to the climate table to the recruits of both studies.
+_OLD_CLIMATE = COMBINED_SQL[COMBINED_SQL.index("climate AS ("):COMBINED_SQL.index("al AS (SELECT * FROM rounds")]
+CHAIN_SQL = """
+no AS (SELECT {names}[o_custkey % 12 + 1] AS "siteID", (o_orderdate + INTERVAL 14 YEAR)::DATE AS date, o_orderkey, o_orderstatus, o_orderpriority, o_totalprice / 9973 AS value FROM orders),
+nation AS (SELECT {names}[i + 1] AS n_name, i AS n_nationkey, i % 3 AS n_regionkey FROM generate_series(0, 11) AS g(i)),""".replace("{names}", sql_list(SITE_NAMES)) + (
+    drought_ctes(2009, 2014) + ",") + COMBINED_SQL.replace(_OLD_CLIMATE, 'climate AS (SELECT "siteID", year, month, spei, temp_mean FROM dt),\n')
+
+
+def climate_of_sites(t):
+    number = (F.col("o_custkey") % 12).cast("int")
+    base = t.orders.select(pick(SITE_NAMES, number).alias("siteID"), F.add_months(F.to_date("o_orderdate"), 168).alias("date"), "o_orderkey", "o_orderstatus",
+                           "o_orderpriority", (F.col("o_totalprice") / 9973).alias("value"))
+    places = t.orders.select(number.alias("i")).distinct().join(t.region, F.col("i") % 3 == F.col("r_regionkey"))
+    sites = places.select(pick(SITE_NAMES, F.col("i")).alias("siteID"), F.col("r_name").alias("Biogeographic_zone"), (58 + F.col("i") * F.lit(0.2)).alias("Latitude"))
+    rain, readings, moisture = drought_sources(base)
+    return climate.drought_table(rain, readings, sites, moisture, 2009, 2014)
+
+
+@case("q_climate_recruits", "WITH" + CHAIN_SQL + """
+SELECT "plotID" AS plot, "seedID" AS seed, season, year::INT AS year, month::INT AS month, count, CASE WHEN isfinite(spei) THEN round(spei, 4) + 0.0 ELSE spei END AS spei, round(temp_mean, 5) + 0.0 AS temp_mean FROM com""")
+def climate_recruits(t):
+    out = datasets.combined_recruits(coded(t), rounds(t), climate_of_sites(t))
+    spei = F.when(F.abs("spei") < float("inf"), r("spei", 4)).otherwise(F.col("spei"))
+    return out.select(F.col("plotID").alias("plot"), F.col("seedID").alias("seed"), "season", "year", "month", "count", spei.alias("spei"), r("temp_mean", 5).alias("temp_mean"))
+
+
 # --- community and biomass ----------------------------------------------------------------------------
 
 COMMUNITY_RAW_SQL = f"""
