@@ -2,8 +2,9 @@ r"""Substring dedup: repeated word k-mers as edges of a de Bruijn graph, spans c
 
 A window of K consecutive words ``[^\x20\x09-\x0D]+`` is an edge between its first and last K - 1 words.
 An edge met in two documents is repeated; its source is the smallest doc_id it starts in, and every later
-document loses the words its occurrences cover. Consecutive occurrences in a document are compacted to
-paths, given by their first and last word, and the words outside the paths are kept.
+document loses the words its occurrences cover. Each occurrence gets its source coordinate, the document and
+the word where the edge starts first. Occurrences that advance together with their sources are compacted to one
+path (start, end, source, source_start): a long span that stands word for word at both coordinates.
 
 All edges of all documents go through one shuffle. A task sorts about ``FLUSH`` of them, settles what it sees
 itself (a later document of the same task loses the window whatever others hold), and sends the rest packed by
@@ -32,7 +33,8 @@ from .tables import join_sized, keyed_texts
 
 FLUSH = 1_000_000
 RANGE_CHARS = 8_000_000
-SCHEMA = "part int, edges binary, docs binary, places binary"
+SCHEMA = "part int, edges binary, docs binary, places binary, sources binary, source_places binary"
+PACKED = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def _windows(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -55,25 +57,31 @@ def _unpack(parts: list[bytes], kind) -> np.ndarray:
     return np.concatenate([np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(size, -1).T).view(kind).ravel() for p in parts])
 
 
-def _deal(edge: np.ndarray, doc: np.ndarray, place: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """Packed rows of one flush: ranges 0.. hold open edges, the salted ones behind hold settled places."""
-    order = np.argsort(edge)
+def _first(edge: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The occurrences by edge and document, each with the coordinate of the first one of its edge."""
+    order = np.lexsort((doc, edge))  # stable, and places of a document come in order
     edge, doc, place = edge[order], doc[order], place[order]
     starts = np.flatnonzero(np.append(True, edge[1:] != edge[:-1]))
-    least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(edge))))
-    open_, settled = doc == least, doc > least
-    part, rows = ((edge[open_] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), [[], [], [], []]
+    size = np.diff(np.append(starts, len(edge)))
+    return edge, doc, place, np.repeat(doc[starts], size), np.repeat(place[starts], size)
+
+
+def _deal(edge: np.ndarray, doc: np.ndarray, place: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Packed rows of one flush: ranges 0.. hold open edges, the salted ones behind hold settled places."""
+    edge, doc, place, source, source_place = _first(edge, doc, place)
+    open_, settled = doc == source, doc > source
+    part, rows = ((edge[open_] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), [[] for _ in PACKED]
     bounds = np.searchsorted(part, np.arange(ranges + 1))
     kept = edge[open_], doc[open_], place[open_]
     for r in range(ranges):
         if bounds[r] < bounds[r + 1]:
-            for out, v in zip(rows, (r, *(_pack(c[bounds[r]:bounds[r + 1]]) for c in kept)), strict=True):
+            for out, v in zip(rows, (r, *(_pack(c[bounds[r]:bounds[r + 1]]) for c in kept), b"", b""), strict=True):
                 out.append(v)
     if settled.any():
         salt = ranges + int(edge[0] % np.uint64(ranges))
-        for out, v in zip(rows, (salt, b"", _pack(doc[settled]), _pack(place[settled])), strict=True):
+        for out, v in zip(rows, (salt, b"", *(_pack(c[settled]) for c in (doc, place, source, source_place))), strict=True):
             out.append(v)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "edges", "docs", "places"])
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=PACKED)
 
 
 def _edges(k: int, ranges: int):
@@ -93,53 +101,70 @@ def _edges(k: int, ranges: int):
 
 
 def _settle(ranges: int):
-    """Of one range: places of edges that start in a smaller doc_id, packed by parts of the documents."""
+    """Of one range: occurrences of edges that start in a smaller doc_id, packed by parts of the documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, place = _unpack(table["docs"].to_pylist(), np.int64), _unpack(table["places"].to_pylist(), np.int32)
-        packed = table["edges"].to_pylist()
-        if any(packed):
-            edge = _unpack(packed, np.uint64)
-            order = np.argsort(edge)
-            edge, doc, place = edge[order], doc[order], place[order]
-            starts = np.flatnonzero(np.append(True, edge[1:] != edge[:-1]))
-            later = doc > np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(edge))))
-            doc, place = doc[later], place[later]
+        edges, *columns = (table[c].to_pylist() for c in PACKED[1:])
+        if any(edges):
+            doc, place = _unpack(columns[0], np.int64), _unpack(columns[1], np.int32)
+            _, doc, place, source, source_place = _first(_unpack(edges, np.uint64), doc, place)
+            later = doc > source
+            doc, place, source, source_place = doc[later], place[later], source[later], source_place[later]
+        else:
+            doc, place, source, source_place = (_unpack(c, k) for c, k in zip(columns, (np.int64, np.int32) * 2, strict=True))
         part = ((B.mix(doc.view(np.uint64)) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         order = np.lexsort((place, doc, part))
-        part, doc, place = part[order], doc[order], place[order]
+        part, *values = (c[order] for c in (part, doc, place, source, source_place))
         found, starts = np.unique(part, return_index=True)
         cuts = [slice(a, b) for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True)] if len(part) else []
-        return pa.table([pa.array(found.astype(np.int32)), pa.array([_pack(doc[c]) for c in cuts], pa.binary()),
-                         pa.array([_pack(place[c]) for c in cuts], pa.binary())], names=["part", "docs", "places"])
+        return pa.table([pa.array(found.astype(np.int32)), *(pa.array([_pack(v[c]) for c in cuts], pa.binary()) for v in values)],
+                        names=["part", *PACKED[2:]])
 
     return run
 
 
 def _paths(k: int):
-    """Of one part of the documents: occurrences compacted to maximal covered spans of words."""
+    """Of one part of the documents: occurrences compacted to paths, and the words that the paths cover."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, place = _unpack(table["docs"].to_pylist(), np.int64), _unpack(table["places"].to_pylist(), np.int32).astype(np.int64)
+        doc, place, source, source_place = (_unpack(table[c].to_pylist(), t) for c, t in zip(PACKED[2:], (np.int64, np.int32) * 2, strict=True))
+        place, source_place = place.astype(np.int64), source_place.astype(np.int64)
         order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > k)))
-        last = np.append(first[1:], len(doc)) - 1
-        owner = np.flatnonzero(np.append(True, doc[first][1:] != doc[first][:-1]))
-        cuts = pa.array(np.append(owner, len(first)), pa.int32())
-        lists = [pa.ListArray.from_arrays(cuts, pa.array(v, pa.int32())) for v in (place[first], place[last] + k)]
-        return pa.table([pa.array(doc[first][owner], pa.int64()), *lists], names=["doc_id", "starts", "ends"])
+        doc, place, source, source_place = doc[order], place[order], source[order], source_place[order]
+        new = np.append(True, doc[1:] != doc[:-1])
+
+        def lists(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+            first = np.flatnonzero(breaks)
+            bounds = np.append(np.searchsorted(first, np.flatnonzero(new)), len(first))
+            return first, np.append(first[1:], len(doc)) - 1, pa.array(bounds, pa.int32())
+
+        apart = new.copy()
+        apart[1:] |= place[1:] - place[:-1] > k
+        first, last, bounds = lists(apart)
+        spans = [pa.ListArray.from_arrays(bounds, pa.array(v, pa.int32())) for v in (place[first], place[last] + k)]
+        turn = new.copy()
+        turn[1:] |= (place[1:] - place[:-1] != 1) | (source[1:] != source[:-1]) | (source_place[1:] - source_place[:-1] != 1)
+        first, last, bounds = lists(turn)
+        path = pa.StructArray.from_arrays([pa.array(place[first], pa.int32()), pa.array(place[last] + k, pa.int32()), pa.array(source[first], pa.int64()),
+                                           pa.array(source_place[first], pa.int32())], names=["start", "end", "source", "source_start"])
+        return pa.table([pa.array(doc[new], pa.int64()), *spans, pa.ListArray.from_arrays(bounds, path)], names=["doc_id", "starts", "ends", "paths"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
-    """(doc_id, starts, ends): word spans of each document that repeat windows of a smaller doc_id."""
+    """doc_id, starts, ends, paths: of each document the word spans that repeat windows of a smaller doc_id.
+
+    Spans (starts, ends) are the covered words; ``paths`` are structs (start, end, source, source_start), each a
+    span that stands word for word in the document ``source`` from the word ``source_start`` on.
+    """
     texts = keyed_texts(docs).where("doc_id IS NOT NULL")
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, math.ceil(chars / RANGE_CHARS))
-    later = texts.mapInArrow(_edges(k, ranges), SCHEMA).groupBy("part").applyInArrow(_settle(ranges), "part int, docs binary, places binary")
-    return later.groupBy("part").applyInArrow(_paths(k), "doc_id bigint, starts array<int>, ends array<int>")
+    later = texts.mapInArrow(_edges(k, ranges), SCHEMA).groupBy("part").applyInArrow(
+        _settle(ranges), "part int, docs binary, places binary, sources binary, source_places binary")
+    return later.groupBy("part").applyInArrow(
+        _paths(k), "doc_id bigint, starts array<int>, ends array<int>, paths array<struct<start: int, end: int, source: bigint, source_start: int>>")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +191,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space, for every row."""
-    spans = cut_lineage(repeated_spans(docs, k))
+    spans = cut_lineage(repeated_spans(docs, k).select("doc_id", "starts", "ends"))
     joined = join_sized(keyed_texts(docs), spans, "doc_id", "left", 200_000, "starts").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")

@@ -201,6 +201,13 @@ def test_remove_repeats(make_docs, texts, monkeypatch, chars):
     every = [*texts, *drifting(random.Random(6), 30), *[prose(random.Random(8), 40)] * 20]
     got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(clashing(make_docs(every))).collect()}
     assert got == repeats_by_brute_force(every)
+    words, covered = [WORD.findall(t or "") for t in every], collections.defaultdict(set)
+    for r in substrings.repeated_spans(make_docs(every)).collect():
+        for p in r.paths:
+            assert p.source < r.doc_id and p.end - p.start >= 13
+            assert words[r.doc_id][p.start:p.end] == words[p.source][p.source_start:p.source_start + p.end - p.start]
+            covered[r.doc_id] |= set(range(p.start, p.end))
+    assert {i: len(c) for i, c in covered.items()} == {i: g[1] for i, g in got.items() if g[1]}
 
 
 def test_settled_edges_do_not_change_the_result(monkeypatch):
