@@ -88,6 +88,7 @@ SPECIES_SPELLINGS = {
     "Tara.sp": "Tar.sp", "Trif.sp": "Tri.sp", "unID": "NID.seedling", "Veronica": "Ver.sp",
     "Gal sax": "Gal.sax", "Viola": "Vio.sp",
 }
+# Codes and the pattern that name grass-like plants.
 GRAMINOID_CODES = ("G", "Ant.odo", "Ave.fle")
 GRAMINOID_PATTERN = "Agr|Car|Des|Fes|Poa|Luz"
 

@@ -23,6 +23,7 @@ from .columns import cols_between
 from .joins import lookup_join, null_safe_join
 from .reshape import cross_with, fill_ids, repeat_rows, to_long_by_pattern, to_wide
 
+# The labels of the censuses.
 ROUND_CODES = {1: "spr_18", 2: "aut_18", 3: "spr_19", 4: "aut_19"}
 SIX_CENSUSES = ("aut_09", "spr_10", "aut_10", "spr_11", "aut_11", "spr_12")
 

@@ -13,11 +13,6 @@ FOLDER = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
 
-# One query per area; tools/compare.py runs all of them.
-CHOSEN = ["q_two_stage_mean", "q_join_natural_full", "q_impute_self", "q_lag_all", "q_sorted", "q_quantiles", "q_spei3", "q_zone_fill",
-          "q_event_long", "q_prepare_rounds", "q_coded_recruits", "q_community", "q_poisson_coef", "q_bootstrap", "q_audit"]
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -27,7 +22,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", CASES)
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     want = duck.execute(entry.oracle_sql()[name])
