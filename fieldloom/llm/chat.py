@@ -25,7 +25,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import ship
+from .tables import lean, ship
 
 HORIZON = 64
 PROBE = "\ue000"
@@ -122,7 +122,7 @@ def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str]
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                                 F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("turn").cast("bigint").alias("turn"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(_format(template), SCHEMA)
+    return dealt.mapInArrow(lean(_format(template)), SCHEMA)
 
 
 _TURN = re.compile(r"<s>|<<SYS>>\n(?P<system>(?:[^<\[\\]|\\.)*)\n<</SYS>>\n|\[INST\] (?P<user>(?:[^<\[\\]|\\.)*) \[/INST\]"
@@ -178,4 +178,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation what its formatted rows hold: turns, text under the loss mask, and length."""
-    return formatted.mapInArrow(_read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.mapInArrow(lean(_read), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytewords as B
-from .tables import keyed_texts, ship
+from .tables import keyed_texts, lean, ship
 
 NOT_WORD = np.zeros(256, bool)
 NOT_WORD[:128] = True
@@ -162,7 +162,7 @@ def find_items(docs: DataFrame, items: DataFrame, errors: float = 0.1, min_words
                 columns = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_edits", "start_word", "end_word"])
 
-        part = texts.mapInArrow(run, "doc_id bigint, item_id bigint, n_edits bigint, start_word bigint, end_word bigint")
+        part = texts.mapInArrow(lean(run), "doc_id bigint, item_id bigint, n_edits bigint, start_word bigint, end_word bigint")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -182,5 +182,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, errors: float = 0.1, mi
                         clean[first + r] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(lean(run), schema)
     return docs

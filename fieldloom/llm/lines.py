@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from . import bytewords as B
-from .tables import join_sized, ship
+from .tables import join_sized, lean, ship
 
 MASK_ROWS = 200_000
 
@@ -161,7 +161,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).where("doc_id IS NOT NULL")
-    hashed = cut_lineage(rows.mapInArrow(_hash_lines(min_words), "doc_id bigint, version bigint, places array<int>, hashes array<bigint>, sizes array<int>, runs array<bigint>"))
+    hashed = cut_lineage(rows.mapInArrow(lean(_hash_lines(min_words)), "doc_id bigint, version bigint, places array<int>, hashes array<bigint>, sizes array<int>, runs array<bigint>"))
     runs = hashed.select("doc_id", "version", F.explode("runs").alias("run"))
     first = (runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
              .where("first < last").select("run", "first"))
@@ -169,7 +169,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     lines = hashed.select("doc_id", "version", "places", "hashes", "sizes")
     both = (pairs.join(lines.dropDuplicates(["doc_id", "version"]), ["doc_id", "version"])
             .join(hashed.select(F.col("doc_id").alias("first"), F.col("version").alias("of"), F.col("hashes").alias("left")).dropDuplicates(["first", "of"]), "first"))
-    found = both.select("doc_id", "version", "left", "hashes", "sizes", "places").mapInArrow(_align_pairs(min_words), "doc_id bigint, version bigint, gone array<int>")
+    found = both.select("doc_id", "version", "left", "hashes", "sizes", "places").mapInArrow(lean(_align_pairs(min_words)), "doc_id bigint, version bigint, gone array<int>")
     return (found.where(F.size("gone") > 0).groupBy("doc_id", "version")
             .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 from . import bytewords as B
 from .components import components
-from .tables import join_sized, keyed_texts, semi_join_ids
+from .tables import join_sized, keyed_texts, lean, semi_join_ids
 
 SHINGLE = 5
 COORDINATES = 128
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, posted_share: float | No
     similarity = percent / 100 if posted_share is None else posted_share
     posted_least, least = least_matches(POSTED, similarity), least_matches(COORDINATES, similarity)
     texts = keyed_texts(docs)
-    signed = cut_lineage(texts.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, digest binary, posts array<bigint>, sign binary"))
+    signed = cut_lineage(texts.mapInArrow(lean(_sign), "doc_id bigint, n_shingles bigint, digest binary, posts array<bigint>, sign binary"))
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = cut_lineage(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep", "digest"))
@@ -250,11 +250,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, posted_share: float | No
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .select("elem", "m", "doc_id", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
     lists = cut_lineage(lists.join(reps.select("doc_id", "sign"), "doc_id"))
-    sets = cut_lineage(semi_join_ids(texts, lists.select("doc_id").distinct(), "doc_id").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"))
+    sets = cut_lineage(semi_join_ids(texts, lists.select("doc_id").distinct(), "doc_id").mapInArrow(lean(_sets), "doc_id bigint, shingles array<bigint>"))
 
     def matched(rows: DataFrame, percent: int | None = None) -> DataFrame:
         ordered = rows.repartition("elem", "lo", "hi").sortWithinPartitions("elem", "lo", "hi", "doc_id")
-        return ordered.mapInArrow(_matcher(least, percent), "a bigint, b bigint").distinct()
+        return ordered.mapInArrow(lean(_matcher(least, percent)), "a bigint, b bigint").distinct()
 
     both = F.size(F.array_intersect("left", "right"))
     links = (matched(lists.select("elem", "lo", "hi", "doc_id", "sign")).join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")

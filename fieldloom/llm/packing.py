@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .tables import keyed_texts
+from .tables import keyed_texts, lean
 
 CAPACITY = 2048
 STEP = 8
 CHUNK = 200_000
 END_ID = 1
-CACHE = 300_000
+CACHE = 150_000
 
 # Letters and marks whose lower case and composition do not depend on their neighbours.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)\Z")
@@ -129,7 +129,7 @@ def _pieces(path: str, capacity: int):
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, doc_tokens, start, length, ids_crc32."""
-    rows = keyed_texts(docs).mapInArrow(_pieces(tokenizer, capacity), "doc_id bigint, doc_tokens bigint, starts array<bigint>, lengths array<bigint>, sums array<bigint>")
+    rows = keyed_texts(docs).mapInArrow(lean(_pieces(tokenizer, capacity)), "doc_id bigint, doc_tokens bigint, starts array<bigint>, lengths array<bigint>, sums array<bigint>")
     return (rows.select("doc_id", "doc_tokens", F.explode(F.arrays_zip("starts", "lengths", "sums")).alias("p"))
             .select("doc_id", "doc_tokens", F.col("p.starts").alias("start"), F.col("p.lengths").alias("length"), F.col("p.sums").alias("ids_crc32")))
 
@@ -248,5 +248,5 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))],
                                              names=["sequence_id", "offset", "ids"])
 
-    parts = keyed_texts(docs).join(spots, "doc_id").select("text", "spots").mapInArrow(run, "sequence_id bigint, offset bigint, ids array<bigint>")
+    parts = keyed_texts(docs).join(spots, "doc_id").select("text", "spots").mapInArrow(lean(run), "sequence_id bigint, offset bigint, ids array<bigint>")
     return parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda p: p["ids"])).alias("ids"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytewords as B
-from .tables import keyed_texts, ship
+from .tables import keyed_texts, lean, ship
 
 WORD_BITS = 15
 SLOTS = 3 << WORD_BITS
@@ -119,7 +119,7 @@ def keep_good(docs: DataFrame, model: QualityModel | None, threshold: float = 0.
         for batch in batches:
             yield batch.filter(_rate(shared.value, batch.column(at).cast(pa.string()), threshold, min_words, repeat_percent)[6])
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def rate_quality(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3, min_words: int = 50,
@@ -132,7 +132,7 @@ def rate_quality(docs: DataFrame, model: QualityModel | None, threshold: float =
             arrays = _rate(shared.value, batch.column(1), threshold, min_words, repeat_percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=SCHEMA_NAMES)
 
-    return keyed_texts(docs).mapInArrow(rate, SCHEMA)
+    return keyed_texts(docs).mapInArrow(lean(rate), SCHEMA)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -172,7 +172,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 600, pass
                 names=["doc_id", "good", "slots", "vals"])
 
     rows = (labelled_sample(docs, labels, per_class).select("doc_id", F.col("good").cast("int").alias("good"), "text")
-            .mapInArrow(encode, "doc_id bigint, good int, slots array<int>, vals array<double>").toPandas())
+            .mapInArrow(lean(encode), "doc_id bigint, good int, slots array<int>, vals array<double>").toPandas())
     rows = rows.sort_values("doc_id", kind="stable")
     if rows["good"].nunique() < 2 or rows["good"].value_counts().min() < 6:
         return None

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from . import bytewords as B
-from .tables import join_sized, keyed_texts
+from .tables import join_sized, keyed_texts, lean
 
 FLUSH = 1_000_000
 RANGE_CHARS = 8_000_000
@@ -161,7 +161,7 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     texts = keyed_texts(docs).where("doc_id IS NOT NULL")
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, math.ceil(chars / RANGE_CHARS))
-    later = texts.mapInArrow(_edges(k, ranges), SCHEMA).groupBy("part").applyInArrow(
+    later = texts.mapInArrow(lean(_edges(k, ranges)), SCHEMA).groupBy("part").applyInArrow(
         _settle(ranges), "part int, docs binary, places binary, sources binary, source_places binary")
     return later.groupBy("part").applyInArrow(
         _paths(k), "doc_id bigint, starts array<int>, ends array<int>, paths array<struct<start: int, end: int, source: bigint, source_start: int>>")
@@ -193,4 +193,4 @@ def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space, for every row."""
     spans = cut_lineage(repeated_spans(docs, k).select("doc_id", "starts", "ends"))
     joined = join_sized(keyed_texts(docs), spans, "doc_id", "left", 200_000, "starts").select("doc_id", "text", "starts", "ends")
-    return joined.mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return joined.mapInArrow(lean(_cut), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
