@@ -5,7 +5,9 @@ row of lines from a start that has ``min_words`` words or more, so two documents
 size share the run at its start. Each run met in two documents links every later holder to its first (the
 smallest doc_id): a pair per holder, never all pairs, however frequent the run. For each pair the line hashes
 are aligned, and blocks of aligned neighbouring lines with ``min_words`` words go from the later document.
-Rare lines, unique on both sides, are the anchors. The first holder keeps its lines, so every text survives once.
+Rare lines, unique on both sides, are the anchors. Blocks that one alignment cannot hold, because the two documents
+have them in another order or a different number of times, are then looked up in the same holder and go too, so no
+run that any earlier document holds stays. The first holder keeps its lines, so every text survives once.
 
 Pairs are judged on the input, not on what other pairs left. Defined cases: a missing text is empty; a row
 without doc_id loses nothing and is no partner; repeated rows of a doc_id are never paired with one another,
@@ -14,9 +16,10 @@ and each is judged by its own text; extra columns pass through.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -130,8 +133,34 @@ def align(left: list, right: list) -> list[tuple[int, int]]:
     return sorted(out, key=lambda p: p[1])
 
 
+def _shortest(words: list[int], min_words: int) -> set[tuple[int, int]]:
+    """The shortest rows with ``min_words`` words from each line on and back from each line. They fill every block."""
+    total = [0, *accumulate(words)]
+    onward = ((i, bisect_left(total, total[i] + min_words)) for i in range(len(words)))
+    back = ((bisect_right(total, total[j] - min_words) - 1, j) for j in range(1, len(total)))
+    return {(a, b) for a, b in (*onward, *back) if 0 <= a < b < len(total)}
+
+
+def _moved(left: list, right: list, sizes: list[int], min_words: int, gone: set[int]) -> set[int]:
+    """Lines of ``right`` outside ``gone`` in blocks that stand anywhere in ``left``."""
+    known = set(left)
+    shared = [x in known for x in right]
+    if all(j in gone for j, x in enumerate(shared) if x):
+        return set()
+    size = dict(zip(right, sizes, strict=True))
+    open_rows = [(a, b) for a, b in _shortest([w if x else 0 for w, x in zip(sizes, shared, strict=True)], min_words)
+                 if all(shared[a:b]) and not gone.issuperset(range(a, b))]
+    if not open_rows:
+        return set()
+    held = {tuple(left[a:b]) for a, b in _shortest([size.get(x, 0) for x in left], min_words)}
+    return {j for a, b in open_rows if tuple(right[a:b]) in held for j in range(a, b)} - gone
+
+
 def common_blocks(left: list, right: list, sizes: list[int], min_words: int) -> list[int]:
-    """Positions in ``right`` of aligned blocks of neighbouring lines with ``min_words`` words or more."""
+    """Positions in ``right`` of blocks of neighbouring lines with ``min_words`` words or more that ``left`` holds.
+
+    Aligned blocks first, then those in another order.
+    """
     gone: list[int] = []
     block: list[int] = []
     before = None
@@ -142,7 +171,7 @@ def common_blocks(left: list, right: list, sizes: list[int], min_words: int) ->
             block = []
         block.append(j)
         before = (i, j)
-    return gone
+    return gone + sorted(_moved(left, right, sizes, min_words, set(gone)))
 
 
 def _align_pairs(min_words: int):

@@ -484,6 +484,44 @@ def test_drop_repeated_lines(make_docs):
     assert lines.drop_repeated_lines(empty(docs)).count() == 0
 
 
+def blocks_of_every_earlier_holder(texts, least):
+    """Per text the lines of runs that any earlier text holds (must go), and of blocks that one holds (may go)."""
+    parts = [[(i, s, len(WORD.findall(s))) for i, s in enumerate(x.strip(" \t\n\x0b\x0c\r") for x in t.split("\n")) if WORD.search(s)] for t in texts]
+    out = []
+    for i, p in enumerate(parts):
+        must, may = set(), set()
+        for q in parts[:i]:
+            for a in range(len(p)):
+                for b in range(len(q)):
+                    n = run = words = 0
+                    while a + n < len(p) and b + n < len(q) and p[a + n][1] == q[b + n][1]:
+                        words, n = words + p[a + n][2], n + 1
+                        run = run or n * (words >= least)
+                    must |= {x[0] for x in p[a:a + run]}
+                    may |= {x[0] for x in p[a:a + n * (run > 0)]}
+        out.append((must, may))
+    return out
+
+
+def test_drop_repeated_lines_takes_blocks_in_any_order(make_docs):
+    rng = random.Random(11)
+    pool = [prose(rng, rng.randrange(4, 25)) for _ in range(40)]
+    a, b = prose(rng, 12), prose(rng, 12)
+    texts = [f"{a}\n{b}", f"{b}\nown\n{a}", f"{a}\n{a}\n{b}\n{a}"]
+    texts += ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    got = {r.doc_id: r.text for r in lines.drop_repeated_lines(make_docs(texts)).collect()}
+    assert (got[0], got[1], got[2]) == (texts[0], "own", "")
+    for i, (must, may) in enumerate(blocks_of_every_earlier_holder(texts, 10)):
+        kept, at = got[i].split("\n") if got[i] else [], 0
+        gone = set()
+        for j, line in enumerate(texts[i].split("\n")):
+            if j not in must and at < len(kept) and kept[at] == line:
+                at += 1
+            else:
+                gone.add(j)
+        assert at == len(kept) and must <= gone <= may
+
+
 def test_alignment_keeps_order():
     rng = random.Random(7)
     for _ in range(200):
