@@ -5,8 +5,10 @@ turn prefix by turn prefix. What one more turn appends is that turn's span; a te
 starts with the previous output rewrites history and is rejected. Rendering the last turn once more with a probe
 character in place of its text gives the place of the text inside the span, and so the loss mask.
 
-Rows of a conversation stream through one task in turn order, and a prefix starts at most ``HORIZON`` turns back, so
-neither memory nor time grows with the square of a long conversation. A template may look back that far.
+Rows of a conversation stream through one task in turn order. Prefixes are whole by default, as a template may number
+turns or look back to the first one; the time then grows with the square of a conversation. A template declared
+``turn_local`` renders each turn alone, so its prefixes start at most ``HORIZON`` turns back, and neither memory nor
+time grows that way. The production template is.
 
 The production template marks turns with ``<s>``, ``[INST]`` and the like, and puts a backslash before every ``<``,
 ``[`` and backslash of a text, so no text holds a control string and every text can be read back.
@@ -49,6 +51,13 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def turn_local(template: Callable[[list[Turn]], str]) -> Callable[[list[Turn]], str]:
+    """Declare that what the template shows of a turn depends on no other turn, nor on its place."""
+    template.turn_local = True
+    return template
+
+
+@turn_local
 def inst_template(turns: list[Turn]) -> str:
     """The production template: one marked turn after the other, texts escaped."""
     out = ["<s>"]
@@ -86,7 +95,7 @@ def rewrites_history(template: Callable[[list[Turn]], str], turns: list[Turn]) -
 SCHEMA = "conv_id bigint, seq bigint, formatted string, loss_start bigint, loss_end bigint"
 
 
-def _format(template: Callable[[list[Turn]], str]):
+def _format(template: Callable[[list[Turn]], str], local: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, before, seq, shown = object(), [], 0, ""
         for batch in batches:
@@ -96,14 +105,15 @@ def _format(template: Callable[[list[Turn]], str]):
                     conv, before, seq, shown = c, [], 0, template([])
                     lead = shown
                 span, a, b = locate_turn(template, before, (role, text), shown)
+                shown += span
                 if seq == 0:  # what stands before the first turn belongs to it
                     span, a, b = lead + span, a + len(lead), b + len(lead)
                 out.append((c, seq, span, a if role == TRAINED_ROLE else None, b if role == TRAINED_ROLE else None))
                 before.append((role, text))
                 seq += 1
-                if len(before) > HORIZON:
+                if local and len(before) > HORIZON:
                     before = before[-HORIZON // 2:]
-                shown = template(before)
+                    shown = template(before)
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
@@ -116,13 +126,13 @@ def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str]
     """conv_id, seq, formatted, loss_start, loss_end: what each turn adds, conversations in turn order inside partitions.
 
     The formatted conversation is its rows joined; the loss bounds (code points in ``formatted``, end exclusive)
-    hold the text of assistant turns and are missing elsewhere.
+    hold the text of assistant turns and are missing elsewhere. Prefixes are whole unless the template is ``turn_local``.
     """
     ship(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                                 F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("turn").cast("bigint").alias("turn"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(lean(_format(template)), SCHEMA)
+    return dealt.mapInArrow(lean(_format(template, getattr(template, "turn_local", False))), SCHEMA)
 
 
 _TURN = re.compile(r"<s>|<<SYS>>\n(?P<system>(?:[^<\[\\]|\\.)*)\n<</SYS>>\n|\[INST\] (?P<user>(?:[^<\[\\]|\\.)*) \[/INST\]"

@@ -439,6 +439,28 @@ def test_template_that_rewrites_history_is_found():
         chat.locate_turn(counting, turns[:1], turns[1], counting(turns[:1]))
 
 
+def test_chat_renders_whole_prefixes_of_any_template(spark):
+    def numbered(turns):
+        """Numbers turns, opens the first one with the system text, and wants users and assistants in turn."""
+        out = []
+        for i, (role, text) in enumerate(turns):
+            if role != ("system" if i == 0 else ("assistant", "user")[i % 2]):
+                raise ValueError(f"turn {i} is out of order")
+            out.append(f"<rules>{text}</rules>" if i == 0 else f"#{i} {role}: {text}\n")
+        return "".join(out)
+
+    def forgetting(turns):
+        return "".join(f"{role}: {text}\n" for role, text in turns[-80:])
+
+    turns = [("system", "be brief")] + [(("assistant", "user")[i % 2], f"turn {i}") for i in range(1, 150)]
+    df = spark.createDataFrame([(7, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = sorted(chat.format_turns(df, numbered).collect(), key=lambda r: r.seq)
+    assert "".join(r.formatted for r in got) == numbered(turns)
+    assert [r.formatted[r.loss_start:r.loss_end] for r in got if r.loss_start is not None] == [t for r, t in turns if r == "assistant"]
+    with pytest.raises(Exception, match="RewritesHistory"):
+        chat.format_turns(df, forgetting).collect()
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 
