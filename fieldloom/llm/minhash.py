@@ -43,6 +43,7 @@ LOST = 1e-6
 _RANDOM = np.random.RandomState(77003)
 FLIP = _RANDOM.randint(0, 2**32, COORDINATES, dtype=np.uint64).astype(np.uint32)
 SPREAD = (_RANDOM.randint(0, 2**31, COORDINATES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
+MIX = np.uint32(0x9E3779B1)
 
 
 def least_matches(coordinates: int, similarity: float) -> int:
@@ -75,6 +76,11 @@ def _shingles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, value[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=end - first))])
 
 
+def _mixed_bytes(minima: np.ndarray) -> np.ndarray:
+    """One byte of each minimum that depends on all its bits: the high ones of a long text are nearly always zero."""
+    return ((minima * MIX) >> np.uint32(24)).astype(np.uint8)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         count, digest, posts, signs = [], [], [], []
@@ -91,7 +97,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count.append(len(own))
                 digest.append(blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 posts.append(element[i])
-            signs += [m.tobytes() for m in (minima >> np.uint32(24)).astype(np.uint8)]
+            signs += [m.tobytes() for m in _mixed_bytes(minima)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(posts, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
             names=["doc_id", "n_shingles", "digest", "posts", "sign"])

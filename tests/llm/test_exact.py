@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import rows
 from llm.conftest import prose
@@ -167,6 +168,15 @@ def test_near_duplicates_cut_long_lists_into_blocks(make_docs, monkeypatch):
     assert got == {i: c for i, (_, c) in near_by_brute_force(every, 85).items()}
 
 
+@pytest.mark.parametrize("n", [600, 1000, 3000])
+def test_signatures_of_unrelated_long_texts_differ(n):
+    texts = [" ".join(f"{side}{i}" for i in range(n)) for side in "ab"] + [" ".join(f"a{i}" for i in range(n - 20))]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array(texts)], names=["doc_id", "text"])
+    signs = [np.frombuffer(x, np.uint8) for b in minhash._sign(iter([batch])) for x in b["sign"].to_pylist()]
+    assert (signs[0] == signs[1]).sum() < 16
+    assert (signs[0] == signs[2]).sum() >= minhash.least_matches(minhash.COORDINATES, 0.85)
+
+
 def test_near_duplicates_of_repeated_and_missing_ids(make_docs):
     t = prose(random.Random(1), 80)
     out = rows(minhash.near_duplicates(make_docs([(7, t), (7, t), (3, t), (None, t), (5, None)])), "doc_id", "component_id", "kept")
