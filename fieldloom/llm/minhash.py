@@ -15,6 +15,8 @@ A text is lower-cased (A-Z) and cut into words ``[^\x20\x09-\x0D]+``; its set ho
   links that join components are emitted. So no link is lost and no row stands for a pair that fails.
 * Links are confirmed on the full sets; components come from alternating star steps.
 
+Lists, signatures and sets belong to a text, keyed by (doc_id, digest of its set); links are made of doc_ids.
+
 Defined cases: a text without words has an empty set and stands alone; rows that repeat a doc_id are one
 document linked by any of its texts; a row without doc_id stands alone and is kept; extra columns are ignored.
 """
@@ -81,6 +83,10 @@ def _mixed_bytes(minima: np.ndarray) -> np.ndarray:
     return ((minima * MIX) >> np.uint32(24)).astype(np.uint8)
 
 
+def _digest(own: np.ndarray) -> bytes | None:
+    return blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         count, digest, posts, signs = [], [], [], []
@@ -95,7 +101,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(bounds) - 1):
                 own = np.unique(value[bounds[i]:bounds[i + 1]])
                 count.append(len(own))
-                digest.append(blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                digest.append(_digest(own))
                 posts.append(element[i])
             signs += [m.tobytes() for m in _mixed_bytes(minima)]
         yield pa.RecordBatch.from_arrays(
@@ -105,8 +111,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(value[bounds[i]:bounds[i + 1]]).view(np.int64) for _, value, bounds in _shingles(batch.column(1)) for i in range(len(bounds) - 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+        sets = [np.unique(value[bounds[i]:bounds[i + 1]]) for _, value, bounds in _shingles(batch.column(1)) for i in range(len(bounds) - 1)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
+            names=["doc_id", "digest", "shingles"])
 
 
 def _agreement(sign: np.ndarray) -> np.ndarray:
@@ -177,12 +185,15 @@ def _matcher(least: int, percent: int | None = None):
     """Pairs of each group of rows that come in group order (elem, lo, hi).
 
     Without ``percent``: a spanning forest of the pairs with ``least`` matches, to be confirmed. With it:
-    confirmed links between different components, from rows that carry prefix and shingles too.
+    confirmed links between different components, from rows that carry prefix and shingles too. A doc_id may have
+    several texts in a group; a row of a pair has its texts' digests beside the doc_ids, the smaller doc_id first.
     """
+    Pair = tuple[int, bytes, int, bytes]
 
-    def solve(group: pa.RecordBatch) -> list[tuple[int, int]]:
-        doc, keep = np.unique(group["doc_id"].to_numpy(), return_index=True)
-        group = group.take(pa.array(keep))
+    def solve(group: pa.RecordBatch) -> list[Pair]:
+        doc, text = group["doc_id"].to_numpy(), group["digest"].to_pylist()
+        keep = [i for i in range(len(doc)) if i == 0 or doc[i] != doc[i - 1] or text[i] != text[i - 1]]
+        group, doc, text = group.take(pa.array(keep)), doc[keep], [text[i] for i in keep]
         equal = _agreement(np.frombuffer(b"".join(group["sign"].to_pylist()), np.uint8).reshape(len(doc), -1))
         if percent is None:
             found = _forest(equal, least)
@@ -195,15 +206,17 @@ def _matcher(least: int, percent: int | None = None):
                 return []
             need &= ~_shared_before(group["elem"][0].as_py(), [p.values.to_numpy() for p in group["prefix"]])
             found = _links(need, [x.values.to_numpy() for x in group["shingles"]], comp, percent)
-        return [(min(doc[i], doc[j]), max(doc[i], doc[j])) for i, j in found]
+        sides = ((i, j) if doc[i] < doc[j] else (j, i) for i, j in found if doc[i] != doc[j])
+        return [(doc[i], text[i], doc[j], text[j]) for i, j in sides]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
-        found: list[tuple[int, int]] = []
+        found: list[Pair] = []
 
         def batch_of(pairs):
-            a = np.array(list(dict.fromkeys(pairs)), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+            columns = list(zip(*dict.fromkeys(pairs), strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.binary()) * 2
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "a_text", "b", "b_text"])
 
         for batch in batches:
             if held is not None:
@@ -218,7 +231,8 @@ def _matcher(least: int, percent: int | None = None):
                 doc = batch["doc_id"].to_numpy()
                 sign = [np.frombuffer(b"".join(batch["sign"].take(pa.array(two + k)).to_pylist()), np.uint8).reshape(len(two), -1) for k in (0, 1)]
                 good = two[((sign[0] == sign[1]).sum(axis=1) >= least) & (doc[two] < doc[two + 1])]
-                found += zip(doc[good], doc[good + 1], strict=True)
+                text = [batch["digest"].take(pa.array(good + k)).to_pylist() for k in (0, 1)]
+                found += zip(doc[good], text[0], doc[good + 1], text[1], strict=True)
             for at, n in zip(bounds[:-1], size, strict=True):
                 if n > 2 or n == 2 and percent is not None:
                     found += solve(batch.slice(at, n))
@@ -242,37 +256,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85, posted_share: float | No
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = cut_lineage(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep", "digest"))
-    reps = known.join(member.where("doc_id = rep").select("doc_id", "digest").distinct(), ["doc_id", "digest"])
+    own = ["doc_id", "digest"]  # one text
+    reps = known.join(member.where("doc_id = rep").select(*own).distinct(), own).dropDuplicates(own)
 
-    posted = reps.select("doc_id", F.explode("posts").alias("elem"))
+    posted = reps.select(*own, F.explode("posts").alias("elem"))
     shared = posted.groupBy("elem").agg(F.count("*").alias("n")).where("n > 1")
-    prefix = (posted.join(shared, "elem").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("n", "elem"))).alias("e"))  # at most POSTED a text
-              .where(F.size("e") >= posted_least).select("doc_id", F.explode(F.slice("e", F.lit(1), F.size("e") - F.lit(posted_least - 1))).alias("e"))
-              .select("doc_id", F.col("e.elem").alias("elem")))
+    prefix = (posted.join(shared, "elem").groupBy(*own).agg(F.array_sort(F.collect_set(F.struct("n", "elem"))).alias("e"))  # at most POSTED a text
+              .where(F.size("e") >= posted_least).select(*own, F.explode(F.slice("e", F.lit(1), F.size("e") - F.lit(posted_least - 1))).alias("e"))
+              .select(*own, F.col("e.elem").alias("elem")))
     prefix = cut_lineage(prefix)
     size = prefix.groupBy("elem").agg(F.count("*").alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    lists = (prefix.join(size, "elem").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    lists = (prefix.join(size, "elem").withColumn("block", F.pmod(F.xxhash64(*own), blocks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("elem", "m", "doc_id", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
-    lists = cut_lineage(lists.join(reps.select("doc_id", "sign"), "doc_id"))
-    sets = cut_lineage(semi_join_ids(texts, lists.select("doc_id").distinct(), "doc_id").mapInArrow(lean(_sets), "doc_id bigint, shingles array<bigint>"))
+             .select("elem", "m", *own, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
+    lists = cut_lineage(lists.join(reps.select(*own, "sign"), own))
+    sets = cut_lineage(semi_join_ids(texts, lists.select("doc_id").distinct(), "doc_id").mapInArrow(lean(_sets), "doc_id bigint, digest binary, shingles array<bigint>"))
 
     def matched(rows: DataFrame, percent: int | None = None) -> DataFrame:
-        ordered = rows.repartition("elem", "lo", "hi").sortWithinPartitions("elem", "lo", "hi", "doc_id")
-        return ordered.mapInArrow(lean(_matcher(least, percent)), "a bigint, b bigint").distinct()
+        ordered = rows.repartition("elem", "lo", "hi").sortWithinPartitions("elem", "lo", "hi", *own)
+        return ordered.mapInArrow(lean(_matcher(least, percent)), "a bigint, a_text binary, b bigint, b_text binary").distinct()
+
+    def side(name: str, shingles: str) -> DataFrame:
+        return sets.select(F.col("doc_id").alias(name), F.col("digest").alias(f"{name}_text"), F.col("shingles").alias(shingles))
 
     both = F.size(F.array_intersect("left", "right"))
-    links = (matched(lists.select("elem", "lo", "hi", "doc_id", "sign")).join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
-             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+    links = (matched(lists.select("elem", "lo", "hi", *own, "sign")).join(side("a", "left"), ["a", "a_text"]).join(side("b", "right"), ["b", "b_text"])
              .where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")))
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     roots = cut_lineage(components(links.unionByName(copies)))
 
     more = lists.where("m > 2").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root", "m")
     open_lists = more.groupBy("elem").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("elem")
-    whole = sets.join(prefix.groupBy("doc_id").agg(F.collect_set("elem").alias("prefix")), "doc_id")  # at most POSTED elements a text
-    late = matched(more.join(open_lists, "elem", "left_semi").join(whole, "doc_id"), percent)
+    whole = sets.join(prefix.groupBy(*own).agg(F.collect_set("elem").alias("prefix")), own)  # at most POSTED elements a text
+    late = matched(more.join(open_lists, "elem", "left_semi").join(whole, own), percent)
     late = cut_lineage(late.select(F.col("a").alias("u"), F.col("b").alias("v")))
     if not late.isEmpty():
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late))

@@ -186,6 +186,18 @@ def test_near_duplicates_of_repeated_and_missing_ids(make_docs):
     assert minhash.near_duplicates(empty(docs)).count() == 0 and minhash.keep_one(empty(docs)).count() == 0
 
 
+def test_near_duplicates_link_every_text_of_a_doc_id(make_docs):
+    rng = random.Random(3)
+    pairs, want = [], {}
+    for i in range(0, 60, 2):  # the larger id has a text of its own and a near copy of the smaller one's, in either order
+        words = prose(rng, 300).split()
+        near, other = [*words[:-2], "new", "end"], [*words[:150], *prose(rng, 150).split()]
+        pairs += [(i, " ".join(words)), *[(i + 1, " ".join(t)) for t in ([near, other] if i % 4 else [other, near])]]
+        want[i] = want[i + 1] = i
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(make_docs(pairs)).collect()}
+    assert got == set(want.items())
+
+
 # --- 7 -------------------------------------------------------------------------------------------
 
 
