@@ -65,11 +65,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Consecutive rows of about RUN_BYTES: first row, end row, their bytes and offsets."""
+def runs(data: np.ndarray, offsets: np.ndarray, size: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Consecutive rows of about ``size`` bytes: first row, end row, their bytes and offsets."""
     first, rows = 0, len(offsets) - 1
     while first < rows:
-        end = int(np.searchsorted(offsets, offsets[first] + RUN_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         end = min(max(end, first + 1), rows)
         yield first, end, data[offsets[first]:offsets[end]], offsets[first:end + 1] - offsets[first]
         first = end
