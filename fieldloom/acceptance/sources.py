@@ -60,3 +60,33 @@ def named_dataset(t):
 @case("q_read_pushed", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 25")
 def read_pushed(t):
     return tables.read_table(t.spark, f"{t.folder}/lineitem.parquet", F.col("l_quantity") >= 25, ["l_orderkey", "l_linenumber", "l_quantity"])
+
+
+@case("q_quoted_breaks", """
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'he said "' || o_orderstatus || '",' || chr(10) || chr(10) || o_orderpriority || chr(13) || chr(10) || '"end"' END AS note,
+  strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""")
+def quoted_breaks(t):
+    path = f"{shared_folder(t.spark)}/quoted-{uuid.uuid4().hex}"
+    status = F.col("o_orderstatus")
+    said = F.concat(F.lit('he said "'), status, F.lit('",\n\n'), F.col("o_orderpriority"), F.lit('\r\n"end"'))
+    tables.write_delimited(t.orders.select("o_orderkey", F.when(status != "P", said).alias("note"), F.col("o_orderdate").cast("date").alias("day")), path)
+    return tables.read_delimited(t.spark, path, "o_orderkey bigint, note string, day string", line_breaks=True)
+
+
+@case("q_guessed_types", """
+SELECT o_orderkey AS key, round(o_totalprice, 6) + 0.0 AS price, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS customer, o_orderdate::DATE::VARCHAR AS day,
+  strftime(o_orderdate + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS stamp, lpad(o_custkey::VARCHAR, 12, '0') AS code, o_orderstatus = 'F' AS finished,
+  'key bigint, price double, customer bigint, day date, stamp timestamp, code string, finished boolean, nothing string, mixed double' AS types,
+  CASE WHEN o_orderstatus = 'F' THEN 7.0::DOUBLE ELSE 0.5 END AS mixed, NULL::VARCHAR AS nothing FROM orders""")
+def guessed_types(t):
+    path = f"{shared_folder(t.spark)}/guessed-{uuid.uuid4().hex}"
+    finished = F.col("o_orderstatus") == "F"
+    tables.write_delimited(t.orders.select(
+        F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"), F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("customer"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.date_format(F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 90 MINUTE"), "yyyy-MM-dd HH:mm:ss").alias("stamp"),
+        F.lpad(F.col("o_custkey").cast("string"), 12, "0").alias("code"), F.when(finished, "TRUE").otherwise("False").alias("finished"),
+        F.lit(None).cast("string").alias("nothing"), F.when(finished, "7").otherwise(".5").alias("mixed")), path)
+    df = tables.read_guessed(t.spark, path)
+    types = ", ".join(f"{n} {k}" for n, k in df.dtypes)
+    return df.select("key", r("price").alias("price"), "customer", F.date_format("day", "yyyy-MM-dd").alias("day"), F.date_format("stamp", "yyyy-MM-dd HH:mm:ss").alias("stamp"),
+                     "code", "finished", F.lit(types).alias("types"), "mixed", "nothing")

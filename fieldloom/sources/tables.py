@@ -8,30 +8,48 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from .guess import cast_guessed, guess_types
+from .records import header_names, read_records
+
 MISSING_TEXT = "NA"
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None,
-                   sep: str = ",", missing: str = MISSING_TEXT) -> DataFrame:
-    """Delimited text with a header; the text ``NA`` and empty cells are missing.
+                   sep: str = ",", missing: str = MISSING_TEXT, line_breaks: bool = False) -> DataFrame:
+    """Delimited text with a header; the text ``NA`` and empty cells are missing, a doubled quote in a quoted cell is a quote.
 
-    Without a schema every column is text and no pass is spent on guessing types.
+    Without a schema every column is text and no pass is spent on guessing types. ``line_breaks`` reads files whose quoted cells may
+    hold line breaks, still in byte ranges (see ``records``), for one more scan of the text.
     """
-    reader = spark.read.option("header", True).option("sep", sep).option("nullValue", missing)
-    reader = reader.option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", False)
-    if schema is not None:
-        reader = reader.schema(schema)
+    options = {"sep": sep, "nullValue": missing, "quote": '"', "escape": '"', "mode": "FAILFAST", "ignoreLeadingWhiteSpace": "false"}
+    if line_breaks:
+        df = _parsed_records(spark, path, schema, sep, options)
     else:
-        reader = reader.option("inferSchema", False)
-    df = reader.csv(path)
+        reader = spark.read.options(**options).option("header", True)
+        df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", False)).csv(path)
     texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
     return df.withColumns({c: F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")) for c in texts}) if texts else df
 
 
-def read_guessed(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
-    """Delimited text with types guessed from the data (an extra pass); prefer a schema."""
-    return (spark.read.option("header", True).option("sep", sep).option("nullValue", MISSING_TEXT)
-            .option("inferSchema", True).csv(path))
+def _parsed_records(spark: SparkSession, path: str | list[str], schema: StructType | str | None, sep: str, options: dict[str, str]) -> DataFrame:
+    found = read_records(spark, path)
+    if schema is None:
+        head = found.where("leads").select("record").first()
+        names = header_names(head.record, sep) if head is not None else []
+        ddl = ", ".join(f"c{i} string" for i in range(len(names)))
+    else:
+        shape = spark.createDataFrame([], schema).schema
+        names, ddl = shape.names, ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(shape.fields))
+    if not names:
+        return spark.createDataFrame([], "")
+    rows = found.where(~F.col("leads")).select(F.from_csv("record", ddl, options | {"multiLine": "true"}).alias("r"))
+    return rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def read_guessed(spark: SparkSession, path: str | list[str], sep: str = ",", missing: str = MISSING_TEXT, line_breaks: bool = False) -> DataFrame:
+    """Delimited text with types guessed from all of its cells by one aggregate; prefer a schema."""
+    texts = read_delimited(spark, path, None, sep, missing, line_breaks)
+    return cast_guessed(texts, guess_types(texts))
 
 
 def positional_name(df: DataFrame, name: str, position: int) -> str:
@@ -72,7 +90,7 @@ def read_database(spark: SparkSession, url: str, table: str, where: Column | Non
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", missing: str = MISSING_TEXT) -> None:
     """Delimited text with a header, one file per task; missing values are written as ``NA``."""
-    df.write.mode("overwrite").option("header", True).option("sep", sep).option("nullValue", missing).csv(path)
+    df.write.mode("overwrite").option("header", True).option("sep", sep).option("nullValue", missing).option("escape", '"').csv(path)
 
 
 def materialise(df: DataFrame, root: str, name: str, partition_by: Sequence[str] = (),
