@@ -297,6 +297,26 @@ def ecdf_all(t):
     return ordered.ecdf(t.orders, [], "o_totalprice").select("o_totalprice", r("ecdf", 9).alias("ecdf"))
 
 
+@case("q_ecdf_text", """
+SELECT DISTINCT l_returnflag, CASE WHEN l_linestatus = 'O' THEN 'open ' || l_shipdate::DATE::VARCHAR ELSE 'F' END AS value, count(*) OVER (PARTITION BY l_returnflag, value)::BIGINT AS n,
+  round(cume_dist() OVER (PARTITION BY l_returnflag ORDER BY value), 9) + 0.0 AS ecdf FROM lineitem""")
+def ecdf_text(t):
+    value = F.when(F.col("l_linestatus") == "O", F.concat(F.lit("open "), F.date_format("l_shipdate", "yyyy-MM-dd"))).otherwise("F")
+    out = ordered.ecdf(t.lineitem.withColumn("value", value), ["l_returnflag"], "value")
+    return out.select("l_returnflag", "value", "n", r("ecdf", 9).alias("ecdf"))
+
+
+@case("q_sorted_text", """
+SELECT page_id, url, row_number() OVER (ORDER BY url NULLS FIRST, page_id)::BIGINT AS row_index,
+  row_number() OVER (PARTITION BY page_id % 3 ORDER BY split_part(url, '/', 3) NULLS FIRST, page_id)::BIGINT AS in_group,
+  lag(url) OVER (ORDER BY url NULLS FIRST, page_id) AS before FROM (SELECT page_id, CASE WHEN url NOT LIKE '%.org%' THEN url END AS url FROM pages)""")
+def sorted_text(t):
+    pages = t.pages.select("page_id", F.when(~F.col("url").contains(".org"), F.col("url")).alias("url"))
+    rows = pages.withColumns({"third": F.col("page_id") % 3, "host": F.split_part("url", F.lit("/"), F.lit(3)), "one": F.lit(0)})
+    grouped = ordered.row_index(ordered.row_index(rows, ["url", "page_id"]), ["host", "page_id"], ["third"], out="in_group")
+    return ordered.lag_in_group(grouped, ["one"], ["url", "page_id"], {"before": "url"}).select("page_id", "url", "row_index", "in_group", "before")
+
+
 @case("q_density", """
 WITH b AS (SELECT o_orderstatus, CASE WHEN o_totalprice < 100000 THEN -1 WHEN o_totalprice > 400000 THEN 40 ELSE least(39, floor((o_totalprice - 100000) / 7500.0)::INT) END AS bin, count(*) AS n FROM orders GROUP BY 1, 2)
 SELECT o_orderstatus, bin, CASE WHEN bin BETWEEN 0 AND 39 THEN 100000 + (bin + 0.5) * 7500.0::DOUBLE END AS mid, n::BIGINT AS n,

@@ -24,6 +24,9 @@ from .joins import null_safe_join
 CUTS = 127
 SLICES = 32
 ROWS_PER_CHUNK = 200_000
+TEXT_CELLS = 16_384
+TEXT_BROADCAST = 200_000
+AHEAD = tuple(1 << i for i in range(11))  # how far a common beginning is looked for at once
 
 
 def even_chunks(df: DataFrame) -> int:
@@ -48,18 +51,18 @@ def order_number(df: DataFrame, column: str) -> Column | None:
 def add_chunks(df: DataFrame, order: Sequence[str], chunk: Column | None = None, out: str = "__chunk") -> DataFrame:
     """Add the chunk number for an ascending order of the given columns.
 
-    Without an expression: quantiles of the first order column over the whole table, each cut into
-    even slices, more of them the more rows there are. A value so frequent that it spans a quantile by itself is cut along the second
-    order column, and so are missing values, which come first. The cut points (``CUTS`` numbers)
-    are read once and written into the plan, so all branches of an operator and every retry of a
-    task see the same chunks.
+    Without an expression: a number or time column is cut at quantiles over the whole table, each interval into
+    even slices, more of them the more rows there are; a text column is cut into ranges of prefixes by their counts
+    (``text_chunks``). A value so frequent that it fills a chunk by itself is cut along the second order column, and so are
+    missing values, which come first. The cut points are read once and written into the plan or a table, so all branches of an
+    operator and every retry of a task see the same chunks.
     """
     if chunk is not None:
         return df.withColumn(out, chunk)
     x = order_number(df, order[0])
-    if x is None:
-        raise ValueError(f"{order[0]} is neither a number nor a time: pass a chunk")
     tie = order_number(df, order[1]) if len(order) > 1 else None
+    if x is None or (tie is None and len(order) > 1):
+        return _mixed_chunks(df, order, out)
     probe = df.select(x.alias("x"), *([tie.alias("t")] if tie is not None else []))
     places = [i / CUTS for i in range(CUTS + 1)]
     *found, rows = probe.agg(*[F.percentile_approx(c, places, 8 * CUTS) for c in probe.columns], F.count(F.lit(1))).first()
@@ -77,6 +80,69 @@ def add_chunks(df: DataFrame, order: Sequence[str], chunk: Column | None = None,
     return work.withColumn(out, F.coalesce(out, F.lit(-1)) * (last + 2) + along).drop("__x", "__t", "__along")
 
 
+def _mixed_chunks(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Chunks where the first or the second order column is a text."""
+    x = order_number(df, order[0])
+    if x is None:
+        work = text_chunks(df, order[0], out)
+        heavy = F.col(out) % 2 == 1
+    else:
+        places = [i / CUTS for i in range(CUTS + 1)]
+        points, rows = df.agg(F.percentile_approx(x, places, 8 * CUTS), F.count(F.lit(1))).first()
+        points = [p for p in points or [] if math.isfinite(p)] or [0.0]
+        slices = max(SLICES, math.ceil(rows / (CUTS * ROWS_PER_CHUNK)))
+        work = _slice(df.withColumn("__x", x), "__x", sorted(set(points)), out, slices)
+        often = sorted({p for p in points if points.count(p) > 1})
+        heavy = F.col("__x").isin(often) if often else F.lit(False)
+        work = work.withColumn(out, F.coalesce(F.when(F.col("__x").isNotNull(), F.col(out)), F.lit(-1)).cast("bigint"))
+    if len(order) == 1:
+        return work.drop("__x")
+    work = work.withColumn("__heavy", F.coalesce(heavy, F.lit(False)) | (F.col(out) < 0)).drop("__x")
+    along = add_chunks(work, [order[1]], out="__along")
+    last = 1 << 32  # beyond any chunk along one column
+    return along.withColumn(out, F.col(out) * (last + 2) + F.when(F.col("__heavy"), F.col("__along")).otherwise(last)).drop("__heavy", "__along")
+
+
+def text_chunks(df: DataFrame, column: str, out: str = "__chunk") -> DataFrame:
+    """Add chunk numbers that follow the order of a text column: ranges of prefixes, each with a bounded number of rows.
+
+    Prefixes are counted level by level. One with too many rows is replaced by the longer prefixes behind the part that all its rows
+    share, so a long common beginning costs one level; a single value with too many rows has a chunk of its own, an
+    odd number. At most ``TEXT_CELLS`` prefixes are split on a level (each holds more than its share of the rows), which bounds
+    the tables that are joined to the rows; no row is shuffled for its prefix. Neighbouring prefixes with few rows share a chunk.
+    Missing values have chunk -1.
+    """
+    kind = df.schema[column].dataType.typeName()
+    x = F.hex(f"`{column}`") if kind == "binary" else F.col(f"`{column}`").cast("string")
+    present = df.select(x.alias("x")).where("x IS NOT NULL")
+    limit = max(ROWS_PER_CHUNK, math.ceil(present.count() / TEXT_CELLS))
+    frontier = present.select("x", F.substring("x", 1, 1).alias("cell"), F.lit(1).alias("taken"))
+    splits, cells = [], None
+    while True:
+        edges = [f(F.xxhash64(F.substring("x", F.lit(1), F.col("taken") + step))).alias(f"{n}{step}") for step in AHEAD for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        counted = cut_lineage(frontier.groupBy("cell").agg(
+            F.count(F.lit(1)).alias("n"), F.max("taken").alias("taken"), (F.min(F.xxhash64("x")) == F.max(F.xxhash64("x"))).alias("single"), *edges))
+        crowded = (F.col("n") > limit) & ~F.col("single")
+        level = counted.where(~crowded).select("cell", "n", (F.col("n") > limit).alias("hot"))
+        cells = level if cells is None else cells.unionByName(level)
+        shared = F.greatest(F.lit(0), *[F.when(F.col(f"lo{s}") == F.col(f"hi{s}"), s) for s in AHEAD])
+        split = counted.where(crowded).select("cell", (F.col("taken") + shared + 1).alias("taken"))
+        if split.isEmpty():
+            break
+        splits.append(split)
+        frontier = frontier.drop("taken").join(F.broadcast(split), "cell").select("x", F.substring("x", F.lit(1), F.col("taken")).alias("cell"), "taken")
+    before = F.coalesce(F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per prefix
+    numbers = cut_lineage(cells.select(F.col("cell").alias("__cell"), (F.floor(before / limit) * 2 + F.col("hot").cast("bigint")).alias(out)))
+    work = df.withColumn("__cell", F.substring(x, 1, 1))
+    for split in splits:
+        longer = F.broadcast(split.select(F.col("cell").alias("__cell"), F.col("taken").alias("__taken")))
+        work = work.join(longer, "__cell", "left").withColumn("__cell", F.when(F.col("__taken").isNull(), F.col("__cell")).otherwise(
+            F.substring(x, F.lit(1), F.col("__taken")))).drop("__taken")
+    few = numbers.limit(TEXT_BROADCAST + 1).count() <= TEXT_BROADCAST
+    work = work.join(F.broadcast(numbers) if few else numbers, "__cell", "left")
+    return work.select(*df.columns, F.coalesce(out, F.lit(-1).cast("bigint")).alias(out))
+
+
 def _slice(df: DataFrame, column: str, cuts: Sequence[float], out: str, slices: int) -> DataFrame:
     """Add the number of the interval between cut points, times ``slices``, plus the slice in it."""
     edges = [float("-inf"), *cuts, float("inf")]
