@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..plans.store import Store
 from ..session import shared_folder
 from ..sources import tables
 from .registry import big, case, r
@@ -90,3 +91,28 @@ def guessed_types(t):
     types = ", ".join(f"{n} {k}" for n, k in df.dtypes)
     return df.select("key", r("price").alias("price"), "customer", F.date_format("day", "yyyy-MM-dd").alias("day"), F.date_format("stamp", "yyyy-MM-dd HH:mm:ss").alias("stamp"),
                      "code", "finished", F.lit(types).alias("types"), "mixed", "nothing")
+
+
+def _per_day(spark, orders):
+    day = F.col("o_orderdate").cast("date")
+    return spark.read.parquet(orders).groupBy(day.alias("day"), "o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("price"))
+
+
+def _per_month(spark, days, least):
+    month = F.date_format("day", "yyyy-MM")
+    return days.groupBy(month.alias("month"), "o_orderstatus").agg(F.sum("n").alias("n"), F.sum("price").alias("price")).where(F.col("n") >= least)
+
+
+@case("q_reused_datasets", """
+SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) + 0.0 AS price,
+  'days built, months built, days reused, months reused, days reused, months built' AS states, 1::BIGINT AS removed
+FROM orders GROUP BY 1, 2 HAVING count(*) >= 3""")
+def reused_datasets(t):
+    root, states = f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}", []
+    for least in (1, 1, 3):  # a changed parameter rebuilds what depends on it only
+        store = Store(t.spark, root)
+        store.target("days", _per_day, {"orders": f"{t.folder}/orders.parquet"})
+        df = store.target("months", _per_month, uses=["days"], least=least)
+        states += [f"{name} {state}" for name, state in store.log]
+    removed = len(store.prune())
+    return df.select("month", "o_orderstatus", "n", r("price", 2).alias("price"), F.lit(", ".join(states)).alias("states"), big(F.lit(removed)).alias("removed"))

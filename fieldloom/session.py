@@ -16,6 +16,7 @@ LOCAL_CONF = {
 }
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "fieldloom",
@@ -57,5 +58,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     of executors, keeps column pruning and filter pushdown, and has a known size for the planner.
     """
     path = f"{shared_folder(df.sparkSession)}/fieldloom-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the tables that ``cut_lineage`` has written in this application; gives their number.
+
+    DataFrames that read them are of no use afterwards, so call it once the results are written.
+    """
+    from .sources import folders
+
+    return sum(folders.remove(spark, path) for path in _WRITTEN.pop(spark.sparkContext.applicationId, []))
