@@ -146,14 +146,13 @@ def species_group(t):
 
 
 @case("q_complete_counts", """
-WITH frame AS (SELECT * FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN generate_series(1, 6) AS g(census)),
+WITH frame AS (SELECT * FROM (SELECT user_id FROM events UNION SELECT -1 - user_id FROM events) CROSS JOIN generate_series(1, 6) AS g(census)),
 c AS (SELECT user_id, least(6, (day(ts) - 1) // 5 + 1) AS census, sum(CASE WHEN event_type = 'click' THEN 1 END)::BIGINT AS n
-      FROM events WHERE (user_id + least(6, (day(ts) - 1) // 5 + 1)) % 4 > 0 GROUP BY ALL)
+      FROM events GROUP BY ALL)
 SELECT user_id, census::INT AS census, coalesce(n, 0)::BIGINT AS sumcount FROM frame LEFT JOIN c USING (user_id, census)""")
 def complete_counts(t):
     counts = t.events.select("user_id", census_number().alias("census"), F.when(F.col("event_type") == "click", 1).alias("count"))
-    counts = counts.where("(user_id + census) % 4 > 0")  # the gaps of the frame
-    frame = reshape.cross_with(t.events.select("user_id").distinct(), census=[1, 2, 3, 4, 5, 6])
+    frame = reshape.cross_with(_with_strangers(t.events.select("user_id").distinct()), census=[1, 2, 3, 4, 5, 6])
     return census.complete_counts(counts, frame, ["user_id", "census"], "count").withColumn("sumcount", big("sumcount"))
 
 
@@ -266,40 +265,62 @@ def survival_events(t):
     return out.select(F.col("user_id").alias("id"), "occurrence", day_text("date").alias("date"), "study", r("spei", 4).alias("spei"), "months_til_alive", "months_til_dead")
 
 
+def _with_strangers(frame):
+    """The keys and as many that no record has."""
+    return frame.unionByName(frame.withColumn("user_id", -1 - F.col("user_id")))
+
+
 @case("q_survival_pct", """
-WITH e AS (SELECT user_id, event_type, CASE WHEN value > 40 THEN 1 ELSE 0 END AS s FROM events WHERE user_id % 4 > 0),
+WITH e AS (SELECT user_id, event_type, CASE WHEN value > 40 THEN 1 ELSE 0 END AS s FROM events),
 c AS (SELECT user_id, event_type, count(*) AS tot, sum(s) AS tots, sum(s)::DOUBLE / count(*) * 100 AS survival FROM e GROUP BY 1, 2)
 SELECT f.user_id, f.event_type, coalesce(tot, 0)::BIGINT AS tot, coalesce(tots, 0)::BIGINT AS "totS", round(coalesce(survival, 0), 6) + 0.0 AS survival
-FROM (SELECT DISTINCT user_id, event_type FROM events) f LEFT JOIN c ON f.user_id = c.user_id AND f.event_type = c.event_type""")
+FROM (SELECT user_id, event_type FROM events UNION SELECT -1 - user_id, event_type FROM events) f LEFT JOIN c ON f.user_id = c.user_id AND f.event_type = c.event_type""")
 def survival_pct(t):
     state = F.when(F.col("value") > 200, "1").when(F.col("value") > 40, "alive").when(F.col("value") > 20, "dezd").otherwise("not found")
-    rows = t.events.where("user_id % 4 > 0").select("user_id", "event_type", state.alias("survival"))
-    frame = t.events.select("user_id", "event_type").distinct()
+    rows = t.events.select("user_id", "event_type", state.alias("survival"))
+    frame = _with_strangers(t.events.select("user_id", "event_type").distinct())
     out = survival.survival_percent(rows, frame, ["user_id", "event_type"])
     return out.select("user_id", "event_type", big("tot").alias("tot"), big("totS").alias("totS"), r("survival").alias("survival"))
 
 
+@case("q_interval_curve", """
+WITH y AS (SELECT c_mktsegment AS g, c_custkey, max(year(o_orderdate)) AS last FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+k AS (SELECT g, last, count(*) AS n FROM y GROUP BY ALL),
+top AS (SELECT max(last) AS top FROM y),
+s AS (SELECT g, last, n, sum(n) OVER (PARTITION BY g ORDER BY last DESC) AS at_risk, sum(n) OVER (PARTITION BY g) AS total FROM k, top)
+SELECT g AS segment, last::DOUBLE AS "start", CASE WHEN last < top THEN last + 1.0::DOUBLE END AS "end", round(n / total, 7) + 0.0 AS mass, round((at_risk - n) / total, 7) + 0.0 AS survival,
+  total::BIGINT AS n FROM s, top""")
+def interval_curve(t):
+    # A customer is alive in the last year with an order and dead in the one after, unless the table ends there.
+    top = t.orders.agg(F.max(F.year("o_orderdate"))).scalar()
+    last = t.orders.groupBy("o_custkey").agg(F.max(F.year("o_orderdate")).alias("alive")).withColumn("top", top)
+    rows = last.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_mktsegment").alias("segment"), "alive", F.when(F.col("alive") < F.col("top"), F.col("alive") + 1).alias("dead"))
+    out = survival.interval_survival(rows, ["segment"], "alive", "dead")
+    return out.select("segment", "start", "end", r("mass", 7).alias("mass"), r("survival", 7).alias("survival"), "n")
+
+
 # --- analysis tables -----------------------------------------------------------------------------
 
 
 @case("q_key_frame", """
-WITH k AS (SELECT DISTINCT user_id, event_type, least(6, (day(ts) - 1) // 5 + 1)::INT AS census FROM events WHERE user_id % 4 > 0),
-f AS (SELECT DISTINCT user_id, g.census::INT AS census FROM events CROSS JOIN generate_series(1, 6) AS g(census))
+WITH k AS (SELECT DISTINCT user_id, event_type, least(6, (day(ts) - 1) // 5 + 1)::INT AS census FROM events),
+f AS (SELECT user_id, g.census::INT AS census FROM (SELECT user_id FROM events UNION SELECT -1 - user_id FROM events) CROSS JOIN generate_series(1, 6) AS g(census))
 SELECT coalesce(k.user_id, f.user_id) AS user_id, event_type, coalesce(k.census, f.census) AS census
 FROM k FULL JOIN f ON k.user_id = f.user_id AND k.census = f.census""")
 def key_frame(t):
-    records = t.events.where("user_id % 4 > 0").withColumn("census", census_number())
-    frame = reshape.cross_with(t.events.select("user_id").distinct(), census=[1, 2, 3, 4, 5, 6])
+    records = t.events.withColumn("census", census_number())
+    frame = reshape.cross_with(_with_strangers(t.events.select("user_id").distinct()), census=[1, 2, 3, 4, 5, 6])
     return datasets.plot_frame(records, frame, ["user_id", "event_type", "census"]).select("user_id", "event_type", "census")
 
 
 @case("q_abundance", """
-WITH k AS (SELECT DISTINCT user_id, event_type, count(*) OVER (PARTITION BY user_id, event_type)::BIGINT AS n FROM events WHERE user_id % 4 > 0)
-SELECT f.user_id, f.event_type, n FROM (SELECT DISTINCT user_id, event_type FROM events) f
+WITH k AS (SELECT DISTINCT user_id, event_type, count(*) OVER (PARTITION BY user_id, event_type)::BIGINT AS n FROM events)
+SELECT f.user_id, f.event_type, n FROM (SELECT user_id, event_type FROM events UNION SELECT -1 - user_id, event_type FROM events) f
 LEFT JOIN k ON f.user_id = k.user_id AND f.event_type = k.event_type""")
 def abundance(t):
-    records = t.events.where("user_id % 4 > 0").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    frame = t.events.select("user_id", "event_type").distinct()
+    records = t.events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    frame = _with_strangers(t.events.select("user_id", "event_type").distinct())
     return datasets.abundance(records, frame, ["user_id", "event_type", "n"])
 
 

@@ -142,7 +142,7 @@ def monthly_extremes(t):
 def _zone_sql(mean: str) -> str:
     return "WITH" + NATION_ORDERS + f""",
 m0 AS (SELECT "siteID", year(date) AS year, month(date) AS month, max(value) AS v FROM no GROUP BY ALL),
-m AS (SELECT * FROM m0 WHERE (length("siteID") + year * 12 + month) % 5 > 0),
+m AS (SELECT * REPLACE (CASE WHEN (length("siteID") + year * 12 + month) % 5 = 0 THEN year + 100 ELSE year END AS year) FROM m0),
 cal AS (SELECT * FROM (SELECT DISTINCT "siteID" FROM m) CROSS JOIN (SELECT DISTINCT year FROM m) CROSS JOIN (SELECT DISTINCT month FROM m)),
 z AS (SELECT "siteID", zone, year, month, v FROM cal LEFT JOIN m USING ("siteID", year, month)
       JOIN (SELECT n_name AS "siteID", r_name AS zone FROM nation JOIN region ON n_regionkey = r_regionkey) USING ("siteID"))
@@ -150,8 +150,10 @@ SELECT "siteID" AS site, year, month, round(coalesce(v, {mean}), 6) + 0.0 AS v F
 
 
 def _zone_fill(t, strict):
-    monthly = nation_orders(t).groupBy("siteID", F.year("date").alias("year"), F.month("date").alias("month")).agg(
-        F.max("value").alias("v")).where("(length(siteID) + year * 12 + month) % 5 > 0")  # the gaps to fill
+    monthly = nation_orders(t).groupBy("siteID", F.year("date").alias("year"), F.month("date").alias("month")).agg(F.max("value").alias("v"))
+    # Months that move by a century leave gaps to fill where they were, and where the others did not go.
+    moved = F.expr("(length(siteID) + year * 12 + month) % 5 = 0")
+    monthly = monthly.withColumn("year", F.when(moved, F.col("year") + 100).otherwise(F.col("year")))
     out = climate.fill_from_zone(monthly, site_info(t), "siteID", "Biogeographic_zone", "v", strict)
     return out.select(F.col("siteID").alias("site"), big("year").alias("year"), big("month").alias("month"), r("v").alias("v"))
 
@@ -233,9 +235,7 @@ FROM daily d LEFT JOIN normal n ON d."siteID" = n."siteID" AND dayofyear(d.date)
 def climatology_anomaly(t):
     daily = climate.daily_means(priority_readings(t), ["siteID"], "date", "value")
     out = climate.anomalies(daily, _normal(t))
-    # A deviation below 1e-9 is rounding noise of equal means.
-    sign = F.when(F.abs("tAnom") <= 1e-9, "blue").otherwise(F.col("sign"))
-    return out.select(F.col("siteID").alias("site"), day_text("date").alias("date"), r("tAnom", 5).alias("anomaly"), sign.alias("sign"))
+    return out.select(F.col("siteID").alias("site"), day_text("date").alias("date"), r("tAnom", 5).alias("anomaly"), "sign")
 
 
 @case("q_phase_means", "WITH" + CLIMATOLOGY_SQL + """,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lookups import lookup
-from ..operators import bootstrap, columns as cols, community, joins, models, ordered, reshape, stats
+from ..operators import bootstrap, columns as cols, community, joins, mixed, models, ordered, reshape, stats
 from ..session import cut_lineage
 from .registry import big, case, r
 
@@ -217,6 +217,61 @@ def predictions_joined(t):
         "o_orderpriority", r("predicted").alias("predicted"), "lo", "hi")
 
 
+def _intercepts_sql(steps: int = 10) -> str:
+    """Random intercepts of 25 nations with deviation 0.3: unrolled Newton steps on the whole arrow system."""
+    parts = [COUNTS_SQL, "z AS (SELECT c_nationkey AS g, x, y FROM y JOIN orders USING (o_orderkey) JOIN customer ON o_custkey = c_custkey)",
+             "b0 AS (SELECT g, 0.0::DOUBLE AS u, (SELECT ln(avg(y)) FROM z) AS a, 0.0::DOUBLE AS b FROM z GROUP BY 1)"]
+    for i in range(steps):
+        parts.append(f"""
+s{i} AS (SELECT g, u, a, b, sum(exp(a + b * x + u)) AS s0, sum(x * exp(a + b * x + u)) AS s1, sum(x * x * exp(a + b * x + u)) AS s2,
+  sum(y - exp(a + b * x + u)) AS r0, sum(x * (y - exp(a + b * x + u))) AS r1 FROM z JOIN b{i} USING (g) GROUP BY ALL),
+h{i} AS (SELECT *, s0 + 1 / 0.09::DOUBLE AS h, r0 - u / 0.09::DOUBLE AS own FROM s{i}),
+k{i} AS (SELECT sum(s0 - s0 * s0 / h) AS a00, sum(s1 - s0 * s1 / h) AS a01, sum(s2 - s1 * s1 / h) AS a11, sum(r0 - s0 * own / h) AS g0, sum(r1 - s1 * own / h) AS g1 FROM h{i}),
+m{i} AS (SELECT (a11 * g0 - a01 * g1) / (a00 * a11 - a01 * a01) AS da, (a00 * g1 - a01 * g0) / (a00 * a11 - a01 * a01) AS db,
+  sqrt(a11 / (a00 * a11 - a01 * a01)) AS se_a, sqrt(a00 / (a00 * a11 - a01 * a01)) AS se_b FROM k{i}),
+b{i + 1} AS (SELECT g, u + (own - s0 * da - s1 * db) / h AS u, a + da AS a, b + db AS b FROM h{i}, m{i})""")
+    return "WITH" + ",".join(parts)
+
+
+@case("q_random_intercepts", _intercepts_sql() + """
+SELECT g AS c_nationkey, round(u, 7) + 0.0 AS effect, round(a, 7) + 0.0 AS intercept, round(b, 7) + 0.0 AS slope, round(se_a, 7) + 0.0 AS se_intercept, round(se_b, 7) + 0.0 AS se_slope
+FROM b10, m9""")
+def random_intercepts(t):
+    nations = t.customer.select("c_custkey", "c_nationkey")
+    keys = t.orders.select("o_orderkey", "o_custkey").join(nations, F.col("o_custkey") == F.col("c_custkey"))
+    model = mixed.fit_mixed_counts(_counts(t).join(keys, "o_orderkey"), "y", ["x"], ["c_nationkey"], deviations=[0.3])
+    numbers = dict(zip(("intercept", "slope"), model.fixed.coefficients)) | {f"se_{n}": model.fixed.covariance[i][i] ** 0.5 for i, n in enumerate(("intercept", "slope"))}
+    return model.effects.select("c_nationkey", r("c_nationkey_effect", 7).alias("effect"), *[r(F.lit(v), 7).alias(n) for n, v in numbers.items()])
+
+
+@case("q_term_inflation", """
+WITH a AS (SELECT o_orderpriority AS g, o_totalprice AS x, o_custkey::DOUBLE + o_totalprice / 200 AS z FROM orders),
+w AS (SELECT x - avg(x) OVER (PARTITION BY g) AS wx, z - avg(z) OVER (PARTITION BY g) AS wz, x, z FROM a),
+s AS (SELECT avg(wx * wx) AS xx, avg(wz * wz) AS zz, avg(wx * wz) AS xz, var_pop(x) AS vx, var_pop(z) AS vz, corr(x, z) AS r FROM w),
+t AS (SELECT 'priority' AS term, 4 AS df, (1 - r * r) * vx * vz / (xx * zz - xz * xz) AS gvif FROM s
+  UNION ALL SELECT 'price', 1, vx * zz / (xx * zz - xz * xz) FROM s UNION ALL SELECT 'customer', 1, vz * xx / (xx * zz - xz * xz) FROM s)
+SELECT term, df, round(gvif, 6) + 0.0 AS gvif, round(gvif ** (1 / (2.0 * df)), 6) + 0.0 AS gvif_per_df FROM t""")
+def term_inflation(t):
+    # Within groups of a factor the closed form needs pooled variances only.
+    levels = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    rows = t.orders.select(*[(F.col("o_orderpriority") == v).cast("double").alias(f"p{i}") for i, v in enumerate(levels)], F.col("o_totalprice").alias("x"),
+                           (F.col("o_custkey") + F.col("o_totalprice") / 200).alias("z"))
+    out = stats.term_collinearity(rows, {"priority": [f"p{i}" for i in range(4)], "price": ["x"], "customer": ["z"]})
+    return out.select("term", "df", r("gvif").alias("gvif"), r("gvif_per_df").alias("gvif_per_df"))
+
+
+@case("q_exact_residuals", _newton_sql() + """,
+m AS (SELECT o_orderkey, y, exp(a + b * x) AS mu FROM y JOIN fit USING (gap)),
+p AS (SELECT o_orderkey, list_sum(list_transform(range(0, y::BIGINT + 1), lambda k: exp(k * ln(mu) - mu - lgamma(k + 1.0)))) AS upto, exp(y * ln(mu) - mu - lgamma(y + 1.0)) AS mass FROM m)
+SELECT o_orderkey, round(greatest(upto - mass, 0), 7) + 0.0 AS p_below, round(upto, 7) + 0.0 AS p_upto, round(greatest(upto - mass, 0) + 0.5 * (upto - greatest(upto - mass, 0)), 7) + 0.0 AS residual,
+  upto < 0.005 OR 1 - greatest(upto - mass, 0) < 0.005 AS outlier FROM p""")
+def exact_residuals(t):
+    rows, model = _fit(t)
+    out = models.exact_residuals(models.predict_counts(rows, model), "y", "mu")
+    outlier = (F.col("p_upto") < 0.005) | (1 - F.col("p_below") < 0.005)
+    return out.select("o_orderkey", *[r(c, 7).alias(c) for c in ("p_below", "p_upto", "residual")], outlier.alias("outlier"))
+
+
 # --- draws ----------------------------------------------------------------------------------------
 
 DRAW_TERMS = {"b_treatmentGap": ["gap"], "b_spei": ["spei"], "b_IspeiE2": ["spei", "spei"], "b_treatmentGap:spei": ["gap", "spei"]}
@@ -326,6 +381,21 @@ def density(t):
     return out.select("o_orderstatus", "bin", "mid", "n", r("density", 12).alias("density"))
 
 
+@case("q_smooth_density", """
+WITH q AS (SELECT o_orderpriority AS g, count(*) AS n, stddev_samp(o_totalprice) AS sd, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS iqr,
+   min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1),
+s AS (SELECT *, 0.9 * least(sd, iqr / 1.34) * n ** -0.2 AS bw FROM q),
+f AS (SELECT *, lo - 3 * bw AS a, (hi - lo + 6 * bw) / 127 AS step FROM s),
+v AS (SELECT g, (o_totalprice - a) / step AS pos FROM orders JOIN f ON g = o_orderpriority),
+w AS (SELECT g, floor(pos)::INT AS b, 1 - (pos - floor(pos)) AS w FROM v UNION ALL SELECT g, floor(pos)::INT + 1, pos - floor(pos) FROM v),
+k AS (SELECT g, b, sum(w) AS w FROM w GROUP BY 1, 2)
+SELECT f.g AS o_orderpriority, i::INT AS step, round(any_value(a + i * step), 3) + 0.0 AS x, round(sum(w * exp(-0.5 * ((i - b) * step / bw) ** 2)) / sqrt(2 * pi()) / any_value(n * bw) * 1e6, 7) + 0.0 AS density
+FROM f JOIN k ON f.g = k.g CROSS JOIN generate_series(0, 127) AS t(i) GROUP BY ALL""")
+def smooth_density(t):
+    out = stats.smooth_density(t.orders, ["o_orderpriority"], "o_totalprice", points=128)
+    return out.select("o_orderpriority", "step", r("x", 3).alias("x"), r(F.col("density") * 1e6, 7).alias("density"))
+
+
 # --- traits --------------------------------------------------------------------------------------------
 
 TRAIT_SQL = """
@@ -344,7 +414,7 @@ def _hash_sql(expression: str, digits: int = 8) -> str:
 
 
 BOOT_SQL = TRAIT_SQL + f""",
-ln AS (SELECT *, (cover / max(cover) OVER (PARTITION BY site, trait))::DECIMAL(38, 28) AS w, {_hash_sql("site || '|' || species || '|' || trait")} % 16 AS h FROM fill),
+ln AS (SELECT *, (cover / max(cover) OVER (PARTITION BY site, trait))::DECIMAL(38, 20) AS w, {_hash_sql("site || '|' || species || '|' || trait")} % 16 AS h FROM fill),
 cu AS (SELECT *, sum(w) OVER (PARTITION BY site, trait ORDER BY h, species ROWS UNBOUNDED PRECEDING) AS hi, sum(w) OVER (PARTITION BY site, trait) AS total FROM ln),
 line AS (SELECT *, (hi - w)::DOUBLE / total::DOUBLE AS a FROM cu),
 pt AS (SELECT site, trait, replicate, draw, {_hash_sql("'1525|' || site || '|' || trait || '|' || replicate || '|' || draw", 13)} / 4503599627370496.0::DOUBLE AS u,

@@ -13,7 +13,8 @@ from .joins import null_safe_join, with_group_stats
 from .ordered import even_chunks, row_index, running_sum
 from .stats import moments
 
-WEIGHT_TYPE = "decimal(38,28)"
+#: Weights relative to the largest of their group: steps of 1e-20, sums up to 10^18 times the largest.
+WEIGHT_TYPE = "decimal(38,20)"
 
 
 def trait_fill(cover: DataFrame, traits: DataFrame, hierarchy: Sequence[str], taxon: str = "species",

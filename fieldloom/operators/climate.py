@@ -227,13 +227,20 @@ def climatology(df: DataFrame, site: str, date: str, value: str, out: str = "val
             .withColumn("date", F.date_add(F.to_date(F.lit(origin)), F.col("day"))))
 
 
-def anomalies(daily: DataFrame, normal: DataFrame, site: str = "siteID") -> DataFrame:
-    """Deviation of daily values from the long-term value of the same day, with its sign class."""
+#: Deviations up to this are rounding noise of equal means.
+EQUAL_MEANS = 1e-9
+
+
+def anomalies(daily: DataFrame, normal: DataFrame, site: str = "siteID", tolerance: float = EQUAL_MEANS) -> DataFrame:
+    """Deviation of daily values from the long-term value of the same day, with its sign class.
+
+    A deviation up to ``tolerance`` is no warm one, so the class does not depend on the order of sums.
+    """
     shifted = daily.withColumn("day", F.col("day") - 1)
     joined = null_safe_join(shifted, normal.select(site, "day", F.col("value").alias("LTval")),
                             [site, "day"], "left")
     return joined.withColumn("tAnom", F.col("value") - F.col("LTval")).withColumn(
-        "sign", if_else(F.col("tAnom") > 0, F.lit("red"), F.lit("blue")))
+        "sign", if_else(F.col("tAnom") > tolerance, F.lit("red"), F.lit("blue")))
 
 
 def phase_means(normal: DataFrame, site: str, phase: Column, out: str) -> DataFrame:

@@ -15,10 +15,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.gamma import poisson_cdf, poisson_mass
 from ..functions.nulls import ColumnLike, as_col
 from ..session import cut_lineage
 from .joins import assert_unique, null_safe_join
-from .ordered import exact_quantiles
+from .ordered import ecdf, exact_quantiles
 from .reshape import pair_all
 from .stats import bin_number
 
@@ -208,3 +209,34 @@ def join_predictions(predictions: DataFrame, covariates: DataFrame, keys: Sequen
 
 def squared(c: ColumnLike) -> Column:
     return as_col(c) * as_col(c)
+
+
+# --- exact residuals of counts ------------------------------------------------------------
+
+
+def exact_residuals(df: DataFrame, response: str, mu: str, uniform: Column | None = None) -> DataFrame:
+    """Add the exact tails of a count and its quantile residual: ``p_below`` = P(Y < y), ``p_upto`` = P(Y <= y), ``residual``.
+
+    The residual is uniform on (0, 1) where the model is right: the place ``uniform`` of the step from P(Y < y) to P(Y <= y),
+    the middle by default. It needs no simulation.
+    """
+    upto, mass = poisson_cdf(response, mu), poisson_mass(response, mu)
+    work = df.withColumn("p_upto", upto).withColumn("p_below", F.greatest(F.lit(0.0), F.col("p_upto") - mass))
+    share = F.lit(0.5) if uniform is None else uniform
+    return work.withColumn("residual", F.col("p_below") + share * (F.col("p_upto") - F.col("p_below")))
+
+
+def count_tests(df: DataFrame, keys: Sequence[str], level: float = 0.01) -> DataFrame:
+    """Per group of rows from ``exact_residuals``: rows beyond either tail of ``level`` / 2, their expected number, and the
+    largest distance of the residuals' distribution from the uniform one with its asymptotic probability."""
+    marked = df.groupBy(*keys).agg(
+        F.count("residual").alias("n"), F.count_if(F.col("p_upto") < level / 2).alias("n_low"), F.count_if(1 - F.col("p_below") < level / 2).alias("n_high"))
+    steps = ecdf(df, keys, "residual")
+    sizes = df.groupBy(*keys).agg(F.count("residual").alias("__all"))
+    joined = null_safe_join(steps, sizes, list(keys), "left") if keys else steps.withColumn("__all", sizes.scalar())
+    r, top = F.col("residual"), F.col("ecdf")
+    gap = joined.groupBy(*keys).agg(F.max(F.greatest(top - r, r - (top - F.col("n") / F.col("__all")))).alias("distance"))
+    out = null_safe_join(marked, gap, list(keys), "left") if keys else marked.withColumn("distance", gap.scalar())
+    x = (F.sqrt("n") + 0.12 + 0.11 / F.sqrt("n")) * F.col("distance")
+    series = reduce(lambda a, b: a + b, [(2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * x * x) for k in range(1, 40)])
+    return out.withColumns({"expected": F.col("n") * level, "p_uniform": F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))})

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nulls import paste
 from ..functions.uniform import hash32
+from ..session import cut_lineage
 from .joins import null_safe_join
-from .ordered import running_sum
+from .ordered import even_chunks, running_sum
 
 PAIRS_PER_CELL = 1_000_000
 
@@ -118,10 +119,17 @@ def pair_all(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def key_frame(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every combination of the distinct values of the keys; a missing value is a value too."""
-    frame = df.select(keys[0]).distinct()
+    """Every combination of the distinct values of the keys; a missing value is a value too.
+
+    The input is read once, for the combinations that occur; the values of each key and their counts come from those.
+    """
+    seen = df.select(*keys).distinct()
+    if len(keys) == 1:
+        return seen
+    seen = cut_lineage(seen)
+    frame = seen.select(keys[0]).distinct()
     for k in keys[1:]:
-        frame = pair_all(frame, df.select(k).distinct())
+        frame = pair_all(frame, seen.select(k).distinct())
     return frame
 
 
@@ -172,8 +180,10 @@ def fill_ids(df: DataFrame, column: str, identity: Sequence[str], prefix: str =
     alike = (df.where(F.col(column).isNull()).withColumns({
         "__id": F.md5(paste(*[F.col(f"`{c}`").cast("string") for c in identity], sep="|")), "__row": whole})
         .groupBy(*[f"`{c}`" for c in df.columns], "__id", "__row").agg(F.count(F.lit(1)).alias("__n")))
-    # The order is that of the row hash, whose first digits are an even chunk along it.
-    chunked = alike.withColumn("__h", F.conv(F.substring("__row", 1, 4), 16, 10).cast("int"))
+    # The order is that of the row hash; its first 13 digits (52 bits) cut evenly are chunks along it, as many as the rows need.
+    place = F.conv(F.substring("__row", 1, 13), 16, 10).cast("bigint")
+    chunks = even_chunks(df.where(F.col(column).isNull()))
+    chunked = alike.withColumn("__h", F.floor(place / (2**52 // chunks + 1)))
     counted = running_sum(chunked, ["__id"], ["__h", "__row"], {"__upto": F.col("__n")}, F.col("__h"))
     made = F.concat(F.lit(prefix), F.col("__id"), F.lit("_"), F.col("__k").cast("string"))
     filled = counted.withColumn("__k", F.explode(F.sequence(F.col("__upto") - F.col("__n") + 1, F.col("__upto"))))

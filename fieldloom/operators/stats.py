@@ -7,13 +7,16 @@ groups of any size.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nulls import ColumnLike, as_col
+from ..session import cut_lineage
 from .joins import null_safe_join, row_stats
+from .ordered import exact_quantiles
 
 
 def _paired(x: ColumnLike, y: ColumnLike) -> tuple[Column, Column]:
@@ -128,6 +131,81 @@ def collinearity(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         [(c, float(factors[position[c]]) if c in position else None) for c in columns], "term string, vif double")
 
 
+def term_collinearity(df: DataFrame, terms: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Generalised variance inflation of model terms that may have several design columns (factors, interactions).
+
+    ``terms`` maps a term to its columns. Gives term, df, gvif = det(R_term) det(R_rest) / det(R) over the correlations R of all design
+    columns of complete rows (one aggregate), and gvif^(1 / (2 df)), which compares terms with different numbers of
+    columns. A term of one column has its usual factor. Linearly dependent columns are an error.
+    """
+    columns = [c for own in terms.values() for c in own]
+    matrix = np.eye(len(columns))
+    found = {(r.var1, r.var2): r.correlation for r in correlations(df, columns).collect()} if len(columns) > 1 else {}
+    for (a, b), value in found.items():
+        if value is None:
+            raise ValueError(f"{a} or {b} is constant")
+        i, j = columns.index(a), columns.index(b)
+        matrix[i, j] = matrix[j, i] = value
+    return _inflation(df, matrix, terms)
+
+
+def _inflation(df: DataFrame, matrix: np.ndarray, terms: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Generalised inflation from the log-determinants of blocks of a correlation matrix, in the order of the terms' columns."""
+    def log_det(picked: list[int]) -> float:
+        sign, value = np.linalg.slogdet(matrix[np.ix_(picked, picked)]) if picked else (1.0, 0.0)
+        if sign <= 0 or value < -34:
+            raise ValueError("design columns depend on each other linearly")
+        return float(value)
+
+    every, at, rows = list(range(len(matrix))), 0, []
+    for term, own in terms.items():
+        inside = every[at:at + len(own)]
+        at += len(own)
+        gvif = math.exp(log_det(inside) + log_det([i for i in every if i not in inside]) - log_det(every))
+        rows.append((term, len(own), gvif, gvif ** (1 / (2 * len(own)))))
+    return df.sparkSession.createDataFrame(rows, "term string, df int, gvif double, gvif_per_df double")
+
+
+def model_collinearity(df: DataFrame, columns: Sequence[str], covariance: Sequence[Sequence[float]], terms: Mapping[str, Sequence[str]]) -> DataFrame:
+    """As ``term_collinearity``, from the covariance of a fitted model's coefficients (``columns`` name them, intercept first)."""
+    place = [list(columns).index(c) for own in terms.values() for c in own]
+    cov = np.asarray(covariance)[np.ix_(place, place)]
+    sd = np.sqrt(np.diag(cov))
+    return _inflation(df, cov / np.outer(sd, sd), terms)
+
+
+def smooth_density(df: DataFrame, keys: Sequence[str], value: str, points: int = 512, cut: float = 3.0) -> DataFrame:
+    """Gaussian kernel density per group on ``points`` equal steps from min - cut bw to max + cut bw: x, density, bw, n.
+
+    The bandwidth is 0.9 min(sd, IQR / 1.34) n^(-1/5), from exact quartiles; where the quartiles meet, the standard deviation
+    stands alone. Values are dealt to their two neighbouring steps (linear binning), so the kernel runs over steps, not
+    over rows: ``points`` squared per group. Missing and infinite values are left out; a group with one distinct value has no density.
+    """
+    c = F.col(value).cast("double")
+    known = df.select(*keys, c.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.abs("__v") < float("inf")))
+    known = known if keys else known.withColumn("__all", F.lit(0))
+    by = list(keys) or ["__all"]
+    quartiles = exact_quantiles(known, by, "__v", [0.25, 0.75]).groupBy(*by).agg((F.max("quantile") - F.min("quantile")).alias("__iqr"))
+    spread = known.groupBy(*by).agg(F.count("__v").alias("n"), F.stddev_samp("__v").alias("__sd"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    width = F.when(F.col("__iqr") > 0, F.least(F.col("__sd"), F.col("__iqr") / 1.34)).otherwise(F.col("__sd"))
+    shape = null_safe_join(spread, quartiles, by, "inner").where("__sd > 0").withColumn("bw", 0.9 * width * F.pow("n", F.lit(-0.2)))
+    shape = shape.withColumns({"__from": F.col("__lo") - cut * F.col("bw"), "__to": F.col("__hi") + cut * F.col("bw")})
+    shape = cut_lineage(shape.select(*by, "n", "bw", "__from", ((F.col("__to") - F.col("__from")) / (points - 1)).alias("__step")))
+    place = (F.col("__v") - F.col("__from")) / F.col("__step")
+    dealt = null_safe_join(known, shape, by, "inner").withColumn("__at", place).withColumn("__low", F.floor("__at").cast("int"))
+    share = F.col("__at") - F.col("__low")
+    # Per step the summed shares for itself and for the next one: no row is doubled.
+    steps = dealt.groupBy(*by, "__low").agg(F.sum(1 - share).alias("__own"), F.sum(share).alias("__next"))
+    both = steps.select(*by, F.explode(F.array(F.struct(F.col("__low").alias("b"), F.col("__own").alias("w")),
+                                               F.struct((F.col("__low") + 1).alias("b"), F.col("__next").alias("w")))).alias("s"))
+    weights = both.groupBy(*by, F.col("s.b").alias("__b")).agg(F.sum("s.w").alias("__w"))
+    work = null_safe_join(weights, shape, by, "inner").withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    z = (F.col("__g") - F.col("__b")) * F.col("__step") / F.col("bw")
+    kernel = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    out = work.groupBy(*by, "__g").agg(F.sum(F.col("__w") * kernel).alias("__s"), *[F.first(x).alias(x) for x in ("n", "bw", "__from", "__step")])
+    return out.select(*keys, F.col("__g").alias("step"), (F.col("__from") + F.col("__g") * F.col("__step")).alias("x"), (F.col("__s") / (F.col("n") * F.col("bw"))).alias("density"), "bw", "n")
+
+
 def binned_density(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float, bins: int) -> DataFrame:
     """Counts and density of a value in equal bins from ``lo`` to ``hi``.
 
