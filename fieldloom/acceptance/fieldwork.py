@@ -378,6 +378,10 @@ def community_rows(t):
     return datasets.community(community_raw(t), normals(t))
 
 
+def community_plots(t):
+    return datasets.community_plots(community_raw(t), normals(t))
+
+
 @case("q_community", "WITH" + COMMUNITY_SQL + """
 SELECT l_orderkey, l_linenumber, l_partkey, year, "siteID" AS site, "blockID" AS block, "plotID" AS plot, fg_removed, fg_remaining, species, functional_group, sum_cover, round(moss_height, 7) + 0.0 AS moss_height,
   imputed_height::INT AS imputed_height, round(total_graminoids, 7) + 0.0 AS total_graminoids, round(total_forbs, 7) + 0.0 AS total_forbs, temperature_level, precipitation_level FROM comm""")
@@ -404,7 +408,7 @@ pc AS (SELECT *, count(*) OVER (PARTITION BY year, "siteID", "blockID", "plotID"
 SELECT year, "plotID" AS plot, vegetation_height, round(moss_height, 7) + 0.0 AS moss_height, round(total_graminoids, 7) + 0.0 AS total_graminoids, round(total_forbs, 7) + 0.0 AS total_forbs, total_bryophytes
 FROM pc WHERE NOT (n = 2 AND total_graminoids IS NULL)""")
 def plot_cover(t):
-    return community.plot_cover(community_rows(t)).select(
+    return community.plot_cover(community_plots(t)).select(
         "year", F.col("plotID").alias("plot"), "vegetation_height", r("moss_height", 7).alias("moss_height"), r("total_graminoids", 7).alias("total_graminoids"),
         r("total_forbs", 7).alias("total_forbs"), "total_bryophytes")
 
@@ -461,7 +465,7 @@ MERGED_COLUMNS = """year, "plotID" AS plot, removal, functional_group, round(mos
 
 def merged(t):
     standing = biomass_rows(t).groupBy("siteID", "plotID", "functional_group").agg(F.avg("biomass").alias("standing_biomass"))
-    return community.merge_biomass(community_rows(t), standing)
+    return community.merge_biomass(community_plots(t), standing)
 
 
 def merged_columns():

@@ -112,15 +112,25 @@ def corrected_community(raw: DataFrame, normals: DataFrame, key_map: DataFrame |
     return add_site_context(rows, normals).drop("sumcover")
 
 
-def impute_moss_height(rows: DataFrame) -> DataFrame:
+def plot_groups(rows: DataFrame) -> DataFrame:
+    """The distinct plot values and cover sums of corrected rows, with their number of rows: written once, narrow.
+
+    There is a row per plot, year and functional group, not per species. Heights, slopes and plot-level tables need no more.
+    """
+    names = [*cols_between(rows, "year", "fg_removed"), "fg_remaining", "vegetation_height", *COVER_TOTALS]
+    return cut_lineage(rows.groupBy(*names, "moss_height", "functional_group", "sum_cover").agg(F.count(F.lit(1)).alias("__rows")))
+
+
+def impute_moss_height(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Missing moss height from the mean of the control plot, then of the site and year.
 
-    Heights belong to plots, so they are filled on the distinct plot rows, the only rows written,
-    and joined back to the species rows once. ``imputed_height`` says whether the height equals the site-year mean;
+    Heights belong to plots, so they are filled on the distinct plot rows (of ``groups``, the ``plot_groups`` of the rows)
+    and joined back to the rows once. ``imputed_height`` says whether the height equals the site-year mean;
     missing when unknown.
     """
-    names = [*cols_between(rows, "year", "fg_removed"), "fg_remaining", "vegetation_height", *COVER_TOTALS]
-    plots = cut_lineage(rows.select(*names, "moss_height").distinct().withColumn("__was", F.col("moss_height")))
+    groups = plot_groups(rows) if groups is None else groups
+    names = [*cols_between(groups, "year", "fg_removed"), "fg_remaining", "vegetation_height", *COVER_TOTALS]
+    plots = groups.select(*names, "moss_height").distinct().withColumn("__was", F.col("moss_height"))
     control = F.col("fg_removed") == "C"
     once = fill_from_group(plots, "moss_height", ["plotID"], names, where=control, apply_to=control)
     twice = fill_from_group(once, "moss_height", ["siteID", "year"], names, mean_column="__site")
@@ -130,16 +140,22 @@ def impute_moss_height(rows: DataFrame) -> DataFrame:
     return out.withColumn("moss_height", F.col("__new")).drop("__new")
 
 
-def impute_totals(rows: DataFrame) -> DataFrame:
+def impute_totals(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Missing totals of a functional group as slope times the sum of its covers.
 
-    The slope is a regression through the origin over the rows that have both.
+    The slope is a regression through the origin over the rows that have both; with ``groups``, the ``plot_groups`` of the rows, each of
+    those counts as many times as it has rows.
     """
     graminoid = is_in("fg_remaining", WITH_GRAMINOIDS) & (F.col("functional_group") == "graminoid")
     forb = is_in("fg_remaining", WITH_FORBS) & (F.col("functional_group") == "forb")
-    slopes = rows.agg(F.struct(
-        origin_slope(F.when(graminoid, F.col("sum_cover")), F.col("total_graminoids")).alias("g"),
-        origin_slope(F.when(forb, F.col("sum_cover")), F.col("total_forbs")).alias("f")).alias("s")).scalar()
+    weight = F.lit(1) if groups is None else F.col("__rows")
+
+    def slope(here: Column, total: str) -> Column:
+        x, y = F.when(here & F.col(total).isNotNull(), F.col("sum_cover")), F.col(total)
+        return F.try_divide(F.sum(weight * x * y), F.sum(weight * x * x))
+
+    slopes = (rows if groups is None else groups).agg(F.struct(
+        slope(graminoid, "total_graminoids").alias("g"), slope(forb, "total_forbs").alias("f")).alias("s")).scalar()
 
     def filled(total, here, slope):
         return F.when(F.col(total).isNull() & here, F.col("sum_cover") * slope).otherwise(F.col(total))
