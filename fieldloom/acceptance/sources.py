@@ -77,7 +77,7 @@ def quoted_breaks(t):
 @case("q_guessed_types", """
 SELECT o_orderkey AS key, round(o_totalprice, 6) + 0.0 AS price, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS customer, o_orderdate::DATE::VARCHAR AS day,
   strftime(o_orderdate + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS stamp, lpad(o_custkey::VARCHAR, 12, '0') AS code, o_orderstatus = 'F' AS finished,
-  'key bigint, price double, customer bigint, day date, stamp timestamp, code string, finished boolean, nothing string, mixed double' AS types,
+  'key int, price double, customer int, day date, stamp timestamp, code string, finished boolean, nothing string, mixed double' AS types,
   CASE WHEN o_orderstatus = 'F' THEN 7.0::DOUBLE ELSE 0.5 END AS mixed, NULL::VARCHAR AS nothing FROM orders""")
 def guessed_types(t):
     path = f"{shared_folder(t.spark)}/guessed-{uuid.uuid4().hex}"
@@ -89,7 +89,7 @@ def guessed_types(t):
         F.lit(None).cast("string").alias("nothing"), F.when(finished, "7").otherwise(".5").alias("mixed")), path)
     df = tables.read_guessed(t.spark, path)
     types = ", ".join(f"{n} {k}" for n, k in df.dtypes)
-    return df.select("key", r("price").alias("price"), "customer", F.date_format("day", "yyyy-MM-dd").alias("day"), F.date_format("stamp", "yyyy-MM-dd HH:mm:ss").alias("stamp"),
+    return df.select(big("key").alias("key"), r("price").alias("price"), big("customer").alias("customer"), F.date_format("day", "yyyy-MM-dd").alias("day"), F.date_format("stamp", "yyyy-MM-dd HH:mm:ss").alias("stamp"),
                      "code", "finished", F.lit(types).alias("types"), "mixed", "nothing")
 
 

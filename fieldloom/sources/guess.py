@@ -4,10 +4,10 @@ Every cell is of the narrowest kind whose pattern it matches: whole number, numb
 a column are the bits of one ``bit_or``, so a table of any size and width needs one pass with map-side merging and
 one row at the driver. The join of the kinds is the type:
 
-    whole < number < text        date < time < text        truth < text        nothing < everything
+    int < bigint < number < text        date < time < text        truth < text        nothing < everything
 
-Fixed rules: a number with a leading zero before another digit is text (codes); a whole number beyond 64 bits makes
-the column ``double``; dates are ``yyyy-MM-dd`` that exist, times ``yyyy-MM-dd HH:mm[:ss[.f]]`` (or with a ``T``); truth values are ``TRUE``, ``FALSE``, ``T`` and
+Fixed rules: a number with a leading zero before another digit is text (codes); a whole number beyond 32 bits makes the column
+``bigint``, one beyond 64 bits ``double``; dates are ``yyyy-MM-dd`` that exist, times ``yyyy-MM-dd HH:mm[:ss[.f]]`` (or with a ``T``); truth values are ``TRUE``, ``FALSE``, ``T`` and
 ``F``, any case for the words; a column without any value stays text, all missing. Surrounding blanks count as part of a text cell.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-WHOLE, NUMBER, DATE, TIME, TRUTH, TEXT = (1 << i for i in range(6))
+INT, WHOLE, NUMBER, DATE, TIME, TRUTH, TEXT = (1 << i for i in range(7))
 
 _WHOLE = r"^[+-]?(0|[1-9][0-9]*)$"
 _NUMBER = r"^[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$|^(NaN|[+-]?Inf)$"
@@ -27,7 +27,7 @@ _TRUTH = r"^((?i:true|false)|[TF])$"
 def cell_kind(cell: Column) -> Column:
     """Bit of the narrowest kind that a cell fits; missing for a missing cell."""
     return (F.when(cell.isNull(), F.lit(None))
-            .when(cell.rlike(_WHOLE), F.when(cell.try_cast("bigint").isNotNull(), WHOLE).otherwise(NUMBER))
+            .when(cell.rlike(_WHOLE), F.when(cell.try_cast("int").isNotNull(), INT).when(cell.try_cast("bigint").isNotNull(), WHOLE).otherwise(NUMBER))
             .when(cell.rlike(_NUMBER), NUMBER)
             .when(cell.rlike(_DATE) & cell.try_cast("date").isNotNull(), DATE)
             .when(cell.rlike(_TIME) & cell.try_cast("timestamp").isNotNull(), TIME)
@@ -37,7 +37,7 @@ def cell_kind(cell: Column) -> Column:
 
 def type_of(kinds: int | None) -> str:
     """The join of the kinds of a column."""
-    for bits, name in ((0, "string"), (WHOLE, "bigint"), (WHOLE | NUMBER, "double"), (DATE, "date"), (DATE | TIME, "timestamp"), (TRUTH, "boolean")):
+    for bits, name in ((0, "string"), (INT, "int"), (INT | WHOLE, "bigint"), (INT | WHOLE | NUMBER, "double"), (DATE, "date"), (DATE | TIME, "timestamp"), (TRUTH, "boolean")):
         if (kinds or 0) | bits == bits:
             return name
     return "string"
