@@ -147,7 +147,7 @@ def grams(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     m = len(hashes) - n + 1
     total = np.zeros(m, np.uint64)
     for j in range(n):
-        total += hashes[j:j + m] * GRAM_CODES[j]
+        total += hashes[j:j + m] * (GRAM_CODES[j] if j < len(GRAM_CODES) else mix(np.array([j], np.uint64))[0] | np.uint64(1))
     first = np.flatnonzero(row[:m] == row[n - 1:])
     return first, mix(total[first] ^ np.uint64(n))
 

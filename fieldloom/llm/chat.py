@@ -47,6 +47,11 @@ def escape(text: str) -> str:
     return _CONTROL.sub(r"\\\g<0>", text)
 
 
+def escape_role(role: str) -> str:
+    """A role inside its mark, which ends at the first plain bracket."""
+    return escape(role).replace("]", "\\]")
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
@@ -69,7 +74,7 @@ def inst_template(turns: list[Turn]) -> str:
         elif role == TRAINED_ROLE:
             out.append(f" {escape(text)}</s>\n")
         else:
-            out.append(f"[ROLE {escape(role)}] {escape(text)} [/ROLE]")
+            out.append(f"[ROLE {escape_role(role)}] {escape(text)} [/ROLE]")
     return "".join(out)
 
 
@@ -136,7 +141,7 @@ def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str]
 
 
 _TURN = re.compile(r"<s>|<<SYS>>\n(?P<system>(?:[^<\[\\]|\\.)*)\n<</SYS>>\n|\[INST\] (?P<user>(?:[^<\[\\]|\\.)*) \[/INST\]"
-                   r"|\[ROLE (?P<role>(?:[^<\[\\\]]|\]|\\.)*?)\] (?P<other>(?:[^<\[\\]|\\.)*) \[/ROLE\]| (?P<assistant>(?:[^<\[\\]|\\.)*)</s>\n", re.S)
+                   r"|\[ROLE (?P<role>(?:[^<\[\\\]]|\\.)*)\] (?P<other>(?:[^<\[\\]|\\.)*) \[/ROLE\]| (?P<assistant>(?:[^<\[\\]|\\.)*)</s>\n", re.S)
 
 
 def read_turns(formatted: str) -> Iterator[Turn]:
@@ -156,7 +161,7 @@ def read_turns(formatted: str) -> Iterator[Turn]:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-    state, done = None, []
+    state, done, due = None, [], 0
 
     def close():
         if state is not None:
@@ -170,7 +175,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, seq, text, a, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if seq == 0:
                 close()
-                state = [conv, 0, sha256(), 0, sha256(), 0]
+                state, due = [conv, 0, sha256(), 0, sha256(), 0], 0
+            if state is None or state[0] != conv or seq != due:
+                raise ValueError("formatted rows must stand in turn order: pass what format_turns gives, or sort conversations within partitions")
+            due += 1
             for role, said in read_turns(text):
                 state[1] += 1
                 state[2].update(f"{role}\n{said}\n".encode())
@@ -187,5 +195,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation what its formatted rows hold: turns, text under the loss mask, and length."""
+    """Per conversation what its formatted rows hold: turns, text under the loss mask, and length.
+
+    The rows must stand as ``format_turns`` gives them; rows out of order are an error.
+    """
     return formatted.mapInArrow(lean(_read), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

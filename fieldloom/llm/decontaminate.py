@@ -6,8 +6,10 @@ least is untouched in any such copy. Word n-grams of whole documents are looked
 surrounding words of each hit are searched for the item with Myers' algorithm over word bit masks.
 
 Test items are read in blocks of about ``block_chars`` characters, one broadcast and one pass over the documents each,
-so any number of items is handled. Defined cases: a missing text has no words; items under ``min_words`` words say
-too little and match nothing; repeated items or rows are reported or dropped one by one; extra columns pass through.
+so any number of items is handled. Defined cases: a missing text has no words; an item too short for an edit (under ten words
+by default) is found where it stands word for word; items under ``min_words`` words match nothing, by default those without
+words only; of places with equal distance the first counts; repeated items or rows are reported or dropped one by one; a missing
+doc_id or item_id stays missing; a text costs a task memory in proportion to its own length; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -117,13 +119,16 @@ def _search(items: Items, hashes: np.ndarray, row: np.ndarray) -> Iterator[tuple
             for x in range(low[k], high[k]):
                 hits.append((int(row[at[likely[k]]]), int(item[x]), int(at[likely[k]] - offset[x])))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    seen: dict[tuple[int, int], int] = {}
     for r, k, start in sorted(set(hits)):
         known = best.get((r, k))
-        if known and (known[0] == 0 or known[1] <= start < known[2]):
-            continue
         m, e = len(items.words[k]), items.budget[k]
+        if known and known[0] == 0 or start + m + e <= seen.get((r, k), -1):
+            continue
         first, last = np.searchsorted(row, r), np.searchsorted(row, r, side="right")
-        a, b = max(int(first), start - e), min(int(last), start + m + e)
+        # Wide enough for all hits of one place; a later hit beyond it is searched by itself.
+        a, b = max(int(first), start - e), min(int(last), start + m + 2 * e)
+        seen[r, k] = start + m + 2 * e
         text = hashes[a:b].tolist()
         distance, end = nearest(items.masks[k], m, text)
         if distance > e or known and known[0] <= distance:
@@ -146,7 +151,7 @@ def item_blocks(items: DataFrame, errors: float, min_words: int, block_chars: in
         yield prepare([(r["item_id"], r["text"]) for r in rows], errors, min_words)
 
 
-def find_items(docs: DataFrame, items: DataFrame, errors: float = 0.1, min_words: int = 8, block_chars: int = 8_000_000) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, errors: float = 0.1, min_words: int = 1, block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, item_id, n_edits, start_word, end_word: the nearest place of every item within its budget."""
     texts, out = keyed_texts(docs), None
     for block in item_blocks(items, errors, min_words, block_chars):
@@ -167,7 +172,7 @@ def find_items(docs: DataFrame, items: DataFrame, errors: float = 0.1, min_words
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, errors: float = 0.1, min_words: int = 8, block_chars: int = 8_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, errors: float = 0.1, min_words: int = 1, block_chars: int = 8_000_000) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item within its budget; nothing is shuffled."""
     ship(docs.sparkSession)
     at, schema = docs.columns.index("text"), docs.schema

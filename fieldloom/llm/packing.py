@@ -221,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
 
     chunks = max(1, math.ceil(sum(found.values()) / CHUNK))
     order = [F.xxhash64("doc_id", "start", "ids_crc32"), F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
-    dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start"), F.lit(chunks)))
+    dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(chunks)))
     inside = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("grade", "chunk").orderBy(*order)).cast("bigint") - 1)
     totals = dealt.groupBy("grade", "chunk").agg(F.count("*").alias("n"))
     before = totals.select("grade", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("grade").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

@@ -142,7 +142,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     order = F.xxhash64("doc_id")
     picked = [one.where(F.col("low") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
     sample = picked[0].unionByName(picked[1]).select("doc_id", F.col("low").alias("good"))
-    return keyed_texts(docs).join(F.broadcast(sample), "doc_id")  # at most 2 * per_class rows
+    # At most 2 * per_class rows: of rows that repeat an id, the least text counts.
+    return keyed_texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 600, passes: int = 150, ridge: float = 1e-4) -> QualityModel | None:

@@ -1,10 +1,10 @@
 r"""URL filters: fixed host and path rules, then a tree of path templates judged by labelled purity.
 
 The tree is grown level by level with aggregates over (host, template so far, segment), so a host with most of
-the rows is only ever a sum. On each level a segment that looks like a value (digits, long hex, a date) or whose
-siblings are very many turns into the wildcard ``*``; segments whose share of bad labels does not differ from that
-of their siblings (two-proportion z-test) merge into ``*`` too, and the others keep their name. What lies deeper
-than ``DEPTH`` segments joins the template of its first ``DEPTH``.
+the rows is only ever a sum. On each level a segment that looks like a value (digits, long hex, a date) or
+which stands among siblings whose share of bad labels does not differ from its own (two-proportion z-test) merges into the
+wildcard ``*``, and the others keep their name. Levels go on as long as a template holds two paths that go deeper; a path
+that is alone needs no further level, its other segments follow as they are (values as ``*``).
 
 A template is rejected where its share of good labels, smoothed towards the host's and the host's towards the
 whole table's, stays below ``least_good`` with at least ``least_labels`` labels.
@@ -25,8 +25,6 @@ from ..session import cut_lineage
 #: The production rules: (host and path, verdict). A rule fits its host and all subdomains.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-DEPTH = 6
-MANY_SIBLINGS = 64
 VALUE = r"^(?:[0-9]+(?:[._-][0-9]+)*|[0-9a-f]{16,}|.*[0-9]{4,}.*)(?:\.[a-z]{2,5})?$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,7 +53,8 @@ def template_tree(pages: DataFrame, z: float = 2.58) -> DataFrame:
     """(host, path, template) of the distinct paths in ``pages`` (host, path, n, labelled, bad)."""
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
     now = pages.withColumn("segments", segments).withColumn("template", F.lit(""))
-    for level in range(DEPTH):
+    level = 0
+    while True:
         segment = F.get("segments", F.lit(level))
         own = now.withColumn("segment", F.when(F.lower(segment).rlike(VALUE), "*").otherwise(segment))
         child = own.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("labelled").alias("cl"), F.sum("bad").alias("cb"))
@@ -63,11 +62,21 @@ def template_tree(pages: DataFrame, z: float = 2.58) -> DataFrame:
         rate = F.col("pb") / F.greatest("pl", F.lit(1))
         spread = F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.01)) * (1 / F.greatest("cl", F.lit(1)) + 1 / F.greatest(F.col("pl") - F.col("cl"), F.lit(1))))
         apart = F.abs(F.col("cb") / F.greatest("cl", F.lit(1)) - (F.col("pb") - F.col("cb")) / F.greatest(F.col("pl") - F.col("cl"), F.lit(1))) > z * spread
-        merge = (F.col("segment") == "*") | (F.col("siblings") > MANY_SIBLINGS) & ~apart | (F.col("siblings") > 1) & ~apart
+        merge = (F.col("segment") == "*") | (F.col("siblings") > 1) & ~apart
         named = child.join(parent, ["host", "template"]).select("host", "template", "segment", F.when(merge, "*").otherwise(F.col("segment")).alias("name"))
         step = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))
         now = cut_lineage(own.join(named, ["host", "template", "segment"], "left").withColumn("template", step).drop("segment", "name"))
-        if now.where(F.size("segments") > level + 1).isEmpty():
+        level += 1
+        deeper = now.where(F.size("segments") > level)
+        if deeper.isEmpty():
+            break
+        alone = deeper.groupBy("host", "template").agg(F.count("*").alias("paths")).where("paths = 1").select("host", "template", F.lit(True).alias("alone"))
+        rest = F.transform(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), lambda x: F.when(F.lower(x).rlike(VALUE), "*").otherwise(x))
+        last = F.col("alone").isNotNull() & (F.size("segments") > level)
+        now = cut_lineage(now.join(alone, ["host", "template"], "left").withColumn(
+            "template", F.when(last, F.concat("template", F.lit("/"), F.array_join(rest, "/"))).otherwise(F.col("template"))).withColumn(
+            "segments", F.when(last, F.slice("segments", 1, level)).otherwise(F.col("segments"))).drop("alone"))
+        if now.where(F.size("segments") > level).isEmpty():
             break
     return now.select("host", "path", "template", "n", "labelled", "bad")
 

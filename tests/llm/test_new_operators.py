@@ -272,3 +272,94 @@ def test_merged_parts_equal_the_whole_and_columns_equal_arrays(spark):
 def _bytes(text):
     data = np.frombuffer((text or "").encode(), np.uint8)
     return data, np.array([0, len(data)])
+
+
+# ---------------------------------------------------------------- cases that earlier rounds cut
+
+def test_short_items_are_found_word_for_word(spark, make_docs):
+    from fieldloom.llm import decontaminate
+
+    items = spark.createDataFrame([(1, "what is two plus two"), (2, ""), (3, None), (4, "two plus three")], "item_id long, text string")
+    docs = make_docs([(0, "so, What is two plus two? four"), (1, "what is two and two"), (2, None)])
+    got = [tuple(r) for r in decontaminate.find_items(docs, items).collect()]
+    assert got == [(0, 1, 0, 1, 6)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [1, 2]
+
+
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_nearest_place_of_items_that_repeat_themselves(spark, make_docs):
+    from fieldloom.llm import decontaminate
+
+    rng = random.Random(12)
+    items, docs = [], []
+    for k in range(12):
+        block = [f"w{rng.randrange(6)}" for _ in range(rng.randrange(5, 13))]
+        item = block * 2
+        items.append((k, " ".join(item)))
+        broken = list(item)
+        broken[rng.randrange(len(broken))] = "changed"
+        docs.append((k, " ".join(broken[:len(block)] + item + [f"x{rng.randrange(9)}" for _ in range(5)] + broken)))
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_items(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for d, text in docs:
+        words = text.split()
+        for k, item in items:
+            pattern = item.split()
+            least = min(word_distance(pattern, words[a:b]) for a in range(len(words)) for b in range(a + 1, min(len(words), a + 2 * len(pattern)) + 1))
+            if least <= len(pattern) // 10:
+                r = got[d, k]
+                assert r.n_edits == least and word_distance(pattern, words[r.start_word:r.end_word]) == least
+            else:
+                assert (d, k) not in got
+
+
+def test_pieces_over_64_words(spark, make_docs):
+    from fieldloom.llm import decontaminate
+
+    text = " ".join(f"word{i}" for i in range(150))
+    got = decontaminate.find_items(make_docs([(5, "before " + text)]), spark.createDataFrame([(1, text)], "item_id long, text string"), errors=0.0)
+    assert [tuple(r) for r in got.collect()] == [(5, 1, 0, 1, 151)]
+
+
+def test_bad_branch_at_any_depth(spark):
+    from fieldloom.llm import urls
+
+    deep = "/".join("abcdefgh")
+    rows = [(i, f"http://h.com/{deep}/{'bad' if i % 2 else 'good'}/p{i % 7}x") for i in range(120)] + [(500, "http://h.com/" + "/".join(f"s{i}" for i in range(300)))]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "page_id long, bad int")
+    got = {r.page_id: r for r in urls.judge_pages(pages, labels).collect()}
+    assert {got[i].verdict for i in range(0, 120, 2)} == {"allow"} and {got[i].verdict for i in range(1, 120, 2)} == {"block"}
+    assert got[500].verdict == "allow" and got[500].template.count("/") == 300
+
+
+def test_roles_with_control_marks_are_reversible(spark):
+    from fieldloom.llm import chat
+
+    rng = random.Random(7)
+    marks = ["]", "[", "<", "\\", " ", "] ", "x", "[/ROLE]", "\n", "</s>", "\\]"]
+    rows = [(c, t, "".join(rng.choices(marks, k=rng.randrange(1, 5))), "".join(rng.choices(marks, k=rng.randrange(6)))) for c in range(60) for t in range(3)]
+    rows += [(100, 0, "x] y", "z")]
+    made = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = {}
+    for c, _, role, text in sorted(rows):
+        want[c] = want.get(c, "") + f"{role}\n{text}\n"
+    got = {r.conv_id: r.turns_sha256 for r in chat.read_back(made).collect()}
+    assert got == {c: sha256(w.encode()).hexdigest() for c, w in want.items()}
+    with pytest.raises(Exception, match="turn order"):
+        chat.read_back(made.orderBy(F.desc("seq"))).collect()
+
+
+def test_repeated_labelled_ids_give_one_row_each(spark, make_docs):
+    from fieldloom.llm import quality
+
+    docs = make_docs([(1, f"text {i}") for i in range(500)] + [(2, "other")])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert sorted(map(tuple, quality.labelled_sample(docs, labels, 5).select("doc_id", "text").collect())) == [(1, "text 0"), (2, "other")]
