@@ -12,7 +12,9 @@ and its posteriors train a logistic span classifier over kind, shape and votes.
 accepts and that overlap no base span are added.
 
 Defined cases: a missing text is empty and has no spans; every row is searched by itself, so repeated rows,
-missing ids and clashing extra columns change nothing; an empty table gives an empty result.
+missing ids and clashing extra columns change nothing; an empty table gives an empty result. Texts of any
+length are searched whole; matches are walked in blocks, so that a text of many matches takes time in proportion
+to them (and to a small part of their square, from millions in one text on).
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ BAD_WORDS = r"version|isbn|issue|order|sku|build|release|#$"
 #: Common endings of addresses and country calling codes.
 DOMAIN_ENDS = r"(?i)[. )\]](?:com|org|net|edu|gov|io|de|fr|es|uk|it|nl|ch)$"
 CALLING_CODES = r"^\+(?:1|7|20|27|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+SPANS = "array<struct<start:bigint,rank:int,end:bigint,value:string,context:string,base:boolean>>"
+BLOCK = 128
 VOTES = ["format", "check", "gazetteer", "before", "against"]
 
 
@@ -77,12 +81,23 @@ def _checker(kind: str):
     return lambda s: _valid(kind, s["value"])
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, not wherever it is read."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """The items in runs of BLOCK: what copies a list once per item then copies a short one."""
+    firsts = F.filter(F.sequence(F.lit(0), F.ceil(F.size(items) / BLOCK).cast("int")), lambda b: b * BLOCK < F.size(items))
+    return F.transform(firsts, lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+
+
 def _found(text: Column, kind: str, pattern: str, hint: str, base: bool) -> Column:
     """Matches as array<struct(start, rank, end, value, context, base)>, code points, in order."""
     rank = KINDS.index(kind)
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     zipped = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"))
-    blank = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,value:string,context:string,base:boolean>>")
+    blank = F.array().cast(SPANS)
 
     def step(a, x):
         start = a["at"] + F.length(x["g"])
@@ -91,10 +106,27 @@ def _found(text: Column, kind: str, pattern: str, hint: str, base: bool) -> Colu
                        F.lower(F.right(x["g"], F.lit(CONTEXT_CHARS))).alias("context"), F.lit(base).alias("base"))
         return F.struct(end.cast("bigint").alias("at"), F.concat(a["out"], F.array(row)).alias("out"))
 
-    walked = F.aggregate(zipped, F.struct(F.lit(0).cast("bigint").alias("at"), blank.alias("out")), step)["out"]
+    def block(a, items):
+        inside = F.aggregate(items, F.struct(a["at"].alias("at"), blank.alias("out")), step)
+        return _let(inside, lambda w: F.struct(w["at"].alias("at"), F.concat(a["out"], F.array(w["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+    walked = _let(zipped, lambda z: F.flatten(F.aggregate(_blocks(z), start, block)["out"]))
     return F.when(text.contains(hint) if hint == "@" else text.rlike(hint), walked).otherwise(blank)
 
 
+def _apart(more: Column, base: Column) -> Column:
+    """The spans of ``more`` that overlap no base span; base spans are skipped in runs by their outer bounds."""
+    runs = _let(F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))), lambda sorted_: F.transform(
+        _blocks(sorted_), lambda r: F.struct(F.array_min(r["start"]).alias("low"), F.array_max(r["end"]).alias("high"), r.alias("spans"))))
+
+    def touches(m, b):
+        return (b["start"] < m["end"]) & (m["start"] < b["end"])
+
+    return _let(runs, lambda rs: F.filter(more, lambda m: ~F.exists(
+        rs, lambda r: (r["low"] < m["end"]) & (m["start"] < r["high"]) & F.exists(r["spans"], lambda b: touches(m, b)))))
+
+
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
@@ -171,7 +203,7 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     base = F.concat(*[F.filter(F.col(k), _checker(k)) for k in BASE_KINDS])
     more = F.concat(*[F.col(f"wide_{k}") for k in WIDE])
     seen = row.select("doc_id", *raw, *wide).select("doc_id", base.alias("base"), more.alias("more"))
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = _apart(F.col("more"), F.col("base"))
 
     def keyed(spans: Column) -> Column:
         return F.array_sort(F.transform(spans, lambda s: F.struct(

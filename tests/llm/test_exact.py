@@ -336,6 +336,40 @@ def test_secret_spans(make_docs):
     assert secret_scan.find_secrets(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("n", [16, 56, 57, 84, 85, 300])
+def test_secret_windows_cover_long_spans(n):
+    text = bytes(33 + i % 90 for i in range(n + 80))
+    seen = secret_scan.windows(text, 40, 40 + n)
+    middle = slice(secret_scan.LEFT, secret_scan.LEFT + secret_scan.MIDDLE)
+    assert all(len(w) == secret_scan.WIDTH for w in seen) and len(seen) == 1 + max(0, -(-(n - 56) // 28))
+    covered = set()
+    for w in seen:
+        body = w[middle].rstrip(b"\0")
+        at = 40 if len(seen) == 1 else 8 + text[8:].index(w.rstrip(b"\0")) + secret_scan.LEFT
+        assert text[at:at + len(body)] == body
+        covered |= set(range(at, at + len(body)))
+    assert len(seen) > 3 or covered == set(range(40, 40 + n))
+
+
+def test_secret_in_the_middle_of_a_long_candidate_is_scored():
+    """The network sees the bytes of a candidate that a window of its ends alone would leave out."""
+    rng = random.Random(8)
+    dull = "abcabc1"
+    text = (dull * 12 + "".join(rng.choice("0123456789abcdef") for _ in range(56)) + dull * 12).encode()
+    seen = secret_scan.windows(text, 0, len(text))
+    assert any(text[84:84 + 28] in w[32:88] for w in seen) and any(text[84 + 28:84 + 56] in w[32:88] for w in seen)
+
+
+def test_spans_apart_from_base_spans():
+    rng = random.Random(4)
+    for _ in range(200):
+        base = sorted((0, a, a + rng.randrange(1, 30), a) for a in rng.sample(range(300), rng.randrange(6)))
+        base.sort(key=lambda b: b[1])
+        edges = sorted(rng.sample(range(320), 12))
+        spans = list(zip(edges[::2], edges[1::2], strict=True))
+        assert secret_scan._apart(spans, base) == [c for c in spans if not any(b[1] < c[1] and c[0] < b[2] for b in base)]
+
+
 def test_secret_network_on_held_out_findings():
     rng = random.Random(3)
 
@@ -343,7 +377,7 @@ def test_secret_network_on_held_out_findings():
         body = "".join(rng.choice("0123456789abcdef" if secret else "thonerhastre") for _ in range(rng.randrange(20, 40)))
         text = f"{prose(rng, 5)} {'token = ' if secret else 'and '}{body} {prose(rng, 4)}".encode()
         at = text.index(body.encode())
-        return secret_scan.window(text, at, at + len(body))
+        return secret_scan.windows(text, at, at + len(body))[0]
     y = np.array([i % 2 for i in range(240)], float)
     codes = secret_scan.codes_of([finding(v) for v in y])
     net = secret_scan.fit_net(codes[:160], y[:160], epochs=6)
@@ -379,6 +413,17 @@ def test_personal_data(make_docs):
     assert pii.find_personal_data(empty(docs)).count() == 0
 
 
+def test_personal_data_of_a_text_with_many_matches(make_docs):
+    """Past several blocks of matches, base and other spans: positions stay right, and overlaps are left out."""
+    parts = [f"u{i}@b.co" if i % 3 else "111-22-3333" if i % 2 else "+1 222-333-4444 12" for i in range(1500)]
+    text = "é " + "\n".join(parts)
+    row = pii.find_personal_data(make_docs([text])).select(
+        pii.spans_text(F.col("base")).alias("base"), pii.spans_text(F.concat("base", "added")).alias("spans")).first()
+    assert row.base == spans_by_brute_force(text, PERSONAL, personal_fits)
+    taken = [tuple(map(int, s.split(":")[1:])) for s in row.spans.split(",")]
+    assert all(a[1] <= b[0] for a, b in zip(taken, taken[1:], strict=False))
+
+
 def test_label_model_trusts_the_labeler_that_agrees():
     rng = random.Random(2)
     counted = collections.Counter()
