@@ -7,12 +7,15 @@ A text is lower-cased (A-Z) and cut into words ``[^\x20\x09-\x0D]+``; its set ho
   Two sets of the threshold similarity agree in at least T posted coordinates (all but one in a million),
   so elements met once are dropped, a document with fewer than T others has no partner, and by the
   prefix rule only its rarest c - T + 1 elements need posting (rarest first).
-* The posting list of an element is cut into blocks; a group is one pair of blocks, at most about
-  2 * BLOCK documents. Inside a group collisions are counted over all coordinates (one byte each).
-  Round one emits a spanning forest of the pairs above the match threshold, never all pairs.
-  Round two skips lists whose documents are linked already. In the others every remaining pair between
-  different components is confirmed inside its group, in the first list that both share, and only
-  links that join components are emitted. So no link is lost and no row stands for a pair that fails.
+* The posting list of an element is cut into blocks of about BLOCK documents. Inside a block collisions are counted
+  over all coordinates (one byte each).
+  Round one emits a spanning forest of the pairs above the match threshold in each block, never all pairs.
+  Bridging rounds do the same with one document of each component of a list that has several blocks, until they
+  find no link any more: a component of any number of near copies is put together from rows in proportion to it.
+  The last round skips lists whose documents are linked already. In the others a group is a pair of blocks, at most
+  about 2 * BLOCK documents: every remaining pair between different components is confirmed inside its group, in
+  the first list that both share, and only links that join components are emitted. So no link is lost and no row
+  stands for a pair that fails.
 * Links are confirmed on the full sets; components come from alternating star steps.
 
 Lists, signatures and sets belong to a text, keyed by (doc_id, digest of its set); links are made of doc_ids.
@@ -29,7 +32,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from . import bytewords as B
@@ -247,6 +250,22 @@ def _matcher(least: int, percent: int | None = None):
     return groups
 
 
+def _blocks_of(m: str) -> Column:
+    """The number of blocks of a posting list of m documents."""
+    return F.ceil(F.col(m) / BLOCK).cast("int")
+
+
+def _dealt(rows: DataFrame, own: list[str]) -> DataFrame:
+    """Rows of posting lists (elem, m) with the block that the text belongs to, one row for each."""
+    return rows.withColumn("block", F.pmod(F.xxhash64(*own), _blocks_of("m")).cast("int"))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """A row for each pair of blocks (lo, hi) of the list that the row's block is one of."""
+    return (rows.withColumn("other", F.explode(F.sequence(F.lit(0), _blocks_of("m") - 1)))
+            .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "m"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, posted_share: float | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: similarity of ``percent`` / 100 or more links."""
     similarity = percent / 100 if posted_share is None else posted_share
@@ -266,10 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, posted_share: float | No
               .select(*own, F.col("e.elem").alias("elem")))
     prefix = cut_lineage(prefix)
     size = prefix.groupBy("elem").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    lists = (prefix.join(size, "elem").withColumn("block", F.pmod(F.xxhash64(*own), blocks).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("elem", "m", *own, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
+    lists = _dealt(prefix.join(size, "elem"), own)
     lists = cut_lineage(lists.join(reps.select(*own, "sign"), own))
     sets = cut_lineage(semi_join_ids(texts, lists.select("doc_id").distinct(), "doc_id").mapInArrow(lean(_sets), "doc_id bigint, digest binary, shingles array<bigint>"))
 
@@ -280,19 +296,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, posted_share: float | No
     def side(name: str, shingles: str) -> DataFrame:
         return sets.select(F.col("doc_id").alias(name), F.col("digest").alias(f"{name}_text"), F.col("shingles").alias(shingles))
 
-    both = F.size(F.array_intersect("left", "right"))
-    links = (matched(lists.select("elem", "lo", "hi", *own, "sign")).join(side("a", "left"), ["a", "a_text"]).join(side("b", "right"), ["b", "b_text"])
-             .where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    roots = cut_lineage(components(links.unionByName(copies)))
+    def linked(rows: DataFrame) -> DataFrame:
+        """Confirmed links of the forests inside the blocks of ``rows``."""
+        both = F.size(F.array_intersect("left", "right"))
+        pairs = matched(rows.select("elem", F.col("block").alias("lo"), F.col("block").alias("hi"), *own, "sign"))
+        return (pairs.join(side("a", "left"), ["a", "a_text"]).join(side("b", "right"), ["b", "b_text"])
+                .where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def tied(rows: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
 
-    more = lists.where("m > 2").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root", "m")
+    def grown(links: DataFrame) -> DataFrame:
+        return cut_lineage(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)))
+
+    copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    roots = cut_lineage(components(linked(lists).unionByName(copies)))
+
+    several = lists.where(F.col("m") > BLOCK)  # lists of more than one block
+    while True:
+        first = tied(several).groupBy("elem", "comp").agg(F.min_by(F.struct(*own, "sign"), F.struct(*own)).alias("one")).select("elem", "one.*")
+        first = cut_lineage(first)
+        open_ = first.groupBy("elem").agg(F.count("*").alias("m")).where("m > 1")
+        bridges = cut_lineage(linked(_dealt(first.join(open_, "elem"), own)))
+        if bridges.isEmpty():
+            break
+        roots = grown(bridges)
+
+    more = tied(lists.where("m > 2"))
     open_lists = more.groupBy("elem").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("elem")
+    left = _across(more.join(open_lists, "elem", "left_semi"))
     whole = sets.join(prefix.groupBy(*own).agg(F.collect_set("elem").alias("prefix")), own)  # at most POSTED elements a text
-    late = matched(more.join(open_lists, "elem", "left_semi").join(whole, own), percent)
-    late = cut_lineage(late.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    late = cut_lineage(matched(left.join(whole, own), percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
     if not late.isEmpty():
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late))
+        roots = grown(late)
     component = F.coalesce("root", "doc_id")
     return (signed.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))

@@ -168,6 +168,37 @@ def test_near_duplicates_cut_long_lists_into_blocks(make_docs, monkeypatch):
     assert got == {i: c for i, (_, c) in near_by_brute_force(every, 85).items()}
 
 
+def test_rows_of_a_component_grow_with_its_documents(make_docs, monkeypatch):
+    """Blocks of 16: near copies of one text cost rows in proportion, no row for each pair of blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    cut, across = minhash.cut_lineage, minhash._across
+    base, count = prose(random.Random(6), 300).split(), []
+
+    def near(i):
+        rng = random.Random(i)
+        words = list(base)
+        words[rng.randrange(300)] = f"new{i}"
+        return " ".join(words)
+
+    def counted(of):
+        def run(df):
+            out = of(df)
+            if "elem" in out.columns:
+                count.append(out.count())
+            return out
+        return run
+
+    monkeypatch.setattr(minhash, "cut_lineage", counted(cut))
+    monkeypatch.setattr(minhash, "_across", counted(across))
+    total = []
+    for n in (150, 300, 600):
+        count.clear()
+        got = {r.component_id for r in minhash.near_duplicates(make_docs([near(i) for i in range(n)])).collect()}
+        assert got == {0}
+        total.append(sum(count))
+    assert total[1] < 2.5 * total[0] and total[2] < 2.5 * total[1]
+
+
 @pytest.mark.parametrize("n", [600, 1000, 3000])
 def test_signatures_of_unrelated_long_texts_differ(n):
     texts = [" ".join(f"{side}{i}" for i in range(n)) for side in "ab"] + [" ".join(f"a{i}" for i in range(n - 20))]
