@@ -13,9 +13,10 @@ an edge that a third of all documents share meets others only once per task. The
 the size of the texts, so the work of one range has the same size for any input.
 
 Hashes have 64 bits over whole words. Defined cases: a missing text has no words; a document under K words
-loses nothing; a row without doc_id is no source and loses nothing; repeated rows of one doc_id are one
-document to others (where their texts differ, word positions found in either are removed); extra columns
-are ignored.
+loses nothing; a row without doc_id is no source and loses nothing; rows that repeat a doc_id are one document to
+others, and each loses what its own text repeats of smaller doc_ids. Texts of a repeated doc_id are told apart by a
+variant, 31 bits of their hash, kept above the 32 bits of a word's place; it is 0 where a doc_id has one row. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,18 +34,19 @@ from .tables import join_sized, keyed_texts, lean
 
 FLUSH = 1_000_000
 RANGE_CHARS = 8_000_000
+WORD_BITS = (1 << 32) - 1
 SCHEMA = "part int, edges binary, docs binary, places binary, sources binary, source_places binary"
 PACKED = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def _windows(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of rows: edge hashes, row, position of the first word in its text."""
+def _windows(texts: pa.Array, variant: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows: edge hashes, row, position of the first word in its text with the variant above."""
     data, offsets = B.text_bytes(texts)
     for first, end, part, cuts in B.runs(data, offsets):
         starts, ends, row = B.pieces(part, cuts, B.SPACE)
         at, edge = B.grams(B.span_hashes(part, starts, ends), row, k)
         begin = np.searchsorted(row, np.arange(end - first))
-        yield edge, row[at] + first, (at - begin[row[at]]).astype(np.int32)
+        yield edge, row[at] + first, at - begin[row[at]] + (variant[row[at] + first] << 32)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -89,7 +91,7 @@ def _edges(k: int, ranges: int):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for edge, row, place in _windows(batch.column(1), k):
+            for edge, row, place in _windows(batch.column(1), batch.column(2).to_numpy(), k):
                 held.append((edge, ids[row], place))
                 if sum(len(h[0]) for h in held) >= FLUSH:
                     yield _deal(*map(np.concatenate, zip(*held, strict=True)), ranges)
@@ -106,12 +108,12 @@ def _settle(ranges: int):
     def run(table: pa.Table) -> pa.Table:
         edges, *columns = (table[c].to_pylist() for c in PACKED[1:])
         if any(edges):
-            doc, place = _unpack(columns[0], np.int64), _unpack(columns[1], np.int32)
+            doc, place = _unpack(columns[0], np.int64), _unpack(columns[1], np.int64)
             _, doc, place, source, source_place = _first(_unpack(edges, np.uint64), doc, place)
             later = doc > source
             doc, place, source, source_place = doc[later], place[later], source[later], source_place[later]
         else:
-            doc, place, source, source_place = (_unpack(c, k) for c, k in zip(columns, (np.int64, np.int32) * 2, strict=True))
+            doc, place, source, source_place = (_unpack(c, np.int64) for c in columns)
         part = ((B.mix(doc.view(np.uint64)) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         order = np.lexsort((place, doc, part))
         part, *values = (c[order] for c in (part, doc, place, source, source_place))
@@ -127,11 +129,11 @@ def _paths(k: int):
     """Of one part of the documents: occurrences compacted to paths, and the words that the paths cover."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, place, source, source_place = (_unpack(table[c].to_pylist(), t) for c, t in zip(PACKED[2:], (np.int64, np.int32) * 2, strict=True))
-        place, source_place = place.astype(np.int64), source_place.astype(np.int64)
-        order = np.lexsort((place, doc))
+        doc, place, source, source_place = (_unpack(table[c].to_pylist(), np.int64) for c in PACKED[2:])
+        order = np.lexsort((place, doc))  # variants of a document one after another
         doc, place, source, source_place = doc[order], place[order], source[order], source_place[order]
-        new = np.append(True, doc[1:] != doc[:-1])
+        variant, place = place >> 32, place & WORD_BITS
+        new = np.append(True, (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1]))
 
         def lists(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
             first = np.flatnonzero(breaks)
@@ -146,25 +148,40 @@ def _paths(k: int):
         turn[1:] |= (place[1:] - place[:-1] != 1) | (source[1:] != source[:-1]) | (source_place[1:] - source_place[:-1] != 1)
         first, last, bounds = lists(turn)
         path = pa.StructArray.from_arrays([pa.array(place[first], pa.int32()), pa.array(place[last] + k, pa.int32()), pa.array(source[first], pa.int64()),
-                                           pa.array(source_place[first], pa.int32())], names=["start", "end", "source", "source_start"])
-        return pa.table([pa.array(doc[new], pa.int64()), *spans, pa.ListArray.from_arrays(bounds, path)], names=["doc_id", "starts", "ends", "paths"])
+                                           pa.array(source_place[first] & WORD_BITS, pa.int32())], names=["start", "end", "source", "source_start"])
+        return pa.table([pa.array(doc[new], pa.int64()), pa.array(variant[new], pa.int64()), *spans, pa.ListArray.from_arrays(bounds, path)],
+                        names=["doc_id", "variant", "starts", "ends", "paths"])
 
     return run
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text and variant: 0, or 31 bits of the text's hash where several rows have the doc_id."""
+    texts = keyed_texts(docs)
+    again = cut_lineage(texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("again")))
+    if again.isEmpty():
+        return texts.withColumn("variant", F.lit(0).cast("bigint"))
+    marked = join_sized(texts, again, "doc_id", "left")
+    return marked.select("doc_id", "text", F.when(F.col("again"), F.pmod(F.xxhash64("text"), F.lit(2**31))).otherwise(0).cast("bigint").alias("variant"))
+
+
 def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
-    """doc_id, starts, ends, paths: of each document the word spans that repeat windows of a smaller doc_id.
+    """doc_id, variant, starts, ends, paths: of each text (``texts_of``) the word spans that repeat windows of a smaller doc_id.
 
     Spans (starts, ends) are the covered words; ``paths`` are structs (start, end, source, source_start), each a
     span that stands word for word in the document ``source`` from the word ``source_start`` on.
     """
-    texts = keyed_texts(docs).where("doc_id IS NOT NULL")
+    return _spans(texts_of(docs), k)
+
+
+def _spans(texts: DataFrame, k: int) -> DataFrame:
+    texts = texts.where("doc_id IS NOT NULL")
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, math.ceil(chars / RANGE_CHARS))
     later = texts.mapInArrow(lean(_edges(k, ranges)), SCHEMA).groupBy("part").applyInArrow(
         _settle(ranges), "part int, docs binary, places binary, sources binary, source_places binary")
     return later.groupBy("part").applyInArrow(
-        _paths(k), "doc_id bigint, starts array<int>, ends array<int>, paths array<struct<start: int, end: int, source: bigint, source_start: int>>")
+        _paths(k), "doc_id bigint, variant bigint, starts array<int>, ends array<int>, paths array<struct<start: int, end: int, source: bigint, source_start: int>>")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +208,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space, for every row."""
-    spans = cut_lineage(repeated_spans(docs, k).select("doc_id", "starts", "ends"))
-    joined = join_sized(keyed_texts(docs), spans, "doc_id", "left", 200_000, "starts").select("doc_id", "text", "starts", "ends")
+    texts = texts_of(docs)
+    spans = cut_lineage(_spans(texts, k).select("doc_id", "variant", "starts", "ends"))
+    joined = join_sized(texts, spans, ["doc_id", "variant"], "left", 200_000, "starts").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(lean(_cut), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")

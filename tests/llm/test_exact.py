@@ -267,18 +267,29 @@ def test_settled_edges_do_not_change_the_result(monkeypatch):
     import pyarrow as pa
     rng = np.random.RandomState(3)
     edge, doc = rng.randint(0, 40, 400).astype(np.uint64) << np.uint64(58), rng.randint(0, 30, 400).astype(np.int64)
-    place = np.arange(400, dtype=np.int32)
+    place = np.arange(400)
     parts = [substrings._deal(edge[s], doc[s], place[s], 4) for s in (slice(0, 150), slice(150, 400))]
     table = pa.Table.from_batches(parts)
     found = set()
     for part in set(table["part"].to_pylist()):
         out = substrings._settle(4)(table.filter(pa.compute.equal(table["part"], part)))
         if out.num_rows:
-            found |= set(zip(substrings._unpack(out["docs"].to_pylist(), np.int64).tolist(), substrings._unpack(out["places"].to_pylist(), np.int32).tolist()))
+            found |= set(zip(substrings._unpack(out["docs"].to_pylist(), np.int64).tolist(), substrings._unpack(out["places"].to_pylist(), np.int64).tolist()))
     first = {e: doc[edge == e].min() for e in set(edge.tolist())}
     assert found == {(int(d), int(p)) for e, d, p in zip(edge.tolist(), doc, place) if d > first[e]}
 
 
+def test_remove_repeats_keeps_texts_of_one_doc_id_apart(make_docs):
+    rng = random.Random(12)
+    copied, later = (" ".join(f"{p}{rng.randrange(10**6)}" for _ in range(20)) for p in "ab")
+    alone, other = (" ".join(f"{p}{rng.randrange(10**6)}" for _ in range(40)) for p in "cd")
+    docs = make_docs([(1, copied), (5, copied), (5, alone), (5, f"{other} {copied}"), (7, f"{alone} {later}"), (9, later)])
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(docs).collect())
+    assert got == sorted([(1, 20, 0, copied), (5, 20, 20, ""), (5, 40, 0, alone), (5, 60, 20, other), (7, 60, 40, later), (9, 20, 20, "")])
+    sources = {(r.doc_id, p.source, p.source_start, p.start) for r in substrings.repeated_spans(docs).collect() for p in r.paths}
+    assert {(5, 1, 0, 0), (5, 1, 0, 40), (9, 7, 40, 0)} <= sources and all(d > s for d, s, _, _ in sources)
+
+
 def test_remove_repeats_without_ids_and_rows(make_docs):
     t = prose(random.Random(1), 30)
     got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substrings.remove_repeats(make_docs([(2, t), (1, t), (None, t), (2, t)])).collect())
