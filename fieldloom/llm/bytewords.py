@@ -22,6 +22,7 @@ def _odd(n: int) -> np.ndarray:
 BYTE_CODES = _odd(256)
 GRAM_CODES = _odd(64)
 BASE = int(_odd(1)[0])
+CHECK_CODES = _odd(256)  # for a second hash of the same spans
 BLOCK = 1 << 18
 
 SPACE = np.zeros(256, bool)
@@ -30,14 +31,14 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     out[1:] = base & 0xFFFFFFFFFFFFFFFF
     return np.multiply.accumulate(out)
 
 
 INVERSE = pow(BASE, -1, 2**64)
-UP, DOWN = _powers(BASE, BLOCK), _powers(INVERSE, BLOCK)
+UP, DOWN = powers(BASE, BLOCK), powers(INVERSE, BLOCK)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -106,13 +107,13 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, row
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
     """64-bit hashes of byte spans in ascending order that do not overlap; scratch memory is bounded by blocks."""
     out = np.zeros(len(starts), np.uint64)
     size = np.asarray(ends) - starts
     long = np.flatnonzero(size >= BLOCK)
     for i in long:
-        out[i] = _long_hash(data[starts[i]:ends[i]])
+        out[i] = _long_hash(data[starts[i]:ends[i]], codes)
     k, n = 0, len(starts)
     while k < n:
         if size[k] >= BLOCK:
@@ -123,19 +124,19 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         end = max(min(end, n), k + 1)
         high = ends[end - 1]
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data[low:high]] * UP[:high - low], out=sums[1:])
+        np.cumsum(codes[data[low:high]] * UP[:high - low], out=sums[1:])
         s, e = starts[k:end] - low, ends[k:end] - low
         out[k:end] = (sums[e] - sums[s]) * DOWN[s]
         k = end
     return mix(out ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _long_hash(data: np.ndarray) -> np.uint64:
+def _long_hash(data: np.ndarray, codes: np.ndarray) -> np.uint64:
     total, lift = 0, 1
     step = pow(BASE, BLOCK - 1, 2**64)
     for at in range(0, len(data), BLOCK - 1):
         part = data[at:at + BLOCK - 1]
-        total += int((BYTE_CODES[part] * UP[:len(part)]).sum(dtype=np.uint64)) * lift
+        total += int((codes[part] * UP[:len(part)]).sum(dtype=np.uint64)) * lift
         lift = lift * step % 2**64
     return np.uint64(total % 2**64)
 

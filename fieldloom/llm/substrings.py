@@ -1,32 +1,38 @@
-r"""Substring dedup: repeated word k-mers as edges of a de Bruijn graph, spans checked by source coordinates.
-
-A window of K consecutive words ``[^\x20\x09-\x0D]+`` is an edge between its first and last K - 1 words.
-An edge met in two documents is repeated; its source is the smallest doc_id it starts in, and every later
-document loses the words its occurrences cover. Each occurrence gets its source coordinate, the document and
-the word where the edge starts first. Occurrences that advance together with their sources are compacted to one
-path (start, end, source, source_start): a long span that stands word for word at both coordinates.
+r"""Substring dedup: repeated word k-mers as edges of a de Bruijn graph, compacted to paths that source coordinates verify.
+
+1. Edges. A window of K consecutive words ``[^\x20\x09-\x0D]+`` is an edge between its first and last K - 1 words.
+   An edge met in two documents is repeated; its source is the smallest doc_id it starts in, and it goes by the
+   coordinate it has there (document, word). Each later occurrence gets that coordinate.
+2. Walks. Occurrences that follow one another in a document and in its source are one walk along the source.
+3. Paths. A node branches where a walk enters or leaves a source. What lies between two such borders is a
+   nonbranching path (``repeated_paths``); a walk runs over whole paths, so its ends join with their borders.
+4. Verification. A second hash of the words, independent of the one that found the edges, is summed up to every border of a path in the
+   source and along every walk in the later document. Joins of walks and borders keep the walks that stand word for
+   word at both coordinates; the words they cover go.
 
 All edges of all documents go through one shuffle. A task sorts about ``FLUSH`` of them, settles what it sees
 itself (a later document of the same task loses the window whatever others hold), and sends the rest packed by
 ranges of the hash: one packed row per range instead of a row per word. Settled ones go to salted ranges, so
 an edge that a third of all documents share meets others only once per task. The number of ranges follows
-the size of the texts, so the work of one range has the same size for any input.
+the size of the texts, so the work of one range has the same size for any input. Beyond ``AT_ONCE`` ranges they are
+dealt in two steps, first to groups of ranges and then inside a group, so that packed rows stay long.
 
 Hashes have 64 bits over whole words. Defined cases: a missing text has no words; a document under K words
 loses nothing; a row without doc_id is no source and loses nothing; rows that repeat a doc_id are one document to
 others, and each loses what its own text repeats of smaller doc_ids. Texts of a repeated doc_id are told apart by a
-variant, 31 bits of their hash, kept above the 32 bits of a word's place; it is 0 where a doc_id has one row. Extra
-columns are ignored.
+variant, 31 bits of their hash, kept above the 32 bits of a word's place; it is 0 where a doc_id has one row. Equal rows
+have equal results. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from . import bytewords as B
@@ -34,8 +40,12 @@ from .tables import join_sized, keyed_texts, lean
 
 FLUSH = 1_000_000
 RANGE_CHARS = 8_000_000
+AT_ONCE = 2048
 WORD_BITS = (1 << 32) - 1
+SUM_BITS = (1 << 62) - 1
 SCHEMA = "part int, edges binary, docs binary, places binary, sources binary, source_places binary"
+FOUND = "part int, docs binary, places binary, sources binary, source_places binary"
+WALKS = "doc_id bigint, variant bigint, start int, end int, source bigint, source_variant bigint, source_start int"
 PACKED = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -68,40 +78,89 @@ def _first(edge: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.nda
     return edge, doc, place, np.repeat(doc[starts], size), np.repeat(place[starts], size)
 
 
+def _parts(hashed: np.ndarray, ranges: int) -> np.ndarray:
+    return (((hashed >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def _slices(part: np.ndarray) -> list[tuple[int, slice]]:
+    """The parts of an ascending column and where each stands."""
+    starts = np.flatnonzero(np.append(part[:1] == part[:1], part[1:] != part[:-1]))
+    return [(int(part[a]), slice(a, b)) for a, b in zip(starts, [*starts[1:], len(part)], strict=bool(len(part)))]
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
+
+
 def _deal(edge: np.ndarray, doc: np.ndarray, place: np.ndarray, ranges: int) -> pa.RecordBatch:
     """Packed rows of one flush: ranges 0.. hold open edges, the salted ones behind hold settled places."""
     edge, doc, place, source, source_place = _first(edge, doc, place)
     open_, settled = doc == source, doc > source
-    part, rows = ((edge[open_] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), [[] for _ in PACKED]
-    bounds = np.searchsorted(part, np.arange(ranges + 1))
     kept = edge[open_], doc[open_], place[open_]
-    for r in range(ranges):
-        if bounds[r] < bounds[r + 1]:
-            for out, v in zip(rows, (r, *(_pack(c[bounds[r]:bounds[r + 1]]) for c in kept), b"", b""), strict=True):
-                out.append(v)
+    rows = [(r, *(_pack(c[cut]) for c in kept), b"", b"") for r, cut in _slices(_parts(kept[0], ranges))]
     if settled.any():
-        salt = ranges + int(edge[0] % np.uint64(ranges))
-        for out, v in zip(rows, (salt, b"", *(_pack(c[settled]) for c in (doc, place, source, source_place))), strict=True):
-            out.append(v)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=PACKED)
+        rows.append((ranges + int(edge[0] % np.uint64(ranges)), b"", *(_pack(c[settled]) for c in (doc, place, source, source_place))))
+    return _batch(rows, PACKED)
+
+
+def _flushes(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+    """Columns of about ``FLUSH`` rows."""
+    held, size = [], 0
+    for columns in found:
+        held.append(columns)
+        size += len(columns[0])
+        if size >= FLUSH:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _edges(k: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for edge, row, place in _windows(batch.column(1), batch.column(2).to_numpy(), k):
-                held.append((edge, ids[row], place))
-                if sum(len(h[0]) for h in held) >= FLUSH:
-                    yield _deal(*map(np.concatenate, zip(*held, strict=True)), ranges)
-                    held = []
-        if sum(len(h[0]) for h in held):
-            yield _deal(*map(np.concatenate, zip(*held, strict=True)), ranges)
+        def found():
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                for edge, row, place in _windows(batch.column(1), batch.column(2).to_numpy(), k):
+                    yield edge, ids[row], place
+
+        for columns in _flushes(found()):
+            yield _deal(*columns, ranges)
 
     return run
 
 
+def _deal_again(ranges: int):
+    """Rows of groups of ranges, dealt to the ranges themselves; settled rows stay whole and are salted anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled: list[tuple] = []
+
+        def found():
+            for batch in batches:
+                for edges, docs, places, *sources in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                    if edges:
+                        yield _unpack([edges], np.uint64), _unpack([docs], np.int64), _unpack([places], np.int64)
+                    else:
+                        settled.append((ranges + zlib.crc32(docs + places) % ranges, b"", docs, places, *sources))
+
+        for columns in _flushes(found()):
+            yield _deal(*columns, ranges)
+            yield _batch(settled, PACKED)
+            settled.clear()
+        yield _batch(settled, PACKED)
+
+    return run
+
+
+def _by_document(doc: np.ndarray, columns: tuple[np.ndarray, ...], ranges: int) -> list[tuple]:
+    """Packed rows by parts of the documents."""
+    part = _parts(B.mix(doc.view(np.uint64)), ranges)
+    order = np.lexsort((columns[0], doc, part))
+    return [(r, *(_pack(c[order[cut]]) for c in (doc, *columns))) for r, cut in _slices(part[order])]
+
+
 def _settle(ranges: int):
     """Of one range: occurrences of edges that start in a smaller doc_id, packed by parts of the documents."""
 
@@ -114,47 +173,81 @@ def _settle(ranges: int):
             doc, place, source, source_place = doc[later], place[later], source[later], source_place[later]
         else:
             doc, place, source, source_place = (_unpack(c, np.int64) for c in columns)
-        part = ((B.mix(doc.view(np.uint64)) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        order = np.lexsort((place, doc, part))
-        part, *values = (c[order] for c in (part, doc, place, source, source_place))
-        found, starts = np.unique(part, return_index=True)
-        cuts = [slice(a, b) for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True)] if len(part) else []
-        return pa.table([pa.array(found.astype(np.int32)), *(pa.array([_pack(v[c]) for c in cuts], pa.binary()) for v in values)],
-                        names=["part", *PACKED[2:]])
+        return pa.Table.from_batches([_batch(_by_document(doc, (place, source, source_place), ranges), ["part", *PACKED[2:]])])
+
+    return run
+
+
+def _documents_again(ranges: int):
+    """Rows of groups of document parts, dealt to the parts themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (tuple(_unpack([v], np.int64) for v in row) for batch in batches
+                 for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True))
+        for doc, *columns in _flushes(found):
+            yield _batch(_by_document(doc, tuple(columns), ranges), ["part", *PACKED[2:]])
 
     return run
 
 
-def _paths(k: int):
-    """Of one part of the documents: occurrences compacted to paths, and the words that the paths cover."""
+def _walks(k: int):
+    """Of one part of the documents: occurrences that advance together with their sources, one row each."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, place, source, source_place = (_unpack(table[c].to_pylist(), np.int64) for c in PACKED[2:])
-        order = np.lexsort((place, doc))  # variants of a document one after another
+        order = np.lexsort((source_place, source, place, doc))  # variants of a document one after another
         doc, place, source, source_place = doc[order], place[order], source[order], source_place[order]
-        variant, place = place >> 32, place & WORD_BITS
-        new = np.append(True, (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1]))
-
-        def lists(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-            first = np.flatnonzero(breaks)
-            bounds = np.append(np.searchsorted(first, np.flatnonzero(new)), len(first))
-            return first, np.append(first[1:], len(doc)) - 1, pa.array(bounds, pa.int32())
-
-        apart = new.copy()
-        apart[1:] |= place[1:] - place[:-1] > k
-        first, last, bounds = lists(apart)
-        spans = [pa.ListArray.from_arrays(bounds, pa.array(v, pa.int32())) for v in (place[first], place[last] + k)]
-        turn = new.copy()
-        turn[1:] |= (place[1:] - place[:-1] != 1) | (source[1:] != source[:-1]) | (source_place[1:] - source_place[:-1] != 1)
-        first, last, bounds = lists(turn)
-        path = pa.StructArray.from_arrays([pa.array(place[first], pa.int32()), pa.array(place[last] + k, pa.int32()), pa.array(source[first], pa.int64()),
-                                           pa.array(source_place[first] & WORD_BITS, pa.int32())], names=["start", "end", "source", "source_start"])
-        return pa.table([pa.array(doc[new], pa.int64()), pa.array(variant[new], pa.int64()), *spans, pa.ListArray.from_arrays(bounds, path)],
-                        names=["doc_id", "variant", "starts", "ends", "paths"])
+        once = np.append(True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))  # equal rows meet here
+        doc, place, source, source_place = doc[once], place[once], source[once], source_place[once]
+        turn = np.append(True, (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] != 1) | (source[1:] != source[:-1]) | (source_place[1:] - source_place[:-1] != 1))
+        first = np.flatnonzero(turn)
+        last = np.append(first[1:], len(doc)) - 1
+        columns = (doc[first], place[first] >> 32, (place[first] & WORD_BITS).astype(np.int32), ((place[last] & WORD_BITS) + k).astype(np.int32),
+                   source[first], source_place[first] >> 32, (source_place[first] & WORD_BITS).astype(np.int32))
+        return pa.table([pa.array(c) for c in columns], names=[c.split()[0] for c in WALKS.split(", ")])
 
     return run
 
 
+def _power(base: int, exponent: np.ndarray) -> np.ndarray:
+    """Powers modulo 2^64, by repeated squaring."""
+    out, left = np.ones(len(exponent), np.uint64), exponent.astype(np.uint64)
+    while left.any():
+        odd = (left & np.uint64(1)).astype(bool)
+        out[odd] *= np.uint64(base)
+        base, left = base * base % 2**64, left >> np.uint64(1)
+    return out
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text: sums of the second hash up to the borders in it, and along its walks, lifted to the place in the source.
+
+    The word at place i counts BASE^i times its hash, so the sum of a walk moved by d words is BASE^d times as large.
+    """
+    names = [c.split()[0] for c in WALKS.split(", ")]
+    for batch in batches:
+        data, offsets = B.text_bytes(batch.column(1))
+        ids, variants, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
+        walks_of, borders_of = batch.column(3), batch.column(4)
+        for first, end, part, cuts in B.runs(data, offsets):
+            starts, ends, row = B.pieces(part, cuts, B.SPACE)
+            bounds = np.searchsorted(row, np.arange(end - first + 1))
+            hashes = B.span_hashes(part, starts, ends, B.CHECK_CODES)
+            for i in range(end - first):
+                h = hashes[bounds[i]:bounds[i + 1]]
+                sums = np.zeros(len(h) + 1, np.uint64)
+                np.cumsum(h * B.powers(B.BASE, len(h)), out=sums[1:])
+                walks, borders = walks_of[at].values, borders_of[at].values.to_numpy()
+                own = {c: walks.field(c).to_numpy() for c in names[2:]}
+                along = (sums[own["end"]] - sums[own["start"]]) * _power(B.INVERSE, own["start"]) * _power(B.BASE, own["source_start"])
+                n, m = len(along), len(borders)
+                doc, variant = pa.array([ids[at]] * (n + m), pa.int64()), pa.array([variants[at]] * (n + m), pa.int64())
+                value = (np.concatenate([along, sums[borders]]) & np.uint64(SUM_BITS)).view(np.int64)
+                wide = [pa.concat_arrays([pa.array(own[c]), pa.nulls(m, pa.array(own[c]).type)]) for c in names[3:]]
+                yield pa.RecordBatch.from_arrays([doc, variant, pa.array(np.concatenate([own["start"], borders]).astype(np.int32)), *wide, pa.array(value)], names=[*names, "total"])
+                at += 1
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id, text and variant: 0, or 31 bits of the text's hash where several rows have the doc_id."""
     texts = keyed_texts(docs)
@@ -165,23 +258,72 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return marked.select("doc_id", "text", F.when(F.col("again"), F.pmod(F.xxhash64("text"), F.lit(2**31))).otherwise(0).cast("bigint").alias("variant"))
 
 
+def _walk_table(texts: DataFrame, k: int) -> DataFrame:
+    texts = texts.where("doc_id IS NOT NULL")
+    chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, math.ceil(chars / RANGE_CHARS))
+    groups = ranges if ranges <= AT_ONCE else math.ceil(math.sqrt(ranges))
+    edges = texts.mapInArrow(lean(_edges(k, groups)), SCHEMA)
+    if groups < ranges:  # written first: a flush settles what it meets, so its rows must come in the same order in every attempt
+        edges = cut_lineage(edges.repartition("part")).mapInArrow(lean(_deal_again(ranges)), SCHEMA)
+    found = edges.groupBy("part").applyInArrow(_settle(groups), FOUND)
+    if groups < ranges:
+        found = found.repartition("part").mapInArrow(lean(_documents_again(ranges)), FOUND)
+    return cut_lineage(found.groupBy("part").applyInArrow(_walks(k), WALKS))
+
+
+def _path_table(walks: DataFrame, k: int) -> DataFrame:
+    last = F.col("source_start") + F.col("end") - F.col("start") - (k - 1)
+    ends = F.explode(F.array(F.struct(F.col("source_start").alias("place"), F.lit(1).alias("turn")), F.struct(last.alias("place"), F.lit(-1).alias("turn"))))
+    borders = walks.select("source", "source_variant", ends.alias("e")).groupBy("source", "source_variant", F.col("e.place").alias("start")).agg(F.sum("e.turn").alias("turn"))
+    order = Window.partitionBy("source", "source_variant").orderBy("start")
+    paths = borders.withColumn("n_walks", F.sum("turn").over(order)).withColumn("end", F.lead("start").over(order) + (k - 1))
+    return paths.where("n_walks > 0").select("source", "source_variant", "start", "end", "n_walks")
+
+
+def _verified(texts: DataFrame, walks: DataFrame, k: int) -> DataFrame:
+    """The walks that stand word for word at both coordinates: their sums equal the difference of two borders."""
+    key = ["doc_id", "variant"]
+    border = F.explode(F.array(F.col("start"), F.col("end") - (k - 1), F.col("start") + (k - 1), F.col("end")))
+    borders = _path_table(walks, k).select(F.col("source").alias("doc_id"), F.col("source_variant").alias("variant"), border.alias("border"))
+    walk = F.struct(*[c.split()[0] for c in WALKS.split(", ")[2:]])
+    both = walks.select(*key, walk.alias("walk")).unionByName(borders, allowMissingColumns=True)
+    asked = cut_lineage(both.groupBy(*key).agg(F.collect_list("walk").alias("walks"), F.collect_set("border").alias("borders")))
+    sums = cut_lineage(join_sized(texts, asked, key, "inner", 200_000, "borders").select("doc_id", "text", "variant", "walks", "borders").mapInArrow(lean(_sums), f"{WALKS}, total bigint"))
+    walked = sums.where("source IS NOT NULL").withColumn("source_end", F.col("source_start") + F.col("end") - F.col("start"))
+    claim = ["source", "source_variant", "source_start", "source_end", "total"]
+    known = sums.where("source IS NULL").select(F.col("doc_id").alias("source"), F.col("variant").alias("source_variant"), F.col("start").alias("place"), F.col("total").alias("sum")).distinct()
+    for side in ("start", "end"):
+        known_side = known.select("source", "source_variant", F.col("place").alias(f"source_{side}"), F.col("sum").alias(f"sum_{side}"))
+        claims = (walked.select(*claim).distinct() if side == "start" else claims).join(known_side, ["source", "source_variant", f"source_{side}"], "left")
+    same = (F.col("sum_start") + F.col("total")).bitwiseAND(F.lit(SUM_BITS)) == F.col("sum_end")
+    failed = cut_lineage(claims.where(~F.coalesce(same, F.lit(False))).select(*claim))
+    return walked if failed.isEmpty() else walked.join(failed, claim, "left_anti")
+
+
+def repeated_paths(docs: DataFrame, k: int = 13) -> DataFrame:
+    """source, source_variant, start, end, n_walks: the nonbranching paths of repeated edges.
+
+    A path is a span of words of the document ``source``, which is where its edges go by; ``n_walks`` walks of later
+    documents run over all of it, and none enters or leaves inside. An edge that a task settles itself goes by the
+    smallest document of that task, so one edge can lie on a path of each of several sources.
+    """
+    return _path_table(_walk_table(texts_of(docs), k), k)
+
+
 def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     """doc_id, variant, starts, ends, paths: of each text (``texts_of``) the word spans that repeat windows of a smaller doc_id.
 
-    Spans (starts, ends) are the covered words; ``paths`` are structs (start, end, source, source_start), each a
-    span that stands word for word in the document ``source`` from the word ``source_start`` on.
+    ``paths`` are the verified walks as structs (start, end, source, source_start), each a span that stands word for
+    word in the document ``source`` from the word ``source_start`` on; starts and ends are theirs.
     """
     return _spans(texts_of(docs), k)
 
 
 def _spans(texts: DataFrame, k: int) -> DataFrame:
-    texts = texts.where("doc_id IS NOT NULL")
-    chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, math.ceil(chars / RANGE_CHARS))
-    later = texts.mapInArrow(lean(_edges(k, ranges)), SCHEMA).groupBy("part").applyInArrow(
-        _settle(ranges), "part int, docs binary, places binary, sources binary, source_places binary")
-    return later.groupBy("part").applyInArrow(
-        _paths(k), "doc_id bigint, variant bigint, starts array<int>, ends array<int>, paths array<struct<start: int, end: int, source: bigint, source_start: int>>")
+    verified = _verified(texts, _walk_table(texts, k), k)
+    spans = verified.groupBy("doc_id", "variant").agg(F.sort_array(F.collect_set(F.struct("start", "end", "source", "source_start"))).alias("paths"))
+    return spans.select("doc_id", "variant", F.col("paths.start").alias("starts"), F.col("paths.end").alias("ends"), "paths")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

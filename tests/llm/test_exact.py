@@ -248,9 +248,10 @@ def repeats_by_brute_force(texts, k=13):
     return out
 
 
-@pytest.mark.parametrize("chars", [8_000_000, 5_000])
-def test_remove_repeats(make_docs, texts, monkeypatch, chars):
+@pytest.mark.parametrize(("chars", "at_once"), [(8_000_000, 2048), (5_000, 2048), (5_000, 10)])
+def test_remove_repeats(make_docs, texts, monkeypatch, chars, at_once):
     monkeypatch.setattr(substrings, "RANGE_CHARS", chars)
+    monkeypatch.setattr(substrings, "AT_ONCE", at_once)  # 10: dealt in two steps
     every = [*texts, *drifting(random.Random(6), 30), *[prose(random.Random(8), 40)] * 20]
     got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(clashing(make_docs(every))).collect()}
     assert got == repeats_by_brute_force(every)
@@ -279,6 +280,27 @@ def test_settled_edges_do_not_change_the_result(monkeypatch):
     assert found == {(int(d), int(p)) for e, d, p in zip(edge.tolist(), doc, place) if d > first[e]}
 
 
+def test_paths_lie_between_the_borders_of_walks(make_docs):
+    rng = random.Random(21)
+    word = [f"s{i}" for i in range(100)]
+    other = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    docs = [(1, word), (2, word[10:60] + other(5)), (3, other(4) + word[10:60]), (4, other(3) + word[30:100]), (5, word[30:60])]
+    got = sorted(tuple(r) for r in substrings.repeated_paths(make_docs([(i, " ".join(w)) for i, w in docs]).coalesce(1)).collect())
+    covers = collections.Counter(tuple(sorted(d for d, w in docs[1:] if word[e] in w and word[e + 12] in w)) for e in range(88))
+    assert got == [(1, 0, 10, 42, 2), (1, 0, 30, 60, 4), (1, 0, 48, 100, 1)]
+    assert covers == {(): 10, (2, 3): 20, (2, 3, 4, 5): 18, (4,): 40}
+
+
+def test_walks_that_do_not_stand_in_the_source_fail(make_docs):
+    rng = random.Random(22)
+    word = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    docs = make_docs([(1, " ".join(word)), (2, " ".join([*word[:20], "changed", *word[21:]])), (3, " ".join(word[5:50]))])
+    texts = substrings.texts_of(docs)
+    walks = docs.sparkSession.createDataFrame([(2, 0, 0, 20, 1, 0, 0), (2, 0, 0, 30, 1, 0, 0), (2, 0, 21, 60, 1, 0, 21), (3, 0, 0, 45, 1, 0, 5), (3, 0, 0, 45, 1, 0, 6)], substrings.WALKS)
+    kept = substrings._verified(texts, walks, 13)
+    assert sorted((r.doc_id, r.start, r.end, r.source_start) for r in kept.collect()) == [(2, 0, 20, 0), (2, 21, 60, 21), (3, 0, 45, 5)]
+
+
 def test_remove_repeats_keeps_texts_of_one_doc_id_apart(make_docs):
     rng = random.Random(12)
     copied, later = (" ".join(f"{p}{rng.randrange(10**6)}" for _ in range(20)) for p in "ab")
