@@ -8,7 +8,7 @@ r"""Substring dedup: repeated word k-mers as edges of a de Bruijn graph, compact
    nonbranching path (``repeated_paths``); a walk runs over whole paths, so its ends join with their borders.
 4. Verification. A second hash of the words, independent of the one that found the edges, is summed up to every border of a path in the
    source and along every walk in the later document. Joins of walks and borders keep the walks that stand word for
-   word at both coordinates; the words they cover go.
+   word at both coordinates; the words they cover go. The pass that sums also cuts the texts; texts with a walk that fails are cut again.
 
 All edges of all documents go through one shuffle. A task sorts about ``FLUSH`` of them, settles what it sees
 itself (a later document of the same task loses the window whatever others hold), and sends the rest packed by
@@ -45,7 +45,11 @@ WORD_BITS = (1 << 32) - 1
 SUM_BITS = (1 << 62) - 1
 SCHEMA = "part int, edges binary, docs binary, places binary, sources binary, source_places binary"
 FOUND = "part int, docs binary, places binary, sources binary, source_places binary"
-WALKS = "doc_id bigint, variant bigint, start int, end int, source bigint, source_variant bigint, source_start int"
+WALKS = "doc_id bigint, variant bigint, starts array<int>, ends array<int>, sources array<bigint>, source_variants array<bigint>, source_starts array<int>"
+SUMS = ("doc_id bigint, variant bigint, start int, end int, source bigint, source_variant bigint, source_start int, total bigint, "
+        "n_words bigint, n_removed bigint, kept_text string")
+WALK = ["start", "end", "source", "source_variant", "source_start"]
+BROADCAST_BYTES = 128 << 20
 PACKED = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -202,9 +206,13 @@ def _walks(k: int):
         turn = np.append(True, (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] != 1) | (source[1:] != source[:-1]) | (source_place[1:] - source_place[:-1] != 1))
         first = np.flatnonzero(turn)
         last = np.append(first[1:], len(doc)) - 1
-        columns = (doc[first], place[first] >> 32, (place[first] & WORD_BITS).astype(np.int32), ((place[last] & WORD_BITS) + k).astype(np.int32),
-                   source[first], source_place[first] >> 32, (source_place[first] & WORD_BITS).astype(np.int32))
-        return pa.table([pa.array(c) for c in columns], names=[c.split()[0] for c in WALKS.split(", ")])
+        own, variant = doc[first], place[first] >> 32
+        new = np.append(own[:1] == own[:1], (own[1:] != own[:-1]) | (variant[1:] != variant[:-1]))
+        bounds = pa.array(np.append(np.flatnonzero(new), len(own)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(v, kind)) for v, kind in (
+            (place[first] & WORD_BITS, pa.int32()), ((place[last] & WORD_BITS) + k, pa.int32()), (source[first], pa.int64()),
+            (source_place[first] >> 32, pa.int64()), (source_place[first] & WORD_BITS, pa.int32()))]
+        return pa.table([pa.array(own[new]), pa.array(variant[new]), *lists], names=[c.split()[0] for c in WALKS.split(", ")])
 
     return run
 
@@ -220,32 +228,55 @@ def _power(base: int, exponent: np.ndarray) -> np.ndarray:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text: sums of the second hash up to the borders in it, and along its walks, lifted to the place in the source.
+    """Of each text: sums of the second hash along its walks, lifted to the place in the source, and up to the borders in it;
+    behind them a row with its words, the words that the walks cover and what is left.
 
     The word at place i counts BASE^i times its hash, so the sum of a walk moved by d words is BASE^d times as large.
     """
-    names = [c.split()[0] for c in WALKS.split(", ")]
+    names = [c.split()[0] for c in SUMS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+    def rows(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], names=names)
+
     for batch in batches:
         data, offsets = B.text_bytes(batch.column(1))
-        ids, variants, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
-        walks_of, borders_of = batch.column(3), batch.column(4)
+        *walk_columns, border_column = (batch.column(i) for i in range(3, 9))
+        at = 0
         for first, end, part, cuts in B.runs(data, offsets):
             starts, ends, row = B.pieces(part, cuts, B.SPACE)
             bounds = np.searchsorted(row, np.arange(end - first + 1))
-            hashes = B.span_hashes(part, starts, ends, B.CHECK_CODES)
+            hashes, raw = B.span_hashes(part, starts, ends, B.CHECK_CODES), part.tobytes()
+            walked, bordered, count, gone, texts = [], [], [], [], []
             for i in range(end - first):
-                h = hashes[bounds[i]:bounds[i + 1]]
-                sums = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(h * B.powers(B.BASE, len(h)), out=sums[1:])
-                walks, borders = walks_of[at].values, borders_of[at].values.to_numpy()
-                own = {c: walks.field(c).to_numpy() for c in names[2:]}
-                along = (sums[own["end"]] - sums[own["start"]]) * _power(B.INVERSE, own["start"]) * _power(B.BASE, own["source_start"])
-                n, m = len(along), len(borders)
-                doc, variant = pa.array([ids[at]] * (n + m), pa.int64()), pa.array([variants[at]] * (n + m), pa.int64())
-                value = (np.concatenate([along, sums[borders]]) & np.uint64(SUM_BITS)).view(np.int64)
-                wide = [pa.concat_arrays([pa.array(own[c]), pa.nulls(m, pa.array(own[c]).type)]) for c in names[3:]]
-                yield pa.RecordBatch.from_arrays([doc, variant, pa.array(np.concatenate([own["start"], borders]).astype(np.int32)), *wide, pa.array(value)], names=[*names, "total"])
+                s, e, h = (c[bounds[i]:bounds[i + 1]] for c in (starts, ends, hashes))
+                stay, walks, borders = np.ones(len(s), bool), walk_columns[0][at].is_valid, border_column[at].is_valid
+                if walks or borders:
+                    sums = np.zeros(len(h) + 1, np.uint64)
+                    np.cumsum(h * B.powers(B.BASE, len(h)), out=sums[1:])
+                if walks:
+                    begin, stop, source, variant, place = (c[at].values.to_numpy() for c in walk_columns)
+                    along = (sums[stop] - sums[begin]) * _power(B.INVERSE, begin) * _power(B.BASE, place)
+                    walked.append((np.full(len(begin), at), begin, stop, source, variant, place, along))
+                    cover = np.zeros(len(s) + 1, np.int64)
+                    np.add.at(cover, begin, 1)
+                    np.add.at(cover, stop, -1)
+                    stay = np.cumsum(cover)[:-1] == 0
+                if borders:
+                    border = border_column[at].values.to_numpy()
+                    bordered.append((np.full(len(border), at), border, sums[border]))
+                count.append(len(s))
+                gone.append(int((~stay).sum()))
+                texts.append(b" ".join([raw[a:b] for a, b in zip(s[stay].tolist(), e[stay].tolist(), strict=True)]))
                 at += 1
+            for found, columns in ((walked, WALK), (bordered, ["start"])):
+                if found:
+                    of, *values, total = (np.concatenate(c) for c in zip(*found, strict=True))
+                    known = {"doc_id": batch.column(0).take(pa.array(of)), "variant": batch.column(2).take(pa.array(of)),
+                             "total": pa.array((total & np.uint64(SUM_BITS)).view(np.int64))}
+                    yield rows(known | {c: pa.array(v) for c, v in zip(columns, values, strict=True)}, len(of))
+            yield rows({"doc_id": batch.column(0).slice(at - len(count), len(count)), "variant": batch.column(2).slice(at - len(count), len(count)),
+                        "n_words": pa.array(count), "n_removed": pa.array(gone), "kept_text": pa.array(texts, pa.binary()).cast(pa.string())}, len(count))
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -272,33 +303,56 @@ def _walk_table(texts: DataFrame, k: int) -> DataFrame:
     return cut_lineage(found.groupBy("part").applyInArrow(_walks(k), WALKS))
 
 
+def _walk_rows(walks: DataFrame) -> DataFrame:
+    zipped = F.arrays_zip(*(F.col(f"{c}s").alias(c) for c in WALK))
+    return walks.select("doc_id", "variant", F.explode(zipped).alias("w")).select("doc_id", "variant", *(F.col(f"w.{c}") for c in WALK))
+
+
 def _path_table(walks: DataFrame, k: int) -> DataFrame:
     last = F.col("source_start") + F.col("end") - F.col("start") - (k - 1)
     ends = F.explode(F.array(F.struct(F.col("source_start").alias("place"), F.lit(1).alias("turn")), F.struct(last.alias("place"), F.lit(-1).alias("turn"))))
-    borders = walks.select("source", "source_variant", ends.alias("e")).groupBy("source", "source_variant", F.col("e.place").alias("start")).agg(F.sum("e.turn").alias("turn"))
+    borders = _walk_rows(walks).select("source", "source_variant", ends.alias("e")).groupBy("source", "source_variant", F.col("e.place").alias("start")).agg(F.sum("e.turn").alias("turn"))
     order = Window.partitionBy("source", "source_variant").orderBy("start")
     paths = borders.withColumn("n_walks", F.sum("turn").over(order)).withColumn("end", F.lead("start").over(order) + (k - 1))
     return paths.where("n_walks > 0").select("source", "source_variant", "start", "end", "n_walks")
 
 
-def _verified(texts: DataFrame, walks: DataFrame, k: int) -> DataFrame:
-    """The walks that stand word for word at both coordinates: their sums equal the difference of two borders."""
-    key = ["doc_id", "variant"]
+def _summed(texts: DataFrame, walks: DataFrame, borders: DataFrame | None = None) -> DataFrame:
+    """``_sums`` of the texts with their walks and borders, which are broadcast up to ``BROADCAST_BYTES`` of counted arrays."""
+    key, lists = ["doc_id", "variant"], [f"{c}s" for c in WALK]
+    asked = walks.select(*key, F.struct(*lists).alias("walk"))
+    asked = asked.withColumn("border", F.lit(None).cast("int")) if borders is None else asked.unionByName(borders, allowMissingColumns=True)
+    asked = asked.groupBy(*key).agg(F.first("walk", ignorenulls=True).alias("walk"), F.collect_set("border").alias("borders"))
+    asked = cut_lineage(asked.select(*key, *(f"walk.{c}" for c in lists), F.when(F.size("borders") > 0, F.col("borders")).alias("borders")))
+    size = 64 + 28 * F.coalesce(F.size("starts"), F.lit(0)).cast("bigint") + 4 * F.coalesce(F.size("borders"), F.lit(0))
+    small = (asked.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+    joined = texts.join(F.broadcast(asked) if small else asked, key, "left").select("doc_id", "text", "variant", *lists, "borders")
+    return joined.mapInArrow(lean(_sums), SUMS)
+
+
+def _verified(texts: DataFrame, walks: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The walks that stand word for word at both coordinates, whose sums equal the difference of two borders; and the cut texts."""
     border = F.explode(F.array(F.col("start"), F.col("end") - (k - 1), F.col("start") + (k - 1), F.col("end")))
     borders = _path_table(walks, k).select(F.col("source").alias("doc_id"), F.col("source_variant").alias("variant"), border.alias("border"))
-    walk = F.struct(*[c.split()[0] for c in WALKS.split(", ")[2:]])
-    both = walks.select(*key, walk.alias("walk")).unionByName(borders, allowMissingColumns=True)
-    asked = cut_lineage(both.groupBy(*key).agg(F.collect_list("walk").alias("walks"), F.collect_set("border").alias("borders")))
-    sums = cut_lineage(join_sized(texts, asked, key, "inner", 200_000, "borders").select("doc_id", "text", "variant", "walks", "borders").mapInArrow(lean(_sums), f"{WALKS}, total bigint"))
-    walked = sums.where("source IS NOT NULL").withColumn("source_end", F.col("source_start") + F.col("end") - F.col("start"))
+    sums = cut_lineage(_summed(texts, walks, borders))
+    cut = sums.where("n_words IS NOT NULL").select("doc_id", "variant", "n_words", "n_removed", "kept_text")
+    walked = sums.where("source IS NOT NULL").select("doc_id", "variant", *WALK, "total", (F.col("source_start") + F.col("end") - F.col("start")).alias("source_end"))
+    known = sums.where("source IS NULL AND start IS NOT NULL").select(F.col("doc_id").alias("source"), F.col("variant").alias("source_variant"), F.col("start").alias("place"), F.col("total").alias("sum")).distinct()
     claim = ["source", "source_variant", "source_start", "source_end", "total"]
-    known = sums.where("source IS NULL").select(F.col("doc_id").alias("source"), F.col("variant").alias("source_variant"), F.col("start").alias("place"), F.col("total").alias("sum")).distinct()
+    claims = walked.select(*claim).distinct()
     for side in ("start", "end"):
-        known_side = known.select("source", "source_variant", F.col("place").alias(f"source_{side}"), F.col("sum").alias(f"sum_{side}"))
-        claims = (walked.select(*claim).distinct() if side == "start" else claims).join(known_side, ["source", "source_variant", f"source_{side}"], "left")
+        of_side = known.select("source", "source_variant", F.col("place").alias(f"source_{side}"), F.col("sum").alias(f"sum_{side}"))
+        claims = claims.join(of_side, ["source", "source_variant", f"source_{side}"], "left")
     same = (F.col("sum_start") + F.col("total")).bitwiseAND(F.lit(SUM_BITS)) == F.col("sum_end")
     failed = cut_lineage(claims.where(~F.coalesce(same, F.lit(False))).select(*claim))
-    return walked if failed.isEmpty() else walked.join(failed, claim, "left_anti")
+    if failed.isEmpty():
+        return walked, cut
+    key = ["doc_id", "variant"]
+    right, again = walked.join(failed, claim, "left_anti"), cut_lineage(walked.join(failed, claim, "left_semi").select(*key).distinct())
+    lists = F.array_sort(F.collect_set(F.struct(*WALK)))
+    kept = right.join(again, key, "left_semi").groupBy(*key).agg(lists.alias("w")).select(*key, *(F.col(f"w.{c}").alias(f"{c}s") for c in WALK))
+    anew = _summed(texts.join(again, key, "left_semi"), kept).where("n_words IS NOT NULL").select(*cut.columns)
+    return right, cut.join(again, key, "left_anti").unionByName(anew)
 
 
 def repeated_paths(docs: DataFrame, k: int = 13) -> DataFrame:
@@ -317,40 +371,14 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     ``paths`` are the verified walks as structs (start, end, source, source_start), each a span that stands word for
     word in the document ``source`` from the word ``source_start`` on; starts and ends are theirs.
     """
-    return _spans(texts_of(docs), k)
-
-
-def _spans(texts: DataFrame, k: int) -> DataFrame:
-    verified = _verified(texts, _walk_table(texts, k), k)
+    texts = texts_of(docs)
+    verified, _ = _verified(texts, _walk_table(texts, k), k)
     spans = verified.groupBy("doc_id", "variant").agg(F.sort_array(F.collect_set(F.struct("start", "end", "source", "source_start"))).alias("paths"))
     return spans.select("doc_id", "variant", F.col("paths.start").alias("starts"), F.col("paths.end").alias("ends"), "paths")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        count, gone, texts, at = [], [], [], 0
-        data, offsets = B.text_bytes(batch.column(1))
-        starts_of, ends_of = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for first, end, part, cuts in B.runs(data, offsets):
-            starts, ends, row = B.pieces(part, cuts, B.SPACE)
-            bounds = np.searchsorted(row, np.arange(end - first + 1))
-            raw = part.tobytes()
-            for i in range(end - first):
-                s, e = starts[bounds[i]:bounds[i + 1]], ends[bounds[i]:bounds[i + 1]]
-                stay = np.ones(len(s), bool)
-                for a, b in zip(starts_of[at] or (), ends_of[at] or (), strict=True):
-                    stay[a:b] = False
-                count.append(len(s))
-                gone.append(int((~stay).sum()))
-                texts.append(b" ".join([raw[a:b] for a, b in zip(s[stay].tolist(), e[stay].tolist(), strict=True)]))
-                at += 1
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
-                                         names=["doc_id", "n_words", "n_removed", "kept_text"])
-
-
 def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space, for every row."""
     texts = texts_of(docs)
-    spans = cut_lineage(_spans(texts, k).select("doc_id", "variant", "starts", "ends"))
-    joined = join_sized(texts, spans, ["doc_id", "variant"], "left", 200_000, "starts").select("doc_id", "text", "starts", "ends")
-    return joined.mapInArrow(lean(_cut), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    _, cut = _verified(texts, _walk_table(texts, k), k)
+    return cut.select("doc_id", "n_words", "n_removed", "kept_text")

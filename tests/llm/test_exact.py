@@ -296,9 +296,11 @@ def test_walks_that_do_not_stand_in_the_source_fail(make_docs):
     word = [f"w{rng.randrange(10**9)}" for _ in range(60)]
     docs = make_docs([(1, " ".join(word)), (2, " ".join([*word[:20], "changed", *word[21:]])), (3, " ".join(word[5:50]))])
     texts = substrings.texts_of(docs)
-    walks = docs.sparkSession.createDataFrame([(2, 0, 0, 20, 1, 0, 0), (2, 0, 0, 30, 1, 0, 0), (2, 0, 21, 60, 1, 0, 21), (3, 0, 0, 45, 1, 0, 5), (3, 0, 0, 45, 1, 0, 6)], substrings.WALKS)
-    kept = substrings._verified(texts, walks, 13)
-    assert sorted((r.doc_id, r.start, r.end, r.source_start) for r in kept.collect()) == [(2, 0, 20, 0), (2, 21, 60, 21), (3, 0, 45, 5)]
+    walks = docs.sparkSession.createDataFrame([(2, 0, [0, 0, 21], [20, 30, 60], [1, 1, 1], [0, 0, 0], [0, 0, 21]),
+                                               (3, 0, [0, 0], [45, 45], [1, 1], [0, 0], [5, 6])], substrings.WALKS)
+    right, cut = substrings._verified(texts, walks, 13)
+    assert sorted((r.doc_id, r.start, r.end, r.source_start) for r in right.collect()) == [(2, 0, 20, 0), (2, 21, 60, 21), (3, 0, 45, 5)]
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in cut.collect()) == [(1, 60, 0, " ".join(word)), (2, 60, 59, "changed"), (3, 45, 45, "")]
 
 
 def test_remove_repeats_keeps_texts_of_one_doc_id_apart(make_docs):
