@@ -38,7 +38,7 @@ from ..session import cut_lineage
 from . import bytewords as B
 from .tables import join_sized, keyed_texts, lean
 
-FLUSH = 1_000_000
+FLUSH = 500_000
 RANGE_CHARS = 8_000_000
 AT_ONCE = 2048
 WORD_BITS = (1 << 32) - 1
@@ -115,8 +115,10 @@ def _flushes(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarra
         held.append(columns)
         size += len(columns[0])
         if size >= FLUSH:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-            held, size = [], 0
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, size, columns = [], 0, ()
+            yield whole
+            whole = None
     if size:
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
