@@ -166,6 +166,6 @@ def test_pipeline_threshold_is_at_least_point_eight(spark, make_docs):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
 def test_every_text_query_runs(spark):
     names = [n for n in entry.queries() if not n.startswith("q_")]
-    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
     for n in names:
         assert entry.queries()[n](spark, "/root/testdata/sf0.001").count() > 0, n
