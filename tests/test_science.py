@@ -229,6 +229,22 @@ def test_bootstrap_moments(spark):
     assert first["var"] == pytest.approx(pdf.value.var()) and first["skew"] == pytest.approx(pdf.value.skew(), abs=0.1)
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_draws_do_not_depend_on_the_number_of_chunks(spark, monkeypatch, kind):
+    cover = spark.createDataFrame([("p", f"s{i % 40}", 1.0 + i) for i in range(40)], "plot string, species string, cover double")
+    traits = spark.createDataFrame([(i, f"s{i % 40}", "H", float(i)) for i in range(400)], "i int, species string, trait string, value double")
+    traits = traits.withColumns({"j": traits.i % 7, "i": traits.i.cast(kind)})
+
+    def draws():
+        out = bootstrap.bootstrap_draws(bootstrap.trait_fill(cover, traits, []), traits, ["plot", "trait"], [], ["species", "trait"], ["i", "j"], n_rep=4, sample_size=50)
+        return rows(out)
+
+    whole = draws()
+    assert len(whole) == 200
+    monkeypatch.setattr("fieldloom.operators.ordered.ROWS_PER_CHUNK", 2)  # the table takes many more chunks now
+    assert draws() == whole
+
+
 def test_predictions_need_unique_covariates(spark):
     predictions = spark.createDataFrame([("Gap", 1.0), ("Gap", 2.0)], "treatment string, predicted double")
     once = spark.createDataFrame([("Gap", 0.5)], "treatment string, spei double")
