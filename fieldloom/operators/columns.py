@@ -12,6 +12,9 @@ from ..functions.nulls import ColumnLike, as_col
 from .joins import assert_unique, null_safe_join, row_stats
 from .ordered import rank_table
 
+#: Residuals in units of their standard deviation, and their squares: steps of 1e-20, sums up to 10^18.
+RESIDUAL_TYPE = "decimal(38,20)"
+
 
 def cols_between(df: DataFrame, first: str, last: str) -> list[str]:
     """Names of the columns from ``first`` to ``last``, both included, in table order."""
@@ -95,17 +98,31 @@ def zscore(df: DataFrame, columns: Mapping[str, str], center_only: bool = False,
     """
     divisors = divisors or {}
     scaled = {new: F.col(old) / F.lit(float(divisors.get(old, 1.0))) for new, old in columns.items()}
-    aggs = {}
-    for new, value in scaled.items():
-        finite = F.when(F.abs(value) < float("inf"), value)
-        aggs[f"{new}__m"] = F.avg(finite)
-        if not center_only:
-            aggs[f"{new}__s"] = F.stddev_samp(finite)
-    stats = row_stats(df, aggs)
-    out = df.withColumn("__stats", stats)
+    out = df.withColumn("__stats", _exact_stats(df, scaled))
     for new, value in scaled.items():
         centred = value - F.col("__stats")[f"{new}__m"]
         if not center_only:
             centred = F.try_divide(centred, F.col("__stats")[f"{new}__s"])
         out = out.withColumn(new, centred)
     return out.drop("__stats")
+
+
+def _exact_stats(df: DataFrame, values: Mapping[str, Column]) -> Column:
+    """Mean ``<name>__m`` and standard deviation ``<name>__s`` of the finite values, free of the rounding of long sums.
+
+    A plain average loses digits with the number of rows and depends on the order in which tasks finish. Here it only sets
+    the scale: residuals in units of the first standard deviation are summed as decimals, which is exact in any order.
+    """
+    finite = df.select(*[F.when(F.abs(value) < float("inf"), value).alias(new) for new, value in values.items()])
+    first = row_stats(finite, {k: c for new in values for k, c in (
+        (f"{new}__m", F.avg(f"`{new}`")), (f"{new}__s", F.stddev_samp(f"`{new}`")))})
+    work = finite.withColumn("__first", first)
+    found = {}
+    for new in values:
+        m, s = F.col("__first")[f"{new}__m"], F.col("__first")[f"{new}__s"]
+        residual = F.try_divide(F.col(f"`{new}`") - m, s)
+        total, squares = (F.sum(c.cast(RESIDUAL_TYPE)).cast("double") for c in (residual, residual * residual))
+        n, m, s = F.count(residual), F.max(m), F.max(s)
+        found[f"{new}__m"] = F.coalesce(m + s * F.try_divide(total, n), m)
+        found[f"{new}__s"] = F.coalesce(s * F.sqrt(F.try_divide(squares - F.try_divide(total * total, n), n - 1)), s)
+    return row_stats(work, found)

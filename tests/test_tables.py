@@ -235,3 +235,12 @@ def test_audit_counts_rows(left, right):
     assert report[("filter", "in")]["rows"] == 3 and report[("filter", "out")]["rows"] == 2
     assert report[("join", "out")] == {"rows": 2, "matched": 1, "unmatched": 1}
     assert tuple(audit.join_audit(left, right, ["k"]).first()) == (3, 3, 2, 1, 1, 0, 3)
+
+
+def test_zscore_does_not_lose_digits_in_long_sums(spark):
+    # A running sum of doubles has steps of 0.5 behind the first row: 0.3 would count as 0.5.
+    df = spark.range(0, 1002, 1, 1).selectExpr("CASE id WHEN 0 THEN 3e15D WHEN 1001 THEN -3e15D ELSE 0.3D END AS v")
+    out = columns.zscore(df, {"d": "v"}, center_only=True).where("v = 0.3").select("d").distinct().collect()
+    assert len(out) == 1 and abs(out[0].d - (0.3 - 300 / 1002)) < 5e-3
+    alike = columns.zscore(spark.createDataFrame([(2.0,), (2.0,), (None,)], "v double"), {"z": "v"}).collect()
+    assert [r.z for r in alike] == [None, None, None]
