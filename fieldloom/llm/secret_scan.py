@@ -9,7 +9,7 @@ looks like. A third of the findings is held out: a Platt curve calibrates the sc
 one at which the held-out recall stays at ``recall``. Candidates from that probability on are added. A span longer than
 the window is seen in overlapping windows that cover all its bytes, and its score is the highest of them.
 
-At most ``per_class`` findings of each kind, picked by a hash, train the network; every candidate of every text is
+All distinct findings train the network or are held out, in tasks; every candidate of every text is
 scored. Defined cases: a missing text is empty; every row is scanned by itself, so repeated rows and missing ids change
 nothing; with too few findings there is no model and nothing is added; extra columns are ignored.
 """
@@ -165,62 +165,152 @@ def codes_of(windows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WIDTH).astype(np.int64)
 
 
+NAMES = ("embed", "kernel", "shift", "dense", "bias")
+
+
+def fresh_net() -> CharNet:
+    rng = np.random.RandomState(5)
+    return CharNet(rng.normal(0, 0.3, (256, EMBED)), rng.normal(0, 0.2, (SPAN * EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, 2 * FILTERS), np.zeros(1))
+
+
+def fresh_moments(net: CharNet) -> tuple[dict, dict]:
+    return tuple({n: np.zeros_like(getattr(net, n)) for n in NAMES} for _ in range(2))
+
+
+def one_pass(net: CharNet, moments: tuple[dict, dict], step: int, codes: np.ndarray, y: np.ndarray, order: np.ndarray) -> int:
+    """Adam on log loss over the findings in the given order, 64 at a time; changes the net and its moments, gives the steps so far."""
+    first, second = moments
+    for batch in np.array_split(order, max(1, len(order) // 64)):
+        score, (patches, tops, best) = net.forward(codes[batch])
+        miss = (1 / (1 + np.exp(-np.clip(score, -60, 60))) - y[batch]) / len(batch)
+        grad = {"bias": np.array([miss.sum()]), "dense": np.maximum(best, 0).T @ miss}
+        back = (miss[:, None] * net.dense) * (best > 0)
+        maps = np.zeros((len(batch), PLACES, FILTERS))
+        for k, top in enumerate(tops):
+            part = back[:, k * FILTERS:(k + 1) * FILTERS]
+            np.put_along_axis(maps, top[:, None, :], np.take_along_axis(maps, top[:, None, :], 1) + part[:, None, :], 1)
+        flat = maps.reshape(-1, FILTERS)
+        grad["shift"], grad["kernel"] = flat.sum(axis=0), patches.T @ flat
+        spread = (flat @ net.kernel.T).reshape(len(batch), PLACES, SPAN, EMBED)
+        grad["embed"] = np.zeros_like(net.embed)
+        for k in range(SPAN):
+            np.add.at(grad["embed"], codes[batch][:, k:k + PLACES].ravel(), spread[:, :, k].reshape(-1, EMBED))
+        step += 1
+        for n in NAMES:
+            first[n] = 0.9 * first[n] + 0.1 * grad[n]
+            second[n] = 0.999 * second[n] + 0.001 * grad[n] ** 2
+            setattr(net, n, getattr(net, n) - 0.01 * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8))
+    return step
+
+
 def fit_net(codes: np.ndarray, y: np.ndarray, epochs: int = 12, recall: float = 0.98) -> CharNet:
-    """Adam on log loss over two thirds of the findings; calibration and threshold on the held-out third."""
+    """A network from findings in memory: two thirds train it, the held-out third gives calibration and threshold."""
     rng = np.random.RandomState(5)
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         held[np.flatnonzero(y == c)[::3]] = True
     codes = codes.copy()
     codes[np.flatnonzero(y == 1)[1::2], :LEFT] = 0  # learn the secret without its keyword too
-    net = CharNet(rng.normal(0, 0.3, (256, EMBED)), rng.normal(0, 0.2, (SPAN * EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, 2 * FILTERS), np.zeros(1))
-    names = ["embed", "kernel", "shift", "dense", "bias"]
-    first, second = ({n: np.zeros_like(getattr(net, n)) for n in names} for _ in range(2))
-    train, step = np.flatnonzero(~held), 0
+    net, step = fresh_net(), 0
+    moments = fresh_moments(net)
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(train), max(1, len(train) // 64)):
-            score, (patches, tops, best) = net.forward(codes[batch])
-            miss = (1 / (1 + np.exp(-np.clip(score, -60, 60))) - y[batch]) / len(batch)
-            grad = {"bias": np.array([miss.sum()]), "dense": np.maximum(best, 0).T @ miss}
-            back = (miss[:, None] * net.dense) * (best > 0)
-            maps = np.zeros((len(batch), PLACES, FILTERS))
-            for k, top in enumerate(tops):
-                part = back[:, k * FILTERS:(k + 1) * FILTERS]
-                np.put_along_axis(maps, top[:, None, :], np.take_along_axis(maps, top[:, None, :], 1) + part[:, None, :], 1)
-            flat = maps.reshape(-1, FILTERS)
-            grad["shift"], grad["kernel"] = flat.sum(axis=0), patches.T @ flat
-            spread = (flat @ net.kernel.T).reshape(len(batch), PLACES, SPAN, EMBED)
-            grad["embed"] = np.zeros_like(net.embed)
-            for k in range(SPAN):
-                np.add.at(grad["embed"], codes[batch][:, k:k + PLACES].ravel(), spread[:, :, k].reshape(-1, EMBED))
-            step += 1
-            for n in names:
-                first[n] = 0.9 * first[n] + 0.1 * grad[n]
-                second[n] = 0.999 * second[n] + 0.001 * grad[n] ** 2
-                setattr(net, n, getattr(net, n) - 0.01 * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8))
+        step = one_pass(net, moments, step, codes, y, rng.permutation(np.flatnonzero(~held)))
     score = np.concatenate([net.forward(codes[held][i:i + 512])[0] for i in range(0, held.sum(), 512)])
-    net.slope, net.offset = platt(score, y[held], np.ones(held.sum()))
-    good = np.sort(net.probability(codes[held][y[held] == 1]))
-    net.threshold = float(good[int((1 - recall) * len(good))])
+    calibrate(net, score, y[held], np.ones(held.sum()), recall)
     return net
 
 
-def train_net(scanned: DataFrame, per_class: int = 500) -> CharNet | None:
-    """A network from at most ``per_class`` findings of each label, picked by hash."""
-    findings = scanned.select("doc_id", F.explode(F.arrays_zip("f_window", "f_label")).alias("f")).select(F.col("f.f_window").alias("window"), F.col("f.f_label").alias("label")).distinct()
-    order = [F.xxhash64("window"), F.col("window")]
-    picked = [findings.where(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
-    rows = picked[0].unionByName(picked[1]).collect()
-    y = np.array([r["label"] for r in rows], float)
-    if len(rows) == 0 or min((y == 0).sum(), (y == 1).sum()) < 12:
+def calibrate(net: CharNet, score: np.ndarray, y: np.ndarray, count: np.ndarray, recall: float) -> None:
+    """Platt curve through counted held-out scores, and the highest threshold at which their recall stays at ``recall``."""
+    net.slope, net.offset = platt(score, y, count)
+    good = y == 1
+    order = np.argsort(score[good], kind="stable")
+    upto = np.cumsum(count[good][order])
+    lowest = score[good][order][np.searchsorted(upto, int((1 - recall) * upto[-1]), side="right")]
+    net.threshold = float(1 / (1 + np.exp(-np.clip(net.slope * lowest + net.offset, -60, 60))))
+
+
+PER_SHARE, SHARES = 2048, 64  # findings of one share of a pass, and the most shares: larger tables have larger ones
+CELL, SCORE_LIMIT = 256, 100.0  # held-out scores are counted in steps of 1/256
+
+
+def _packed(net: CharNet, moments: tuple[dict, dict]) -> np.ndarray:
+    return np.concatenate([np.ravel(x[n]) for x in ({n: getattr(net, n) for n in NAMES}, *moments) for n in NAMES])
+
+
+def _unpacked(flat: np.ndarray) -> tuple[CharNet, tuple[dict, dict]]:
+    net, at = fresh_net(), 0
+    moments = fresh_moments(net)
+    shapes = {n: getattr(net, n).shape for n in NAMES}
+    own: dict[str, np.ndarray] = {}
+    for x in (own, *moments):
+        for n in NAMES:
+            size = int(np.prod(shapes[n]))
+            x[n] = flat[at:at + size].reshape(shapes[n]).copy()
+            at += size
+    return CharNet(**own), moments
+
+
+def train_net(scanned: DataFrame, epochs: int = 12, recall: float = 0.98) -> CharNet | None:
+    """A network from all distinct findings: every pass trains on each share of them in a task and averages the shares' networks.
+
+    A hash holds a third of the findings out, and all of them are scored for the curve and the threshold. To the driver come
+    the averaged networks (at most ``SHARES`` a pass, some thousand numbers each) and counts of held-out scores by cell.
+    """
+    lot = F.pmod(F.xxhash64("window", F.lit(1)), F.lit(6))
+    findings = cut_lineage(scanned.select(F.explode(F.arrays_zip("f_window", "f_label")).alias("f")).select(
+        F.col("f.f_window").alias("window"), F.col("f.f_label").alias("label")).distinct().withColumns(
+        {"held": lot % 3 == 0, "bare": (F.col("label") == 1) & (lot < 3)}))  # half of the secrets lose their keyword
+    sizes = {(r["label"], r["held"]): r["count"] for r in findings.groupBy("label", "held").count().collect()}
+    if len(sizes) < 4 or min(sizes[c, False] + sizes[c, True] for c in (0, 1)) < 12:
         return None
-    return fit_net(codes_of([bytes(r["window"]) for r in rows]), y)
+    shares = min(SHARES, -(-(sizes[0, False] + sizes[1, False]) // PER_SHARE))
+    train = findings.where(~F.col("held")).select("window", "label", "bare", F.pmod(F.xxhash64("window", F.lit(2)), F.lit(shares)).alias("share"))
+    net, step = fresh_net(), 0
+    moments = fresh_moments(net)
+    for epoch in range(epochs):
+        rows = train.groupBy("share").applyInArrow(_share_pass(_packed(net, moments), step, epoch), "share bigint, n bigint, step bigint, state binary").collect()
+        rows.sort(key=lambda r: r["share"])
+        total = sum(r["n"] for r in rows)
+        net, moments = _unpacked(sum(np.frombuffer(bytes(r["state"])) * (r["n"] / total) for r in rows))
+        step = round(sum(r["step"] * r["n"] for r in rows) / total)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = _codes(batch)
+            score = [net.forward(codes[i:i + 512])[0] for i in range(0, len(codes), 512)]
+            place = np.floor(np.clip(np.concatenate([*score, np.zeros(0)]), -SCORE_LIMIT, SCORE_LIMIT) * CELL).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(place), batch.column("label")], names=["cell", "label"])
+
+    held = findings.where("held").select("window", "label", "bare").mapInArrow(lean(cells), "cell int, label int").groupBy("cell", "label").count()
+    seen = sorted((r["cell"], r["label"], r["count"]) for r in held.collect())
+    cell, y, count = (np.array(v, float) for v in zip(*seen, strict=True))
+    calibrate(net, cell / CELL, y, count, recall)  # the lower edge of a cell: no held-out score in it is lost
+    return net
+
+
+def _codes(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    codes = codes_of(table.column("window").to_pylist())
+    codes[np.array(table.column("bare").to_pylist(), bool), :LEFT] = 0
+    return codes
+
+
+def _share_pass(state: np.ndarray, step: int, epoch: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(sorted(range(len(table)), key=table.column("window").to_pylist().__getitem__)))  # any order of arrival
+        net, moments = _unpacked(state)
+        share = table.column("share")[0].as_py()
+        rng = np.random.RandomState([5, epoch, share])
+        done = one_pass(net, moments, step, _codes(table), np.array(table.column("label").to_pylist(), float), rng.permutation(len(table)))
+        return pa.table({"share": pa.array([share], pa.int64()), "n": pa.array([len(table)], pa.int64()), "step": pa.array([done], pa.int64()),
+                         "state": pa.array([_packed(net, moments).tobytes()], pa.binary())})
+    return run
 
 
-def find_secrets(docs: DataFrame, per_class: int = 500) -> DataFrame:
+def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base and added: sorted arrays of struct(start, rank, stop); rank is the place in KINDS."""
     scanned = cut_lineage(keyed_texts(docs).mapInArrow(lean(_scan), SCHEMA))
-    shared = docs.sparkSession.sparkContext.broadcast(train_net(scanned, per_class))  # some thousand numbers
+    shared = docs.sparkSession.sparkContext.broadcast(train_net(scanned))  # some thousand numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value

@@ -451,6 +451,28 @@ def test_secret_network_on_held_out_findings():
     assert ((p >= net.threshold) == y[160:]).mean() >= 0.95 and (p[y[160:] == 1] >= net.threshold).mean() >= 0.95
 
 
+def test_secret_network_learns_from_all_findings(spark, monkeypatch):
+    rng = random.Random(6)
+    windows, labels = [], []
+    for i in range(2400):
+        secret = i % 2
+        body = "".join(rng.choice("0123456789abcdef" if secret else "thonerhastre") for _ in range(rng.randrange(20, 40)))
+        text = f"{prose(rng, 5)} {'token = ' if secret else 'and '}{body} {prose(rng, 4)}".encode()
+        at = text.index(body.encode())
+        windows.append(secret_scan.windows(text, at, at + len(body))[0])
+        labels.append(secret)
+    scanned = spark.createDataFrame([(windows[i::8], labels[i::8]) for i in range(8)], "f_window array<binary>, f_label array<int>").withColumn("doc_id", F.lit(1))
+    monkeypatch.setattr(secret_scan, "PER_SHARE", 400)
+    passed, held = [], []
+    share_pass, calibrate = secret_scan._share_pass, secret_scan.calibrate
+    monkeypatch.setattr(secret_scan, "_share_pass", lambda *a: passed.append(a[1]) or share_pass(*a))
+    monkeypatch.setattr(secret_scan, "calibrate", lambda net, score, y, count, recall: held.append(count.sum()) or calibrate(net, score, y, count, recall))
+    net = secret_scan.train_net(scanned, epochs=4)
+    assert len(passed) == 4 and 700 < held[0] < 900  # a third of all findings sets the threshold, not one of 1000
+    p, y = net.probability(secret_scan.codes_of(windows)), np.array(labels)
+    assert ((p >= net.threshold) == y).mean() >= 0.95 and (p[y == 1] >= net.threshold).mean() >= 0.95
+
+
 PERSONAL = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
