@@ -7,6 +7,8 @@ censuses is small and fixed, so a history is built by one aggregate and repaired
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,11 +16,11 @@ from ..functions.dates import parse_day_month_year, year_of_code
 from ..functions.lookups import (CONTROL_TURFS, GRAMINOID_CODES, GRAMINOID_PATTERN, PRESENCE_CODES,
                                  PRESENCE_NOTES, ROMAN_BLOCKS, SITE_SPELLINGS, SITES,
                                  SPECIES_SPELLINGS, control_turf_table, lookup, recode, site_table)
-from ..functions.nulls import (ColumnLike, any_missing, as_col, first_present, if_else, is_in, matches,
+from ..functions.nulls import (ColumnLike, as_col, first_present, if_else, is_in, matches,
                                not_in, paste, row_sum, to_number)
 from ..functions.text import replace_all, replace_first, strip, substr
 from ..session import cut_lineage
-from .aggregate import bind_rows, keep_groups
+from .aggregate import bind_rows
 from .columns import cols_between
 from .joins import lookup_join, null_safe_join
 from .reshape import cross_with, fill_ids, repeat_rows, to_long_by_pattern, to_wide
@@ -168,12 +170,18 @@ def prepare_rounds(raw: DataFrame, first_species: str = "unID", last_species: st
     kept = raw.withColumn("site", recode("site", SITE_SPELLINGS)).where(
         F.col("NS").isNull() & not_in("Comment", ["out of plot"])
         & F.coalesce(*[F.col(p).cast("string") for p in presences]).isNotNull())
+    found = [presence_number(F.col(f"`{c}`").cast("string")) for c in raw.columns if c[:-1] == "presence" and c[-1:].isdigit()]
+    # Plots with a seedling are judged on the records, before ids are given and rows made long, and written: no row is shuffled for them.
+    plots = cut_lineage(kept.groupBy("turfID").agg((
+        (F.count_if(reduce(or_, [n.isNull() for n in found])) == 0) & (F.sum(reduce(add, found)) >= 1)).alias("__keep")).where("__keep").select("turfID"))
     kept = fill_ids(kept, "seedID", identity or [c for c in kept.columns if c != "seedID"])
+    kept = null_safe_join(kept, plots, ["turfID"], "left_semi")
     species = cols_between(raw, first_species, last_species)
     one = kept.select(
         *[F.col(f"`{c}`") for c in kept.columns if c not in species],
         species_of_indicators(kept, species).alias("species"))
     one = one.withColumn("seedID", paste(F.col("seedID"), F.col("turfID"), sep="_"))
+    one = one.withColumn("__several", F.coalesce(reduce(or_, [n > 1 for n in found]), F.lit(False)))
     one = one.withColumns({p: F.col(p).cast("string") for p in presences})
     long = to_long_by_pattern(one, [c for c in one.columns if c[-1:].isdigit()],
                               [".value", "round"], r"(.*)(\d)$")
@@ -187,13 +195,16 @@ def prepare_rounds(raw: DataFrame, first_species: str = "unID", last_species: st
     tidy = long.select(
         "year", "date", F.col("site").alias("siteID"), "blockID", F.col("turfID").alias("plotID"),
         "treatment", "seedID", "round", "species", "presence", "x", "y",
-        F.col("Obs").alias("recorder"), F.col("Comment").alias("comment"))
-    tidy = keep_groups(tidy, ["plotID"], ~F.coalesce(
-        F.when(~any_missing("presence"), F.sum("presence")) < 1, F.lit(True)))
+        F.col("Obs").alias("recorder"), F.col("Comment").alias("comment"), "__several")
     tidy = cut_lineage(tidy)  # read three times below
 
-    several = tidy.where(F.col("presence") > 1)
-    named = [c for c in tidy.columns if c != "presence"]
+    # Records that stand for several seedlings go with all their rows. Only where another record has the same id, or an id looks
+    # like that of a split seedling, rows elsewhere go with them.
+    split_id = F.col("seedID").rlike(r"^s\d+\.\d+_")
+    beyond = cut_lineage(tidy.groupBy("seedID").agg(F.max("__several").alias("any"), F.min("__several").alias("all"))
+                         .where(F.col("any") & (~F.col("all") | split_id)).select("seedID"))
+    several = tidy.where(F.col("presence") > 1).drop("__several")
+    named = [c for c in several.columns if c != "presence"]
     copies = repeat_rows(several, "presence", index="copy")
     # A split seedling is named by its record, round and copy, which needs no numbering of the table.
     split = cross_with(
@@ -201,8 +212,8 @@ def prepare_rounds(raw: DataFrame, first_species: str = "unID", last_species: st
         .drop("round", "copy"), round=list(range(1, rounds + 1)))
     split = split.withColumn("presence", F.when(F.col("round") == expand_round, 1.0).otherwise(0.0))
 
-    together = bind_rows(tidy.where(F.col("presence") < 2), split.select(*named, "presence"))
-    together = null_safe_join(together, several.select("seedID").distinct(), ["seedID"], "left_anti")
+    together = bind_rows(tidy.where(~F.col("__several") & (F.col("presence") < 2)).drop("__several"), split.select(*named, "presence"))
+    together = null_safe_join(together, beyond, ["seedID"], "left_anti")
     turfs = control_turf_table(spark).withColumnRenamed("TTtreat", "turfID")
     together = lookup_join(together, turfs, ["plotID"], CONTROL_TURFS)
     number_y = to_number(F.when(F.col("y") == "205/105", "205").otherwise(F.col("y")))
@@ -228,26 +239,46 @@ def clean_rounds(data: DataFrame) -> DataFrame:
 
     Seedlings never seen drop out. A frame of all plots and rounds would add plots without any
     seedling only, which have nothing to describe, so none is joined.
+
+    One aggregate makes a row of a seedling's rounds with their dates. Species and dates belong to an id, so only ids with
+    several such rows (other comments, species, ...) need joins; those are few, if any.
     """
     everything = data.withColumn("presence", F.coalesce("presence", F.lit(0.0)))
     dropped = ("x", "y", "species", "recorder", "date", "year", "round", "presence")
     ids = [c for c in everything.columns if c not in dropped]
-    rounds = list(ROUND_CODES)
-    wide = to_wide(everything, ids, "round", "presence", rounds)
-    names = [str(r) for r in rounds]
-    wide = wide.withColumns({
+    names = [str(r) for r in ROUND_CODES]
+    # Day and year of each round next to its presence, in the same aggregate.
+    dated = {f"__{c}{n}": F.max(F.when(F.col("round").eqNullSafe(F.lit(n)), F.col(c))) for n in ROUND_CODES for c in ("date", "year")}
+    one = cut_lineage(to_wide(everything, [*ids, "species"], "round", "presence", list(ROUND_CODES), more=dated))
+    shared = cut_lineage(one.groupBy("seedID").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seedID"))
+    alone = _described(null_safe_join(one, shared, ["seedID"], "left_anti"), names)
+    seen = F.col("first_occurrence")
+    out = alone.withColumns({c: reduce(lambda rest, n: F.when(seen == ROUND_CODES[n], F.col(f"__{c}{n}")).otherwise(rest),
+                                       ROUND_CODES, F.lit(None).cast(data.schema[c].dataType)) for c in ("date", "year")})
+    out = out.select(*ids, "first_occurrence", "survival_duration", "count", "species", "date", "year")
+    if not shared.isEmpty():
+        out = out.unionByName(_shared_ids(null_safe_join(everything, shared, ["seedID"], "left_semi"), ids, names))
+    return out.withColumns({
+        "month": F.month("date"),
+        "season": F.when(matches("first_occurrence", "spr"), "early").otherwise("late"),
+    })
+
+
+def _described(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+    return wide.withColumns({
         "first_occurrence": first_occurrence(names, list(ROUND_CODES.values())),
         "survival_duration": row_sum([f"`{n}`" for n in names]),
         "count": F.lit(1.0),
     }).where(F.col("first_occurrence").isNotNull())
+
+
+def _shared_ids(data: DataFrame, ids: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``clean_rounds`` of ids with several rows: every species and date of an id goes to each of them."""
+    wide = _described(to_wide(data, ids, "round", "presence", list(ROUND_CODES)), names)
     species = data.select("seedID", "species").distinct()
     dates = data.select("date", "year", "seedID", lookup("round", ROUND_CODES).alias("first_occurrence")).distinct()
     out = null_safe_join(wide, species, ["seedID"], "left")
-    out = null_safe_join(out, dates, ["seedID", "first_occurrence"], "left")
-    return out.withColumns({
-        "month": F.month("date"),
-        "season": F.when(matches("first_occurrence", "spr"), "early").otherwise("late"),
-    }).drop(*names)
+    return null_safe_join(out, dates, ["seedID", "first_occurrence"], "left").drop(*names)
 
 
 # --- coded census: six censuses in columns ----------------------------------------------------
@@ -285,6 +316,7 @@ def clean_coded(raw: DataFrame, id_column: str = "ID") -> DataFrame:
     placed = placed.withColumn("functional_group", functional_group("species")).where(
         F.col("functional_group") != "graminoid")
     placed = placed.withColumn("species", replace_all(replace_all("species", ".cf", ""), ".CF", ""))
+    placed = cut_lineage(placed)  # read three times for the ids
     placed = fill_ids(placed, "ID", ["plotID", "species", *SIX_CENSUSES], prefix="ran-")
 
     ids = ["siteID", "blockID", "plotID", "treatment", "ID", "species"]

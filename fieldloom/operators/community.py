@@ -61,7 +61,8 @@ def add_site_context(df: DataFrame, normals: DataFrame, fix_treatment: bool = Tr
     ``normals`` has one row per site; a repeated site is an error. The treatment column becomes ``fg_removed``.
     """
     out = df.withColumns({"temperature_level": temperature_level(), "precipitation_level": precipitation_level()})
-    out = null_safe_join(out, assert_unique(normals, ["siteID"]), ["siteID"], "left")
+    # Written, so that the planner knows how few sites there are and shuffles no row for them.
+    out = null_safe_join(out, cut_lineage(assert_unique(normals, ["siteID"])), ["siteID"], "left")
     if not fix_treatment:
         return out
     return rename(out.withColumn("fg_remaining", lookup("treatment", REMAINING_GROUPS)), fg_removed="treatment")

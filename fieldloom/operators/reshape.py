@@ -62,10 +62,10 @@ def to_long_by_pattern(df: DataFrame, columns: Sequence[str], names_to: Sequence
 
 
 def to_wide(df: DataFrame, ids: Sequence[str], names_from: str, values_from: str,
-            names: Sequence, prefix: str = "", on_duplicate: str = "error") -> DataFrame:
+            names: Sequence, prefix: str = "", on_duplicate: str = "error", more: Mapping[str, Column] | None = None) -> DataFrame:
     """Long to wide for a declared list of names: one aggregate, one shuffle on ``ids``.
 
-    Two values for one cell are an error unless ``on_duplicate`` is ``min`` or ``max``.
+    Two values for one cell are an error unless ``on_duplicate`` is ``min`` or ``max``. ``more`` adds aggregates of the same rows.
     """
     cells = []
     for n in names:
@@ -77,7 +77,7 @@ def to_wide(df: DataFrame, ids: Sequence[str], names_from: str, values_from: str
         else:
             cell = F.min(value) if on_duplicate == "min" else F.max(value)
         cells.append(cell.alias(f"{prefix}{n}"))
-    return df.groupBy(*ids).agg(*cells)
+    return df.groupBy(*ids).agg(*cells, *[c.alias(name) for name, c in (more or {}).items()])
 
 
 def split_column(df: DataFrame, column: str, sep: str, names: Sequence[str]) -> DataFrame:
@@ -173,22 +173,33 @@ def fill_ids(df: DataFrame, column: str, identity: Sequence[str], prefix: str =
     """Give each row without an id a repeatable one of its own.
 
     The id is the whole hash of the columns that identify a row and the number of the row among those
-    alike. Rows alike in every column are counted first, so a frequent row is one group row, and their
+    alike. A narrow count of the hashes tells which rows are the only ones of their kind; those get number 1 without a shuffle.
+    Rows alike in every column are counted first, so a frequent row is one group row, and their
     numbers are interchangeable; rows that are alike in ``identity`` only follow the hash of the whole row.
     """
+    text = paste(*[F.col(f"`{c}`").cast("string") for c in identity], sep="|")
+    kind = F.when(F.col(column).isNull(), F.xxhash64(text))
+    repeated = cut_lineage(df.where(F.col(column).isNull()).groupBy(kind.alias("__kind")).agg(F.count(F.lit(1)).alias("n"))
+                           .where("n > 1").select("__kind"))
+    marked = df.withColumn("__kind", kind)
+    alone = null_safe_join(marked, repeated, ["__kind"], "left_anti").drop("__kind")
+    alone = alone.withColumn(column, F.coalesce(F.col(column).cast("string"), F.concat(F.lit(prefix), F.md5(text), F.lit("_1"))))
+    if repeated.isEmpty():
+        return alone
+    return alone.unionByName(_number_alike(null_safe_join(marked, repeated, ["__kind"], "left_semi").drop("__kind"), column, F.md5(text), prefix))
+
+
+def _number_alike(df: DataFrame, column: str, identity: Column, prefix: str) -> DataFrame:
     whole = F.md5(paste(*[F.col(f"`{c}`").cast("string") for c in df.columns], sep="|"))
-    alike = (df.where(F.col(column).isNull()).withColumns({
-        "__id": F.md5(paste(*[F.col(f"`{c}`").cast("string") for c in identity], sep="|")), "__row": whole})
-        .groupBy(*[f"`{c}`" for c in df.columns], "__id", "__row").agg(F.count(F.lit(1)).alias("__n")))
+    alike = cut_lineage(df.withColumns({"__id": identity, "__row": whole}).groupBy(*[f"`{c}`" for c in df.columns], "__id", "__row").agg(
+        F.count(F.lit(1)).alias("__n")))
     # The order is that of the row hash; its first 13 digits (52 bits) cut evenly are chunks along it, as many as the rows need.
     place = F.conv(F.substring("__row", 1, 13), 16, 10).cast("bigint")
-    chunks = even_chunks(df.where(F.col(column).isNull()))
-    chunked = alike.withColumn("__h", F.floor(place / (2**52 // chunks + 1)))
+    chunked = alike.withColumn("__h", F.floor(place / (2**52 // even_chunks(alike) + 1)))
     counted = running_sum(chunked, ["__id"], ["__h", "__row"], {"__upto": F.col("__n")}, F.col("__h"))
     made = F.concat(F.lit(prefix), F.col("__id"), F.lit("_"), F.col("__k").cast("string"))
     filled = counted.withColumn("__k", F.explode(F.sequence(F.col("__upto") - F.col("__n") + 1, F.col("__upto"))))
-    filled = filled.withColumn(column, made).select(*[f"`{c}`" for c in df.columns])
-    return df.where(F.col(column).isNotNull()).withColumn(column, F.col(column).cast("string")).unionByName(filled)
+    return filled.withColumn(column, made).select(*[f"`{c}`" for c in df.columns])
 
 
 def hash_bucket(df: DataFrame, identity: Sequence[str], n: int) -> Column:

@@ -57,21 +57,25 @@ def combined_recruits(coded: DataFrame, rounds: DataFrame, drought: DataFrame,
     A missing month is July in early seasons and otherwise the first, then the last known month of
     the site, season and year, in the given order.
     """
-    # The studies share no seedling, so their full join is a union. Three aggregates read it: written once.
+    # The studies share no seedling, so their full join is a union. Three aggregates read it: written once. What is joined to it is
+    # written too: known to be small, it shuffles no row.
     rows = cut_lineage(bind_rows(coded, rounds))
-    rows = with_group_stats(rows, ["siteID", "blockID", "plotID", "season", "year"], {"plot_count": F.sum("count")})
+    rows = with_group_stats(rows, ["siteID", "blockID", "plotID", "season", "year"], {"plot_count": F.sum("count")}, written=True)
     rows = rows.withColumn("count", F.col("plot_count")).drop("plot_count")
-    rows = fill_month(rows, ["siteID", "season", "year"], order)
-    climate = drought.drop("season", "date")
+    rows = fill_month(rows, ["siteID", "season", "year"], order, written=True)
+    climate = cut_lineage(drought.drop("season", "date"))
     return rename(null_safe_join(rows.drop("date"), climate, ["siteID", "year", "month"], "left"),
                   treatment="fg_removed")
 
 
 def fill_month(df: DataFrame, keys: Sequence[str], order: Sequence[str], season: str = "season",
-               month: str = "month", early_month: int = 7) -> DataFrame:
+               month: str = "month", early_month: int = 7, written: bool = False) -> DataFrame:
     early = df.withColumn(month, F.when(F.col(season) == "early", F.lit(early_month)).otherwise(F.col(month)))
+    # Rows without a month set no edge, and groups of early rows need none.
+    known = early.where(F.col(month).isNotNull())
+    known = known.where(F.col(season).isNull() | (F.col(season) != "early")) if season in keys else known
     edges = with_group_stats(early, keys, {"__first": first_value(month, order, skip_missing=True),
-                                           "__last": last_value(month, order, skip_missing=True)})
+                                           "__last": last_value(month, order, skip_missing=True)}, source=known, written=written)
     return edges.withColumn(month, F.coalesce(month, "__first", "__last")).drop("__first", "__last")
 
 
