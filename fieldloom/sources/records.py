@@ -3,7 +3,7 @@ r"""Records of delimited text whose quoted cells hold line breaks and doubled qu
 Spark's multi-line mode gives a whole file to one task. Here a file is read in its usual ranges, line by line. A line
 break belongs to a cell if the quotes before it in the file are odd in number, so
 
-1. one aggregate counts the quotes of every range (parity only), and a running sum over the ranges of a file tells which of
+1. one scan counts the quotes of every range (parity only), and a running sum over the ranges of a file tells which of
    them start inside a quoted cell;
 2. a second scan puts lines together to records, range by range, without any shuffle. It knows for each range whether it starts
    inside a cell;
@@ -41,15 +41,42 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "value", F.xxhash64(place).alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col(place).alias("path"))
 
 
+def _count_ranges():
+    """A row per range of the task: the parity of its quotes and, at the start of a file, its first line that is not blank."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, odd, opening = None, 0, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([place[0]], pa.int64()), pa.array([place[1]], pa.int64()), pa.array([odd], pa.int64()),
+                                               pa.array([opening], pa.string())], names=["file", "start", "odd", "opening"])
+
+        for batch in batches:
+            files, starts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            turns = np.flatnonzero((files[1:] != files[:-1]) | (starts[1:] != starts[:-1])) + 1
+            bounds = [0, *turns.tolist(), len(files)] if len(files) else [0]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                now = int(files[a]), int(starts[a])
+                if now != place:
+                    if place is not None:
+                        yield row()
+                    place, odd, opening = now, 0, None
+                lines = batch.column(0).slice(a, b - a)
+                odd = (odd + (pc.sum(pc.count_substring(lines, '"')).as_py() or 0)) % 2
+                if opening is None and now[1] == 0:
+                    opening = next((v for v in (x.as_py() for x in lines) if v not in ("", "\r")), None)
+        if place is not None:
+            yield row()
+
+    return run
+
+
 def range_parity(lines: DataFrame) -> DataFrame:
-    """file, path, start, open, odd, opening: whether each range starts inside quotes, and the first line of a file that is not blank.
+    """file, start, open, odd, opening: whether each range starts inside quotes, and the first line of a file that is not blank.
 
-    A range is read by one task in order, so ``first`` is its first line.
+    A range is read by one task in order, so its lines are counted as they come; an aggregate with the first line would sort them all.
     """
-    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
-    counted = lines.groupBy("file", "path", "start").agg((F.sum(quotes) % 2).alias("odd"), F.first(
-        F.when((F.col("start") == 0) & ~F.col("value").isin("", "\r"), F.col("value")), ignorenulls=True).alias("opening"))
-    before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    counted = lines.select("value", "file", "start").mapInArrow(_count_ranges(), "file bigint, start bigint, odd bigint, opening string")
+    before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     return counted.withColumn("open", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
 
 
@@ -126,9 +153,10 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """record, leads: every record of the files as text; ``leads`` marks the first one of each file."""
     lines = _lines(spark, path)
     ranges = cut_lineage(range_parity(lines))
-    broken = ranges.groupBy("path").agg((F.sum("odd") % 2).alias("odd")).where("odd = 1").first()
+    broken = ranges.groupBy("file").agg((F.sum("odd") % 2).alias("odd")).where("odd = 1").first()
     if broken is not None:
-        raise ValueError(f"{broken.path}: a quote is not closed")
+        found = lines.where(F.col("file") == broken.file).select("path").first()
+        raise ValueError(f"{found.path}: a quote is not closed")
     openings = ranges.where("start = 0").select("opening").distinct().limit(2).collect()
     if len(openings) > 1:
         raise ValueError(f"files start with different lines: {openings[0].opening!r} and {openings[1].opening!r}")
@@ -141,7 +169,7 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     if not any(known.values()):
         return records
     # Ranges that start or end inside a cell; the scan reads the same files, as ranges depend on all of them.
-    ends = F.lead("open").over(W.partitionBy("path").orderBy("start"))
+    ends = F.lead("open").over(W.partitionBy("file").orderBy("start"))
     cut = F.broadcast(ranges.withColumn("next_open", ends).where("open = 1 OR next_open = 1").select("file", "start"))
     parts = cut_lineage(narrow.join(cut, ["file", "start"], "left_semi").select("value", "file", "start").mapInArrow(_assemble(known, True), _SCHEMA))
     order = W.partitionBy("file").orderBy("start", F.when(F.col("part") == 2, 1).otherwise(0))

@@ -6,6 +6,7 @@ from test_field import RAW, record
 
 from fieldloom.operators import census, community
 from fieldloom.plans import datasets
+from fieldloom.sources import records
 
 
 def plan(df):
@@ -37,3 +38,11 @@ def test_a_split_record_takes_the_other_records_of_its_id_along(spark):
     data = [record("1", comment="a"), record("1", comment="b", presence=("0", "0", "0", "2")), record("2")]
     prepared = census.prepare_rounds(spark.createDataFrame(data, RAW))
     assert {r.seedID for r in prepared.collect()} == {"s4.1_1_Fau1C", "s4.2_1_Fau1C", "2_Fau1C"}
+
+
+def test_quotes_of_ranges_are_counted_without_a_sort_of_the_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\r\na,b\n1,"x\ny"\n')
+    (tmp_path / "b.csv").write_text('a,b\n2,"z"\n')
+    ranges = records.range_parity(records._lines(spark, str(tmp_path)))
+    assert "SortAggregate" not in plan(ranges)
+    assert rows(ranges, "start", "odd", "open", "opening") == [(0, 0, 0, "a,b"), (0, 0, 0, "a,b")]
