@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from test_field import RAW, record
 
+from fieldloom.acceptance import CASES
 from fieldloom.operators import census, community
 from fieldloom.plans import datasets
 from fieldloom.sources import records
@@ -46,3 +47,16 @@ def test_quotes_of_ranges_are_counted_without_a_sort_of_the_lines(spark, tmp_pat
     ranges = records.range_parity(records._lines(spark, str(tmp_path)))
     assert "SortAggregate" not in plan(ranges)
     assert rows(ranges, "start", "odd", "open", "opening") == [(0, 0, 0, "a,b"), (0, 0, 0, "a,b")]
+
+
+def test_a_slope_of_few_groups_shuffles_no_row(spark, tmp_path):
+    spark.range(4000).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "IF(id % 2 = 0, 'A', 'N') AS l_returnflag", "id * 1.0D AS l_quantity",
+                                 "IF(id % 3 = 0, 'F', 'O') AS l_linestatus", "id * 2.0D AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "8k")
+    try:
+        out = CASES["q_slope_impute"].run(spark, str(tmp_path))
+        assert "SortMergeJoin" not in plan(out) and out.where("y = 2 * l_orderkey").count() == 4000
+    finally:
+        spark.conf.set(limit, before)
