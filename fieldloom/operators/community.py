@@ -20,6 +20,7 @@ from .reshape import to_long
 from .stats import origin_slope
 
 COVER_TOTALS = ("total_graminoids", "total_forbs", "total_bryophytes")
+COVER_KEYS = ("year", "plotID", "functional_group")
 PLOT_KEYS = ("year", "siteID", "blockID", "plotID", "removal", "fg_removed")
 
 # Cells corrected by hand (plot and species to the two cover totals).
@@ -95,7 +96,17 @@ def clean_community(raw: DataFrame, normals: DataFrame, key_map: DataFrame | Non
 
 
 def corrected_community(raw: DataFrame, normals: DataFrame, key_map: DataFrame | None = None) -> DataFrame:
-    """``clean_community`` before the imputation: narrow steps and joins, nothing is written."""
+    """``clean_community`` before the imputation: narrow steps and joins."""
+    rows = with_group_stats(_corrected_cells(raw), list(COVER_KEYS), {"sum_cover": sum_strict("cover")})
+    return _placed(rows, normals, key_map)
+
+
+def species_rows(raw: DataFrame, normals: DataFrame, key_map: DataFrame | None = None) -> DataFrame:
+    """``corrected_community`` without the cover sums, for tables that need none: no row is shuffled."""
+    return _placed(_corrected_cells(raw), normals, key_map)
+
+
+def _corrected_cells(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("blockID", F.coalesce(lookup("plotID", BLOCK_CORRECTIONS), F.col("blockID")))
     rows = rows.where(not_in("species", SINGLE_SPECIES))
     grams, forbs = F.col("total_graminoids"), F.col("total_forbs")
@@ -103,11 +114,17 @@ def corrected_community(raw: DataFrame, normals: DataFrame, key_map: DataFrame |
         here = (F.col("plotID") == plot) & (F.col("species") == species)
         grams = F.when(F.col("total_graminoids").isNull() & here, g).otherwise(grams)
         forbs = F.when(F.col("total_forbs").isNull() & here, f).otherwise(forbs)
-    rows = rows.withColumns({"total_graminoids": grams, "total_forbs": forbs}).withColumn(
+    return rows.withColumns({"total_graminoids": grams, "total_forbs": forbs}).withColumn(
         "moss_height", F.when(F.col("moss_height").isNull() & (F.col("total_bryophytes") <= 5), 0.0)
         .otherwise(F.col("moss_height")))
-    rows = with_group_stats(rows, ["year", "plotID", "functional_group"], {"sum_cover": sum_strict("cover")})
-    rows = drop_known_bad(rows, (F.col("plotID") == "Alr3C") & F.col("turfID").isNull())
+
+
+def _known_bad() -> Column:
+    return (F.col("plotID") == "Alr3C") & F.col("turfID").isNull()
+
+
+def _placed(rows: DataFrame, normals: DataFrame, key_map: DataFrame | None) -> DataFrame:
+    rows = drop_known_bad(rows, _known_bad())
     if key_map is not None:
         rows = map_keys(rows, key_map, ["plotID", "blockID"])
     return add_site_context(rows, normals).drop("sumcover")
@@ -122,6 +139,45 @@ def plot_groups(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.groupBy(*names, "moss_height", "functional_group", "sum_cover").agg(F.count(F.lit(1)).alias("__rows")))
 
 
+def raw_plot_groups(raw: DataFrame, normals: DataFrame, key_map: DataFrame | None = None) -> DataFrame:
+    """``plot_groups`` of the corrected rows in one aggregate of the raw ones, with ``__plot``, the plot before it is mapped.
+
+    Covers are summed with the groups and put together on those, so the sums are never joined to species rows.
+    """
+    rows = _corrected_cells(raw)
+    plain = [*cols_between(rows, "year", "treatment"), "vegetation_height", *COVER_TOTALS, "moss_height", "functional_group"]
+    bad = F.coalesce(_known_bad(), F.lit(True)).alias("__bad")
+    groups = cut_lineage(rows.groupBy(*plain, bad).agg(
+        F.count(F.lit(1)).alias("__rows"), F.count("cover").alias("__known"), F.sum("cover").alias("__cover")))
+    total = F.when(F.sum("__known") < F.sum("__rows"), None).otherwise(F.sum("__cover"))
+    groups = with_group_stats(groups, list(COVER_KEYS), {"sum_cover": total}).where(~F.col("__bad"))
+    groups = groups.withColumn("__plot", F.col("plotID"))
+    if key_map is not None:
+        groups = map_keys(groups, key_map, ["plotID", "blockID"])
+    groups = add_site_context(groups, normals)
+    names = [*cols_between(groups, "year", "fg_removed"), "fg_remaining", "vegetation_height", *COVER_TOTALS]
+    return cut_lineage(groups.groupBy(*names, "moss_height", "functional_group", "sum_cover", "__plot").agg(F.sum("__rows").alias("__rows")))
+
+
+def impute_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Cover sums, heights and totals of ``raw_plot_groups`` on species rows that have ``__plot``, by one join.
+
+    Equal to ``impute_totals`` of ``impute_moss_height`` of the corrected rows.
+    """
+    changed = ("total_graminoids", "total_forbs", "moss_height")
+    kept = groups.withColumns({f"__was_{c}": F.col(c) for c in changed})
+    filled = impute_totals(impute_moss_height(kept, groups), groups)
+    # The plot first: rows are sorted by the keys in this order.
+    same = ["plotID", "year", "functional_group", "__plot"]
+    same += [c for c in (*cols_between(groups, "year", "fg_removed"), "fg_remaining", "vegetation_height", "total_bryophytes") if c not in same]
+    new = filled.select(*same, *[F.col(f"__was_{c}").alias(c) for c in changed], *[F.col(c).alias(f"__new_{c}") for c in changed],
+                        "sum_cover", "imputed_height")
+    out = null_safe_join(rows, new, [*same, *changed], "left")
+    context = rows.columns.index("temperature_level")
+    order = [*rows.columns[:context], "sum_cover", *rows.columns[context:], "imputed_height"]
+    return out.select(*[F.col(f"__new_{c}").alias(c) if c in changed else F.col(f"`{c}`") for c in order if c != "__plot"])
+
+
 def impute_moss_height(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Missing moss height from the mean of the control plot, then of the site and year.
 

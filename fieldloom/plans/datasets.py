@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.aggregate import bind_rows, keep_groups
 from ..operators.census import clean_coded, clean_rounds, prepare_rounds
 from ..operators.columns import rename, zscore
-from ..operators.community import add_site_context, corrected_community, impute_moss_height, impute_totals, plot_groups
+from ..operators.community import add_site_context, impute_groups, impute_moss_height, impute_totals, raw_plot_groups, species_rows
 from ..operators.joins import map_keys, natural_join, null_safe_join, with_group_stats
 from ..operators.ordered import first_value, last_value
 from ..operators.survival import LAST_CENSUSES, event_rows, survival_rows
@@ -21,16 +21,15 @@ from ..session import cut_lineage
 
 
 def community(raw: DataFrame, normals: DataFrame, key_map: DataFrame | None = None) -> DataFrame:
-    """Cleaned species cover with imputed moss heights and totals; only the narrow ``plot_groups`` are written."""
-    rows = corrected_community(raw, normals, key_map)
-    groups = plot_groups(rows)
-    return impute_totals(impute_moss_height(rows, groups), groups)
+    """Cleaned species cover with imputed moss heights and totals; only the narrow ``raw_plot_groups`` are written."""
+    rows = species_rows(raw.withColumn("__plot", F.col("plotID")), normals, key_map)
+    return impute_groups(rows, raw_plot_groups(raw, normals, key_map))
 
 
 def community_plots(raw: DataFrame, normals: DataFrame, key_map: DataFrame | None = None) -> DataFrame:
     """``community`` without its species rows, for tables of plots: imputed heights and totals by plot, year and functional group."""
-    groups = plot_groups(corrected_community(raw, normals, key_map))
-    return impute_totals(impute_moss_height(groups, groups), groups).drop("__rows")
+    groups = raw_plot_groups(raw, normals, key_map)
+    return impute_totals(impute_moss_height(groups, groups), groups).drop("__rows", "__plot")
 
 
 def rounds_recruits(raw: DataFrame, normals: DataFrame, key_map: DataFrame | None = None, **options) -> DataFrame:

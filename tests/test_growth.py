@@ -2,7 +2,7 @@
 
 from conftest import rows
 from pyspark.sql import functions as F
-from test_field import RAW, record
+from test_field import COMMUNITY, RAW, record
 
 from fieldloom.acceptance import CASES
 from fieldloom.operators import census, community
@@ -60,3 +60,20 @@ def test_a_slope_of_few_groups_shuffles_no_row(spark, tmp_path):
         assert "SortMergeJoin" not in plan(out) and out.where("y = 2 * l_orderkey").count() == 4000
     finally:
         spark.conf.set(limit, before)
+
+
+def test_plots_are_put_together_before_any_join_of_species_rows(spark):
+    raw = spark.createDataFrame([(2018, "Fauske", "x", "Fau1C", "r", "C", "t", s, "forb", c, 0.0, 12.0, None, None, 20.0, 30.0) for s, c in (("a", 1.0), ("b", 2.0))]
+                                + [(2018, "Fauske", "x", "Alr3C", "r", "C", None, "a", "forb", None, 0.0, 12.0, None, None, 20.0, 30.0)], COMMUNITY)
+    normals = spark.createDataFrame(*NORMALS)
+    table = datasets.community(raw, normals)
+    # One join for the sums, heights and totals of species rows, and one of distinct plots below it.
+    assert plan(table).count("SortMergeJoin") <= 2 and rows(table, "species", "sum_cover") == [("a", 3.0), ("b", 3.0)]
+    assert rows(datasets.community_plots(raw, normals), "plotID", "sum_cover") == [("Fau1C", 3.0)]
+
+
+def test_mapped_plots_keep_the_sums_of_the_plots_they_come_from(spark):
+    raw = spark.createDataFrame([(2018, "Fauske", "x", p, "r", "C", "t", "a", "forb", c, 0.0, 12.0, 1.0, 5.0, 20.0, 30.0) for p, c in (("Fau1C", 1.0), ("Fau2C", 2.0))], COMMUNITY)
+    to_one = spark.createDataFrame([("Fau2C", "Fau1C")], "from_key string, to_key string")
+    table = datasets.community(raw, spark.createDataFrame(*NORMALS), to_one)
+    assert rows(table, "plotID", "cover", "sum_cover") == [("Fau1C", 1.0, 1.0), ("Fau1C", 2.0, 2.0)]
