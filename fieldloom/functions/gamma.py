@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 from .nulls import ColumnLike, as_col
@@ -13,7 +14,12 @@ LANCZOS_G = 7.0
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905,
            -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 
-_TINY = 1e-300
+# Counts below SMALL_COUNT are summed up to a mean of _SUM_LIMIT, where e^mu is finite; beyond, Gauss-Legendre nodes and
+# weights on (0, 1), over the part of a tail that is above e^-_DEPTH of its first value.
+SMALL_COUNT = 32
+_SUM_LIMIT = 700.0
+_DEPTH = 40.0
+NODES = tuple((float(x + 1) / 2, float(w) / 2) for x, w in zip(*np.polynomial.legendre.leggauss(32)))
 
 
 def log_gamma(a: ColumnLike) -> Column:
@@ -26,39 +32,43 @@ def log_gamma(a: ColumnLike) -> Column:
     return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(total)
 
 
-def upper_gamma(a: ColumnLike, x: ColumnLike) -> Column:
-    """Regularised upper incomplete gamma function Q(a, x) for a >= 1/2 and x >= 0.
+def _tail_by_mass(y: Column, mu: Column, upper: Column) -> Column:
+    """Tail of a Poisson count divided by P(Y = y): P(Y <= y) where ``upper``, P(Y > y) elsewhere.
 
-    A series below a + 1, a continued fraction beyond; the number of steps grows with the square root of a, which bounds the error
-    near 1e-12.
+    Both are integrals of (t / mu)^y e^(mu - t), from mu upwards or down to 0, as y is whole. Beyond ``width`` times mu the integrand
+    is below e^-40, so the same few nodes give any count with a relative error of about 1e-13.
     """
-    a, x = as_col(a).cast("double"), as_col(x).cast("double")
-    steps = (F.lit(60) + 14 * F.sqrt(F.least(F.greatest(a, x), F.lit(1e10)))).cast("int")
-    front = F.exp(a * F.log(x) - x - log_gamma(a))
+    near, apart = F.greatest(y, F.lit(1e-9)), F.greatest(F.abs(mu - y), F.lit(1e-9))
+    width = F.when(upper, F.least(_DEPTH / apart, (2 * _DEPTH + F.sqrt(4 * _DEPTH ** 2 + 18 * _DEPTH * near)) / (3 * near))).otherwise(
+        F.least(F.lit(1.0), _DEPTH / apart, F.sqrt(2 * _DEPTH / near)))
+    nodes = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(w).alias("w")) for u, w in NODES])
 
-    def more(s: Column, i: Column) -> Column:
-        term = s["term"] * x / (a + i)
-        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+    def integral(v: Column) -> Column:
+        return v["scale"] * F.aggregate(nodes, F.lit(0.0), lambda s, n: s + n["w"] * F.exp(
+            v["y"] * F.log1p(v["step"] * n["u"]) - v["mu"] * v["step"] * n["u"]))
 
-    series = F.aggregate(F.sequence(F.lit(1), steps), F.struct((1 / a).alias("term"), (1 / a).alias("sum")), more, lambda s: s["sum"])
-
-    def fraction(s: Column, i: Column) -> Column:
-        an, b = -i * (i - a), s["b"] + 2
-        d, c = an * s["d"] + b, b + an / s["c"]
-        d = F.when(F.abs(d) < _TINY, _TINY).otherwise(d)
-        c = F.when(F.abs(c) < _TINY, _TINY).otherwise(c)
-        return F.struct(b.alias("b"), c.alias("c"), (1 / d).alias("d"), (s["h"] * c / d).alias("h"))
-
-    b0 = F.when(F.abs(x + 1 - a) < _TINY, F.lit(_TINY)).otherwise(x + 1 - a)
-    begin = F.struct(b0.alias("b"), F.lit(1 / _TINY).alias("c"), (1 / b0).alias("d"), (1 / b0).alias("h"))
-    tail = F.aggregate(F.sequence(F.lit(1), steps), begin, fraction, lambda s: s["h"])
-    return F.when(x == 0, 1.0).when(x < a + 1, 1 - front * series).otherwise(front * tail)
+    # An array of one struct, so that the width is evaluated once a row and not at every node.
+    signed = F.when(upper, width).otherwise(-width)
+    one = F.array(F.struct(y.alias("y"), mu.alias("mu"), signed.alias("step"), (mu * width).alias("scale")))
+    return F.transform(one, integral)[0]
 
 
 def poisson_cdf(y: ColumnLike, mu: ColumnLike) -> Column:
-    """P(Y <= y) for a Poisson count; 0 below zero."""
-    y = as_col(y).cast("double")
-    return F.when(y < 0, 0.0).when(y.isNotNull(), upper_gamma(F.floor(F.greatest(y, F.lit(0.0))) + 1, mu))
+    """P(Y <= y) for a Poisson count; 0 below zero.
+
+    Small counts add up their masses in plain arithmetic. The others take an integral over fixed nodes, whose cost does not grow
+    with the count either.
+    """
+    y, mu = as_col(y).cast("double"), as_col(mu).cast("double")
+    whole = F.floor(F.greatest(y, F.lit(0.0))).cast("double")
+    total = F.lit(1.0)
+    for k in range(SMALL_COUNT - 1, 0, -1):
+        total = 1 + (whole >= k).cast("double") * mu * (1 / k) * total
+    upper = mu >= whole
+    tail = F.exp(whole * F.log(mu) - mu - log_gamma(whole + 1)) * _tail_by_mass(whole, mu, upper)
+    summed = (whole < SMALL_COUNT) & mu.between(0.0, _SUM_LIMIT)
+    return F.when(y < 0, 0.0).when(y.isNull() | mu.isNull(), None).when(mu == 0, 1.0).when(
+        summed, F.least(F.lit(1.0), F.exp(-mu) * total)).when(upper, tail).otherwise(1 - tail)
 
 
 def poisson_mass(y: ColumnLike, mu: ColumnLike) -> Column:

@@ -1,10 +1,14 @@
 """Steps that must not shuffle or sort every row for a small table, and the cases their short cuts leave to joins."""
 
+import math
+
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 from test_field import COMMUNITY, RAW, record
 
 from fieldloom.acceptance import CASES
+from fieldloom.functions import gamma
 from fieldloom.operators import census, community
 from fieldloom.plans import datasets
 from fieldloom.sources import records
@@ -77,3 +81,16 @@ def test_mapped_plots_keep_the_sums_of_the_plots_they_come_from(spark):
     to_one = spark.createDataFrame([("Fau2C", "Fau1C")], "from_key string, to_key string")
     table = datasets.community(raw, spark.createDataFrame(*NORMALS), to_one)
     assert rows(table, "plotID", "cover", "sum_cover") == [("Fau1C", 1.0, 1.0), ("Fau1C", 2.0, 2.0)]
+
+
+def test_poisson_tails_take_the_same_steps_for_any_count(spark):
+    # Around the counts and the mean where masses are no longer summed, far into both tails, and for counts of any size.
+    cases = [(y, mu) for y in (0, 1, 7, 31, 32, 33, 400, 5000) for mu in (0.0, 1e-9, 0.4, 4.0, 31.9, 32.1, 699.0, 701.0, 5050.0, 9000.0)]
+    df = spark.createDataFrame(cases, "y int, mu double").select("y", "mu", gamma.poisson_cdf("y", "mu").alias("cdf"))
+    assert "sequence(" not in plan(df)
+    for r in df.collect():
+        mass = [math.exp(k * math.log(r.mu) - r.mu - math.lgamma(k + 1)) if r.mu else float(k == 0) for k in range(r.y + 1)]
+        assert r.cdf == pytest.approx(min(1.0, math.fsum(mass)), rel=1e-9, abs=1e-13), (r.y, r.mu)
+    endless = spark.createDataFrame([(1e12, 1e12 + 5e6), (1e12, 2e12), (2e12, 1e12), (math.inf, 2.0), (40.0, None), (None, 2.0)], "y double, mu double")
+    found = [r[0] for r in endless.select(gamma.poisson_cdf("y", "mu")).collect()]
+    assert 0 <= found[0] < 1e-6 and found[1:] == [0.0, 1.0, 1.0, None, None]
